@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op3
+from .ngram_join import op7
 from .shared import documents
 from .sharding import op1
 from .warc import op6
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_jump_shards": lambda spark, d: op1(documents(spark, d)),
         "op3_source_mix": lambda spark, d: op3(documents(spark, d)),
         "op6_warc_pages": lambda spark, d: op6(documents(spark, d, "pages")),
+        "op7_jaccard_join": lambda spark, d: op7(documents(spark, d)),
     }
 
 
