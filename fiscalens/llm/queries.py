@@ -6,24 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .egojoin import op5
+from .fertility import op9
+from .langid import op8, page_languages
+from .linededup import op10
 from .mixing import op3
 from .ngram_join import op7
+from .sentencepieces import op2
 from .shared import documents
 from .sharding import op1
+from .tokenfiles import op4
 from .warc import op6
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jump_shards": lambda spark, d: op1(documents(spark, d)),
+        "op2_merge_dropout": lambda spark, d: op2(documents(spark, d)),
         "op3_source_mix": lambda spark, d: op3(documents(spark, d)),
+        "op4_token_segments": lambda spark, d: op4(documents(spark, d)),
+        "op5_ego_join": lambda spark, d: op5(documents(spark, d, "embeddings")),
         "op6_warc_pages": lambda spark, d: op6(documents(spark, d, "pages")),
         "op7_jaccard_join": lambda spark, d: op7(documents(spark, d)),
+        "op8_language_id": lambda spark, d: op8(documents(spark, d)),
+        "op9_fertility_rules": lambda spark, d: op9(documents(spark, d)),
+        "op10_line_templates": lambda spark, d: op10(documents(spark, d)),
+        "page_languages": lambda spark, d: page_languages(documents(spark, d, "pages"), documents(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_token_segments": lambda spark, d: op4(documents(spark, d)),
+        "op5_ego_join": lambda spark, d: op5(documents(spark, d, "embeddings")),
         "op6_warc_pages": OP6,
     }
 
