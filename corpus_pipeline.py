@@ -4,12 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from fiscalens.llm.langid import in_known_language
+from fiscalens.llm.linededup import without_recurring_lines
+from fiscalens.llm.mixing import mixed_documents
+from fiscalens.llm.ngram_join import without_near_copies
+from fiscalens.llm.sentencepieces import encode_pieces
+from fiscalens.llm.shared import new_folder
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return in_known_language(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_recurring_lines(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_near_copies(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs, [5.0, 2.0, 1.0])
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_pieces(docs)
+
+
+STAGES = [
+    ("language ID", language),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing sources to target weights", mixture),
+    ("SentencePiece encoding", encoding),
+]
 ORACLE_SQL = None  # language models, hashes and tokenizers have no SQL form; tests/llm compares with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet in the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = new_folder(spark, "pipeline")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
