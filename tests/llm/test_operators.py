@@ -1,0 +1,367 @@
+"""The training-data operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeated rows and odd columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fiscalens.llm import egojoin, langid, linededup, mixing, ngram_join, rangecoder, sentencepieces, sharding, tokenfiles, warc
+from fiscalens.llm.fertility import op9
+from fiscalens.llm.shared import WORD, new_folder
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = re.compile(WORD)
+
+
+def corpus(seed=3, n=60):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghiklmnoprstuéß") for _ in range(rng.randint(1, 8))) for _ in range(400)]
+    text = lambda k: " ".join(rng.choice(vocabulary) + rng.choice(["", "", "", ".", ",", "\n", " "]) for _ in range(k))
+    rows = []
+    for i in range(n):
+        rows.append((i, text(rng.choice([1, 3, 8, 40, 120])), rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", "hot", "hot", None]), 1))
+    base = text(150).split(" ")
+    for i in range(12):
+        copy = base[:]
+        copy[rng.randrange(len(copy))] = f"edit{i}"
+        rows.append((100 + i, " ".join(copy), "en", "hot", 1))
+    long = text(30_000)
+    rows += [(200, None, "en", "a", None), (201, "", None, None, 0), (202, "   \n\t", "de", "b", 5), (203, long, "en", "hot", 1), (204, long, "en", "hot", 1)]
+    rows += [(205, base and " ".join(base), "en", "a", 1), (205, " ".join(base), "en", "a", 1), (None, "a null id b c d e", "en", "a", 1), (206, "▁ é🎉 日本語　x   y <|endoftext|>", "en", "z", 1)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS).repartition(5).cache()
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_jump_hash_and_slots(spark, docs):
+    def jump(key, n):
+        key &= (1 << 64) - 1
+        b, j = -1, 0
+        while j < n:
+            b = j
+            key = (key * 2862933555777941757 + 1) % (1 << 64)
+            j = int((b + 1) * float(1 << 31) / float((key >> 33) + 1))
+        return b
+
+    ids = [0, 1, -1, 7, 2**63 - 1, -(2**63), 123456789, *range(1000, 1100)]
+    df = spark.createDataFrame([(i,) for i in ids], "k long")
+    for n in (1, 2, 16, 17, 100):
+        assert all(r.s == jump(r.k, n) for r in df.select("k", sharding.jump_hash(F.col("k"), n).alias("s")).collect())
+    out = rows(sharding.op1(docs.withColumn("_bucket", F.lit(1)).withColumn("shard", F.lit(9))))
+    assert len(out) == len(corpus())
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 16)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    by = {r["doc_id"]: r for r in out}
+    assert by[200]["size"] == 1 and by[200]["text_crc32"] == 0
+    assert sharding.op1(empty(spark)).count() == 0
+
+
+def test_mixing(spark, docs):
+    out = rows(mixing.op3(docs))
+    size = Counter()
+    for _, text, _, source, _ in corpus():
+        size[source] += len(WORDS.findall(text or ""))
+    order = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free, rest = {}, set(order), 1.5 * sum(size.values())
+    while True:
+        level = rest / sum(weight[s] for s in free)
+        full = [s for s in free if weight[s] * level > 2 * size[s]]
+        if not full:
+            target |= {s: weight[s] * level for s in free}
+            break
+        for s in full:
+            target[s] = 2.0 * size[s]
+            rest -= target[s]
+            free.discard(s)
+        if not free:
+            break
+    source = {i: s for i, _, _, s, _ in corpus()}
+    taken = Counter()
+    for r in out:
+        assert r["target"] == pytest.approx(target[source[r["doc_id"]]])
+        assert r["source_size"] == size[source[r["doc_id"]]] and 0 <= r["taken"] <= 2 * r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) < 1 for s in order)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["taken"])
+    assert sorted(out, key=key) == sorted(rows(mixing.op3(docs.repartition(3))), key=key)
+    mixed = mixing.mixed_documents(docs, [5.0, 2.0, 1.0])
+    words = sum(len(WORDS.findall(r["text"])) for r in rows(mixed))
+    assert mixed.columns == docs.columns and words == sum(taken.values())
+    assert mixing.op3(empty(spark)).count() == 0
+
+
+def test_permutation_is_one():
+    for n in (1, 2, 5, 64, 1000):
+        at = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 77, np.uint64))
+        assert sorted(at) == list(range(n))
+
+
+@pytest.mark.parametrize(("n", "block"), [(1, 64), (64, 64), (65, 64), (3000, 300)])
+def test_range_coder_round_trip(n, block):
+    rng = np.random.default_rng(n)
+    ids = (rng.zipf(1.3, n) % 50257).astype(np.int32)
+    for x, width in ((ids, 16), (np.where(rng.random(n) < 0.2, rng.integers(0, 2**31 - 1, n), ids).astype(np.int32), 31), (np.zeros(n, np.int32), 1)):
+        words, sizes = rangecoder.encode(x, block, width)
+        assert (rangecoder.decode(words, sizes, n, block, width) == x).all()
+
+
+def test_segments_notice_damage():
+    image = tokenfiles.pack(np.array([1, 2]), np.zeros(2, bool), np.array([3, 2]), np.arange(5, dtype=np.int32), 2)
+    assert tokenfiles.unpack(image)[3].tolist() == [0, 1, 2, 3, 4]
+    for at in (40, len(image) - 1):
+        broken = bytearray(image)
+        broken[at] ^= 1
+        with pytest.raises(ValueError, match="damaged"):
+            tokenfiles.unpack(bytes(broken))
+
+
+def test_token_files(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    model.encode_special_tokens = True
+    expected = defaultdict(list)
+    for i, text, *_ in corpus():
+        ids = [*model.encode(text or "", add_special_tokens=False).ids, 2]
+        expected[i].append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    out = rows(tokenfiles.op4(docs))
+    assert all((r["n_tokens"], r["ids_crc32"]) in expected[r["doc_id"]] for r in out) and len(out) == len(corpus())
+    start = 0
+    for r in sorted(out, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["start"])):
+        assert r["start"] == start
+        start += r["n_tokens"]
+    assert tokenfiles.op4(empty(spark)).count() == 0
+    path = new_folder(spark, "t")
+    tokenfiles.write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), segment=1000, block=64)
+    back = {r["doc_id"]: r["ids"] for r in rows(tokenfiles.read_token_ids(spark, path))}
+    assert back[206] == model.encode(next(t for i, t, *_ in corpus() if i == 206)).ids
+
+
+def test_sentence_pieces(spark, docs):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    texts = {i: t or "" for i, t, *_ in corpus()}
+    for r in rows(sentencepieces.encode_pieces(docs, dropout=0.0)):
+        if r["doc_id"] not in (None, 206):
+            assert r["ids"] == own.encode(texts[r["doc_id"]])
+    out = rows(sentencepieces.op2(docs))
+    assert all(r["lossless"] and r["n_ids"] == len(r["ids"]) for r in out)
+    assert sum(r["n_ids"] for r in out) > sum(len(own.encode(t)) for t in texts.values())
+    assert sorted(map(str, out)) == sorted(map(str, rows(sentencepieces.op2(docs.repartition(2)))))
+    decoded = {r["doc_id"]: r["text"] for r in rows(sentencepieces.decode_pieces(sentencepieces.op2(docs)))}
+    assert decoded == texts
+    assert sentencepieces.op2(empty(spark)).count() == 0
+
+
+def test_merge_agenda_by_heap_equals_rounds():
+    model = sentencepieces.Pieces(sentencepieces.default_model(), 0.3, 5)
+    words = [b" thering", b"  x", "éàüß".encode(), b" nonononononon", "日本語".encode(), b" a"] * 4
+    variants = np.arange(len(words)) % 5
+    assert model._together(words, variants) == [model.by_heap(w, int(v)) for w, v in zip(words, variants, strict=True)]
+    assert len({tuple(model.by_heap(b" nonononononon", v)) for v in range(5)}) > 1
+
+
+def vectors(spark):
+    rng = np.random.default_rng(2)
+    out = [(i, rng.normal(size=8).tolist()) for i in range(150)]
+    for i in range(40):
+        out.append((300 + i, (np.array(out[i % 3][1]) + rng.normal(size=8) * 0.25).tolist()))
+    out += [(500, None), (501, [0.0] * 8), (502, [float("nan")] * 8), (503, [1.0, None] * 4), (504, []), (505, [1.0, 2.0]), (506, [2.0, 4.0]), (507, [1e300, 1.0]), (508, [1e300, 2.0])]
+    out += [(0, out[0][1]), (509, out[5][1]), (None, out[5][1])]
+    return out, spark.createDataFrame(out, "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("interval", [8192, 16])
+def test_embedding_links(spark, monkeypatch, interval):
+    monkeypatch.setattr(egojoin, "INTERVAL", interval)
+    monkeypatch.setattr(egojoin, "LEAF", min(interval, 64))
+    data, df = vectors(spark)
+
+    def usable(v):
+        return bool(v) and None not in v and all(np.isfinite(v)) and any(v)
+
+    n = len(data)
+    links = defaultdict(set)
+    for i in range(n):
+        for j in range(i):
+            a, b = data[i][1], data[j][1]
+            if usable(a) and usable(b) and len(a) == len(b):
+                a, b = np.array(a) / np.max(np.abs(a)), np.array(b) / np.max(np.abs(b))
+                if a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.9:
+                    links[i].add(j)
+                    links[j].add(i)
+    key = lambda x: (x is not None, x or 0)
+    expected = []
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        least = min((data[j][0] for j in seen), key=key)
+        expected.append((data[i][0], len(links[i]), least, data[i][0] == least))
+    got = [tuple(r) for r in egojoin.op5(df.repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert egojoin.op5(df.where("false")).count() == 0
+
+
+def test_warc_round_trip(spark):
+    big = "x" * 500
+    pages = [(i, f"http://h/{i} a\r\nb", big if i % 3 == 0 else f"page {i} é " * 20) for i in range(1, 30)]
+    trap = "a" * 100 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n"
+    pages += [(50, None, None), (51, "u", ""), (52, "u", "short"), (53, "u", "short"), (54, "u", trap), (55, "u", trap * 40), (56, None, trap)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload_bytes", F.lit(0)).repartition(4)
+    first = {}
+    for i, _, html in pages:
+        first.setdefault(html or "", i)
+    out = {r["page_id"]: r for r in rows(warc.op6(df))}
+    assert len(out) == len(pages)
+    for i, _, html in pages:
+        raw = (html or "").encode()
+        again = len(raw) >= 100 and first[html] != i
+        assert (out[i]["payload_bytes"], out[i]["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
+        assert (out[i]["record_type"], out[i]["refers_to"]) == (("revisit", first[html]) if again else ("response", None))
+    assert warc.op6(df.where("false")).count() == 0
+
+
+def shingle_set(text):
+    w = WORDS.findall(text or "")
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_jaccard_classes(spark, docs):
+    data = [(i, t) for i, t, *_ in corpus()]
+    sets = [shingle_set(t) for _, t in data]
+    links = defaultdict(set)
+    for i in range(len(data)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                links[i].add(j)
+                links[j].add(i)
+    key = lambda x: (x is not None, x or 0)
+    expected = []
+    for i, (d, _) in enumerate(data):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        least = min((data[j][0] for j in seen), key=key)
+        expected.append((d, least, len(links[i]), d == least))
+    got = [tuple(r) for r in ngram_join.op7(docs.withColumn("sig", F.lit(1))).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    left = ngram_join.without_near_copies(docs)
+    assert left.columns == docs.columns and left.select("doc_id").distinct().count() == len({c for _, c, *_ in expected})
+    assert ngram_join.op7(empty(spark)).count() == 0
+
+
+def test_language_id(spark):
+    rng = random.Random(4)
+    stems = {"en": ["the", "and", "thing", "with"], "de": ["der", "und", "schei", "keit"], "fr": ["eau", "ment", "que", "les"]}
+    text = lambda k: " ".join(rng.choice(stems[k]) for _ in range(rng.randint(5, 60)))
+    data = [(i, text(k := rng.choice(list(stems))), k, "hot" if i % 2 else f"h{i % 7}", 1) for i in range(400)]
+    truth = {i: k for i, _, k, *_ in data}
+    data += [(900, None, "en", "hot", 1), (901, "", "en", None, 1), (902, "123 !! 456", None, "hot", 1), (903, text("de"), "en", "h1", 1), (904, text("fr") * 3000, None, None, 1), (904, "x", "xx", "h2", 1)]
+    df = spark.createDataFrame(data, DOCS).withColumn("confidence", F.lit(2.0)).withColumn("kept", F.lit("z"))
+    out = {r["doc_id"]: r for r in rows(langid.op8(df))}
+    assert sum(out[i]["lang"] == k for i, k in truth.items()) >= 0.99 * len(truth)
+    assert all(out[i]["kept"] for i in truth) and not any(out[i]["kept"] for i in (900, 901, 902)) and out[902]["lang"] is None
+    names, table = langid.fit_text_model(df.where("doc_id % 2 = 0"))
+    held = langid.identify(df.where("doc_id % 2 = 1 and doc_id < 400").select("doc_id", "text"), names, table, F.col("text"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    assert all(r["lang"] == truth[r["doc_id"]] for r in rows(held))  # held-out accuracy of the text alone
+    kept = langid.in_known_language(df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in rows(kept)} >= set(truth)
+    assert langid.op8(empty(spark)).count() == 0
+    pages = spark.createDataFrame([(1, "https://a.example.de/x", '<html lang="de"><p>der und keit</p></html>'), (2, None, None), (3, "http://h", "<b>")], "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in rows(langid.page_languages(pages, df))}
+    assert found[1]["lang"] == "de" and not found[2]["kept"] and not found[3]["kept"]
+
+
+def quality_by_hand(text):
+    words, text = WORDS.findall(text or ""), text or ""
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    count = Counter(windows)
+    inside = {i + k for i, w in enumerate(windows) if count[w] > 1 for k in range(8)}
+    lines = [x for x in text.split("\n") if WORDS.search(x)]
+    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(inside)
+
+
+def test_quality_counts(spark, docs):
+    more = docs.unionByName(spark.createDataFrame([(300, "a b c d e f g h " * 9 + "\nsame\nsame\n \n \n#*$%&|<> x", "de", "s", 1)], DOCS)).withColumn("band", F.lit(1))
+    texts = defaultdict(list)
+    for r in rows(more):
+        texts[r["doc_id"]].append(quality_by_hand(r["text"]))
+    for r in rows(op9(more)):
+        own = tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+        assert own in texts[r["doc_id"]]
+        assert r["base_failed"] == (own[0] < 20 or 100 * own[4] > 30 * own[0]) and not (r["base_failed"] and r["kept"])
+    assert op9(empty(spark)).count() == 0
+
+
+def test_line_templates(spark):
+    rng = random.Random(9)
+    own = lambda: " ".join("".join(rng.choice("abcdefghik") for _ in range(6)) for _ in range(8))
+    banner = "all of our pages carry this very same banner line today"
+    data = []
+    for i in range(40):
+        lines = [own(), own()]
+        if i % 2:
+            lines.insert(1, banner)
+        if i % 4 == 0:
+            lines.append(f"posted on {i} may 20{i:02} by user{i} in the news")
+        if i % 5 == 0:
+            lines.append(f"shared by our reader {['anna', 'bert', 'carl', 'dora'][i % 4]} of the local weekend desk")
+        if i in (3, 4):
+            lines.append("w " * 30)
+        if i in (7, 8):
+            lines.append("rare line of two documents only")
+        data.append((i, "\n".join(lines), "en", "s", 1))
+    data += [(100, None, "en", "s", 1), (101, "", "en", "s", 1), (102, "\n\n \n", "en", "s", 1), (103, banner, "en", "s", 1), (103, banner, "en", "s", 1), (None, own(), "en", "s", 1)]
+    df = spark.createDataFrame(data, DOCS).withColumn("n_lines", F.lit(1)).repartition(3)
+    out = {r["doc_id"]: r for r in rows(linededup.op10(df))}
+    texts = {i: t for i, t, *_ in data}
+    for i in range(40):
+        for line in texts[i].split("\n"):
+            gone = line not in out[i]["text"].split("\n")
+            recurs = (line == banner and i != 1) or (line.startswith("posted") and i) or (line.startswith("shared") and i) or (line.startswith("w ") and i != 3)
+            assert gone == bool(recurs), (i, line)
+    assert out[100]["text"] is None and out[101]["text"] == "" and out[102]["text"] == "\n\n \n" and out[103]["text"] == ""
+    left = linededup.without_recurring_lines(df)
+    assert left.columns == df.columns and {r["doc_id"] for r in rows(left)} == {None, *range(40), 100, 101, 102}
+    assert linededup.op10(empty(spark)).count() == 0
+
+
+def test_pipeline_stages(spark, docs):
+    import corpus_pipeline
+
+    out = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, out, "")
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns
+            path = new_folder(spark, "stage")
+            out.write.parquet(path)
+            out = spark.read.parquet(path)
+    assert out.where("not lossless").count() == 0 and out.count() > 0
