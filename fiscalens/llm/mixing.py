@@ -103,7 +103,9 @@ def drawn_blocks(plan: DataFrame, block: int, shards: int, seed: int) -> DataFra
                 words = np.where(slot == r.all_slots - 1, np.minimum(words, r.rest - (r.all_slots - 1 - r.whole * r.blocks) * block) if r.rest > 0 else words, words)
                 yield pd.DataFrame({"source": pd.Series([source] * len(slot), dtype=object), "block": at, "pass": turn, "shard": r.shard, "slot": slot, "words": words})
 
-    return dealt.mapInPandas(take, "source string, block long, pass long, shard long, slot long, words long")
+    # a few rows stand for many blocks: dealt over all tasks by number, which adaptive execution leaves as it is
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "source", "first").mapInPandas(take, "source string, block long, pass long, shard long, slot long, words long")
 
 
 def word_count(text: str = "text"):
