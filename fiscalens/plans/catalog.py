@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import detectors, marts
+
 FLAGSHIP = "contracts_daily"
+GROUPS = [marts, detectors]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for group in GROUPS for name, query in group.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for group in GROUPS for name, text in group.SQL.items()}
