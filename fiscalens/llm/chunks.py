@@ -9,7 +9,7 @@ import numpy as np
 from .textkernel import word_hashes
 
 #: Slots of the direct-mapped cache of chunks, and ids held before it starts anew.
-SLOTS, MOST_IDS = 1 << 20, 12 << 20
+SLOTS, MOST_IDS = 1 << 19, 3 << 20
 
 
 def space_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -81,7 +81,7 @@ class Chunks:
             flat = np.concatenate([np.asarray(x, np.int32) for x in found]) if isinstance(found[0], np.ndarray) else np.fromiter((i for x in found for i in x), np.int32, int(n.sum()))
             where = self.used + np.cumsum(n) - n
             if self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), 2 * len(flat)), np.int32)])
+                self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(1 << 20, 2 * len(flat)), np.int32)])
             self.pool[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
             off[new], size[new] = where[back], n[back]

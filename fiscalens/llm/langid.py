@@ -36,7 +36,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         labels = batch.column(0).to_pylist()
-        for lo, hi in pieces(batch.column(1)):
+        for lo, hi in pieces(batch.column(1), 1 << 20):
             h, first = grams(*flat(batch.column(1).slice(lo, hi - lo)))
             for i in range(hi - lo):
                 total.setdefault(labels[lo + i], np.zeros(GRAMS, np.int64))
@@ -68,12 +68,10 @@ def text_scores(names: list[str], table: np.ndarray, most_evidence: float = 200.
 
     Runs of a text are not independent, so n of them count as n / (1 + n / most_evidence).
     """
-    @F.pandas_udf("array<double>")
-    def scores(texts):
-        import pandas as pd
-
-        column, out = pa.array(texts, pa.string(), from_pandas=True), []
-        for lo, hi in pieces(column):
+    @F.arrow_udf("array<double>")
+    def scores(column: pa.Array) -> pa.Array:
+        out = []
+        for lo, hi in pieces(column, 1 << 20):
             data, at = flat(column.slice(lo, hi - lo))
             h, first = grams(data, at)
             n = np.diff(first)
@@ -84,8 +82,8 @@ def text_scores(names: list[str], table: np.ndarray, most_evidence: float = 200.
                 for k in range(len(names)):
                     sums[full, k] = np.add.reduceat(table[k][h], first[:-1][full], dtype=np.float64)
             sums *= (1 / (1 + n / most_evidence))[:, None]
-            out += [row if some else None for row, some in zip(sums, letters, strict=True)]
-        return pd.Series(out, dtype=object)
+            out += [row if some else None for row, some in zip(sums.tolist(), letters.tolist(), strict=True)]
+        return pa.array(out, pa.list_(pa.float64()))
 
     return scores
 

@@ -84,7 +84,7 @@ class Pieces:
 
     def _symbol(self, c: str) -> int:
         if (found := self.symbols.get(c)) is None:
-            if len(self.symbols) > 1 << 20:
+            if len(self.symbols) > 1 << 17:
                 self.symbols = dict(self.normal)
             found = self.symbols[c] = 0x40000000 + ord(c[-1])
         return found
@@ -140,8 +140,8 @@ class Pieces:
         for k, w in enumerate(words):
             if len(w) > LONG:
                 out[k] = self.by_heap(w, int(variants[k]))
-        for lo in range(0, len(short), 50_000):
-            own = short[lo : lo + 50_000]
+        for lo in range(0, len(short), 20_000):
+            own = short[lo : lo + 20_000]
             for k, ids in zip(own, self._together([words[k] for k in own], variants[own]), strict=True):
                 out[k] = ids
         return out
@@ -241,7 +241,7 @@ def _encoded(path: str, dropout: float, seed: int, variants: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(path, dropout, seed)
         for batch in batches:
-            for lo, hi in pieces(batch.column(1), 1 << 20):
+            for lo, hi in pieces(batch.column(1), 1 << 19):
                 part = batch.slice(lo, hi - lo)
                 texts = part.column(1)
                 data, at = flat(texts)
