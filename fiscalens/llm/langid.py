@@ -98,7 +98,7 @@ def _shares(decided: DataFrame, key: str, names: list[str], base: list[float], s
 
 def identify(
     docs: DataFrame, names: list[str], table: np.ndarray, text: Column, declared: Column, host: Column, suffix: Column,
-    least_confidence: float = 0.6, host_strength: float = 20.0, suffix_strength: float = 100.0, broadcast_rows: int = 20_000,
+    least_confidence: float = 0.6, host_strength: float = 20.0, suffix_strength: float = 100.0, broadcast_rows: int = 20_000, score_again: bool = False,
 ) -> DataFrame:
     """docs with lang, confidence (its posterior probability) and kept.
 
@@ -106,19 +106,22 @@ def identify(
     suffix of the address (how each language's texts spread over suffixes); the host's prior, drawn towards its suffix's or else the
     table's shares. Shares come from grouped aggregation over all rows. What is null is no evidence. kept: the text has letters and the
     posterior reaches ``least_confidence``; a text without letters (null and empty ones too) has lang null, confidence 0. Tables of
-    shares are broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond. Existing columns of the result's names are replaced.
+    shares are broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond. The scores are written once with the columns of
+    docs, or, with ``score_again``, without them and made again for the result, where the columns hold long texts. Existing columns of the result's names are replaced.
     """
     if not names:
         return docs.withColumns({"lang": F.lit(None).cast("string"), "confidence": F.lit(0.0), "kept": F.lit(False)})
     columns = [c for c in docs.columns if c not in ("lang", "confidence", "kept", "_text", "_told", "_from", "_end")]
     score = text_scores(names, table)
-    scored = docs.select(*columns, F.lower(F.substring(F.trim(declared), 1, 2)).alias("_declared"), F.lower(host).alias("_host"), F.lower(suffix).alias("_suffix"), score(text).alias("_ll"))
-    scored = written(scored.withColumn("_best", F.array_position("_ll", F.array_max("_ll")).cast("int") - 1), "language-scores")
-    decided = scored.where("_ll is not null").select("_declared", "_host", "_suffix", "_best")
+    evidence = [F.lower(F.substring(F.trim(declared), 1, 2)).alias("_declared"), F.lower(host).alias("_host"), F.lower(suffix).alias("_suffix"), score(text).alias("_ll")]
+    seen = docs.select(*([] if score_again else columns), *evidence)
+    seen = written(seen.withColumn("_best", F.array_position("_ll", F.array_max("_ll")).cast("int") - 1), "language-scores")
+    scored = docs.select(*columns, *evidence) if score_again else seen
+    decided = seen.where("_ll is not null").select("_declared", "_host", "_suffix", "_best")
     of = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
     row = decided.agg(*[F.sum(F.when(F.col("_best") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(len(names))], F.count(of[F.col("_declared")]).alias("told"), F.sum(F.when(of[F.col("_declared")] == F.col("_best"), 1).otherwise(0)).alias("agreed")).first()
-    seen = np.array([row[f"n{i}"] or 0 for i in range(len(names))], float) + 1
-    base = (seen / seen.sum()).tolist()
+    totals = np.array([row[f"n{i}"] or 0 for i in range(len(names))], float) + 1
+    base = (totals / totals.sum()).tolist()
     trust = min(0.99, ((row["agreed"] or 0) + 1) / (row["told"] + 2))
     other = (1 - trust) / max(1, len(names) - 1)
 
@@ -162,7 +165,7 @@ def in_known_language(docs: DataFrame) -> DataFrame:
     """docs without the rows whose language is not known with confidence; columns and values as they are."""
     named = docs.withColumn("_lang", F.col("lang"))
     names, table = fit_text_model(named)
-    found = identify(named, names, table, F.col("text"), F.col("_lang").cast("string"), F.col("source").cast("string"), F.lit(None).cast("string"))
+    found = identify(named, names, table, F.col("text"), F.col("_lang").cast("string"), F.col("source").cast("string"), F.lit(None).cast("string"), score_again=True)
     return found.where("kept").withColumn("lang", F.col("_lang")).select(*docs.columns)
 
 

@@ -129,7 +129,8 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most_times: f
     lying = whole.where("size > 0").select("doc_id", "source", "size", "start", F.explode(F.sequence(first, last)).alias("block"))
     drawn = drawn_blocks(plan, block, shards, seed)
     drawn = drawn.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "pass", "shard", "slot", "words")
-    pieces = lying.join(drawn, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    # the drawn blocks come from a table of one row a source, whose size says nothing of theirs: never broadcast
+    pieces = lying.join(drawn.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     at = F.col("block") * block
     lo, hi = F.greatest(F.col("start"), at) - F.col("start"), F.least(F.col("start") + F.col("size"), at + F.col("words")) - F.col("start")
     pieces = pieces.select("doc_id", "source", "start", "pass", "shard", "slot", lo.alias("from_word"), hi.alias("to_word")).where("to_word > from_word")
