@@ -9,10 +9,11 @@ from fiscalens.llm.linededup import without_recurring_lines
 from fiscalens.llm.mixing import mixed_documents
 from fiscalens.llm.ngram_join import without_near_copies
 from fiscalens.llm.sentencepieces import encode_pieces
-from fiscalens.llm.shared import new_folder
+from fiscalens.llm.shared import new_folder, small_batches
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return in_known_language(docs)
 
 
