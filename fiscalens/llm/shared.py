@@ -59,5 +59,13 @@ def running_total(df: DataFrame, group: list[str], key: str, order: list[str], w
     return joined.withColumn(out, F.col(out) + F.col(base)).drop(bucket, base, "_weight", "_g_bucket", *[f"_g_{c}" for c in group])
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of ``rows`` rows at most, as whole texts are large; a session's own smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
