@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detectors, marts
+from . import detectors, marts, others
 
 FLAGSHIP = "contracts_daily"
-GROUPS = [marts, detectors]
+GROUPS = [marts, detectors, others]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
