@@ -37,8 +37,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_token_segments": lambda spark, d: op4(documents(spark, d)),
-        "op5_ego_join": lambda spark, d: op5(documents(spark, d, "embeddings")),
         "op6_warc_pages": OP6,
     }
 
