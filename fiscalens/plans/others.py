@@ -22,6 +22,11 @@ def people(s, d):
     return t.select(F.col("c_custkey").alias("id"), F.concat(F.lit("Person "), (F.col("c_custkey") % 900).cast("string")).alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.lpad((F.col("c_custkey") % 900).cast("string"), 11, "1")).alias("document"), (F.col("c_nationkey") % 4).cast("string").alias("age_range"))
 
 
+def hidden_sanctions(s, d):
+    """Sanctions as a list without full documents has them: persons masked, companies by name alone."""
+    return L.sanctions(s, d).select("id", "list_name", "sanctioned_name", F.when(F.col("cpf").isNotNull(), F.concat(F.lit("***"), F.substring("cpf", 4, 6), F.lit("**"))).alias("document"), "start_date", "end_date")
+
+
 def reviewed(s, d):
     return L.table(s, d, "labels").select(F.when(F.col("doc_id") % 2 == 0, "notice_clone").otherwise("anomalous_price").alias("signal_type"), F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "confirmed").otherwise("pending").alias("status"))
 
@@ -31,6 +36,7 @@ QUERIES = {
     "vector_search": lambda s, d: T.vector_search(L.table(s, d, "embeddings"), QUERY_VECTOR),
     "notice_clones": lambda s, d: T.notice_clones(L.notices(s, d), 0.3),
     "text_search": lambda s, d: T.text_search(L.table(s, d, "documents").select("doc_id", "text"), WORDS),
+    "sanctioned_names": lambda s, d: T.fuzzy_screening(c(s, d), hidden_sanctions(s, d)),
     "resolve_people": lambda s, d: T.resolve_people(people(s, d)),
     "ownership_paths": lambda s, d: G.trace_ownership(L.edges(s, d), roots(s, d)),
     "partners_of_buyers": lambda s, d: G.partners_of_buyers(c(s, d), L.edges(s, d)),

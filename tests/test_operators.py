@@ -1,6 +1,8 @@
 """The reference operators on small planted cases; the queries themselves are compared with SQL by the driver."""
 
 import datetime
+import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +73,27 @@ def test_people_and_segments(spark):
     assert [r.segment for r in T.segments(t, "id", "text").orderBy("unit").collect()] == ["EDITAL 1\nline", "AVISO DE LICITACAO\nx"]
 
 
+def test_near_names_lose_no_pair(spark):
+    rng = random.Random(5)
+    names = {T.normalize_name("".join(rng.choice("AB ") for _ in range(rng.randint(1, 30)))) for _ in range(150)}
+    names |= {n[:i] + rng.choice(["", "A", "X"]) + n[i + 1 :] for n in sorted(names) for i in [rng.randrange(len(n) + 1)]}
+    for threshold in (0.95, 0.8):
+        left = spark.createDataFrame([(n,) for n in sorted(names)], "a string")
+        found = {(r.a, r.b) for r in T.near_names(left, left, threshold).collect()}
+        assert found == {(x, y) for x in names for y in names if x and y and difflib.SequenceMatcher(None, x, y).ratio() >= threshold}
+
+
+def test_fuzzy_screening(spark):
+    c = spark.createDataFrame(
+        [("1", "12343515100", "Ana Maria de Souza", DAY(2020, 1, 1)), ("2", "99999999999", "Ana Maria de Souza", DAY(2020, 1, 1)), ("3", None, "Obras Pernambuco Ltda", DAY(2020, 1, 1)), ("4", None, "Obras Pernambuco Ltda", DAY(2030, 1, 1)), ("5", None, None, DAY(2020, 1, 1))],
+        "id string, doc string, legal_name string, signature_date date")
+    s = spark.createDataFrame(
+        [("s1", "ceis", "SOUZA, Ana Maria de", "***435151**", DAY(2019, 1, 1), DAY(2021, 1, 1)), ("s2", "cnep", "Obras Pernambuca Ltda", None, DAY(2019, 1, 1), DAY(2021, 1, 1)), ("s3", "cnep", "Obras Pernambuco Ltda", None, None, None), ("s4", "ceaf", None, "12343515100", DAY(2019, 1, 1), None)],
+        "id string, list_name string, sanctioned_name string, document string, start_date date, end_date date")
+    assert {(r.entity, r.list_name, r.score, r.contracts) for r in T.fuzzy_screening(c, s).collect()} == {("12343515100", "ceis", 1.0, 1), ("LTDA OBRAS PERNAMBUCO", "cnep", 0.9524, 1)}
+    assert T.fuzzy_screening(c, s.limit(0)).count() == 0
+
+
 def test_paths_are_simple_and_reviews_follow_the_table(spark):
     e = spark.createDataFrame([("a", "b", "ownership"), ("b", "a", "ownership"), ("b", "c", "ownership")], "src string, dst string, kind string")
     assert {r.path for r in G.trace_ownership(e, spark.createDataFrame([("a",)], "root string")).collect()} == {"a>b", "a>b>c"}
