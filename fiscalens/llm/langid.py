@@ -17,6 +17,21 @@ _FOLD = np.arange(256, dtype=np.int32)
 _FOLD[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC3:] = True
+#: Bytes of runs that count for a language's band: parts of letters, and the white space between words.
+_WORDY = _LETTER.copy()
+_WORDY[[0x0A, 0x20]] = _WORDY[0x80:] = True
+#: Length classes of a band (by powers of two), rows that a class must have, and the least and most width of a band below its median.
+CLASSES, CLASS_ROWS, LEAST_WIDTH, MOST_WIDTH = 32, 20, 1.5, 3.0
+SCORES = "struct<ll:array<double>,mean:array<float>,n:int>"
+
+
+def _within(n: int, at: np.ndarray) -> np.ndarray:
+    """Which of ``n`` three-byte runs do not reach into the next text."""
+    keep = np.ones(n, bool)
+    for back in (1, 2):
+        ends = at[1:-1] - back
+        keep[ends[(ends >= 0) & (ends < n)]] = False
+    return keep
 
 
 def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -25,10 +40,7 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
     b = _FOLD[data]
     h = (b[:-2] * 7919 + b[1:-1] * 263 + b[2:]) & (GRAMS - 1)
-    keep = np.ones(len(h), bool)
-    for back in (1, 2):
-        ends = at[1:-1] - back
-        keep[ends[(ends >= 0) & (ends < len(h))]] = False
+    keep = _within(len(h), at)
     return h[keep], np.concatenate([[0], np.cumsum(keep)])[np.minimum(at, len(h))]
 
 
@@ -64,30 +76,78 @@ def fit_text_model(labelled: DataFrame, label: str = "lang", text: str = "text",
 
 
 def text_scores(names: list[str], table: np.ndarray, most_evidence: float = 200.0):
-    """A function of texts that gives each language's log likelihood, null for a text without letters.
+    """A function of texts that gives for each language the log likelihood (ll) and its mean over the runs of letters and white space
+    (mean), and the number of these runs (n); ll is null for a text without letters.
 
     Runs of a text are not independent, so n of them count as n / (1 + n / most_evidence).
     """
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(SCORES)
     def scores(column: pa.Array) -> pa.Array:
-        out = []
+        out, means, counts = [], [], []
         for lo, hi in pieces(column, 1 << 20):
             data, at = flat(column.slice(lo, hi - lo))
             h, first = grams(data, at)
             n = np.diff(first)
             letters = np.diff(np.concatenate([[0], np.cumsum(_LETTER[data])])[at])
-            sums = np.zeros((hi - lo, len(names)))
+            sums, mean = np.zeros((hi - lo, len(names))), np.zeros((hi - lo, len(names)))
+            wordy = np.zeros(hi - lo, np.int64)
             full = np.flatnonzero(n)
             if len(full):
+                w = _WORDY[data]
+                w = (w[:-2] & w[1:-1] & w[2:])[_within(len(data) - 2, at)]
+                begin = first[:-1][full]
+                wordy[full] = np.add.reduceat(w, begin, dtype=np.int64)
                 for k in range(len(names)):
-                    sums[full, k] = np.add.reduceat(table[k][h], first[:-1][full], dtype=np.float64)
+                    x = table[k][h]
+                    sums[full, k] = np.add.reduceat(x, begin, dtype=np.float64)
+                    mean[full, k] = np.add.reduceat(x * w, begin, dtype=np.float64)
+            mean /= np.maximum(1, wordy)[:, None]
             sums *= (1 / (1 + n / most_evidence))[:, None]
+            means.append(mean.astype(np.float32).ravel())
+            counts.append(wordy.astype(np.int32))
             out += [row if some else None for row, some in zip(sums.tolist(), letters.tolist(), strict=True)]
-        return pa.array(out, pa.list_(pa.float64()))
+        flat_means = pa.array(np.concatenate(means) if means else np.zeros(0, np.float32), pa.float32())
+        mean_lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * len(names), pa.int32()), flat_means)
+        return pa.StructArray.from_arrays([pa.array(out, pa.list_(pa.float64())), mean_lists, pa.array(np.concatenate(counts) if counts else [], pa.int32())], ["ll", "mean", "n"])
 
     return scores
 
 
+def _length_class() -> Column:
+    return F.least(F.floor(F.log2(F.col("_s.n").cast("double"))), F.lit(CLASSES - 1)).cast("int")
+
+
+def _bands(scored: DataFrame, names: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least mean log likelihood of a run, by language and length class, and the languages' variances of a run.
+
+    scored: _s (scores), _best and _told (numbers of languages). A band reaches below the median of the texts whose declared language is
+    the text's, over all rows, by three times the distance to the twentieth part, but by LEAST_WIDTH to MOST_WIDTH; a text of n runs may
+    lie three standard deviations of a mean of n runs lower. A class of fewer than CLASS_ROWS rows has the language's median over all its
+    texts, and a language of so few rows the expectation of its own model.
+    """
+    own = scored.where("_told = _best and _s.n > 0").select("_best", _length_class().alias("_class"), F.col("_s.mean")[F.col("_best")].alias("_mean"))
+    p = np.exp(table.astype(float))
+    p /= p.sum(1, keepdims=True)
+    expected = (p * table).sum(1)
+    least = np.repeat((expected - MOST_WIDTH)[:, None], CLASSES, 1)
+    parts = own.rollup("_best", "_class").agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("_mean", [0.05, 0.5]).alias("q")).where(F.col("_best").isNotNull() & (F.col("rows") >= CLASS_ROWS))
+    for r in sorted(parts.collect(), key=lambda r: r["_class"] is not None):
+        low, mid = r.q
+        least[r["_best"], slice(None) if r["_class"] is None else r["_class"]] = mid - min(max(3 * (mid - low), LEAST_WIDTH), MOST_WIDTH)
+    return least, (p * table**2).sum(1) - expected**2
+
+
+def text_bands(labelled: DataFrame, names: list[str], table: np.ndarray, label: str = "lang", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The languages' bands over all labelled rows."""
+    scored = labelled.select(F.array_position(_constant(names, "string"), F.col(label).cast("string")).cast("int").alias("_told"), text_scores(names, table)(F.col(text)).alias("_s"))
+    scored = scored.select("_s", (F.col("_told") - 1).alias("_told"), (F.array_position("_s.ll", F.array_max("_s.ll")).cast("int") - 1).alias("_best"))
+    return _bands(scored, names, table)
+
+
+def _constant(values: list, kind: str) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+
+
 def _shares(decided: DataFrame, key: str, names: list[str], base: list[float], strength: float) -> DataFrame:
     """For each value of key the languages' shares of its texts, drawn towards ``base`` as by ``strength`` texts."""
     counts = [F.sum(F.when(F.col("_best") == i, 1).otherwise(0)).alias(f"_n{i}") for i in range(len(names))]
@@ -99,13 +159,15 @@ def _shares(decided: DataFrame, key: str, names: list[str], base: list[float], s
 def identify(
     docs: DataFrame, names: list[str], table: np.ndarray, text: Column, declared: Column, host: Column, suffix: Column,
     least_confidence: float = 0.6, host_strength: float = 20.0, suffix_strength: float = 100.0, broadcast_rows: int = 20_000, score_again: bool = False,
+    bands: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> DataFrame:
     """docs with lang, confidence (its posterior probability) and kept.
 
     Evidence: the text's likelihood; the declared language, trusted as often as it agrees with the texts over the whole table; the
     suffix of the address (how each language's texts spread over suffixes); the host's prior, drawn towards its suffix's or else the
-    table's shares. Shares come from grouped aggregation over all rows. What is null is no evidence. kept: the text has letters and the
-    posterior reaches ``least_confidence``; a text without letters (null and empty ones too) has lang null, confidence 0. Tables of
+    table's shares. Shares come from grouped aggregation over all rows. What is null is no evidence. kept: the text has letters, it is
+    no less likely in its language than that language's texts are (``bands``, by default those of docs' own rows), and the posterior
+    reaches ``least_confidence``; a text without letters (null and empty ones too), or less likely, has lang null, confidence 0. Tables of
     shares are broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond. The scores are written once with the columns of
     docs, or, with ``score_again``, without them and made again for the result, where the columns hold long texts. Existing columns of the result's names are replaced.
     """
@@ -113,15 +175,16 @@ def identify(
         return docs.withColumns({"lang": F.lit(None).cast("string"), "confidence": F.lit(0.0), "kept": F.lit(False)})
     columns = [c for c in docs.columns if c not in ("lang", "confidence", "kept", "_text", "_told", "_from", "_end")]
     score = text_scores(names, table)
-    evidence = [F.lower(F.substring(F.trim(declared), 1, 2)).alias("_declared"), F.lower(host).alias("_host"), F.lower(suffix).alias("_suffix"), score(text).alias("_ll")]
+    evidence = [F.lower(F.substring(F.trim(declared), 1, 2)).alias("_declared"), F.lower(host).alias("_host"), F.lower(suffix).alias("_suffix"), score(text).alias("_s")]
     seen = docs.select(*([] if score_again else columns), *evidence)
-    seen = written(seen.withColumn("_best", F.array_position("_ll", F.array_max("_ll")).cast("int") - 1), "language-scores")
+    seen = written(seen.withColumn("_best", F.array_position("_s.ll", F.array_max("_s.ll")).cast("int") - 1), "language-scores")
     scored = docs.select(*columns, *evidence) if score_again else seen
-    decided = seen.where("_ll is not null").select("_declared", "_host", "_suffix", "_best")
+    decided = seen.where("_s.ll is not null").select("_declared", "_host", "_suffix", "_best")
     of = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
     row = decided.agg(*[F.sum(F.when(F.col("_best") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(len(names))], F.count(of[F.col("_declared")]).alias("told"), F.sum(F.when(of[F.col("_declared")] == F.col("_best"), 1).otherwise(0)).alias("agreed")).first()
     totals = np.array([row[f"n{i}"] or 0 for i in range(len(names))], float) + 1
     base = (totals / totals.sum()).tolist()
+    least, variance = bands or _bands(seen.select("_s", "_best", of[F.col("_declared")].alias("_told")), names, table)
     trust = min(0.99, ((row["agreed"] or 0) + 1) / (row["told"] + 2))
     other = (1 - trust) / max(1, len(names) - 1)
 
@@ -139,13 +202,15 @@ def identify(
         told = F.when(of[F.col("_declared")].isNull(), F.lit(0.0)).when(of[F.col("_declared")] == i, F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log(max(other, 1e-6)))))
         prior = F.coalesce(F.col("_log_host")[i], by_suffix[i])
         suffix_odds = F.when(F.col("_log_suffix").isNull() | F.col("_log_host").isNull(), F.lit(0.0)).otherwise(by_suffix[i] - F.lit(weight[i]))
-        parts.append(F.col("_ll")[i] + told + suffix_odds + prior)
+        parts.append(F.col("_s.ll")[i] + told + suffix_odds + prior)
     out = out.withColumn("_post", F.array(*parts)).withColumn("_top", F.array_max("_post"))
     confidence = F.lit(1.0) / F.aggregate("_post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
-    lang = F.array(*[F.lit(n) for n in names])[F.array_position("_post", F.col("_top")).cast("int") - 1]
-    some = F.col("_ll").isNotNull()
-    return out.withColumn("lang", F.when(some, lang)).withColumn("confidence", F.when(some, confidence).otherwise(F.lit(0.0))).withColumn("kept", some & (F.col("confidence") >= least_confidence)).select(
-        *columns, "lang", "confidence", "kept")
+    top = F.array_position("_post", F.col("_top")).cast("int") - 1
+    lowest = F.lit(least.ravel().tolist())[F.col("_at") * CLASSES + _length_class()] - 3 * F.sqrt(F.lit(variance.tolist())[F.col("_at")] / F.col("_s.n"))
+    inside = F.when(F.col("_s.n") > 0, F.col("_s.mean")[F.col("_at")] >= lowest).otherwise(F.lit(True))
+    out = out.withColumn("_at", top).withColumn("_some", F.col("_s.ll").isNotNull() & inside)
+    return out.withColumn("lang", F.when(F.col("_some"), _constant(names, "string")[F.col("_at")])).withColumn("confidence", F.when(F.col("_some"), confidence).otherwise(F.lit(0.0))).withColumn(
+        "kept", F.col("_some") & (F.col("confidence") >= least_confidence)).select(*columns, "lang", "confidence", "kept")
 
 
 def documents_by_language(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -173,9 +238,9 @@ def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """All pages' languages: page_id, lang, confidence, kept; with the language that the markup declares, the address's host and suffix.
     The text model is fitted on labelled documents; markup is no text."""
     names, table = fit_text_model(labelled)
-    text = F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " "), r"\s+", " "))
     declared = F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]{2,3})", 1), F.lit(""))
     host = F.nullif(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit(""))
     suffix = F.nullif(F.regexp_extract(host, r"\.([a-zA-Z]+)$", 1), F.lit(""))
     slim = pages.select("page_id", text.alias("_text"), declared.alias("_told"), host.alias("_from"), suffix.alias("_end"))
-    return identify(slim, names, table, F.col("_text"), F.col("_told"), F.col("_from"), F.col("_end")).select("page_id", "lang", "confidence", "kept")
+    return identify(slim, names, table, F.col("_text"), F.col("_told"), F.col("_from"), F.col("_end"), bands=text_bands(labelled, names, table) if names else None).select("page_id", "lang", "confidence", "kept")

@@ -299,6 +299,22 @@ def test_language_id(spark):
     assert found[1]["lang"] == "de" and not found[2]["kept"] and not found[3]["kept"]
 
 
+def test_unlabelled_languages_and_gibberish_are_rejected(spark):
+    rng = random.Random(8)
+    stems = {"en": ["the", "and", "thing", "with", "ing "], "de": ["der", "und", "schei", "keit", "ung "], "es": ["el ", "ción", "que", "los", "mente"]}
+    text = lambda k: " ".join("".join(rng.choice(stems[k]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(20, 80)))
+    data = [(i, text(k := list(stems)[i % 3]), k, f"h{i % 5}", 1) for i in range(300)]
+    data += [(400, "我们今天去市场买了很多新鲜的蔬菜和水果然后回家做饭给家人吃" * 2, None, "h1", 1), (401, "мы сегодня пошли на рынок и купили много свежих овощей и фруктов", None, "h1", 1)]
+    data += [(402, "".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(100)), "en", "h1", 1), (403, "dzisiaj poszliśmy na targ i kupiliśmy dużo świeżych warzyw i owoców a potem", None, "h2", 1)]
+    df = spark.createDataFrame(data, DOCS)
+    out = {r["doc_id"]: r for r in rows(langid.op8(df))}
+    assert all(out[i]["kept"] and out[i]["lang"] == list(stems)[i % 3] for i in range(300))
+    assert not any(out[i]["kept"] or out[i]["lang"] or out[i]["confidence"] for i in (400, 401, 402, 403))
+    assert {r["doc_id"] for r in rows(langid.in_known_language(df))} == set(range(300))
+    pages = spark.createDataFrame([(i, f"http://h{i}.de/", f"<p>{t}</p>") for i, t, *_ in data[-4:] + data[:3]], "page_id long, url string, html string")
+    assert {r["page_id"] for r in rows(langid.page_languages(pages, df)) if r["kept"]} == {0, 1, 2}
+
+
 def quality_by_hand(text):
     words, text = WORDS.findall(text or ""), text or ""
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
