@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
 from .shared import written
 from .textkernel import by_group, flat, mixed, pieces, word_hashes, words
 
@@ -69,21 +70,74 @@ def _lines(longest: int):
     return run
 
 
+def segment_keys(matrix: np.ndarray, likeness: float) -> np.ndarray:
+    """Keys of rows of tokens (lines of one leaf) by segments of their places: rows by segments, one segment more than places may differ.
+
+    The leading tokens of a leaf's lines are equal. Lines of which ``likeness`` of the tokens agree thus have a key in common; where so
+    many places may differ that no segment need agree, all lines have one key.
+    """
+    m, n = matrix.shape
+    differ = n - int(np.ceil(likeness * n - 1e-9))
+    if differ >= n - LEADING:
+        return np.zeros((m, 1), U)
+    cuts = LEADING + (n - LEADING) * np.arange(differ + 1) // (differ + 1)
+    place = (np.arange(n) + 1).astype(U) * U(0x9E3779B97F4A7C15)
+    out = np.zeros((m, differ + 1), U)
+    step = max(1, (1 << 20) // n)
+    for lo in range(0, m, step):
+        out[lo : lo + step] = mixed(np.add.reduceat(mixed(matrix[lo : lo + step].astype(U) + place), cuts, axis=1) + cuts.astype(U))
+    return out
+
+
 def templates_of(matrix: np.ndarray, likeness: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of tokens (a row a line, in order) as templates: each row's template number, the templates' tokens, and which of these are fixed."""
+    """Rows of tokens (a row a line, in order) as templates: each row's template number, the templates' tokens, and which of these are fixed.
+
+    A row is compared with the templates whose first row has a key in common with it; no other can be like it.
+    """
     m, n = matrix.shape
-    token, fixed, of = np.zeros((m, n), matrix.dtype), np.zeros((m, n), bool), np.zeros(m, np.int64)
+    first, fixed, of = np.zeros(m, np.int64), np.zeros((m, n), bool), np.zeros(m, np.int64)
     count, least = 0, likeness * n - 1e-9
-    for i in range(m):
-        same = (token[:count] == matrix[i]) & fixed[:count]
-        agree = same.sum(1)
-        if count and agree[k := int(agree.argmax())] >= least:
-            fixed[k] = same[k]
-            of[i] = k
-        else:
-            token[count], fixed[count], of[i] = matrix[i], True, count
-            count += 1
-    return of, token[:count], fixed[:count]
+    known: dict[int, list[int]] = {}
+    for i, keys in enumerate(map(set, segment_keys(matrix, likeness).tolist())):
+        near = np.unique(np.array([t for k in keys for t in known.get(k, ())], np.int64))
+        if len(near):
+            agree = np.zeros(len(near), np.int64)
+            for lo in range(0, len(near), step := max(1, (1 << 22) // n)):
+                some = near[lo : lo + step]
+                agree[lo : lo + step] = ((matrix[first[some]] == matrix[i]) & fixed[some]).sum(1)
+            best = int(agree.argmax())
+            if agree[best] >= least:
+                k = of[i] = near[best]
+                fixed[k] &= matrix[first[k]] == matrix[i]
+                continue
+        first[count], fixed[count], of[i] = i, True, count
+        for k in keys:
+            known.setdefault(k, []).append(count)
+        count += 1
+    return of, matrix[first[:count]], fixed[:count]
+
+
+def _keyed(likeness: float):
+    """Lines' keys: line, key, of line, leaf, n and tokens."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy()
+            line, leaf = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for size in np.unique(n).tolist():
+                rows = np.flatnonzero(n == size)
+                raw = batch.column(3).take(pa.array(rows)).to_pylist()
+                keys = segment_keys(np.frombuffer(b"".join(raw), "<u4").reshape(len(rows), -1), likeness)
+                keys = mixed(keys ^ mixed(leaf[rows].view(U) + U(size))[:, None])
+                yield pa.record_batch([pa.array(np.repeat(line[rows], keys.shape[1])), pa.array(keys.ravel().view(np.int64))], names=["line", "key"])
+
+    return run
+
+
+def _clumps(lines: DataFrame, likeness: float) -> DataFrame:
+    """Of lines (line, leaf, n, tokens) those that share a key with another one of their leaf, with the clump that shared keys connect: line, clump."""
+    keys = written(lines.mapInArrow(_keyed(likeness), "line long, key long"), "line-keys")
+    least = keys.groupBy("key").agg(F.min("line").alias("b"), F.max("line").alias("_top")).where("b < _top").select("key", "b")
+    return components(keys.join(least, "key").select(F.col("line").alias("a"), "b")).select(F.col("node").alias("line"), F.col("label").alias("clump"))
 
 
 def _cluster(likeness: float):
@@ -104,13 +158,14 @@ def _cluster(likeness: float):
     return work
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 5, long_tokens: int = 20, long_docs: int = 2, likeness: float = 0.85, longest: int = 40, leaf_lines: int = 2048) -> tuple[DataFrame, DataFrame]:
+def recurring_lines(docs: DataFrame, min_docs: int = 5, long_tokens: int = 20, long_docs: int = 2, likeness: float = 0.85, longest: int = 40, leaf_lines: int = 2048, leaf_tokens: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(lines of documents, recurring lines). docs: doc_id, fp, text. The first: doc_id, fp, line, n; the second: line, template, docs
     (documents with a line of the template), home_id and home_fp (the first of these documents).
 
     A template recurs if ``min_docs`` documents have a line of it, or ``long_docs`` for lines of ``long_tokens`` tokens. Lines of more than
-    ``longest`` tokens and of three or fewer vary in tokens with digits only. A leaf of more than ``leaf_lines`` different lines is
-    clustered in parts, which meet where they find the same template; equal lines always meet.
+    ``longest`` tokens and of three or fewer vary in tokens with digits only. A leaf of more than ``leaf_lines`` different lines,
+    or ``leaf_tokens`` tokens, is dealt by clumps of lines that keys of their tokens connect; lines of different clumps are never alike,
+    so that the templates are those of the leaf as a whole. A clump of any size is clustered by one task.
     """
     seen = written(docs.mapInArrow(_lines(longest), LINES), "lines")
     first = F.min(F.struct("doc_id", "fp")).alias("home")
@@ -118,8 +173,12 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, long_tokens: int = 20, l
     needed = F.when(F.col("n") >= long_tokens, F.lit(long_docs)).otherwise(F.lit(min_docs))
     leaves = lines.where("tokens is not null").groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("_lines"), F.sum("docs").alias("_docs")).where((F.col("_lines") > 1) & (F.col("_docs") >= needed))
     inside = lines.select("line", "docs", "leaf", "n", "tokens").where("tokens is not null").join(leaves.drop("_docs"), ["leaf", "n"])
-    inside = inside.withColumn("_cell", F.xxhash64("leaf", "n", F.pmod(F.xxhash64("line"), F.ceil(F.col("_lines") / leaf_lines)))).select("line", "docs", "tokens", "_cell")
-    found = written(inside.repartition("_cell").sortWithinPartitions("_cell").mapInArrow(by_group("_cell", _cluster(likeness)), "line long, template long"), "line-templates")
+    large = (F.col("_lines") > leaf_lines) | (F.col("_lines") * F.col("n") > leaf_tokens)
+    cells = inside.where(~large).select("line", "docs", "tokens", F.xxhash64("leaf", "n").alias("_cell"))
+    if not leaves.where(large).isEmpty():
+        clumps = _clumps(inside.where(large).select("line", "leaf", "n", "tokens"), likeness)
+        cells = cells.unionByName(inside.where(large).join(clumps, "line").select("line", "docs", "tokens", F.xxhash64("leaf", "n", "clump").alias("_cell")))
+    found = written(cells.repartition("_cell").sortWithinPartitions("_cell").mapInArrow(by_group("_cell", _cluster(likeness)), "line long, template long"), "line-templates")
     grouped = seen.select("doc_id", "fp", "line", "n").join(found, "line").groupBy("template", "n", "doc_id", "fp").agg(F.lit(1).alias("_one"))
     grouped = grouped.groupBy("template", "n").agg(F.count(F.lit(1)).alias("docs"), first)
     shared = lines.select("line", "n").join(found, "line").join(grouped, ["template", "n"]).where(F.col("docs") >= needed)

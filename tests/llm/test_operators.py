@@ -369,6 +369,47 @@ def test_line_templates(spark):
     assert linededup.op10(empty(spark)).count() == 0
 
 
+def greedy_templates(matrix, likeness):
+    found, of = [], []
+    for row in matrix:
+        agree = [int(((t == row) & f).sum()) for t, f in found]
+        if agree and max(agree) >= likeness * len(row) - 1e-9:
+            k = agree.index(max(agree))
+            found[k][1][:] &= found[k][0] == row
+        else:
+            k = len(found)
+            found.append((row.copy(), np.ones(len(row), bool)))
+        of.append(k)
+    return of, [(t * f).tolist() for t, f in found]
+
+
+@pytest.mark.parametrize(("n", "likeness"), [(4, 0.85), (8, 0.85), (24, 0.85), (60, 0.85), (6, 0.3)])
+def test_templates_equal_comparison_with_all(n, likeness):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 50, (6, n))
+    matrix = np.where(rng.random((300, n)) < 0.1, rng.integers(0, 50, (300, n)), base[rng.integers(0, 6, 300)]).astype(np.uint32)
+    matrix[:, : linededup.LEADING] = 7
+    of, token, fixed = linededup.templates_of(matrix, likeness)
+    expected = greedy_templates(matrix, likeness)
+    assert (of.tolist(), (token * fixed).tolist()) == expected
+
+
+def test_large_leaf_has_the_templates_of_the_whole(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghik") for _ in range(6))
+    data = []
+    for i in range(120):
+        lines = [f"we all saw {word()} {word()} {word()} {word()} {word()}" for _ in range(3)]
+        if i % 15 == 0:
+            lines.append(f"we all saw {word()} in the old town")
+        if i % 20 == 1:
+            lines.append(f"we all saw the new house of {word()}")
+        data.append((i, "\n".join(lines)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {k: sorted(map(tuple, linededup.drop_recurring_lines(df, leaf_lines=k).collect())) for k in (8, 10_000)}
+    assert got[8] == got[10_000] and sum(r[3] for r in got[8]) == 7 + 5
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
