@@ -52,22 +52,19 @@ def line_table(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 LINES = "doc_id long, fp long, line long, leaf long, n int, tokens binary"
 
 
-def _lines(longest: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in pieces(batch.column(2), 1 << 20):
-                part = batch.slice(lo, hi - lo)
-                t = line_table(*flat(part.column(2)))
-                order = np.lexsort((t["hash"], t["doc"]))
-                d, h = t["doc"][order], t["hash"][order]
-                one = order[np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])] if len(order) else order
-                tokens = (t["tokens"] >> U(32)).astype("<u4")
-                own = [tokens[f : f + n].tobytes() if LEADING < n <= longest else None for f, n in zip(t["first"][one].tolist(), t["n"][one].tolist(), strict=True)]
-                rows = pa.array(t["doc"][one])
-                yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array(t["hash"][one].view(np.int64)), pa.array(t["leaf"][one].view(np.int64)), pa.array(t["n"][one].astype(np.int32)), pa.array(own, pa.binary())],
-                                      names=[x.split()[0] for x in LINES.split(", ")])
-
-    return run
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi in pieces(batch.column(2), 1 << 20):
+            part = batch.slice(lo, hi - lo)
+            t = line_table(*flat(part.column(2)))
+            order = np.lexsort((t["hash"], t["doc"]))
+            d, h = t["doc"][order], t["hash"][order]
+            one = order[np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])] if len(order) else order
+            tokens = (t["tokens"] >> U(32)).astype("<u4")
+            own = [tokens[f : f + n].tobytes() if n > LEADING else None for f, n in zip(t["first"][one].tolist(), t["n"][one].tolist(), strict=True)]
+            rows = pa.array(t["doc"][one])
+            yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array(t["hash"][one].view(np.int64)), pa.array(t["leaf"][one].view(np.int64)), pa.array(t["n"][one].astype(np.int32)), pa.array(own, pa.binary())],
+                                  names=[x.split()[0] for x in LINES.split(", ")])
 
 
 def segment_keys(matrix: np.ndarray, likeness: float) -> np.ndarray:
@@ -158,21 +155,23 @@ def _cluster(likeness: float):
     return work
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 5, long_tokens: int = 20, long_docs: int = 2, likeness: float = 0.85, longest: int = 40, leaf_lines: int = 2048, leaf_tokens: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+def recurring_lines(docs: DataFrame, min_docs: int = 5, long_tokens: int = 20, long_docs: int = 2, likeness: float = 0.85, leaf_lines: int = 2048, leaf_tokens: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(lines of documents, recurring lines). docs: doc_id, fp, text. The first: doc_id, fp, line, n; the second: line, template, docs
     (documents with a line of the template), home_id and home_fp (the first of these documents).
 
-    A template recurs if ``min_docs`` documents have a line of it, or ``long_docs`` for lines of ``long_tokens`` tokens. Lines of more than
-    ``longest`` tokens and of three or fewer vary in tokens with digits only. A leaf of more than ``leaf_lines`` different lines,
+    A template recurs if ``min_docs`` documents have a line of it, or ``long_docs`` for lines of ``long_tokens`` tokens. Lines of
+    three tokens or fewer vary in tokens with digits only. A leaf of more than ``leaf_lines`` different lines,
     or ``leaf_tokens`` tokens, is dealt by clumps of lines that keys of their tokens connect; lines of different clumps are never alike,
     so that the templates are those of the leaf as a whole. A clump of any size is clustered by one task.
     """
-    seen = written(docs.mapInArrow(_lines(longest), LINES), "lines")
+    seen = written(docs.mapInArrow(_lines, LINES), "lines")
     first = F.min(F.struct("doc_id", "fp")).alias("home")
-    lines = written(seen.groupBy("line").agg(F.count(F.lit(1)).alias("docs"), first, F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("tokens", ignorenulls=True).alias("tokens")), "lines-once")
+    lines = written(seen.groupBy("line").agg(F.count(F.lit(1)).alias("docs"), first, F.first("leaf").alias("leaf"), F.first("n").alias("n")), "lines-once")
     needed = F.when(F.col("n") >= long_tokens, F.lit(long_docs)).otherwise(F.lit(min_docs))
-    leaves = lines.where("tokens is not null").groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("_lines"), F.sum("docs").alias("_docs")).where((F.col("_lines") > 1) & (F.col("_docs") >= needed))
-    inside = lines.select("line", "docs", "leaf", "n", "tokens").where("tokens is not null").join(leaves.drop("_docs"), ["leaf", "n"])
+    leaves = lines.where(F.col("n") > LEADING).groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("_lines"), F.sum("docs").alias("_docs")).where((F.col("_lines") > 1) & (F.col("_docs") >= needed))
+    inside = written(lines.select("line", "docs", "leaf", "n").where(F.col("n") > LEADING).join(leaves.drop("_docs"), ["leaf", "n"]), "lines-inside")
+    tokens = seen.select("line", "tokens").join(inside.select("line"), "line", "left_semi").groupBy("line").agg(F.first("tokens").alias("tokens"))
+    inside = inside.join(tokens, "line")
     large = (F.col("_lines") > leaf_lines) | (F.col("_lines") * F.col("n") > leaf_tokens)
     cells = inside.where(~large).select("line", "docs", "tokens", F.xxhash64("leaf", "n").alias("_cell"))
     if not leaves.where(large).isEmpty():

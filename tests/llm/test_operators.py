@@ -410,6 +410,15 @@ def test_large_leaf_has_the_templates_of_the_whole(spark):
     assert got[8] == got[10_000] and sum(r[3] for r in got[8]) == 7 + 5
 
 
+def test_long_lines_vary_in_any_token(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghik") for _ in range(6))
+    notice = [word() for _ in range(60)]
+    data = [(i, " ".join([*notice[:30], word(), *notice[31:]]) + f"\n{word()} {word()} {word()} {word()}") for i in range(4)] + [(9, " ".join(word() for _ in range(60)))]
+    out = {r["doc_id"]: r for r in rows(linededup.op10(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert [out[i]["n_dropped"] for i in (0, 1, 2, 3, 9)] == [0, 1, 1, 1, 0]
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
