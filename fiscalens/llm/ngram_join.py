@@ -94,11 +94,14 @@ def _cells(df: DataFrame, group: str, count: str, weight: str | None = None) ->
 
 
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of a cell's two sides, each member once; the same rows twice for a part with itself."""
+    """Row numbers of a cell's two sides, each member once; the same rows twice for a part with itself. A cell of two parts of which one
+    is empty has no pairs: the other part's are those of its own cell."""
     rid, part = table.column("rid").to_numpy(), table.column("_part").to_numpy()
     first = np.unique(rid, return_index=True)[1]
     if table.column("_single")[0].as_py():
         return first, first
+    if part.min() == part.max():
+        return first[:0], first[:0]
     return first[part[first] == part[first].min()], first[part[first] == part[first].max()]
 
 
@@ -160,7 +163,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, tol
 
     def connect(table: pa.Table) -> pa.RecordBatch | None:
         a, b = _sides(table)
-        if a is b and len(a) < 2:
+        if not len(a) or a is b and len(a) < 2:
             return None
         i, j = _pairs(a, b, _sigs(table), least)
         return _tree(i, j, table.column("rid").to_numpy())
@@ -177,7 +180,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, tol
 
     def verify(table: pa.Table) -> pa.RecordBatch | None:
         a, b = _sides(table)
-        if a is b and len(a) < 2:
+        if not len(a) or a is b and len(a) < 2:
             return None
         i, j = _pairs(a, b, _sigs(table), least)
         data, at = flat(table.column("text"))

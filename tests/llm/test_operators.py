@@ -277,6 +277,17 @@ def test_jaccard_classes(spark, docs):
     assert ngram_join.op7(empty(spark)).count() == 0
 
 
+def test_links_of_long_texts_count_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SIDE_BYTES", 700)
+    rng = random.Random(12)
+    data = []
+    for g in range(12):  # groups of two or three near copies of about 600 bytes each, in two or three parts
+        base = ["".join(rng.choice("abcdefghik") for _ in range(5)) for _ in range(100)]
+        data += [(10 * g + k, " ".join([*base, f"end{k}"])) for k in range(2 + g % 2)]
+    out = {r["doc_id"]: r for r in rows(ngram_join.op7(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert all((r["n_links"], r["class_id"]) == (1 + i // 10 % 2, i // 10 * 10) for i, r in out.items())
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     stems = {"en": ["the", "and", "thing", "with"], "de": ["der", "und", "schei", "keit"], "fr": ["eau", "ment", "que", "les"]}
