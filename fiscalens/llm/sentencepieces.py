@@ -1,8 +1,9 @@
 """SentencePiece BPE with seeded merge-dropout, and its lossless inverse.
 
 A text becomes words that each begin with their spaces. A word's merges wait in an agenda, best score first, then leftmost; a candidate,
-that is the spans it would join, is skipped for good where a keyed hash of (seed, variant, word, spans) falls below the dropout. The same
-document, seed and model thus give the same pieces anywhere, and other variants other ones.
+that is the spans it would join, is skipped for good where a keyed hash of (seed, document, place, spans) falls below the dropout. The
+same document, seed and model thus give the same pieces anywhere. Only the best candidate's hash matters at any time, so that a word's
+segmentations are the leaves of a tree of such decisions, which is kept for frequent words; each occurrence walks it by its own hashes.
 """
 
 from __future__ import annotations
@@ -17,17 +18,122 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunks, gather, space_cuts
-from .textkernel import flat, mixed, pieces
+from .textkernel import flat, mixed, pieces, word_hashes
 
 #: Longer words are merged by a heap, one at a time; shorter ones all at once.
 LONG = 48
+#: Slots of words with a tree of decisions, and nodes and ids held before trees start anew.
+SLOTS, MOST_NODES, MOST_IDS = 1 << 19, 2 << 20, 3 << 20
 SPACE = "▁"
 _loaded: dict[tuple, Pieces] = {}
 
 
-def _hash(word: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _spans(start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
     u = np.uint64
-    return mixed(word ^ (start.astype(u) * u(0x9E3779B97F4A7C15) + mid.astype(u) * u(0xC2B2AE3D27D4EB4F) + end.astype(u) * u(0x165667B19E3779F9)))
+    return start.astype(u) * u(0x9E3779B97F4A7C15) + mid.astype(u) * u(0xC2B2AE3D27D4EB4F) + end.astype(u) * u(0x165667B19E3779F9)
+
+
+class Paths:
+    """Trees of merge decisions by word. A node is a candidate, with a child for skipping and one for keeping it, or a leaf with ids."""
+
+    def __init__(self, model: Pieces):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.root = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.n, self.used = 0, 0
+        self.span, self.child = np.zeros(1 << 16, np.uint64), np.zeros(2 << 16, np.int32)
+        self.off, self.size, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 20, np.int32)
+
+    def _room(self, nodes: int) -> None:
+        if self.n + nodes > len(self.span):
+            more = max(len(self.span), nodes)
+            self.span, self.child = np.append(self.span, np.zeros(more, np.uint64)), np.append(self.child, np.zeros(2 * more, np.int32))
+            self.off, self.size = np.append(self.off, np.zeros(more, np.int64)), np.append(self.size, np.zeros(more, np.int32))
+
+    def _hold(self, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the id lists stand in the pool, and their sizes."""
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(size.sum())
+        if self.used + total > len(self.pool):
+            self.pool = np.append(self.pool[: self.used], np.zeros(max(1 << 20, 2 * total), np.int32))
+        self.pool[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
+        off = self.used + np.cumsum(size) - size
+        self.used += total
+        return off, size
+
+    def _grow(self, words: list[bytes], places: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """New branches: for each word, as it stands at its place, the nodes behind its first ``depth`` decisions; gives their first nodes."""
+        trace: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found = self.model._together(words, places, trace)
+        word, span, keep = (np.concatenate([t[i] for t in trace]) if trace else np.zeros(0, k) for i, k in enumerate((np.int64, np.uint64, bool)))
+        order = np.argsort(word, kind="stable")
+        word, span, keep = word[order], span[order], keep[order]
+        taken = np.bincount(word, minlength=len(words))
+        rank = np.arange(len(word)) - (np.cumsum(taken) - taken)[word] - depth[word]
+        nodes = taken - depth + 1
+        self._room(int(nodes.sum()))
+        base = self.n + np.cumsum(nodes) - nodes
+        self.n += int(nodes.sum())
+        new = rank >= 0
+        at = (base[word] + rank)[new]
+        self.span[at], self.off[at] = span[new], -1
+        self.child[2 * at + keep[new]], self.child[2 * at + ~keep[new]] = at + 1, -1
+        leaf = base + nodes - 1
+        self.off[leaf], self.size[leaf] = self._hold(found)
+        return base
+
+    def ids(self, data: np.ndarray, at: np.ndarray, cuts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each text has. places: of each word, the number that its decisions depend on."""
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
+        if self.n > MOST_NODES or self.used > MOST_IDS:
+            self.clear()
+        ends = np.append(cuts[1:], len(data))
+        raw = data.tobytes()
+        off, size = np.zeros(len(cuts), np.int64), np.zeros(len(cuts), np.int64)
+        long = np.flatnonzero(ends - cuts > LONG)
+        off[long], size[long] = self._hold([self.model.by_heap(raw[cuts[i] : ends[i]], int(places[i])) for i in long.tolist()])
+        short = np.flatnonzero(ends - cuts <= LONG)
+        begin, end, place = cuts[short], ends[short], places[short]
+        name = word_hashes(data, cuts, ends)[short] | np.uint64(1)
+        key, slot = self.model.key_of(place), (name >> np.uint64(17)).astype(np.int64) & (SLOTS - 1)
+        at_node, depth = self.root[slot].astype(np.int64), np.zeros(len(short), np.int64)
+
+        def grown(who: np.ndarray) -> np.ndarray:
+            parts = [who[lo : lo + 20_000] for lo in range(0, len(who), 20_000)]
+            return np.concatenate([self._grow([raw[a:b] for a, b in zip(begin[p].tolist(), end[p].tolist(), strict=True)], place[p], depth[p]) for p in parts])
+
+        new = np.flatnonzero(self.key[slot] != name)
+        if len(new):
+            one, first, back = np.unique(name[new], return_index=True, return_inverse=True)
+            made = grown(new[first])
+            at_node[new] = made[back]
+            self.key[slot[new[first]]], self.root[slot[new[first]]] = one, made
+        live = np.arange(len(short))
+        while len(live):
+            lost, edges = [], []
+            while len(live):
+                live = live[self.off[at_node[live]] < 0]
+                node = at_node[live]
+                edge = 2 * node + (mixed(key[live] ^ self.span[node]) >= self.model.dropout)
+                depth[live] += 1
+                after = self.child[edge]
+                miss = after < 0
+                lost.append(live[miss])
+                edges.append(edge[miss])
+                live = live[~miss]
+                at_node[live] = after[~miss]
+            live, edge = np.concatenate(lost), np.concatenate(edges)
+            if len(live):
+                one, first, back = np.unique(edge, return_index=True, return_inverse=True)
+                made = grown(live[first])
+                self.child[one] = made
+                at_node[live] = made[back]
+        off[short], size[short] = self.off[at_node], self.size[at_node]
+        upto = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(cuts, at)]
+        return gather(off, size, self.pool), np.diff(upto)
 
 
 class Pieces:
@@ -64,7 +170,7 @@ class Pieces:
         raw = [bytes([int(x[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) or model.is_unknown(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
         self.raw_size = np.fromiter(map(len, raw), np.int64, n)
         self.raw_off, self.raw = np.cumsum(self.raw_size) - self.raw_size, np.frombuffer(b"".join(raw), np.uint8)
-        self.chunks = Chunks(self._encode)
+        self.chunks, self.paths = Chunks(self._encode), Paths(self)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return (mixed(key.astype(np.uint64)) >> np.uint64(7)).astype(np.int64) & self.mask
@@ -98,8 +204,9 @@ class Pieces:
             return symbols
         return [i for s in symbols for i in ([s] if s < self.n else [self.byte[bytes([b])] for b in chr(s - 0x40000000).encode()])]
 
-    def key_of(self, word: bytes, variant: int) -> int:
-        return zlib.crc32(word, self.seed & 0xFFFFFFFF) << 32 | zlib.crc32(word, (variant * 2654435761 + (self.seed >> 32)) & 0xFFFFFFFF)
+    def key_of(self, places: np.ndarray) -> np.ndarray:
+        """The keys of decisions at places (a place: a number for document and position)."""
+        return mixed(places.astype(np.uint64) ^ mixed(np.full(1, self.seed & (2**64 - 1), np.uint64)))
 
     def by_heap(self, word: bytes, variant: int) -> list[int]:
         """A word's pieces by an agenda of its own; for words of any length."""
@@ -107,7 +214,7 @@ class Pieces:
         size = len(symbols)
         left, right, width = list(range(-1, size - 1)), list(range(1, size + 1)), [1] * size
         agenda: list[tuple[float, int, int, int, int]] = []
-        key = np.array([self.key_of(word, variant)], np.uint64)
+        key = self.key_of(np.array([variant], np.int64))
 
         def offer(where: np.ndarray) -> None:
             """Candidates at symbols and their right neighbours."""
@@ -118,7 +225,7 @@ class Pieces:
             made = self._merge(a, b)
             mid = where + np.array([width[i] for i in where])
             end = mid + np.array([width[right[i]] for i in where])
-            keep = (made >= 0) & ((_hash(key, where, mid, end) >= self.dropout) | (variant < 0))
+            keep = (made >= 0) & ((mixed(key ^ _spans(where, mid, end)) >= self.dropout) | (variant < 0))
             for i, m, mi, en in zip(where[keep].tolist(), made[keep].tolist(), mid[keep].tolist(), end[keep].tolist(), strict=True):
                 heapq.heappush(agenda, (-self.score[m], i, mi, en, m))
 
@@ -146,15 +253,16 @@ class Pieces:
                 out[k] = ids
         return out
 
-    def _together(self, words: list[bytes], variants: np.ndarray) -> list[list[int]]:
-        """Pieces of many short words: in each round, every word merges its best candidate."""
+    def _together(self, words: list[bytes], variants: np.ndarray, trace: list | None = None) -> list[list[int]]:
+        """Pieces of many short words: in each round, every word merges or skips its best candidate. trace: gets, for each round, words'
+        numbers, their candidates' spans, and whether these were merged."""
         start = [self._start(w) for w in words]
         sizes = np.fromiter(map(len, start), np.int64, len(start))
         word = np.repeat(np.arange(len(words)), sizes)
         symbol = np.fromiter((s for x in start for s in x), np.int64, int(sizes.sum()))
         place = np.arange(len(symbol)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         stop = place + 1
-        key = np.fromiter((self.key_of(w, int(v)) for w, v in zip(words, variants, strict=True)), np.uint64, len(words))
+        key = self.key_of(np.asarray(variants, np.int64))
         plain = variants < 0
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         made = np.full(len(symbol), -1, np.int32)
@@ -166,9 +274,7 @@ class Pieces:
             where = where[word[where] == word[where + 1]]
             found = self._merge(symbol[where], symbol[where + 1])
             some = found >= 0
-            where, found = where[some], found[some]
-            keep = plain[word[where]] | (_hash(key[word[where]], place[where], stop[where], stop[where + 1]) >= self.dropout)
-            made[where[keep]] = found[keep]
+            made[where[some]] = found[some]
 
         offer(np.arange(len(symbol)))
         while len(symbol):
@@ -184,6 +290,12 @@ class Pieces:
                 break
             order = some[np.lexsort((some, -self.score[made[some]], word[some]))]
             best = order[np.concatenate([[True], word[order[1:]] != word[order[:-1]]])]
+            own, spans = word[best], _spans(place[best], stop[best], stop[best + 1])
+            keep = plain[own] | (mixed(key[own] ^ spans) >= self.dropout)
+            if trace is not None:
+                trace.append((own, spans, keep))
+            made[best[~keep]] = -1
+            best = best[keep]
             symbol[best], stop[best] = made[best], stop[best + 1]
             on = np.ones(len(symbol), bool)
             on[best + 1] = False
@@ -201,19 +313,18 @@ class Pieces:
             return [self._out(flat_ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
         return [[] for _ in words]
 
-    def encode(self, column: pa.Array, keys: np.ndarray | None, variants: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and how many each has. keys: decide which variant a text's word gets; without them no merge is skipped."""
+    def encode(self, column: pa.Array, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has. keys: decide, with a word's place in its text, which merges are skipped; without them none is."""
         data, at = flat(column)
         full = at[:-1] < at[1:]
         data = np.insert(data, at[:-1][full], 0x20)  # the space before the first word
         at = at + np.concatenate([[0], np.cumsum(full)])
         cuts = space_cuts(data, at)
         if keys is None:
-            variant = np.full(len(cuts), -1, np.int64)
-        else:
-            doc = np.searchsorted(at, cuts, "right") - 1
-            variant = (mixed(keys[doc].astype(np.uint64) + np.uint64(0x9E37) * (cuts - at[doc]).astype(np.uint64)) % np.uint64(variants)).astype(np.int64)
-        return self.chunks.ids(data, at, cuts, variant)
+            return self.chunks.ids(data, at, cuts, np.full(len(cuts), -1, np.int64))
+        doc = np.searchsorted(at, cuts, "right") - 1
+        places = mixed(keys[doc].astype(np.uint64) + np.uint64(0x9E37) * (cuts - at[doc]).astype(np.uint64)) >> np.uint64(1)
+        return self.paths.ids(data, at, cuts, places.astype(np.int64))
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all texts, and how many each has."""
@@ -237,7 +348,7 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _encoded(path: str, dropout: float, seed: int, variants: int):
+def _encoded(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(path, dropout, seed)
         for batch in batches:
@@ -246,7 +357,7 @@ def _encoded(path: str, dropout: float, seed: int, variants: int):
                 texts = part.column(1)
                 data, at = flat(texts)
                 keys = mixed(part.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.uint64))
-                ids, sizes = model.encode(texts, keys if dropout > 0 else None, variants)
+                ids, sizes = model.encode(texts, keys if dropout > 0 else None)
                 back, n = model.decode(ids, sizes)
                 raw, own, a, ends = memoryview(back.tobytes()), memoryview(data.tobytes()), at.tolist(), np.cumsum(n).tolist()
                 same = [raw[y - k : y] == own[p:q] for y, k, p, q in zip(ends, n.tolist(), a, a[1:], strict=False)]
@@ -256,15 +367,15 @@ def _encoded(path: str, dropout: float, seed: int, variants: int):
     return run
 
 
-def encode_pieces(docs: DataFrame, path: str | None = None, dropout: float = 0.1, seed: int = 20240101, variants: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str | None = None, dropout: float = 0.1, seed: int = 20240101, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, ids, n_ids, n_bytes, lossless (the ids were decoded and gave the text back, byte for byte).
 
-    ``dropout`` is the share of candidate merges skipped; 0 gives the model's own segmentation. A word gets one of ``variants``
-    segmentations, by document and place, so that frequent words need not be segmented again and again. Null texts are empty: no ids.
+    ``dropout`` is the share of candidate merges skipped; 0 gives the model's own segmentation. Each occurrence of a word is segmented by
+    hashes of its own, by document and place. Null texts are empty: no ids.
     Rows with a null doc_id count as document -1. Special pieces are never made from text; U+2581 in a text becomes bytes.
     """
     path = path or default_model()
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encoded(path, dropout, seed, variants), "doc_id long, ids array<int>, n_ids long, n_bytes long, lossless boolean")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encoded(path, dropout, seed), "doc_id long, ids array<int>, n_ids long, n_bytes long, lossless boolean")
 
 
 def _decoded(path: str):

@@ -183,6 +183,24 @@ def test_merge_agenda_by_heap_equals_rounds():
     assert len({tuple(model.by_heap(b" nonononononon", v)) for v in range(5)}) > 1
 
 
+def test_each_occurrence_has_its_own_merges(spark):
+    data = [(i, "the nonononono " * 500) for i in range(8)]
+    out = rows(sentencepieces.encode_pieces(spark.createDataFrame(data, "doc_id long, text string"), dropout=0.1))
+    model = sentencepieces.Pieces(sentencepieces.default_model(), 0.1, 20240101)
+    data, at = np.frombuffer((" " + "the nonononono " * 500).encode(), np.uint8), np.array([0, 15 * 500 + 1])
+    cuts = sentencepieces.space_cuts(data, at)
+    places = np.random.default_rng(1).integers(0, 2**62, len(cuts))
+    raw, ends = data.tobytes(), [*cuts[1:].tolist(), len(data)]
+    found = [model.by_heap(raw[a:b], int(p)) for a, b, p in zip(cuts.tolist(), ends, places, strict=True)]
+    for _ in range(2):  # with new and with known trees
+        assert model.paths.ids(data, at, cuts, places)[0].tolist() == [i for x in found for i in x]
+    assert len({tuple(x) for x in found[1::2]}) > 8
+    plain = len(model._together([b" the"], np.array([-1]))[0])
+    varied = [len(model.by_heap(b" the", int(p))) > plain for p in places]
+    assert 0.05 < np.mean(varied) < 0.5
+    assert all(r["lossless"] for r in out) and len({tuple(r["ids"]) for r in out}) == 8
+
+
 def vectors(spark):
     rng = np.random.default_rng(2)
     out = [(i, rng.normal(size=8).tolist()) for i in range(150)]
