@@ -57,20 +57,25 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["label", "counts"])
 
 
-def fit_text_model(labelled: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", sample_rows: int = 20_000, tasks: int = 8, most_labels: int = 64) -> tuple[list[str], np.ndarray]:
+def fit_text_model(labelled: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", sample_rows: int = 20_000, tasks: int = 8, least_rows: int = 1000) -> tuple[list[str], np.ndarray]:
     """Languages in order of name, and log probabilities of their three-byte runs (languages by runs).
 
-    The model is fitted on a sample of about ``sample_rows`` labelled rows, chosen by a hash of their key; texts are taken whole. At most
-    ``tasks`` * languages rows of counts reach the driver. Without labelled rows there are no languages.
+    Every label of any row is a language. The model is fitted on a sample of about ``sample_rows`` labelled rows, dealt evenly over the
+    labels but ``least_rows`` for each at least, chosen by a hash of key and text; a label of fewer rows has all of them, and texts are
+    taken whole. At most ``tasks`` * languages rows of counts reach the driver. Without labelled rows there are no languages.
     """
-    some = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    rows = some.select(label).count()
-    share = min(1.0, sample_rows / max(1, rows))
-    chosen = some.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1)).select(F.col(label).cast("string"), F.col(text))
+    some = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("_label"), F.col(text).alias("_text"), F.col(key).alias("_key"))
+    rows = {r["_label"]: r["count"] for r in some.groupBy("_label").count().collect()}
+    if not rows:
+        return [], np.zeros((0, GRAMS), np.float32)
+    most, whole = max(least_rows, sample_rows // len(rows)), 1 << 40
+    large = [x for k, n in sorted(rows.items()) if n > most for x in (F.lit(k), F.lit(max(1, whole * most // n)))]
+    below = F.coalesce(F.create_map(*large)[F.col("_label")], F.lit(whole)) if large else F.lit(whole)
+    chosen = some.where(F.pmod(F.xxhash64("_key", "_text"), F.lit(whole)) < below).select("_label", "_text")
     counts: dict[str, np.ndarray] = {}
     for r in chosen.repartition(tasks).mapInArrow(_counted, "label string, counts binary").collect():
         counts[r.label] = counts.get(r.label, 0) + np.frombuffer(r.counts, np.int64)
-    names = sorted(sorted(counts, key=lambda x: (-counts[x].sum(), x))[:most_labels])
+    names = sorted(counts)
     table = np.array([np.log((counts[x] + 0.5) / (counts[x].sum() + 0.5 * GRAMS)) for x in names]).reshape(len(names), GRAMS)
     return names, table.astype(np.float32)
 

@@ -328,6 +328,15 @@ def test_language_id(spark):
     assert found[1]["lang"] == "de" and not found[2]["kept"] and not found[3]["kept"]
 
 
+def test_rare_and_many_labels_are_languages(spark):
+    rng = random.Random(2)
+    data = [(i, " ".join(rng.choice(["the", "and", "thing"]) for _ in range(9)), "en", "h", 1) for i in range(3000)]
+    data += [(5000 + i, f"palabra número {i}", f"l{i:02}", "h", 1) for i in range(70)]
+    df = spark.createDataFrame(data, DOCS)
+    names, table = langid.fit_text_model(df, sample_rows=100, least_rows=20)
+    assert names == ["en", *(f"l{i:02}" for i in range(70))] and table.shape == (71, langid.GRAMS)
+
+
 def test_unlabelled_languages_and_gibberish_are_rejected(spark):
     rng = random.Random(8)
     stems = {"en": ["the", "and", "thing", "with", "ing "], "de": ["der", "und", "schei", "keit", "ung "], "es": ["el ", "ción", "que", "los", "mente"]}
