@@ -127,11 +127,25 @@ def notice_id(territory: Column, date: Column, edition: Column, index: Column) -
     return F.substring(F.sha2(F.concat_ws("|", territory, date.cast("string"), edition.cast("string"), index.cast("string")), 256), 1, 16)
 
 
+def process_number(text: Column) -> Column:
+    """The digits of the first process number in a text: NNNNN.NNNNNNNN/NNNN-NN or near to it, else what follows "Processo no"; 6 to 19
+    digits, or null."""
+    def first(pattern: str, group: int) -> Column:
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.regexp_replace(x, r"(?U)\D", ""))
+        return F.get(F.filter(found, lambda x: F.length(x).between(6, 19)), F.lit(0))
+
+    return F.coalesce(first(r"(?U)\d{4,6}\s*\.\s*\d{6,8}\s*/\s*\d{4}\s*-\s*\d{2}", 0), first(r"(?iU)processo\s*n[º°oa.]*\s*[:\-]?\s*(\d[\d./\-]{3,}\d)", 1))
+
+
 def notice_clones(notices: DataFrame, threshold: float = 0.85, days: int = 365, least_chars: int = 200) -> DataFrame:
-    """Pairs of notices of one territory, the other strictly older by ``days`` at most, with a similarity above the threshold."""
-    n = notices.where(F.col("territory_id").isNotNull() & F.col("date").isNotNull() & (F.length(F.trim("text")) >= least_chars)).select("doc_id", "territory_id", "date", "vector")
-    old = n.select("territory_id", F.col("doc_id").alias("old_id"), F.col("date").alias("_old"), F.col("vector").alias("_v"))
+    """Pairs of notices of one territory, the other strictly older by ``days`` at most, with a similarity above the threshold.
+
+    Notices of the same process number are editions of one notice, and no pair.
+    """
+    n = notices.where(F.col("territory_id").isNotNull() & F.col("date").isNotNull() & (F.length(F.trim("text")) >= least_chars)).select("doc_id", "territory_id", "date", "vector", process_number(F.col("text")).alias("_number"))
+    old = n.select("territory_id", F.col("doc_id").alias("old_id"), F.col("date").alias("_old"), F.col("vector").alias("_v"), F.col("_number").alias("_old_number"))
     near = n.join(old, "territory_id").where((F.col("_old") < F.col("date")) & (F.datediff("date", "_old") <= days))
+    near = near.where(F.coalesce(F.col("_number") != F.col("_old_number"), F.lit(True)))
     out = near.withColumn("_s", cosine(F.col("vector"), F.col("_v"))).where(F.col("_s") > threshold)
     return out.select("doc_id", "old_id", "territory_id", rounded(F.col("_s"), 6).alias("similarity"))
 

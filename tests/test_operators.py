@@ -73,6 +73,17 @@ def test_people_and_segments(spark):
     assert [r.segment for r in T.segments(t, "id", "text").orderBy("unit").collect()] == ["EDITAL 1\nline", "AVISO DE LICITACAO\nx"]
 
 
+def test_editions_of_a_notice_are_no_clones(spark):
+    texts = ["Processo 12345.12345678/2020-11 a", "x 12345 . 12345678 / 2020 - 11", "PROCESSO Nº: 123.456/20 b", "processo n. 12-3", "no number", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = {r.i: r.n for r in df.select("i", T.process_number(F.col("t")).alias("n")).collect()}
+    assert found == {0: "1234512345678202011", 1: "1234512345678202011", 2: "12345620", 3: None, 4: None, 5: None}
+    day = lambda k: datetime.date(2020, 1, k)
+    rows = [(i, "t", day(i + 1), (t or "none") + " word" * 60, [1.0, 0.0]) for i, t in enumerate(texts[:3] + texts[4:5])]
+    pairs = {(r.doc_id, r.old_id) for r in T.notice_clones(spark.createDataFrame(rows, "doc_id int, territory_id string, date date, text string, vector array<double>")).collect()}
+    assert pairs == {(2, 0), (2, 1), (3, 0), (3, 1), (3, 2)}
+
+
 def test_near_names_lose_no_pair(spark):
     rng = random.Random(5)
     names = {T.normalize_name("".join(rng.choice("AB ") for _ in range(rng.randint(1, 30)))) for _ in range(150)}
