@@ -153,12 +153,18 @@ def _constant(values: list, kind: str) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
 
 
-def _shares(decided: DataFrame, key: str, names: list[str], base: list[float], strength: float) -> DataFrame:
-    """For each value of key the languages' shares of its texts, drawn towards ``base`` as by ``strength`` texts."""
+def _shares(decided: DataFrame, key: str, names: list[str], base: list[float], strength: float, parent: DataFrame | None = None) -> DataFrame:
+    """For each value of key the logs of the languages' shares of its texts, drawn towards its suffix's shares (``parent``) or else
+    ``base`` as by ``strength`` texts."""
     counts = [F.sum(F.when(F.col("_best") == i, 1).otherwise(0)).alias(f"_n{i}") for i in range(len(names))]
+    found = decided.where(F.col(key).isNotNull()).groupBy(key).agg(*counts, F.min("_suffix").alias("_of"))
+    towards = F.lit(base)
+    if parent is not None:
+        found = found.join(parent, F.col("_of") == F.col("_k_suffix"), "left")
+        towards = F.coalesce(F.transform("_log_suffix", F.exp), towards)
     total = sum((F.col(f"_n{i}") for i in range(len(names))), F.lit(0))
-    logs = F.array(*[F.log((F.col(f"_n{i}") + F.lit(strength * base[i])) / (total + F.lit(strength))) for i in range(len(names))])
-    return decided.where(F.col(key).isNotNull()).groupBy(key).agg(*counts).select(F.col(key).alias(f"_k{key}"), logs.alias(f"_log{key}"))
+    logs = F.array(*[F.log((F.col(f"_n{i}") + F.lit(strength) * towards[i]) / (total + F.lit(strength))) for i in range(len(names))])
+    return found.select(F.col(key).alias(f"_k{key}"), logs.alias(f"_log{key}"))
 
 
 def identify(
@@ -194,20 +200,18 @@ def identify(
     other = (1 - trust) / max(1, len(names) - 1)
 
     out = scored
-    for key, strength in (("_host", host_strength), ("_suffix", suffix_strength)):
-        # a host's parent is its suffix: one level of the hierarchy each; the levels' logs are fused below
-        shares = written(_shares(decided, key, names, base, strength), f"language{key}")
+    by_suffix = written(_shares(decided, "_suffix", names, base, suffix_strength), "language_suffix")
+    by_host = written(_shares(decided, "_host", names, base, host_strength, by_suffix), "language_host")
+    for key, shares in (("_host", by_host), ("_suffix", by_suffix)):
         few = shares.count() <= broadcast_rows
         out = out.join(F.broadcast(shares) if few else shares, F.col(key) == F.col(f"_k{key}"), "left").drop(f"_k{key}")
     flat_prior = F.array(*[F.lit(float(np.log(b))) for b in base])
     by_suffix = F.coalesce("_log_suffix", flat_prior)
-    weight = [float(np.log(b)) for b in base]
     parts = []
     for i in range(len(names)):
         told = F.when(of[F.col("_declared")].isNull(), F.lit(0.0)).when(of[F.col("_declared")] == i, F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log(max(other, 1e-6)))))
         prior = F.coalesce(F.col("_log_host")[i], by_suffix[i])
-        suffix_odds = F.when(F.col("_log_suffix").isNull() | F.col("_log_host").isNull(), F.lit(0.0)).otherwise(by_suffix[i] - F.lit(weight[i]))
-        parts.append(F.col("_s.ll")[i] + told + suffix_odds + prior)
+        parts.append(F.col("_s.ll")[i] + told + prior)
     out = out.withColumn("_post", F.array(*parts)).withColumn("_top", F.array_max("_post"))
     confidence = F.lit(1.0) / F.aggregate("_post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
     top = F.array_position("_post", F.col("_top")).cast("int") - 1

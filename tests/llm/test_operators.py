@@ -337,6 +337,15 @@ def test_rare_and_many_labels_are_languages(spark):
     assert names == ["en", *(f"l{i:02}" for i in range(70))] and table.shape == (71, langid.GRAMS)
 
 
+def test_a_hosts_own_pages_outweigh_its_suffix(spark):
+    words = {"de": "der und keit schei", "fr": "eau ment que les"}
+    labelled = spark.createDataFrame([(i, words[k], k, "h", 1) for i in range(60) for k in words], DOCS)
+    pages = [(i, f"http://a{i % 9}.de/", words["de"]) for i in range(400)] + [(1000 + i, f"http://b{i % 9}.fr/", words["fr"]) for i in range(400)]
+    pages += [(2000 + i, "http://big.de/", words["fr"]) for i in range(60)] + [(3000, "http://big.de/", "a"), (3001, "http://new.de/", "a")]
+    out = {r["page_id"]: r for r in rows(langid.page_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), labelled))}
+    assert out[3000]["lang"] == "fr" and 0.7 < out[3000]["confidence"] < 0.85 and out[3001]["lang"] == "de"
+
+
 def test_unlabelled_languages_and_gibberish_are_rejected(spark):
     rng = random.Random(8)
     stems = {"en": ["the", "and", "thing", "with", "ing "], "de": ["der", "und", "schei", "keit", "ung "], "es": ["el ", "ción", "que", "los", "mente"]}
