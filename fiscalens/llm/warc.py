@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,23 +18,22 @@ RECORD_END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def mark_revisits(pages: DataFrame, key: str, html: str, least_bytes: int = 100) -> DataFrame:
-    """pages with payload_bytes, payload_digest and refers_to (the smallest key of equal payloads, null if that is the row itself).
+def mark_revisits(pages: DataFrame, key: str, html: str, least_bytes: int = 100, broadcast_rows: int = 100_000) -> DataFrame:
+    """pages with payload_bytes, payload_digest and refers_to (the smallest key of equal payloads, null if that is the row's own key).
 
-    Digests are counted with map-side combine; only those that occur twice join back, without the payloads, and Spark splits a hot
-    digest's rows at run time. A null payload is an empty one.
+    Digests are counted with map-side combine; one row for each digest that occurs twice joins back by digest, so that no row is ever
+    doubled, however often its key occurs. Up to ``broadcast_rows`` such digests (a few megabytes) are broadcast and no payload moves;
+    beyond, rows are joined by a shuffle in which Spark splits a hot digest. A null payload is an empty one; a row with a null key
+    refers to none and is referred to by none.
     """
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    small = pages.select(key, F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
-    large = small.where(F.col("payload_bytes") >= least_bytes)
-    first = large.groupBy("payload_digest").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("payload_digest").alias("_digest"), "_first")
-    found = large.join(first, (F.col("payload_digest") == F.col("_digest")) & (F.col(key) > F.col("_first"))).select(F.col(key).alias("_key"), F.col("_first").alias("refers_to"))
-    return (
-        pages.withColumn("payload_bytes", F.octet_length(payload).cast("long"))
-        .withColumn("payload_digest", F.sha2(payload, 256))
-        .join(found, F.col(key) == F.col("_key"), "left")
-        .drop("_key")
-    )
+    marked = pages.withColumn("payload_bytes", F.octet_length(payload).cast("long")).withColumn("payload_digest", F.sha2(payload, 256))
+    large = marked.select(F.col(key).alias("_key"), "payload_bytes", F.unhex("payload_digest").alias("_digest")).where((F.col("payload_bytes") >= least_bytes) & F.col("_key").isNotNull())
+    first = large.groupBy("_digest").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest", "_first")
+    first = written(first, "warc-repeated")
+    few = first.count() <= broadcast_rows
+    joined = marked.join(F.broadcast(first) if few else first, F.unhex("payload_digest") == F.col("_digest"), "left")
+    return joined.withColumn("refers_to", F.when((F.col("payload_bytes") >= least_bytes) & (F.col(key) > F.col("_first")), F.col("_first"))).drop("_digest", "_first")
 
 
 def _line(name: str, value: Column) -> Column:
@@ -182,20 +184,50 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.when(revisit, declared).otherwise(F.coalesce("_mended_digest", "_digest")).alias("payload_digest"))
 
 
-def _mend(spark: SparkSession, path: str, piece: DataFrame, broken: DataFrame, step: int = 1 << 20) -> DataFrame:
-    """Payloads of the records that the magic line cuts: file, offset, _mended_bytes, _mended_digest. Their pieces are read again."""
+def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces (file, part, size, value) in reading order, with local: the sizes of the pieces before in the same byte range."""
+    at, total = None, 0
+    for batch in batches:
+        file, part, size = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        local = []
+        for own, n in zip(zip(file, part, strict=True), size, strict=True):
+            at, total = own, total if own == at else 0
+            local.append(total)
+            total += n
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(local, pa.int64()), batch.column(3)], names=["file", "part", "local", "value"])
+
+
+def _mend(spark: SparkSession, path: str, piece: DataFrame, broken: DataFrame, step: int = 1 << 20, broadcast_rows: int = 100_000) -> DataFrame:
+    """Payloads of the records that the magic line cuts: file, offset, _mended_bytes, _mended_digest.
+
+    Their files are read again and each piece is found by its byte offset, however the second reading splits the files. Up to
+    ``broadcast_rows`` sought pieces are broadcast, so that of the text only what matches moves; beyond, the join shuffles.
+    """
+    broken = written(broken, "warc-cut")
     span = broken.select("file", F.col("offset").alias("_owner"), "next", F.explode(F.sequence(F.floor(F.col("offset") / step), F.floor((F.col("next") - 1) / step))).alias("_mb"))
-    parts = piece.select("file", "part", "_row", "offset", F.floor(F.col("offset") / step).alias("_mb")).join(span, ["file", "_mb"]).where("offset >= _owner and offset < next")
-    parts = parts.select("file", "part", "_row", F.col("offset"), "_owner")
-    text = segments(spark, path).select("file", "part", "_row", "value").join(parts, ["file", "part", "_row"])
-    joined = text.groupBy("file", "_owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]), MAGIC).alias("_all"))
-    joined = joined.withColumn("value", F.col("_all")).withColumn("_start", F.octet_length(F.substring_index("value", RECORD_END, 2)).cast("long") + 4)
+    parts = piece.select("file", "offset", F.floor(F.col("offset") / step).alias("_mb")).join(span, ["file", "_mb"]).where("offset >= _owner and offset < next")
+    parts = written(parts.select("file", "offset", "_owner"), "warc-cut-pieces")
+    few = parts.count() <= broadcast_rows
+    sought = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    raw = segments(spark, path).select("file", "part", "size", "value").join(sought(broken.select("file").distinct()), "file", "left_semi")
+    totals = raw.groupBy("file", "part").agg(F.sum("size").alias("_all"))
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    bases = written(totals.select("file", "part", (F.sum("_all").over(before) - F.col("_all") - len(MAGIC)).alias("_base")), "warc-cut-bases")
+    local = raw.mapInArrow(_located, "file string, part long, local long, value string").join(sought(bases), ["file", "part"])
+    text = local.select("file", (F.col("_base") + F.col("local")).alias("offset"), "value").join(sought(parts), ["file", "offset"])
+    joined = text.groupBy("file", "_owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
+    joined = joined.withColumn("_start", F.octet_length(F.substring_index("value", RECORD_END, 2)).cast("long") + 4)
     joined = joined.withColumn("_rest", F.octet_length("value").cast("long") - 4 - F.col("_start"))
     return joined.select("file", F.col("_owner").alias("offset"), F.col("_rest").alias("_mended_bytes"), F.sha2(_slice(F.col("_start"), F.col("_rest")), 256).alias("_mended_digest"))
 
 
 def op6(pages: DataFrame) -> DataFrame:
-    """Pages written as WARC and read back. Null ids make records without a number, which read back as null."""
+    """Pages written as WARC and read back, a row for each row of pages: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Null ids make records without a number, which read back as null and are always responses. Rows with equal ids each have their own
+    record: equal payloads refer to the smallest id that has the payload, unless it is their own. A null html is an empty payload.
+    Other columns of pages are not read. An empty table gives no rows.
+    """
     spark = pages.sparkSession
     path = new_folder(spark, "warc")
     write_archives(to_records(mark_revisits(pages.select("page_id", "url", "html"), "page_id", "html"), "page_id", "url", "html"), path)

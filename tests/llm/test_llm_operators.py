@@ -264,6 +264,25 @@ def test_warc_round_trip(spark):
     assert warc.op6(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_warc_of_repeated_ids(spark, monkeypatch, most):
+    for f in (warc.mark_revisits, warc._mend):
+        monkeypatch.setattr(f, "__defaults__", (*f.__defaults__[:-1], most))
+    x, y, z = "x" * 200, "y" * 200, "cut WARC/1.1\r\nhere " * 20
+    data = [(1, x), (5, x), (5, x), (7, x), (7, y), (8, y), (1, x), (None, x), (None, y), (9, z), (9, z), (10, z), (3, "s"), (3, "s"), (4, None)]
+    df = spark.createDataFrame([(i, "u", t) for i, t in data], "page_id long, url string, html string").withColumn("refers_to", F.lit(3)).repartition(3)
+    first = {}
+    for i, t in data:
+        if i is not None:
+            first[t] = min(i, first.get(t, i))
+    expected = []
+    for i, t in data:
+        raw = (t or "").encode()
+        again = len(raw) >= 100 and i is not None and i > first[t]
+        expected.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first[t] if again else None))
+    assert sorted(map(tuple, warc.op6(df).collect()), key=str) == sorted(expected, key=str)
+
+
 def shingle_set(text):
     w = WORDS.findall(text or "")
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
