@@ -49,10 +49,11 @@ def line_table(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     return {"doc": doc, "begin": begin, "end": stop, "n": n, "first": first, "hash": h, "leaf": leaf, "tokens": token}
 
 
-LINES = "doc_id long, fp long, line long, leaf long, n int, tokens binary"
+LINES = "doc_id long, fp long, line long, leaf long, n int"
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's different lines, without their tokens."""
     for batch in batches:
         for lo, hi in pieces(batch.column(2), 1 << 20):
             part = batch.slice(lo, hi - lo)
@@ -60,13 +61,23 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((t["hash"], t["doc"]))
             d, h = t["doc"][order], t["hash"][order]
             one = order[np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])] if len(order) else order
-            tokens = (t["tokens"] >> U(32)).astype("<u4")
-            own = [tokens[f : f + n].tobytes() if n > LEADING else None for f, n in zip(t["first"][one].tolist(), t["n"][one].tolist(), strict=True)]
             rows = pa.array(t["doc"][one])
-            yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array(t["hash"][one].view(np.int64)), pa.array(t["leaf"][one].view(np.int64)), pa.array(t["n"][one].astype(np.int32)), pa.array(own, pa.binary())],
+            yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array(t["hash"][one].view(np.int64)), pa.array(t["leaf"][one].view(np.int64)), pa.array(t["n"][one].astype(np.int32))],
                                   names=[x.split()[0] for x in LINES.split(", ")])
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different lines of a few texts that may vary, with their masked tokens: line, tokens (32 bits of each token's hash)."""
+    for batch in batches:
+        for lo, hi in pieces(batch.column(0), 1 << 20):
+            t = line_table(*flat(batch.column(0).slice(lo, hi - lo)))
+            wide = np.flatnonzero(t["n"] > LEADING)
+            one = wide[np.unique(t["hash"][wide], return_index=True)[1]]
+            tokens = (t["tokens"] >> U(32)).astype("<u4")
+            own = [tokens[f : f + n].tobytes() for f, n in zip(t["first"][one].tolist(), t["n"][one].tolist(), strict=True)]
+            yield pa.record_batch([pa.array(t["hash"][one].view(np.int64)), pa.array(own, pa.binary())], names=["line", "tokens"])
+
+
 def segment_keys(matrix: np.ndarray, likeness: float) -> np.ndarray:
     """Keys of rows of tokens (lines of one leaf) by segments of their places: rows by segments, one segment more than places may differ.
 
@@ -170,8 +181,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, long_tokens: int = 20, l
     needed = F.when(F.col("n") >= long_tokens, F.lit(long_docs)).otherwise(F.lit(min_docs))
     leaves = lines.where(F.col("n") > LEADING).groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("_lines"), F.sum("docs").alias("_docs")).where((F.col("_lines") > 1) & (F.col("_docs") >= needed))
     inside = written(lines.select("line", "docs", "leaf", "n").where(F.col("n") > LEADING).join(leaves.drop("_docs"), ["leaf", "n"]), "lines-inside")
-    tokens = seen.select("line", "tokens").join(inside.select("line"), "line", "left_semi").groupBy("line").agg(F.first("tokens").alias("tokens"))
-    inside = inside.join(tokens, "line")
+    # the texts are read a second time for the tokens, so that none are written for lines that stand alone in their leaf
+    tokens = docs.select("text").mapInArrow(_tokens, "line long, tokens binary").join(inside.select("line").hint("merge"), "line", "left_semi").groupBy("line").agg(F.first("tokens").alias("tokens"))
+    inside = written(inside.join(tokens, "line"), "lines-tokens")
     large = (F.col("_lines") > leaf_lines) | (F.col("_lines") * F.col("n") > leaf_tokens)
     cells = inside.where(~large).select("line", "docs", "tokens", F.xxhash64("leaf", "n").alias("_cell"))
     if not leaves.where(large).isEmpty():
@@ -232,7 +244,7 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     seen, known = recurring_lines(docs.select(F.col(doc_id).cast("long").alias("doc_id"), fp.alias("fp"), F.col(text).alias("text")), **how)
     away = ~(F.col("doc_id").eqNullSafe(F.col("home_id")) & (F.col("fp") == F.col("home_fp")))
     lists = seen.join(known.select("line", "home_id", "home_fp"), "line").where(away).groupBy(F.col("doc_id").alias("_d"), F.col("fp").alias("_f")).agg(F.collect_set("line").alias("_drop"))
-    lists = written(lists, "line-lists")
+    lists = written(lists, "line-lists").hint("merge")  # as many rows as documents may lose lines
     own = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
     cut = docs.withColumn("_fp", fp).join(lists, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.col("_fp") == F.col("_f")), "left").select(*own, text, "_drop")
     schema = ", ".join([*(f"`{c}` {k}" for c, k in docs.select(*own).dtypes), "_text string, _n_lines long, _n_dropped long"])
