@@ -20,15 +20,18 @@ def space_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def byte_level_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def byte_level_cuts(data: np.ndarray, at: np.ndarray, never: bytes = b"") -> np.ndarray:
     """Where chunks begin that a byte-level BPE's usual pattern never joins: before the space in front of a character that is no white space.
 
     The pattern leaves such a space to the word behind it, whatever stands before. Characters that may be white space beyond ASCII
-    (those whose first byte is C2, E1, E2 or E3) begin no chunk.
+    (those whose first byte is C2, E1, E2 or E3) begin no chunk, nor do the bytes ``never``: first bytes of added tokens, before which
+    the pattern ends and a space stays with those before it.
     """
     begin = np.zeros(len(data), bool)
     after = data[1:]
     plain = ((after > 0x20) & (after < 0x7F)) | ((after > 0xC2) & (after != 0xE1) & (after != 0xE2) & (after != 0xE3))
+    for byte in set(never):
+        plain &= after != byte
     begin[:-1] = (data[:-1] == 0x20) & plain
     ends = at[1:][at[:-1] < at[1:]] - 1
     begin[ends] = False  # what follows a text's last byte belongs to the next text
@@ -46,8 +49,28 @@ def gather(off: np.ndarray, size: np.ndarray, pool: np.ndarray) -> np.ndarray:
     return pool[index]
 
 
+def differing(data: np.ndarray, at: np.ndarray, back: np.ndarray, sizes: np.ndarray) -> list[int]:
+    """Numbers of the texts that are not what their ids gave back (back: all bytes, sizes: how many each text has)."""
+    if len(back) == len(data) and (sizes == np.diff(at)).all() and (back == data).all():
+        return []
+    ends, raw, own = np.cumsum(sizes), memoryview(back.tobytes()), memoryview(data.tobytes())
+    return [i for i, (e, n, a, b) in enumerate(zip(ends.tolist(), sizes.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)) if raw[e - n : e] != own[a:b]]
+
+
+def replaced(ids: np.ndarray, sizes: np.ndarray, new: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """ids and sizes with those of some texts replaced."""
+    if not new:
+        return ids, sizes
+    ends = np.cumsum(sizes)
+    lists = [np.asarray(new[i], np.int32) if i in new else ids[e - n : e] for i, (e, n) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True))]
+    return np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
 class Chunks:
-    """Ids of chunks by 64-bit hash, in a direct-mapped table: a chunk that falls on another's slot replaces it."""
+    """Ids of chunks by 64-bit hash, in a direct-mapped table: a chunk that falls on another's slot replaces it.
+
+    Two chunks of one hash would share ids; callers decode what they get and encode a text anew, without the table, where it differs.
+    """
 
     def __init__(self, encode: Callable[[list[bytes], np.ndarray], list]):
         """encode: gets chunks and their variants, gives an id list for each."""

@@ -140,7 +140,6 @@ def test_token_files(spark, docs):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     expected = defaultdict(list)
     for i, text, *_ in corpus():
         ids = [*model.encode(text or "", add_special_tokens=False).ids, 2]
@@ -158,6 +157,28 @@ def test_token_files(spark, docs):
     assert back[206] == model.encode(next(t for i, t, *_ in corpus() if i == 206)).ids
 
 
+def test_chunks_of_one_hash_are_noticed(spark, docs, monkeypatch):
+    from fiscalens.llm import chunks
+
+    def same(data, start, end):
+        return np.full(len(start), 5, np.uint64)
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    texts = pa.array(["one two three", "x y  z", "", None, "<|endoftext|> a b"])
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    expected = [list(e.ids) for e in tokenfiles._Tokenizer(path, False).model.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+    pieces = sentencepieces.Pieces(sentencepieces.default_model(), 0.1, 7)
+    keys = np.arange(5, dtype=np.uint64)
+    alone = [pieces.encode_alone((t or "").encode(), int(k)).tolist() if t else [] for t, k in zip(texts.to_pylist(), keys, strict=True)]
+    found, sizes = pieces.encode(texts, keys)
+    assert [x.tolist() for x in np.split(found, np.cumsum(sizes)[:-1])] == alone
+    monkeypatch.setattr(chunks, "word_hashes", same)
+    ids, sizes = tokenfiles._Tokenizer(path, False).ids(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == expected
+
+
 def test_sentence_pieces(spark, docs):
     import sentencepiece
 
@@ -172,6 +193,10 @@ def test_sentence_pieces(spark, docs):
     assert sorted(map(str, out)) == sorted(map(str, rows(sentencepieces.op2(docs.repartition(2)))))
     decoded = {r["doc_id"]: r["text"] for r in rows(sentencepieces.decode_pieces(sentencepieces.op2(docs)))}
     assert decoded == texts
+    turns = {r["doc_id"]: r["ids"] for r in rows(sentencepieces.encode_pieces(docs.withColumn("turn", F.lit(2)), turn="turn"))}
+    first = {r["doc_id"]: r["ids"] for r in out}
+    assert turns[203] != first[203] and turns[201] == first[201] == []
+    assert sorted(map(str, out)) == sorted(map(str, rows(sentencepieces.op2(docs.withColumns({"ids": F.lit("x"), "turn": F.lit("y"), "lossless": F.lit(0)})))))
     assert sentencepieces.op2(empty(spark)).count() == 0
 
 
