@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own, but only on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fiscalens-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -32,21 +34,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucket_of(key: Column, kind: str, buckets: int) -> Column:
-    """A bucket from 0 to buckets - 1; null keys share the bucket 0."""
-    number = key.cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(key)
-    return F.coalesce(F.pmod(number, F.lit(buckets)), F.lit(0)).cast("int")
+def numbered(df: DataFrame, order: list[Column], out: str, name: str) -> DataFrame:
+    """df, written, with out: each row's place in the order, from 0. Rows are dealt by sampled ranges; only the counts of the tasks, a row
+    each, meet in one window."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = written(dealt.withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), name)
+    tasks = dealt.groupBy("_task").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_from"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_task").rowsBetween(Window.unboundedPreceding, 0)
+    tasks = tasks.select("_task", "_from", (F.sum("_rows").over(before) - F.col("_rows")).alias("_base"))
+    return dealt.join(tasks, "_task").withColumn(out, F.col("_base") + F.col("_at") - F.col("_from")).drop("_task", "_at", "_from", "_base")
 
 
-def running_total(df: DataFrame, group: list[str], key: str, order: list[str], weight: Column, out: str, buckets: int = 251) -> DataFrame:
-    """df with out: the sum of weight over the rows before this one in its group, whose rows stand in order of (bucket of key, *order).
+#: Rows of a group that one task sums.
+BUCKET_ROWS = 1 << 18
 
-    A group of any size is dealt over its buckets: each bucket is summed in one task, and only the buckets' totals, at most
-    ``buckets`` rows for a group, meet. The weight must not be null.
+
+def running_total(df: DataFrame, group: list[str], order: list[str], weight: Column, out: str, buckets: int | None = None) -> DataFrame:
+    """df with out: the sum of weight over the rows before this one in its group, whose rows stand in order of (bucket, *order).
+
+    The bucket is a hash of the columns of the order, so that rows of one key, null or not, are dealt apart where they differ in another.
+    There are 251 buckets, or one for every BUCKET_ROWS rows of df if that is more: each bucket of a group is summed in one task, and
+    only the buckets' totals meet. The weight must not be null.
     """
     bucket, base, total = "_bucket", "_base", "_total"
-    kind = dict(df.dtypes)[key]
-    df = df.withColumn(bucket, bucket_of(F.col(key), kind, buckets)).withColumn("_weight", weight.cast("long"))
+    buckets = buckets or max(251, -(-df.count() // BUCKET_ROWS))
+    df = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn("_weight", weight.cast("long"))
     within = Window.partitionBy(*group, bucket).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumn(out, F.sum("_weight").over(within) - F.col("_weight"))
     totals = df.groupBy(*group, bucket).agg(F.sum("_weight").alias(total))

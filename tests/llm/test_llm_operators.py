@@ -61,7 +61,7 @@ def test_jump_hash_and_slots(spark, docs):
 
     ids = [0, 1, -1, 7, 2**63 - 1, -(2**63), 123456789, *range(1000, 1100)]
     df = spark.createDataFrame([(i,) for i in ids], "k long")
-    for n in (1, 2, 16, 17, 100):
+    for n in (1, 2, 16, 17, 100, 257, 5000):
         assert all(r.s == jump(r.k, n) for r in df.select("k", sharding.jump_hash(F.col("k"), n).alias("s")).collect())
     out = rows(sharding.op1(docs.withColumn("_bucket", F.lit(1)).withColumn("shard", F.lit(9))))
     assert len(out) == len(corpus())
@@ -108,6 +108,33 @@ def test_mixing(spark, docs):
     words = sum(len(WORDS.findall(r["text"])) for r in rows(mixed))
     assert mixed.columns == docs.columns and words == sum(taken.values())
     assert mixing.op3(empty(spark)).count() == 0
+    clash = docs.withColumns({c: F.lit("x") for c in ("_n", "size", "target", "shard", "fp", "_key", "_pass")})
+    assert sorted(map(str, out)) == sorted(map(str, rows(mixing.op3(clash))))
+    blocks = rows(mixing.mixed_blocks(docs, [5.0, 2.0, 1.0], block=32, shards=5))
+    assert sum(r["n_words"] for r in blocks) == words and all(len(WORDS.findall(r["text"])) == r["n_words"] <= 32 for r in blocks)
+    assert len({(r["source"], r["slot"]) for r in blocks}) == len(blocks)
+
+
+def test_shards_draw_their_blocks(spark):
+    slots = {"a": 6000, "b": 3000, None: 999, "c": 1}
+    df = spark.createDataFrame(list(slots.items()), "source string, slots long")
+    shards, total, seen = 10, sum(slots.values()), []
+    for seed in (1, 2):
+        found = rows(mixing.shard_counts(df, shards, seed))
+        by = defaultdict(dict)
+        for r in found:
+            by[r["source"]][r["shard"]] = (r["first"], r["slots"])
+        assert {s: sum(n for _, n in x.values()) for s, x in by.items()} == slots
+        for s, x in by.items():
+            upto = 0
+            for shard in sorted(x):
+                assert x[shard][0] == upto
+                upto += x[shard][1]
+            share = slots[s] / total
+            assert all(abs(x.get(k, (0, 0))[1] - slots[s] / shards) <= 5 * (total / shards * share * (1 - share)) ** 0.5 + 1 for k in range(shards))
+        seen.append({(r["source"], r["shard"]): r["slots"] for r in found})
+        assert seen[-1] == {(r["source"], r["shard"]): r["slots"] for r in rows(mixing.shard_counts(df.repartition(3), shards, seed))}
+    assert seen[0] != seen[1]
 
 
 def test_permutation_is_one():
