@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,19 +56,28 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([n for n, _, _ in total.values()], pa.int64()), pa.array([s.tobytes() + g.tobytes() for _, s, g in total.values()], pa.binary())], names=["width", "n", "sums"])
 
 
-def principal(vectors: DataFrame, dims: int) -> dict[int, np.ndarray]:
+def _together(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums of one width and group of tasks as one row."""
+    total = np.zeros(0)
+    for x in pdf["sums"]:
+        total = np.frombuffer(x) if not len(total) else total + np.frombuffer(x)
+    return pd.DataFrame({"width": [key[0]], "task": [key[1]], "n": [pdf["n"].sum()], "sums": [total.tobytes()]})
+
+
+def principal(vectors: DataFrame, dims: int, fan_in: int = 32, levels: int = 4) -> dict[int, np.ndarray]:
     """For each width the leading principal dimensions of its unit vectors (rows), from sums that every task makes of all its rows.
 
-    Only these sums reach the driver, a width-by-width matrix a task and width.
+    The tasks' sums are added ``fan_in`` at a time in ``levels`` rounds of grouping; one row a width reaches the driver.
     """
-    sums: dict[int, list] = {}
-    for r in vectors.select("raw", "width").mapInArrow(_moments, "width int, n long, sums binary").toLocalIterator():
-        a = np.frombuffer(r.sums)
-        part = [r.n, a[: r.width], a[r.width :].reshape(r.width, r.width)]
-        sums[r.width] = [x + y for x, y in zip(sums[r.width], part, strict=True)] if r.width in sums else part
+    sums = vectors.select("raw", "width").mapInArrow(_moments, "width int, n long, sums binary").withColumn("task", F.spark_partition_id())
+    for level in range(levels):
+        group = F.floor(F.col("task") / fan_in).cast("int") if level < levels - 1 else F.lit(0)
+        sums = sums.withColumn("task", group).groupBy("width", "task").applyInPandas(_together, "width int, task int, n long, sums binary")
     out = {}
-    for w, (n, s, g) in sums.items():
-        out[w] = np.ascontiguousarray(np.linalg.eigh(g / n - np.outer(s / n, s / n))[1][:, ::-1].T[: min(dims, w)])
+    for r in sums.collect():
+        w, a = r.width, np.frombuffer(r.sums) / r.n
+        s, g = a[:w], a[w:].reshape(w, w)
+        out[w] = np.ascontiguousarray(np.linalg.eigh(g - np.outer(s, s))[1][:, ::-1].T[: min(dims, w)])
     return out
 
 
@@ -247,5 +257,8 @@ def _boxes(axes: dict[int, np.ndarray], k: int):
 
 
 def op5(vectors: DataFrame) -> DataFrame:
-    """All embeddings by cosine in double precision, 0.9 or more."""
+    """All embeddings by cosine in double precision, 0.9 or more: vec_id, n_links, component_id, kept, a row for each row of vectors.
+
+    Repeated rows are vectors of their own and link with each other; other columns are not read; an empty table gives no rows.
+    """
     return near_vectors(vectors)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -98,16 +98,24 @@ def measures(docs: DataFrame, path: str, band: str = "lang", doc_id: str = "doc_
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(band).cast("string").alias("band"), F.col(text).alias("text")).mapInArrow(_measure(path), STATS)
 
 
-def bands(stats: DataFrame, reach: float) -> DataFrame:
+def bands(stats: DataFrame, reach: float, digits: int = 4) -> DataFrame:
     """For each band key (a language or script; null is one too) and measure the lowest and highest value let pass: ``reach`` times the
-    interquartile range beyond the quartiles of all texts of 20 words or more. Quantile sketches are merged, not gathered."""
-    some = stats.where("n_words >= 20")
-    quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(c) for c in MEASURES]
-    out = some.groupBy("band").agg(*quartiles)
-    for c in MEASURES:
-        wide = reach * (F.col(c)[1] - F.col(c)[0])
-        out = out.withColumn(f"{c}_low", F.col(c)[0] - wide).withColumn(f"{c}_high", F.col(c)[1] + wide)
-    return out.select(F.col("band").alias("_band"), *[f"{c}_{x}" for c in MEASURES for x in ("low", "high")])
+    interquartile range beyond the quartiles of all texts of 20 words or more.
+
+    Values are counted at ``digits`` decimals, so that quartiles are exact there and the same in every run, and a window holds as many
+    rows as there are different values, not texts.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.round(c, digits).alias("value")) for c in MEASURES]))
+    counted = stats.where("n_words >= 20").select("band", each.alias("_m")).groupBy("band", "_m.measure", "_m.value").agg(F.count(F.lit(1)).alias("texts"))
+    counted = counted.where("value is not null")
+    own = Window.partitionBy("band", "measure")
+    upto = F.sum("texts").over(own.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("_upto", upto).withColumn("_all", F.sum("texts").over(own))
+    quartile = lambda c, part: F.min(F.when((F.col("measure") == c) & (F.col("_upto") >= part * F.col("_all")), F.col("value")))
+    out = placed.groupBy("band").agg(*[quartile(c, part).alias(f"{c}_{part}") for c in MEASURES for part in (0.25, 0.75)])
+    low, high = (lambda c: F.col(f"`{c}_0.25`")), (lambda c: F.col(f"`{c}_0.75`"))
+    edges = [e for c in MEASURES for e in ((low(c) - reach * (high(c) - low(c))).alias(f"{c}_low"), (high(c) + reach * (high(c) - low(c))).alias(f"{c}_high"))]
+    return out.select(F.col("band").alias("_band"), *edges)
 
 
 def quality(docs: DataFrame, path: str | None = None, band: str = "lang", reach: float = 6.0, slack: dict[str, float] | None = None, most_bands: int = 10_000) -> DataFrame:
@@ -135,5 +143,9 @@ def quality(docs: DataFrame, path: str | None = None, band: str = "lang", reach:
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    """The base counts and the verdict for all documents, with the measures behind it."""
+    """The base counts and the verdict for all documents, with the measures behind it, a row for each row of docs.
+
+    Null and empty texts have zeros, null measures and fail the base rules; texts are taken whole. Repeated rows are measured alike and
+    count each in the bands. Other columns are not read; an empty table gives no rows.
+    """
     return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *MEASURES)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,12 +58,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["label", "counts"])
 
 
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The counts of one label, a row a task, as one row."""
+    total = np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], axis=0)
+    return pd.DataFrame({"label": pdf["label"].iloc[:1], "counts": [total.tobytes()]})
+
+
 def fit_text_model(labelled: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", sample_rows: int = 20_000, tasks: int = 8, least_rows: int = 1000) -> tuple[list[str], np.ndarray]:
     """Languages in order of name, and log probabilities of their three-byte runs (languages by runs).
 
     Every label of any row is a language. The model is fitted on a sample of about ``sample_rows`` labelled rows, dealt evenly over the
     labels but ``least_rows`` for each at least, chosen by a hash of key and text; a label of fewer rows has all of them, and texts are
-    taken whole. At most ``tasks`` * languages rows of counts reach the driver. Without labelled rows there are no languages.
+    taken whole. The tasks' counts are summed by label; one row of counts a language, the model itself, reaches the driver. Without
+    labelled rows there are no languages.
     """
     some = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("_label"), F.col(text).alias("_text"), F.col(key).alias("_key"))
     rows = {r["_label"]: r["count"] for r in some.groupBy("_label").count().collect()}
@@ -73,8 +81,9 @@ def fit_text_model(labelled: DataFrame, label: str = "lang", text: str = "text",
     below = F.coalesce(F.create_map(*large)[F.col("_label")], F.lit(whole)) if large else F.lit(whole)
     chosen = some.where(F.pmod(F.xxhash64("_key", "_text"), F.lit(whole)) < below).select("_label", "_text")
     counts: dict[str, np.ndarray] = {}
-    for r in chosen.repartition(tasks).mapInArrow(_counted, "label string, counts binary").collect():
-        counts[r.label] = counts.get(r.label, 0) + np.frombuffer(r.counts, np.int64)
+    summed = chosen.repartition(tasks).mapInArrow(_counted, "label string, counts binary").groupBy("label").applyInPandas(_added, "label string, counts binary")
+    for r in summed.collect():
+        counts[r.label] = np.frombuffer(r.counts, np.int64)
     names = sorted(counts)
     table = np.array([np.log((counts[x] + 0.5) / (counts[x].sum() + 0.5 * GRAMS)) for x in names]).reshape(len(names), GRAMS)
     return names, table.astype(np.float32)
@@ -144,11 +153,23 @@ def _bands(scored: DataFrame, names: list[str], table: np.ndarray) -> tuple[np.n
 
 def text_bands(labelled: DataFrame, names: list[str], table: np.ndarray, label: str = "lang", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """The languages' bands over all labelled rows."""
-    scored = labelled.select(F.array_position(_constant(names, "string"), F.col(label).cast("string")).cast("int").alias("_told"), text_scores(names, table)(F.col(text)).alias("_s"))
-    scored = scored.select("_s", (F.col("_told") - 1).alias("_told"), (F.array_position("_s.ll", F.array_max("_s.ll")).cast("int") - 1).alias("_best"))
+    scored = labelled.select(_told(names, F.col(label)).alias("_told"), text_scores(names, table)(F.col(text)).alias("_s"))
+    scored = scored.select("_s", "_told", (F.array_position("_s.ll", F.array_max("_s.ll")).cast("int") - 1).alias("_best"))
     return _bands(scored, names, table)
 
 
+def _tag(of: Column) -> Column:
+    """A language tag in comparable form: lower case, with hyphens."""
+    return F.nullif(F.lower(F.replace(F.trim(of.cast("string")), F.lit("_"), F.lit("-"))), F.lit(""))
+
+
+def _told(names: list[str], declared: Column) -> Column:
+    """The number of the declared language: of the whole tag, or else of its primary subtag; null for any other."""
+    tag, known = _tag(declared), _constant([x.strip().replace("_", "-").lower() for x in names], "string")
+    place = lambda x: F.nullif(F.array_position(known, x), F.lit(0).cast("long"))
+    return (F.coalesce(place(tag), place(F.substring_index(tag, "-", 1))) - 1).cast("int")
+
+
 def _constant(values: list, kind: str) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
 
@@ -174,11 +195,11 @@ def identify(
 ) -> DataFrame:
     """docs with lang, confidence (its posterior probability) and kept.
 
-    Evidence: the text's likelihood; the declared language, trusted as often as it agrees with the texts over the whole table; the
+    Evidence: the text's likelihood; the declared language (a whole tag, or its primary subtag, that is the name of a language), trusted as often as it agrees with the texts over the whole table; the
     suffix of the address (how each language's texts spread over suffixes); the host's prior, drawn towards its suffix's or else the
     table's shares. Shares come from grouped aggregation over all rows. What is null is no evidence. kept: the text has letters, it is
     no less likely in its language than that language's texts are (``bands``, by default those of docs' own rows), and the posterior
-    reaches ``least_confidence``; a text without letters (null and empty ones too), or less likely, has lang null, confidence 0. Tables of
+    reaches ``least_confidence``; of languages with equal posteriors the first by name is taken. A text without letters (null and empty ones too), or less likely, has lang null, confidence 0. Tables of
     shares are broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond. The scores are written once with the columns of
     docs, or, with ``score_again``, without them and made again for the result, where the columns hold long texts. Existing columns of the result's names are replaced.
     """
@@ -186,16 +207,15 @@ def identify(
         return docs.withColumns({"lang": F.lit(None).cast("string"), "confidence": F.lit(0.0), "kept": F.lit(False)})
     columns = [c for c in docs.columns if c not in ("lang", "confidence", "kept", "_text", "_told", "_from", "_end")]
     score = text_scores(names, table)
-    evidence = [F.lower(F.substring(F.trim(declared), 1, 2)).alias("_declared"), F.lower(host).alias("_host"), F.lower(suffix).alias("_suffix"), score(text).alias("_s")]
+    evidence = [_told(names, declared).alias("_declared"), F.lower(host).alias("_host"), F.lower(suffix).alias("_suffix"), score(text).alias("_s")]
     seen = docs.select(*([] if score_again else columns), *evidence)
     seen = written(seen.withColumn("_best", F.array_position("_s.ll", F.array_max("_s.ll")).cast("int") - 1), "language-scores")
     scored = docs.select(*columns, *evidence) if score_again else seen
     decided = seen.where("_s.ll is not null").select("_declared", "_host", "_suffix", "_best")
-    of = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    row = decided.agg(*[F.sum(F.when(F.col("_best") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(len(names))], F.count(of[F.col("_declared")]).alias("told"), F.sum(F.when(of[F.col("_declared")] == F.col("_best"), 1).otherwise(0)).alias("agreed")).first()
+    row = decided.agg(*[F.sum(F.when(F.col("_best") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(len(names))], F.count("_declared").alias("told"), F.sum(F.when(F.col("_declared") == F.col("_best"), 1).otherwise(0)).alias("agreed")).first()
     totals = np.array([row[f"n{i}"] or 0 for i in range(len(names))], float) + 1
     base = (totals / totals.sum()).tolist()
-    least, variance = bands or _bands(seen.select("_s", "_best", of[F.col("_declared")].alias("_told")), names, table)
+    least, variance = bands or _bands(seen.select("_s", "_best", F.col("_declared").alias("_told")), names, table)
     trust = min(0.99, ((row["agreed"] or 0) + 1) / (row["told"] + 2))
     other = (1 - trust) / max(1, len(names) - 1)
 
@@ -209,7 +229,7 @@ def identify(
     by_suffix = F.coalesce("_log_suffix", flat_prior)
     parts = []
     for i in range(len(names)):
-        told = F.when(of[F.col("_declared")].isNull(), F.lit(0.0)).when(of[F.col("_declared")] == i, F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log(max(other, 1e-6)))))
+        told = F.when(F.col("_declared").isNull(), F.lit(0.0)).when(F.col("_declared") == i, F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log(max(other, 1e-6)))))
         prior = F.coalesce(F.col("_log_host")[i], by_suffix[i])
         parts.append(F.col("_s.ll")[i] + told + prior)
     out = out.withColumn("_post", F.array(*parts)).withColumn("_top", F.array_max("_post"))
@@ -248,7 +268,7 @@ def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     The text model is fitted on labelled documents; markup is no text."""
     names, table = fit_text_model(labelled)
     text = F.trim(F.regexp_replace(F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " "), r"\s+", " "))
-    declared = F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]{2,3})", 1), F.lit(""))
+    declared = F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z0-9_-]+)", 1), F.lit(""))
     host = F.nullif(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit(""))
     suffix = F.nullif(F.regexp_extract(host, r"\.([a-zA-Z]+)$", 1), F.lit(""))
     slim = pages.select("page_id", text.alias("_text"), declared.alias("_told"), host.alias("_from"), suffix.alias("_end"))

@@ -408,6 +408,44 @@ def test_rare_and_many_labels_are_languages(spark):
     assert names == ["en", *(f"l{i:02}" for i in range(70))] and table.shape == (71, langid.GRAMS)
 
 
+def test_whole_tags_name_languages(spark):
+    data = [(i, "o que e a casa da gente", "pt-BR", "h", 1) for i in range(30)] + [(100 + i, "ang mga bata sa bahay", "fil", "h", 1) for i in range(30)] + [(200 + i, "talo ja kissa on", "fi", "h", 1) for i in range(30)]
+    df = spark.createDataFrame(data, DOCS)
+    names, table = langid.fit_text_model(df)
+    assert names == ["fi", "fil", "pt-BR"]
+    tags = spark.createDataFrame([(t,) for t in ("fil", "FIL-PH", "fi_FI", " pt_br ", "pt", "und", "", None)], "t string")
+    assert [r.n for r in tags.select(langid._told(names, F.col("t")).alias("n")).collect()] == [1, 1, 0, 2, None, None, None, None]
+    assert {r["lang"] for r in rows(langid.op8(df)) if 100 <= r["doc_id"] < 200} == {"fil"}
+
+
+def test_posterior_by_hand(spark):
+    labelled = spark.createDataFrame([(i, w, k, "h", 1) for i in range(40) for k, w in (("de", "der und keit"), ("fr", "eau ment que"))], DOCS)
+    names, table = langid.fit_text_model(labelled)
+    data = [("der und", "fr", "a.de", "de"), ("eau", None, "a.de", "de"), ("eau ment", "fr", "b.fr", "fr"), ("der", "xx", None, "fr"), ("keit", None, "b.fr", None), ("und", "de", "a.de", "de")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(data)], "i long, t string, d string, h string, s string")
+    wide = (np.full((2, langid.CLASSES), -100.0), np.ones(2))
+    out = {r["i"]: r for r in rows(langid.identify(df, names, table, *(F.col(c) for c in "tdhs"), bands=wide))}
+    ll = []
+    for t, *_ in data:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        h, _ = langid.grams(raw, np.array([0, len(raw)]))
+        ll.append(table[:, h].astype(np.float64).sum(1) / (1 + len(h) / 200))
+    best = [int(np.argmax(x)) for x in ll]
+    count = lambda test: np.array([sum(b == k and test(x) for b, x in zip(best, data, strict=True)) for k in (0, 1)], float)
+    base = (count(lambda x: True) + 1) / (len(data) + 2)
+    told = [(names.index(x[1]), b) for x, b in zip(data, best, strict=True) if x[1] in names]
+    trust = min(0.99, (sum(a == b for a, b in told) + 1) / (len(told) + 2))
+    for i, (_, d, h, s) in enumerate(data):
+        suffix = lambda s: (count(lambda x: x[3] == s) + 100 * base) / (count(lambda x: x[3] == s).sum() + 100)
+        prior = suffix(s) if s else base
+        if h:
+            mine, of = count(lambda x: x[2] == h), min((x[3] for x in data if x[2] == h and x[3]), default=None)
+            prior = (mine + 20 * (suffix(of) if of else base)) / (mine.sum() + 20)
+        post = ll[i] + np.log(prior) + (np.log([trust if k == names.index(d) else 1 - trust for k in (0, 1)]) if d in names else 0)
+        post = np.exp(post - post.max())
+        assert out[i]["lang"] == names[int(post.argmax())] and out[i]["confidence"] == pytest.approx(post.max() / post.sum(), rel=1e-6)
+
+
 def test_a_hosts_own_pages_outweigh_its_suffix(spark):
     words = {"de": "der und keit schei", "fr": "eau ment que les"}
     labelled = spark.createDataFrame([(i, words[k], k, "h", 1) for i in range(60) for k in words], DOCS)
@@ -454,6 +492,40 @@ def test_quality_counts(spark, docs):
     assert op9(empty(spark)).count() == 0
 
 
+def test_fertility_verdict_by_hand(spark):
+    import sentencepiece
+
+    from fiscalens.llm import fertility
+
+    rng = random.Random(3)
+    plain = ["river", "stone", "market", "letter", "garden", "window", "simple", "number", "people", "common"]
+    data = [(i, " ".join(rng.choice(plain) + rng.choice("abc") for _ in range(rng.randint(20, 60))), rng.choice(["en", "de"]), "s", 1) for i in range(80)]
+    data += [(100, " ".join("ꙮ" * 9 + str(i) for i in range(30)), "en", "s", 1), (101, " ".join("x" * 40 for _ in range(7)) + " a b c d e f g h i j k l m", "de", "s", 1), (102, None, "en", "s", 1), (103, "short", None, "s", 1)]
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    measured, counts = {}, {}
+    for i, text, lang, *_ in data:
+        ids = model.encode(text or "")
+        n = Counter(ids)
+        entropy = None if not ids else 1.0 if len(ids) == 1 else -sum(k / len(ids) * np.log2(k / len(ids)) for k in n.values()) / np.log2(len(ids))
+        measured[i] = (len(text or "") / len(ids), sum(model.is_byte(x) for x in ids) / len(ids), entropy) if ids else (None,) * 3
+        counts[i] = (lang, quality_by_hand(text))
+    edges = {}
+    for lang in ("en", "de"):
+        for m in range(3):
+            values = sorted(round(measured[i][m], 4) for i, (l, c) in counts.items() if l == lang and c[0] >= 20)
+            at = lambda part: next(v for k, v in enumerate(values) if k + 1 >= part * len(values))  # noqa: B023, E731
+            low, high = at(0.25), at(0.75)
+            slack = (0.5, 0.05, 0.1)[m]
+            edges[lang, m] = low - 6 * (high - low) - slack, high + 6 * (high - low) + slack
+    for r in rows(fertility.op9(spark.createDataFrame(data, DOCS).repartition(3))):
+        lang, c = counts[r["doc_id"]]
+        own = (r["chars_per_token"], r["byte_share"], r["token_entropy"])
+        assert own == pytest.approx(measured[r["doc_id"]])
+        failed = c[0] < 20 or 100 * c[4] > 30 * c[0]
+        assert r["kept"] == (not failed and all(edges[lang, m][0] <= own[m] <= edges[lang, m][1] for m in range(3)))
+        assert r["doc_id"] != 100 or not r["kept"]
+
+
 def test_line_templates(spark):
     rng = random.Random(9)
     own = lambda: " ".join("".join(rng.choice("abcdefghik") for _ in range(6)) for _ in range(8))
