@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _bare_letters() -> tuple[str, str]:
+    """Letters of the Latin blocks with the one ASCII character that their compatibility form keeps without marks; marks last, without any."""
+    found = {}
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]:
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(bare) == 1 and bare.isascii():
+            found[chr(code)] = bare
+    return "".join(found) + "".join(map(chr, range(0x300, 0x370))), "".join(found.values())
+
+
+_LETTERS, _BARE = _bare_letters()
+
+
+def plain_text(x: Column) -> Column:
+    """Upper case without marks, only A-Z, 0-9 and single spaces, words in their order; empty for NULL. Letters beyond the Latin blocks
+    and those that stand for several become spaces."""
+    bare = F.upper(F.translate(F.coalesce(x, F.lit("")), _LETTERS, _BARE))
+    return F.trim(F.regexp_replace(bare, "[^A-Z0-9]+", " "))
+
+
+def sorted_words(x: Column) -> Column:
+    """plain_text with its words sorted: a name whatever the order of its parts."""
+    return F.array_join(F.array_sort(F.split(plain_text(x), " ")), " ")
+
+
 def first_filled(*values: Column) -> Column:
     """The first value that is neither NULL nor empty."""
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
@@ -34,7 +61,7 @@ def date_of(x: Column) -> Column:
 
 def quantity(x: Column) -> Column:
     """A resource quantity in units: u and m are millionths and thousandths, Ki to Ti powers of 1024."""
-    number = F.regexp_extract(x, r"^([0-9.]+)", 1).try_cast("double")
+    number = F.nullif(F.regexp_extract(x, r"^([0-9.]+)", 1), F.lit("")).try_cast("double")
     unit = F.regexp_extract(x, r"([A-Za-z]*)$", 1)
     scale = F.create_map(*[F.lit(v) for p in {"": 1.0, "u": 1e-6, "m": 1e-3, "Ki": 1024.0, "Mi": 1024.0**2, "Gi": 1024.0**3, "Ti": 1024.0**4}.items() for v in p])
     return number * scale[unit]

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normalize import plain_text
 from ..functions.rounding import rounded
 from .marts import non_competitive, total
 
@@ -120,15 +121,31 @@ def anomalous_geography(c: DataFrame, establishments: DataFrame, places: DataFra
     return out.select("cnpj", "ibge_code", "contracts", "total_amount", rounded(F.col("km"), 6).alias("distance_km"), rounded(F.least(F.lit(1.0), F.col("km") / 1000)).alias("score"))
 
 
-def political_links(c: DataFrame, donations: DataFrame, candidacies: DataFrame, least_donation: float = 1000.0, least_share: float = 0.05, first: str = "1993-01-01", last: str = "1996-12-31") -> DataFrame:
-    """Suppliers who gave ``least_donation`` to an elected mayor and then hold a share of the town's contracts signed in the mandate."""
-    elected = candidacies.where((F.lower("office") == "prefeito") & F.lower("totalization_status").startswith("eleito")).select("candidate_sequential", "election_year", F.upper("ue_name").alias("city"), "uf")
-    given = donations.groupBy("election_year", "candidate_sequential", F.regexp_replace("donor_document", r"\D", "").alias("doc")).agg(F.sum("amount").cast("double").alias("donated")).where(F.col("donated") >= least_donation)
-    signed = c.where(F.col("signature_date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).withColumn("city", F.upper("city"))
-    town = signed.groupBy("city", "uf").agg(F.sum("amount").cast("double").alias("town_total"))
-    own = signed.where("doc is not null").groupBy("city", "uf", "doc").agg(F.sum("amount").cast("double").alias("supplier_total"), F.count(F.lit(1)).alias("contracts"))
-    out = own.join(town, ["city", "uf"]).join(elected, ["city", "uf"]).join(given, ["candidate_sequential", "election_year", "doc"]).withColumn("share", F.col("supplier_total") / F.col("town_total")).where(F.col("share") >= least_share)
-    return out.select("city", "uf", "doc", "candidate_sequential", "election_year", "donated", "contracts", rounded(F.col("share")).alias("share"), rounded(F.least(F.lit(1.0), F.col("share") / 0.25)).alias("score"))
+def political_links(c: DataFrame, donations: DataFrame, candidacies: DataFrame, least_donation: float = 1000.0, least_share: float = 0.05, full_share: float = 0.25, first: str = "2025-01-01", last: str = "2028-12-31", office: str = "prefeito") -> DataFrame:
+    """Suppliers who gave ``least_donation`` to an elected mayor and then hold a share of the town's contracts signed in the mandate: a
+    row by town, supplier and candidate, with details as JSON.
+
+    The donor is the origin of the money where it is named. The town's total counts contracts without a supplier too; a supplier's
+    donations are those to all elected candidates of the town. The buyer named is that of the town's smallest contract id.
+    """
+    town = lambda x: plain_text(F.col(x))
+    won = F.lower(F.trim("totalization_status")).startswith("eleito") & (F.lower(F.trim("office")) == office)
+    elected = candidacies.where(won & F.col("candidate_sequential").isNotNull()).select("candidate_sequential", "election_year", "candidate_name", "party", "ue_name", town("ue_name").alias("_city"), F.coalesce("uf", F.lit("")).alias("_uf"))
+    donor = F.nullif(F.regexp_replace(F.coalesce(F.nullif("donor_origin_document", F.lit("")), "donor_document"), r"\D", ""), F.lit(""))
+    given = donations.groupBy("election_year", "candidate_sequential", donor.alias("doc")).agg(F.sum(F.col("amount").cast("decimal(38,4)")).alias("_given")).where((F.col("_given") >= least_donation) & F.col("doc").isNotNull())
+    given = given.join(elected, ["election_year", "candidate_sequential"])
+    all_given = given.groupBy("_city", "_uf", "doc").agg(F.sum("_given").cast("double").alias("donated"))
+    signed = c.where(F.col("signature_date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).withColumns({"_city": town("city"), "_uf": F.coalesce("uf", F.lit(""))}).where("_city <> '' and _uf <> ''")
+    buyer = F.struct("city", F.col("agency").alias("name"), F.col("siafi").alias("siafi_code"), "uf")
+    towns = signed.groupBy("_city", "_uf").agg(F.sum("amount").cast("double").alias("town_total"), F.min_by(buyer, "id").alias("buyer"))
+    own = signed.where("doc is not null").groupBy("_city", "_uf", "doc").agg(F.sum("amount").cast("double").alias("supplier_total"), F.countDistinct("id").alias("contracts"))
+    out = own.join(towns, ["_city", "_uf"]).where("town_total > 0").withColumn("share", F.col("supplier_total") / F.col("town_total")).where(F.col("share") >= least_share)
+    out = out.join(all_given, ["_city", "_uf", "doc"]).join(given.drop("_given"), ["_city", "_uf", "doc"])
+    money = lambda x: rounded(F.col(x), 2)
+    candidate = F.struct("candidate_name", "election_year", "party", F.col("candidate_sequential").alias("sequential"), "ue_name", F.col("_uf").alias("uf"))
+    details = F.to_json(F.struct("buyer", money("town_total").alias("buyer_total_brl"), candidate.alias("candidate"), "contracts", money("supplier_total").alias("contracts_total_brl"), money("donated").alias("donation_total_brl"), F.col("doc").alias("donor_document"), "election_year",
+                                 F.lit(last).alias("mandate_end"), F.lit(first).alias("mandate_start"), F.lit("document").alias("match"), rounded(F.col("share")).alias("share")))
+    return out.select(F.col("_city").alias("city"), F.col("_uf").alias("uf"), "doc", "candidate_sequential", "election_year", money("donated").alias("donated"), "contracts", rounded(F.col("share")).alias("share"), rounded(F.least(F.lit(1.0), F.col("share") / full_share)).alias("score"), details.alias("details"))
 
 
 def eligibility(c: DataFrame, min_wins: int = 3) -> DataFrame:

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions.rounding import rounded_sql as R
 from ..operators import detectors as D
 from ..operators import marts as M
 from . import lens as L
 from .marts import c
 
-political = lambda s, d: D.political_links(c(s, d), L.donations(s, d), L.candidacies(s, d), least_share=0.0005)
+political = lambda s, d: D.political_links(c(s, d), L.latest(L.donations(s, d)), L.latest(L.candidacies(s, d)), least_share=0.0005, first="1993-01-01", last="1996-12-31")
 
 
 def connections(s, d):
-    from pyspark.sql import functions as F
-
-    found = political(s, d).withColumn("ibge_code", F.col("city"))
-    return M.political_connections(found.withColumn("dt", F.lit("2024-01-01")).unionByName(found.withColumn("dt", F.lit("2024-02-01"))))
+    found = political(s, d).select(F.lit("supplier").alias("entity_type"), F.col("doc").alias("entity_id"), F.lit("political_connection").alias("signal_type"), "score", "details")
+    gold = found.withColumn("dt", F.lit("2024-01-01")).unionByName(found.withColumn("dt", F.lit("2024-02-01")))
+    return M.political_connections(gold, L.candidacies(s, d), L.crosswalk(s, d), L.donations(s, d))
 
 
 QUERIES = {
@@ -28,8 +29,10 @@ QUERIES = {
     "fraud_signals": lambda s, d: D.fraud_signals(c(s, d)),
     "sanctioned_suppliers": lambda s, d: D.sanctioned_suppliers(c(s, d), L.sanctions(s, d)),
     "anomalous_geography": lambda s, d: D.anomalous_geography(c(s, d), L.establishments(s, d), L.municipalities(s, d)),
-    "political_links": political,
+    "political_links": lambda s, d: political(s, d).drop("details"),
     "political_connections": connections,
+    "dq_political_gates": lambda s, d: M.gates_broken(connections(s, d)).select("signal_id", "share", "score"),
+    "dq_political_unmasked": lambda s, d: M.unmasked(connections(s, d).withColumn("donor_document_masked", F.translate("donor_document_masked", "*", "0"))).select("signal_id", "donor_document_masked"),
     "collusion_eligibility": lambda s, d: D.eligibility(c(s, d)),
     "collusion_projection": lambda s, d: D.projected_pairs(D.eligibility(c(s, d), 2)),
     "collusion_pairs": lambda s, d: D.collusion_pairs(D.eligibility(c(s, d), 2)),
@@ -67,8 +70,14 @@ gg AS (SELECT sm.cnpj, ibge_code, contracts, total_amount, {km} AS km FROM sm JO
 POL = f"""sg AS (SELECT * FROM contracts WHERE signature_date BETWEEN DATE '1993-01-01' AND DATE '1996-12-31'),
 tw AS (SELECT city, CAST(sum(amount) AS DOUBLE) AS town FROM sg GROUP BY city),
 ow AS (SELECT city, uf, doc, CAST(sum(amount) AS DOUBLE) AS own, count(*) AS contracts FROM sg WHERE doc IS NOT NULL GROUP BY city, uf, doc),
-gv AS (SELECT CASE WHEN s_suppkey % 10 <> 9 THEN lpad(CAST(s_suppkey AS VARCHAR), 14, '0') ELSE lpad(CAST(s_suppkey AS VARCHAR), 11, '0') END AS doc, CAST((s_suppkey % 9) * 400 AS DOUBLE) AS donated, CAST(s_nationkey AS VARCHAR) AS candidate_sequential, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 = 0 AND s_nationkey % 6 <> 0),
-pl AS (SELECT ow.city, uf, ow.doc, candidate_sequential, 1992 AS election_year, donated, contracts, {R("own / town")} AS share, {R("least(1.0, own / town / 0.25)")} AS score FROM ow JOIN tw ON ow.city = tw.city JOIN gv ON gv.doc = ow.doc AND upper(n_name) = upper(ow.city) WHERE donated >= 1000 AND own / town >= 0.0005)"""
+gv AS (SELECT CASE WHEN s_suppkey % 10 <> 9 THEN lpad(CAST(s_suppkey AS VARCHAR), 14, '0') ELSE lpad(CAST(s_suppkey AS VARCHAR), 11, '0') END AS doc, CAST((s_suppkey % 9) * 400 AS DOUBLE) AS donated, s_nationkey, DATE '1992-08-01' + CAST(s_suppkey % 60 AS INTEGER) AS given_on, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 < 2 AND s_nationkey % 6 <> 0),
+tb AS (SELECT city, min_by(agency, id) AS buyer_name, min_by(siafi, id) AS buyer_siafi, min_by(city, id) AS buyer_city FROM sg GROUP BY city),
+pl AS (SELECT replace(upper(ow.city), '_', ' ') AS city, uf, ow.doc, CAST(s_nationkey AS VARCHAR) AS candidate_sequential, 1992 AS election_year, donated, contracts, {R("own / town")} AS share, {R("least(1.0, own / town / 0.25)")} AS score, own, town, s_nationkey AS k, given_on, buyer_name, buyer_siafi, n_name
+  FROM ow JOIN tw ON ow.city = tw.city JOIN tb ON tb.city = ow.city JOIN gv ON gv.doc = ow.doc AND upper(n_name) = upper(ow.city) WHERE donated >= 1000 AND own / town >= 0.0005),
+pc AS (SELECT upper(sha256(election_year || '|' || candidate_sequential || '|' || doc)) AS signal_id, '2024-02-01' AS signal_dt, election_year, CASE WHEN length(doc) = 11 THEN '***' || substr(doc, 4, 6) || '**' ELSE doc END AS donor_document_masked, CASE WHEN length(doc) = 11 THEN 'PF' ELSE 'PJ' END AS donor_document_type,
+  'Candidate ' || k AS candidate_name, 'P' || (k % 3) AS party, 'Prefeito' AS office, lpad(CAST(k AS VARCHAR), 5, '0') AS ue_code, {{initcap}} AS municipality, uf, CASE WHEN k % 3 <> 0 THEN 'SI' || k ELSE buyer_siafi END AS siafi_code, CASE WHEN k % 3 <> 0 THEN lpad(CAST(k AS VARCHAR), 7, '0') END AS ibge_code, buyer_name, contracts,
+  CAST(1 AS BIGINT) AS donations, given_on AS first_donation, given_on AS last_donation, donated AS donation_total_brl, {R("own", 2)} AS contracts_total_brl, {R("town", 2)} AS buyer_total_brl, share, score, DATE '1993-01-01' AS mandate_start, DATE '1996-12-31' AS mandate_end FROM pl)"""
+POL = POL.replace("{initcap}", "array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')")
 ELIG = "SELECT siafi AS buyer, cnpj AS supplier, count(*) AS wins FROM contracts WHERE cnpj IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= "
 PAIRS = f"""el AS ({ELIG}2), pr AS (SELECT x.supplier AS s1, y.supplier AS s2, count(*) AS buyer_count, sum(x.wins + y.wins) AS wins_sum, string_agg(x.buyer, ',' ORDER BY x.buyer) AS buyers FROM el x JOIN el y ON x.buyer = y.buyer AND x.supplier < y.supplier GROUP BY 1, 2 HAVING count(*) >= 2)"""
 PROJECT = "SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM {e} GROUP BY buyer)"
@@ -92,8 +101,10 @@ SQL = {
       UNION ALL SELECT 'buyer', siafi, 'concentration', hhi FROM hh WHERE contracts >= 3 UNION ALL SELECT * FROM (SELECT 'supplier', doc, 'anomalous_duration', {R("avg(CASE WHEN outlier THEN 1.0 ELSE 0.0 END)")} AS sc FROM oi WHERE doc IS NOT NULL AND duration IS NOT NULL GROUP BY doc HAVING count(*) >= 3) WHERE sc > 0""", benford(), RATE, HHI, DUR, IQR),
     "sanctioned_suppliers": q("SELECT c.doc, string_agg(DISTINCT s.id, ',' ORDER BY s.id) AS sanctions, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists, count(DISTINCT c.id) AS contracts, 1.0::DOUBLE AS score FROM contracts c JOIN sanctions s ON c.doc = s.doc AND signature_date BETWEEN start_date AND coalesce(end_date, DATE '9999-12-31') GROUP BY c.doc", L.SANCTIONS),
     "anomalous_geography": q(f"SELECT cnpj, ibge_code, contracts, total_amount, {R('km', 6)} AS distance_km, {R('least(1.0, km / 1000)')} AS score FROM gg WHERE km > 100", L.MUNICIPALITIES, GEO),
-    "political_links": q("SELECT upper(city) AS city, uf, doc, candidate_sequential, election_year, donated, contracts, share, score FROM pl", POL),
-    "political_connections": q("SELECT upper(sha256(election_year || '|' || candidate_sequential || '|' || doc)) AS key, CASE WHEN length(doc) = 11 THEN '***' || substr(doc, 4, 6) || '**' ELSE doc END AS document, CASE WHEN length(doc) = 11 THEN 'PF' ELSE 'PJ' END AS person_type, candidate_sequential, election_year, score FROM pl", POL),
+    "political_links": q("SELECT city, uf, doc, candidate_sequential, election_year, donated, contracts, share, score FROM pl", POL),
+    "political_connections": q("SELECT * FROM pc", POL),
+    "dq_political_gates": q("SELECT signal_id, share, score FROM pc WHERE share < 0.05", POL),
+    "dq_political_unmasked": q("SELECT signal_id, replace(donor_document_masked, '*', '0') AS donor_document_masked FROM pc WHERE donor_document_type = 'PF'", POL),
     "collusion_eligibility": q(f"{ELIG}3"),
     "collusion_projection": q(f"SELECT 'unblocked' AS kind, CAST(({PROJECT.format(e='el')}) AS BIGINT) AS pairs UNION ALL SELECT 'blocked', CAST(({PROJECT.format(e='bl')}) AS BIGINT)", f"el AS ({ELIG}2)", "bl AS (SELECT * FROM el WHERE supplier IN (SELECT supplier FROM el GROUP BY supplier HAVING count(DISTINCT buyer) >= 2))"),
     "collusion_pairs": q("SELECT s1, s2, buyer_count, CAST(wins_sum AS BIGINT) AS wins_sum, buyers FROM pr", PAIRS),
