@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detectors, marts, others
+from . import detectors, marts, others, raw
 
 FLAGSHIP = "contracts_daily"
-GROUPS = [marts, detectors, others]
+GROUPS = [marts, detectors, others, raw]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
