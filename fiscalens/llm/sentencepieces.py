@@ -25,6 +25,8 @@ LONG = 48
 #: Slots of words with a tree of decisions, and nodes and ids held before trees start anew.
 SLOTS, MOST_NODES, MOST_IDS = 1 << 19, 2 << 20, 3 << 20
 SPACE = "▁"
+#: Symbols from here on are characters that are no piece, by code point.
+OTHER = 0x40000000
 _loaded: dict[tuple, Pieces] = {}
 
 
@@ -52,13 +54,12 @@ class Paths:
             self.span, self.child = np.append(self.span, np.zeros(more, np.uint64)), np.append(self.child, np.zeros(2 * more, np.int32))
             self.off, self.size = np.append(self.off, np.zeros(more, np.int64)), np.append(self.size, np.zeros(more, np.int32))
 
-    def _hold(self, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Where the id lists stand in the pool, and their sizes."""
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(size.sum())
+    def _hold(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where lists of ids, joined, stand in the pool, and their sizes."""
+        total = len(ids)
         if self.used + total > len(self.pool):
             self.pool = np.append(self.pool[: self.used], np.zeros(max(1 << 20, 2 * total), np.int32))
-        self.pool[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
+        self.pool[self.used : self.used + total] = ids
         off = self.used + np.cumsum(size) - size
         self.used += total
         return off, size
@@ -81,7 +82,7 @@ class Paths:
         self.span[at], self.off[at] = span[new], -1
         self.child[2 * at + keep[new]], self.child[2 * at + ~keep[new]] = at + 1, -1
         leaf = base + nodes - 1
-        self.off[leaf], self.size[leaf] = self._hold(found)
+        self.off[leaf], self.size[leaf] = self._hold(*found)
         return base
 
     def ids(self, data: np.ndarray, at: np.ndarray, cuts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +95,9 @@ class Paths:
         raw = data.tobytes()
         off, size = np.zeros(len(cuts), np.int64), np.zeros(len(cuts), np.int64)
         long = np.flatnonzero(ends - cuts > LONG)
-        off[long], size[long] = self._hold([self.model.by_heap(raw[cuts[i] : ends[i]], int(places[i])) for i in long.tolist()])
+        if len(long):
+            found = [self.model.by_heap(raw[cuts[i] : ends[i]], int(places[i])) for i in long.tolist()]
+            off[long], size[long] = self._hold(np.array([x for f in found for x in f], np.int32), np.fromiter(map(len, found), np.int64, len(found)))
         short = np.flatnonzero(ends - cuts <= LONG)
         begin, end, place = cuts[short], ends[short], places[short]
         name = word_hashes(data, cuts, ends)[short] | np.uint64(1)
@@ -153,7 +156,11 @@ class Pieces:
             raise ValueError("a model without byte fallback is not lossless")
         if any(SPACE in x.lstrip(SPACE) for x in self.normal):
             raise ValueError("the model has pieces across words")
-        self.symbols = dict(self.normal)  # characters that are no piece get numbers behind the pieces
+        self.symbol = np.arange(0x110000, dtype=np.int32) + OTHER  # by code point: characters that are no piece get numbers behind the pieces
+        for x, i in self.normal.items():
+            if len(x) == 1 and x != SPACE:
+                self.symbol[ord(x)] = i
+        self.symbol[ord(" ")] = self.normal.get(SPACE, OTHER + ord(" "))
         pairs = sorted((self.normal[x[:k]] * n + self.normal[x[k:]], i) for x, i in self.normal.items() for k in range(1, len(x)) if x[:k] in self.normal and x[k:] in self.normal)
         bits = 1 << max(4, (4 * len(pairs)).bit_length())  # an open table with linear probing
         self.mask, self.pair_key, self.pair_id = bits - 1, np.full(bits, -1, np.int64), np.zeros(bits, np.int32)
@@ -188,21 +195,27 @@ class Pieces:
             slot[left] = (slot[left] + 1) & self.mask
         return out
 
-    def _symbol(self, c: str) -> int:
-        if (found := self.symbols.get(c)) is None:
-            if len(self.symbols) > 1 << 17:
-                self.symbols = dict(self.normal)
-            found = self.symbols[c] = 0x40000000 + ord(c[-1])
-        return found
-
-    def _start(self, word: bytes) -> list[int]:
-        symbol = self._symbol
-        return [symbol(SPACE) if c == " " else 0x40000000 + ord(SPACE) if c == SPACE else symbol(c) for c in word.decode()]
-
-    def _out(self, symbols: list[int]) -> list[int]:
-        if all(s < self.n for s in symbols):
-            return symbols
-        return [i for s in symbols for i in ([s] if s < self.n else [self.byte[bytes([b])] for b in chr(s - 0x40000000).encode()])]
+    def _start(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The characters of all words as symbols, joined, and how many each word has."""
+        raw = b"".join(words)
+        lead = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+        sizes = np.diff(lead[np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])])
+        return self.symbol[np.frombuffer(raw.decode().encode("utf-32-le"), "<u4")].astype(np.int64), sizes
+
+    def _out(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of final symbols, and how many each word has: a character that is no piece becomes its bytes."""
+        rare = np.flatnonzero(symbols >= self.n)
+        if not len(rare):
+            return symbols.astype(np.int32), sizes
+        found = [[self.byte[bytes([b])] for b in chr(c).encode()] for c in (symbols[rare] - OTHER).tolist()]
+        wide = np.ones(len(symbols), np.int64)
+        wide[rare] = list(map(len, found))
+        ids = np.repeat(symbols, wide)
+        first = np.cumsum(wide) - wide
+        for at, own in zip(first[rare].tolist(), found, strict=True):
+            ids[at : at + len(own)] = own
+        upto = np.concatenate([[0], np.cumsum(wide)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return ids.astype(np.int32), np.diff(upto)
 
     def key_of(self, places: np.ndarray) -> np.ndarray:
         """The keys of decisions at places (a place: a number for document and position)."""
@@ -210,7 +223,7 @@ class Pieces:
 
     def by_heap(self, word: bytes, variant: int) -> list[int]:
         """A word's pieces by an agenda of its own; for words of any length."""
-        symbols = self._start(word)
+        symbols = self._start([word])[0].tolist()
         size = len(symbols)
         left, right, width = list(range(-1, size - 1)), list(range(1, size + 1)), [1] * size
         agenda: list[tuple[float, int, int, int, int]] = []
@@ -239,7 +252,8 @@ class Pieces:
             if right[j] < size:
                 left[right[j]] = i
             offer(np.array([left[i], i]))
-        return self._out([s for s in symbols if s >= 0])
+        left_over = np.array([s for s in symbols if s >= 0], np.int64)
+        return self._out(left_over, np.array([len(left_over)]))[0].tolist()
 
     def _encode(self, words: list[bytes], variants: np.ndarray) -> list[list[int]]:
         out: list = [None] * len(words)
@@ -249,17 +263,16 @@ class Pieces:
                 out[k] = self.by_heap(w, int(variants[k]))
         for lo in range(0, len(short), 20_000):
             own = short[lo : lo + 20_000]
-            for k, ids in zip(own, self._together([words[k] for k in own], variants[own]), strict=True):
-                out[k] = ids
+            ids, sizes = self._together([words[k] for k in own], variants[own])
+            for k, one in zip(own, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                out[k] = one
         return out
 
-    def _together(self, words: list[bytes], variants: np.ndarray, trace: list | None = None) -> list[list[int]]:
-        """Pieces of many short words: in each round, every word merges or skips its best candidate. trace: gets, for each round, words'
-        numbers, their candidates' spans, and whether these were merged."""
-        start = [self._start(w) for w in words]
-        sizes = np.fromiter(map(len, start), np.int64, len(start))
+    def _together(self, words: list[bytes], variants: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of many short words, joined, and how many each word has: in each round, every word merges or skips its best candidate.
+        trace: gets, for each round, words' numbers, their candidates' spans, and whether these were merged."""
+        symbol, sizes = self._start(words)
         word = np.repeat(np.arange(len(words)), sizes)
-        symbol = np.fromiter((s for x in start for s in x), np.int64, int(sizes.sum()))
         place = np.arange(len(symbol)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         stop = place + 1
         key = self.key_of(np.asarray(variants, np.int64))
@@ -308,10 +321,8 @@ class Pieces:
             w, p, s = (np.concatenate([d[i] for d in done]) for i in range(3))
             order = np.lexsort((p, w))
             w, s = w[order], s[order]
-            ends = np.cumsum(np.bincount(w, minlength=len(words)))
-            flat_ids, ends = s.tolist(), ends.tolist()
-            return [self._out(flat_ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-        return [[] for _ in words]
+            return self._out(s, np.bincount(w, minlength=len(words)))
+        return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
 
     def encode(self, column: pa.Array, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has. keys: decide, with a word's place in its text, which merges are skipped; without them none is."""
