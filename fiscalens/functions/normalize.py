@@ -28,6 +28,17 @@ def plain_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(bare, "[^A-Z0-9]+", " "))
 
 
+def bare_upper(x: Column) -> Column:
+    """Upper case without marks, with single spaces; other characters stay."""
+    return F.trim(F.regexp_replace(F.upper(F.translate(x, _LETTERS, _BARE)), r"\s+", " "))
+
+
+def first_letters(bare: set[str]) -> str:
+    """A pattern of texts whose bare_upper begins with one of these characters."""
+    found = sorted(bare | {x.lower() for x in bare} | {c for c, b in zip(_LETTERS, _BARE, strict=False) if b.upper() in bare})
+    return r"^[\s\u0300-\u036f]*[" + "".join(f"\\u{ord(c):04x}" for c in found) + "]"
+
+
 def sorted_words(x: Column) -> Column:
     """plain_text with its words sorted: a name whatever the order of its parts."""
     return F.array_join(F.array_sort(F.split(plain_text(x), " ")), " ")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import plain_text
 from ..functions.rounding import rounded
+from ..functions.storage import written
 from .marts import non_competitive, total
+from .quality import quantiles
 
 SIGNAL = ["entity_type", "entity_id", "signal_type", "score"]
 
@@ -58,7 +60,7 @@ def duration_outliers(c: DataFrame, method: str = "iqr") -> DataFrame:
     """Contracts with outlier: duration beyond the pooled quartiles by 1.5 ranges, or beyond 3 population deviations. NULL is no outlier."""
     d = with_duration(c)
     if method == "iqr":
-        fence = d.agg(F.percentile("duration", F.lit(0.25)).alias("_q1"), F.percentile("duration", F.lit(0.75)).alias("_q3"))
+        fence = quantiles(d, "duration", [0.25, 0.75]).select(F.col("q0").alias("_q1"), F.col("q1").alias("_q3"))
         range_ = F.col("_q3") - F.col("_q1")
         outlier = (F.col("duration") < F.col("_q1") - 1.5 * range_) | (F.col("duration") > F.col("_q3") + 1.5 * range_)
     elif method == "zscore":
@@ -72,7 +74,7 @@ def duration_outliers(c: DataFrame, method: str = "iqr") -> DataFrame:
 def duration_share(c: DataFrame, minimum: int = 4) -> DataFrame:
     """By supplier: share of durations that are outliers within the supplier's own quartiles."""
     d = with_duration(c).where("doc is not null and duration is not null")
-    own = d.groupBy("doc").agg(F.percentile("duration", F.lit(0.25)).alias("_q1"), F.percentile("duration", F.lit(0.75)).alias("_q3"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= minimum)
+    own = quantiles(d, "duration", [0.25, 0.75], ["doc"]).select("doc", F.col("q0").alias("_q1"), F.col("q1").alias("_q3"), "n").where(F.col("n") >= minimum)
     range_ = F.col("_q3") - F.col("_q1")
     hit = (F.col("duration") < F.col("_q1") - 1.5 * range_) | (F.col("duration") > F.col("_q3") + 1.5 * range_)
     return d.join(own, "doc").groupBy("doc").agg(F.first("n").alias("n"), rounded(F.avg(hit.cast("double"))).alias("share"))
@@ -104,19 +106,33 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * 6371.0 * F.asin(F.sqrt(a))
 
 
+def supplier_company(c: DataFrame, companies: DataFrame) -> DataFrame:
+    """Company suppliers linked to the registry's company of their number's first eight digits: cnpj, cnpj_basico, score 1."""
+    s = c.where("length(cnpj) = 14").select("cnpj").distinct().withColumn("cnpj_basico", F.substring("cnpj", 1, 8))
+    return s.join(companies.select("cnpj_basico").distinct(), "cnpj_basico").select("cnpj", "cnpj_basico", F.lit(1.0).alias("score"))
+
+
+def seats(establishments: DataFrame, codes: DataFrame, places: DataFrame) -> DataFrame:
+    """The places of establishments by way of the registry's own town codes: cnpj, ibge_code, latitude, longitude. An establishment whose
+    code, name or state leads nowhere is not there, and a head office that resolves comes before branches."""
+    named = establishments.where("length(cnpj) = 14").join(codes.select(F.col("tom_code").alias("municipio"), F.col("name").alias("city")), "municipio")
+    return supplier_places(named, places)
+
+
 def supplier_places(establishments: DataFrame, places: DataFrame) -> DataFrame:
-    """A place by supplier among those that resolve: the head office, else the first branch by name."""
-    p = places.select(F.upper("name").alias("_name"), F.col("uf").alias("_uf"), "ibge_code", "latitude", "longitude")
-    found = establishments.join(p, (F.upper("city") == F.col("_name")) & (F.col("uf") == F.col("_uf")))
+    """A place by supplier among those that resolve: the head office, else the branch of the smallest code."""
+    p = places.select(plain_text(F.col("name")).alias("_name"), F.upper("uf").alias("_uf"), "ibge_code", "latitude", "longitude")
+    p = p.groupBy("_name", "_uf").agg(F.min(F.struct("ibge_code", "latitude", "longitude")).alias("_p")).select("_name", "_uf", "_p.*")
+    found = establishments.join(p, (plain_text(F.col("city")) == F.col("_name")) & (F.upper(F.trim("uf")) == F.col("_uf")))
     return found.groupBy("cnpj").agg(F.min_by(F.struct("ibge_code", "latitude", "longitude"), F.struct(~F.col("is_matriz"), F.col("ibge_code"))).alias("p")).select("cnpj", "p.*")
 
 
 def anomalous_geography(c: DataFrame, establishments: DataFrame, places: DataFrame, least_km: float = 100.0) -> DataFrame:
     """By company and buyer's place: contracts, amount and distance where it is beyond ``least_km``; score is thousands of km, 1 at most."""
     home = supplier_places(establishments, places).select("cnpj", F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"))
-    buyer = places.select(F.upper("name").alias("_name"), F.col("uf").alias("_uf"), "ibge_code", "latitude", "longitude")
+    buyer = places.select(plain_text(F.col("name")).alias("_name"), F.col("uf").alias("_uf"), "ibge_code", "latitude", "longitude")
     sums = c.where("length(cnpj) = 14").groupBy("cnpj", "city", "uf").agg(F.count(F.lit(1)).alias("contracts"), total().alias("total_amount"))
-    out = sums.join(buyer, (F.upper("city") == F.col("_name")) & (F.col("uf") == F.col("_uf"))).join(home, "cnpj")
+    out = sums.join(buyer, (plain_text(F.col("city")) == F.col("_name")) & (F.col("uf") == F.col("_uf"))).join(home, "cnpj")
     out = out.withColumn("km", haversine_km(F.col("_la"), F.col("_lo"), F.col("latitude"), F.col("longitude"))).where(F.col("km") > least_km)
     return out.select("cnpj", "ibge_code", "contracts", "total_amount", rounded(F.col("km"), 6).alias("distance_km"), rounded(F.least(F.lit(1.0), F.col("km") / 1000)).alias("score"))
 
@@ -165,26 +181,66 @@ def projected_pairs(eligible: DataFrame, min_buyers: int = 2) -> DataFrame:
     return count(eligible).select(F.lit("unblocked").alias("kind"), "pairs").unionByName(count(blocked(eligible, min_buyers)).select(F.lit("blocked").alias("kind"), "pairs"))
 
 
-def collusion_pairs(eligible: DataFrame, min_buyers: int = 2, most_pairs: int | None = None) -> DataFrame:
+#: Suppliers of a buyer that meet in one cell.
+CELL = 512
+
+
+def collusion_pairs(eligible: DataFrame, min_buyers: int = 2, most_pairs: int | None = 1_000_000) -> DataFrame:
     """Pairs of companies that win together at ``min_buyers`` buyers: buyers, their number and the wins of both there.
 
-    With ``most_pairs`` the projection is counted first, and a larger one raises instead of exploding.
+    The projection is counted first, and one of more than ``most_pairs`` raises instead of exploding; None lets any pass. A buyer of more
+    than CELL suppliers falls into parts, and each pair of parts is joined by itself.
     """
-    b = blocked(eligible, min_buyers)
+    eligible = written(eligible, "eligible")
+    b = written(blocked(eligible, min_buyers), "blocked")
     if most_pairs is not None and (n := projected_pairs(eligible, min_buyers).where("kind = 'blocked'").first()["pairs"]) > most_pairs:
         raise ValueError(f"{n} projected pairs are more than {most_pairs}")
-    x, y = b.select("buyer", F.col("supplier").alias("s1"), F.col("wins").alias("_w1")), b.select("buyer", F.col("supplier").alias("s2"), F.col("wins").alias("_w2"))
-    pairs = x.join(y, "buyer").where("s1 < s2").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("buyer_count"), F.sum(F.col("_w1") + F.col("_w2")).alias("wins_sum"), F.array_join(F.array_sort(F.collect_set("buyer")), ",").alias("buyers"))
+    size = b.groupBy("buyer").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("long").alias("_parts"))
+    dealt = b.join(size, "buyer").withColumn("_part", F.pmod(F.xxhash64("supplier"), F.col("_parts"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    dealt = dealt.withColumns({"_u": F.least("_part", "_other"), "_v": F.greatest("_part", "_other")})
+    x, y = (dealt.select("buyer", "_u", "_v", F.col("_part").alias(f"_p{i}"), F.col("supplier").alias(f"s{i}"), F.col("wins").alias(f"_w{i}")) for i in (1, 2))
+    met = x.join(y, ["buyer", "_u", "_v"]).where("s1 < s2 and (_u = _v or _p1 <> _p2)")
+    pairs = met.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("buyer_count"), F.sum(F.col("_w1") + F.col("_w2")).alias("wins_sum"), F.array_join(F.array_sort(F.collect_set("buyer")), ",").alias("buyers"))
     return pairs.where(F.col("buyer_count") >= min_buyers)
 
 
 def ranked(pairs: DataFrame, top_k: int = 500) -> DataFrame:
     """The first ``top_k`` pairs with the share of all pairs that they are (1 if there are none)."""
+    pairs = written(pairs, "pairs")
     top = pairs.orderBy(F.desc("buyer_count"), F.desc("wins_sum"), "s1", "s2").limit(top_k)
     share = pairs.agg(F.count(F.lit(1)).alias("_n")).select(rounded(F.least(F.lit(1.0), F.lit(top_k) / F.greatest(F.col("_n"), F.lit(1)))).alias("coverage"))
     return top.crossJoin(F.broadcast(share))
 
 
+def collusion_signals(top: DataFrame) -> DataFrame:
+    """Ranked pairs as signals: the pair as entity, score 1."""
+    return top.select(F.lit("supplier_pair").alias("entity_type"), F.concat_ws("+", "s1", "s2").alias("entity_id"), F.lit("collusion").alias("signal_type"), F.lit(1.0).alias("score"), "buyers", "wins_sum")
+
+
+def wins_histogram(c: DataFrame, top: int = 10) -> DataFrame:
+    """Pairs of buyer and company by number of contracts, those of ``top`` or more together."""
+    won = eligibility(c, 1)
+    return won.groupBy(F.least("wins", F.lit(top).cast("long")).alias("wins")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def daily_increment(c: DataFrame, days: int = 30, min_wins: int = 2, min_buyers: int = 2) -> DataFrame:
+    """Projected pairs that a day adds, as a mean of the last ``days`` days: all pairs, those without that window, and their difference a day."""
+    last = c.agg(F.max("signature_date").alias("_last"))
+    before = c.join(F.broadcast(last)).where(F.col("signature_date") <= F.date_sub("_last", days)).drop("_last")
+    count = lambda df, name: projected_pairs(eligibility(df, min_wins), min_buyers).where("kind = 'blocked'").select(F.col("pairs").alias(name))
+    return count(c, "all_pairs").crossJoin(count(before, "older_pairs")).withColumn("a_day", rounded((F.col("all_pairs") - F.col("older_pairs")) / days))
+
+
+def first_candidate(grid: DataFrame, most_pairs: int = 1_000_000) -> DataFrame:
+    """The loosest thresholds of a calibration grid whose projection keeps to the budget; no row if none does."""
+    return grid.where(F.col("pairs") <= most_pairs).orderBy("min_wins", "min_buyers").limit(1)
+
+
+def single_bid_rate(bids: DataFrame, key: str) -> DataFrame:
+    """By key the share of biddings with a single participant."""
+    return bids.groupBy(key).agg(F.count(F.lit(1)).alias("biddings"), rounded(F.coalesce(F.avg((F.col("participants") == 1).cast("double")), F.lit(0.0))).alias("rate"))
+
+
 def calibration(c: DataFrame, wins: tuple[int, ...] = (2, 3, 4), buyers: tuple[int, ...] = (2, 3)) -> DataFrame:
     """Projected pairs, with blocking, for a grid of thresholds."""
     out = None
@@ -196,23 +252,28 @@ def calibration(c: DataFrame, wins: tuple[int, ...] = (2, 3, 4), buyers: tuple[i
     return out
 
 
-def risk_index(c: DataFrame) -> DataFrame:
+def risk_index(c: DataFrame, forest: DataFrame | None = None) -> DataFrame:
     """Weighted mean by supplier (none is 'unknown') of the signals that pass their gates: non-competitive share .35, buyer concentration
-    .35, Benford .15, own durations .15; alert from .7."""
-    s = c.withColumn("doc", F.coalesce("doc", F.lit("unknown")))
+    .35, price .15 (the larger of Benford's deviation and the share of ``forest``: doc, forest_rate), own durations .15; alert from .7."""
+    s = c.select("siafi", "modality", "amount", "validity_start", "validity_end", F.coalesce("doc", F.lit("unknown")).alias("doc"))
     by_buyer = s.groupBy("siafi", "doc").agg(F.sum("amount").cast("double").alias("s"))
     share = F.col("s") / F.sum("s").over(Window.partitionBy("siafi"))
     focus = by_buyer.withColumn("_q", share * share).withColumn("hhi", F.sum("_q").over(Window.partitionBy("siafi"))).groupBy("doc").agg(rounded(F.max("hhi")).alias("hhi"))
     out = non_competitive_rate(s).join(focus, "doc", "left").join(benford(s).select("doc", "p_value", "deviation"), "doc", "left").join(duration_share(s).select("doc", "share"), "doc", "left")
-    parts = [(F.col("rate") >= 0.5, F.col("rate"), 0.35), (F.col("hhi") >= 0.25, F.col("hhi"), 0.35), (F.col("p_value") < 0.05, F.col("deviation"), 0.15), (F.col("share") >= 0.2, F.col("share"), 0.15)]
+    out = out.join(forest.select("doc", "forest_rate"), "doc", "left") if forest is not None else out.withColumn("forest_rate", F.lit(None).cast("double"))
+    price = F.greatest(F.when(F.col("p_value") < 0.05, F.col("deviation")), F.when(F.col("forest_rate") >= 0.2, F.col("forest_rate")))
+    parts = [(F.col("rate") >= 0.5, F.col("rate"), 0.35), (F.col("hhi") >= 0.25, F.col("hhi"), 0.35), (price.isNotNull(), F.coalesce(price, F.lit(0.0)), 0.15), (F.col("share") >= 0.2, F.col("share"), 0.15)]
     weight = sum((F.when(gate, F.lit(w)).otherwise(0.0) for gate, _, w in parts), F.lit(0.0))
     value = sum((F.when(gate, x * w).otherwise(0.0) for gate, x, w in parts), F.lit(0.0))
     index = rounded(F.coalesce(value / F.nullif(weight, F.lit(0.0)), F.lit(0.0)))
     return out.select("doc", "contracts", index.alias("risk")).withColumn("alert", F.col("risk") >= 0.7)
 
 
-def municipal_ranking(c: DataFrame, top_k: int = 50) -> DataFrame:
-    """Towns by half their concentration plus half their non-competitive share; persons without company number are one group."""
+def municipal_ranking(c: DataFrame, top_k: int = 50, uf: str | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Towns by half their concentration plus half their non-competitive share, of a state and a period of signatures if these are given;
+    persons without company number are one group."""
+    for some, given in ((F.col("uf") == uf, uf), (F.col("signature_date") >= F.lit(first).cast("date"), first), (F.col("signature_date") <= F.lit(last).cast("date"), last)):
+        c = c if given is None else c.where(some)
     by = c.groupBy("city", "uf", "cnpj").agg(F.sum("amount").cast("double").alias("s"), F.count(F.lit(1)).alias("n"), F.count_if(non_competitive(F.col("modality")) == 1).alias("k"))
     share = F.col("s") / F.sum("s").over(Window.partitionBy("city", "uf"))
     town = by.withColumn("_q", share * share).groupBy("city", "uf").agg(F.sum("n").alias("contracts"), rounded(F.sum("_q")).alias("hhi"), rounded(F.sum("k") / F.sum("n")).alias("rate"))

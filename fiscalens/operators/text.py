@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
+from ..functions.normalize import bare_upper, first_letters, sorted_words
 from ..functions.rounding import rounded
 
 
@@ -21,9 +23,9 @@ def normalize_name(x: str | None) -> str:
     return " ".join(sorted("".join(c if c.isascii() and (c.isalnum()) else " " for c in bare).split()))
 
 
-@F.pandas_udf(StringType())
-def normalized(names: pd.Series) -> pd.Series:
-    return names.map(normalize_name)
+def normalized(name: str) -> Column:
+    """normalize_name of a column, for the Latin blocks."""
+    return sorted_words(F.col(name))
 
 
 @F.pandas_udf(DoubleType())
@@ -38,18 +40,34 @@ def documents_match(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & F.when(F.length(x) <= F.length(y), F.contains(y, x)).otherwise(F.contains(x, y))
 
 
+#: Rows of a name block that meet in one cell.
+CELL = 256
+
+
 def resolve_people(people: DataFrame, threshold: float = 0.85) -> DataFrame:
     """people (id, name, document, age_range) as scored pairs that merge: .6 name + .3 document + .1 equal age range.
 
-    Pairs share a block: the digits of the document, or the first sorted token of the name.
+    Pairs share a block: the digits of the document, or the first sorted token of the name. A block of more than CELL rows falls into
+    parts, of which each pair is compared by itself. Equal names are compared once: a pair of names must be as similar as its score
+    needs at least, which their lengths rule out before they are aligned.
     """
     p = people.withColumn("_name", normalized("name")).withColumn("_digits", F.regexp_replace(F.coalesce("document", F.lit("")), r"\D", ""))
     keys = F.array_compact(F.array(F.when(F.col("_digits") != "", F.concat(F.lit("doc:"), "_digits")), F.when(F.col("_name") != "", F.concat(F.lit("tok:"), F.substring_index("_name", " ", 1)))))
     b = p.select("id", "_name", "document", "age_range", F.explode(keys).alias("_key"))
-    left = b.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "_name", "document", "age_range")], "_key")
-    pairs = left.join(b, "_key").where("a_id < id").dropDuplicates(["a_id", "id"])
-    score = 0.6 * name_similarity("a__name", "_name") + 0.3 * documents_match(F.col("a_document"), F.col("document")).cast("double") + 0.1 * F.coalesce((F.col("a_age_range") == F.col("age_range")).cast("double"), F.lit(0.0))
-    return pairs.withColumn("score", rounded(score, 6)).where(F.col("score") >= threshold).select(F.col("a_id").alias("id_a"), F.col("id").alias("id_b"), "score")
+    size = b.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key", F.ceil(F.col("_n") / CELL).cast("long").alias("_parts"))
+    b = b.join(size, "_key").withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")))
+    b = b.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    b = b.withColumns({"_u": F.least("_part", "_other"), "_v": F.greatest("_part", "_other")}).drop("_other", "_parts")
+    left = b.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "_name", "document", "age_range")], F.col("_part").alias("_ap"), "_key", "_u", "_v")
+    pairs = left.join(b, ["_key", "_u", "_v"]).where("a_id < id and (_u = _v or _ap <> _part)")
+    rest = 0.3 * documents_match(F.col("a_document"), F.col("document")).cast("double") + 0.1 * F.coalesce((F.col("a_age_range") == F.col("age_range")).cast("double"), F.lit(0.0))
+    long, short = F.greatest(F.length("a__name"), F.length("_name")), F.least(F.length("a__name"), F.length("_name"))
+    needed = (threshold - F.col("_rest")) / 0.6
+    pairs = pairs.withColumn("_rest", rest).where(2 * short / F.greatest(long + short, F.lit(1)) >= needed - 1e-9).dropDuplicates(["a_id", "id"])
+    names = pairs.select("a__name", "_name").distinct()
+    names = names.withColumn("_s", name_similarity("a__name", "_name"))
+    score = rounded(0.6 * F.col("_s") + F.col("_rest"), 6)
+    return pairs.join(names, ["a__name", "_name"]).withColumn("score", score).where(F.col("score") >= threshold).select(F.col("a_id").alias("id_a"), F.col("id").alias("id_b"), "score")
 
 
 def _slack(length: int, threshold: float) -> int:
@@ -92,7 +110,7 @@ def fuzzy_screening(c: DataFrame, sanctions: DataFrame, assisted: float = 0.85,
     """Suppliers whose name, and masked document if there is one, is a sanctioned one's while a contract was signed: by entity and list
     the best score, sanctions and contracts.
 
-    sanctions has id, list_name, sanctioned_name, document, start_date and end_date. A masked document must have six digits or more that
+    sanctions has id, list_name, sanctioned_name, document, start_date and end_date. The digits of a masked document must
     lie within the supplier's, and then .6 name + .4 counts from ``assisted``; where one side has no document, the name alone counts from
     ``name_only``. Two full documents are the exact screening's matter. Suppliers without a document are entities by their name.
     """
@@ -101,10 +119,15 @@ def fuzzy_screening(c: DataFrame, sanctions: DataFrame, assisted: float = 0.85,
     signed = c.select("id", "doc", "signature_date", "legal_name").distinct().withColumn("b", normalized("legal_name")).withColumn("entity", F.coalesce("doc", F.nullif(F.col("b"), F.lit("")))).where("entity is not null")
     t = signed.select("entity", "doc", "b").distinct()
     by_name = s.join(near_names(s.select("a"), t.select("b"), name_only), "a").join(t, "b").where("_digits is null or doc is null").select("sanction", "entity", F.col("similarity").alias("_score"))
-    six = F.explode(F.transform(F.sequence(F.lit(1), F.length("doc") - 5), lambda i: F.substr("doc", i, F.lit(6))))
-    part = t.where("length(doc) >= 6").select("entity", "doc", "b", six.alias("_six")).distinct()
-    hidden = s.where("_masked and length(_digits) >= 6").withColumn("_six", F.substring("_digits", 1, 6))
-    by_document = hidden.join(part, "_six").where(F.contains("doc", "_digits")).select("sanction", "entity", (0.6 * name_similarity("a", "b") + 0.4).alias("_score")).where(F.col("_score") >= assisted)
+    least = (assisted - 0.4) / 0.6  # a name less similar cannot reach ``assisted``
+    hidden = s.where("_masked and _digits is not null")
+    known = t.where("doc <> ''").withColumn("_n", F.length("doc"))
+    lengths = hidden.select(F.length("_digits").alias("_k")).distinct()  # a few rows, as documents have 14 digits at most
+    known = known.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).join(F.broadcast(lengths), "_k")
+    pieces = known.select("entity", "doc", "b", F.explode(F.transform(F.sequence(F.lit(1), F.col("_n") - F.col("_k") + 1), lambda i: F.substr("doc", i, F.col("_k")))).alias("_digits")).distinct()
+    met = hidden.join(pieces, "_digits").where(2 * F.least(F.length("a"), F.length("b")) >= least * (F.length("a") + F.length("b")) - 1e-9)
+    scores = met.select("a", "b").distinct().withColumn("_ratio", name_similarity("a", "b"))
+    by_document = met.join(scores, ["a", "b"]).select("sanction", "entity", (0.6 * F.col("_ratio") + 0.4).alias("_score")).where(F.col("_score") >= assisted)
     found = by_name.unionByName(by_document).groupBy("sanction", "entity").agg(F.max("_score").alias("_score")).join(s.select("sanction", "list_name", "start_date", "end_date"), "sanction")
     hit = signed.select("id", "entity", "signature_date").join(found, "entity").where(F.col("signature_date").between(F.col("start_date"), F.coalesce("end_date", F.lit("9999-12-31").cast("date"))))
     return hit.groupBy("entity", "list_name").agg(rounded(F.max("_score")).alias("score"), F.countDistinct("sanction").alias("sanctions"), F.countDistinct("id").alias("contracts"))
@@ -117,7 +140,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norm)))
 
 
-def vector_search(vectors: DataFrame, query: list[float], top_k: int = 10) -> DataFrame:
+def vector_search(vectors: DataFrame, query: list[float], top_k: int = 10, collection: str | None = None) -> DataFrame:
+    """The ``top_k`` vectors, of a collection if one is named, with the largest positive cosine to the query."""
+    if collection is not None:
+        vectors = vectors.where(F.col("collection") == collection)
     q = F.array(*[F.lit(float(x)) for x in query])
     found = vectors.select("vec_id", cosine(F.col("embedding").cast("array<double>"), q).alias("_s")).where("_s > 0")
     return found.withColumn("similarity", rounded(F.col("_s"), 6)).drop("_s").orderBy(F.desc("similarity"), "vec_id").limit(top_k)
@@ -127,6 +153,23 @@ def notice_id(territory: Column, date: Column, edition: Column, index: Column) -
     return F.substring(F.sha2(F.concat_ws("|", territory, date.cast("string"), edition.cast("string"), index.cast("string")), 256), 1, 16)
 
 
+def pair_key(a: Column, b: Column) -> Column:
+    """The key by which a pair of notices is reviewed, whichever comes first."""
+    return F.sha2(F.concat_ws("+", F.least(a, b), F.greatest(a, b)), 256)
+
+
+def hashed_words(text: Column, dims: int = 64) -> Column:
+    """A text as counts of its words by a hash, for use where no better encoder is at hand."""
+    bins = F.transform(F.split(F.lower(text), " "), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"), F.lit(dims)))
+    counted = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.size(F.filter(own, lambda x: x == b)).cast("double"))
+    return F.element_at(F.transform(F.array(bins), counted), 1)  # words are hashed once, before they are counted
+
+
+def semantic_gap(pairs: DataFrame, a: str, b: str, encode: Callable[[Column], Column] = hashed_words) -> DataFrame:
+    """pairs with similarity: the cosine of two texts as the encoder has them; NULL if either is."""
+    return pairs.withColumn("similarity", rounded(cosine(encode(F.col(a)), encode(F.col(b)))))
+
+
 def process_number(text: Column) -> Column:
     """The digits of the first process number in a text: NNNNN.NNNNNNNN/NNNN-NN or near to it, else what follows "Processo no"; 6 to 19
     digits, or null."""
@@ -137,31 +180,97 @@ def process_number(text: Column) -> Column:
     return F.coalesce(first(r"(?U)\d{4,6}\s*\.\s*\d{6,8}\s*/\s*\d{4}\s*-\s*\d{2}", 0), first(r"(?iU)processo\s*n[º°oa.]*\s*[:\-]?\s*(\d[\d./\-]{3,}\d)", 1))
 
 
-def notice_clones(notices: DataFrame, threshold: float = 0.85, days: int = 365, least_chars: int = 200) -> DataFrame:
-    """Pairs of notices of one territory, the other strictly older by ``days`` at most, with a similarity above the threshold.
+def notice_clones(notices: DataFrame, threshold: float = 0.85, days: int = 365, least_chars: int = 200, reference_date: Column | None = None, encode: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Pairs of notices (doc_id, territory_id, date, text, and vector unless ``encode`` makes it of the text) of one territory, the other
+    strictly older by ``days`` at most, with a similarity above the threshold; with ``reference_date`` the newer one is of that day.
 
-    Notices of the same process number are editions of one notice, and no pair.
+    Notices of the same process number are editions of one notice, and no pair. Notices meet by territory and part of the window: a newer
+    one is dealt to the parts that it looks back on, so that no task compares a territory as a whole.
     """
-    n = notices.where(F.col("territory_id").isNotNull() & F.col("date").isNotNull() & (F.length(F.trim("text")) >= least_chars)).select("doc_id", "territory_id", "date", "vector", process_number(F.col("text")).alias("_number"))
-    old = n.select("territory_id", F.col("doc_id").alias("old_id"), F.col("date").alias("_old"), F.col("vector").alias("_v"), F.col("_number").alias("_old_number"))
-    near = n.join(old, "territory_id").where((F.col("_old") < F.col("date")) & (F.datediff("date", "_old") <= days))
+    part = max(1, days // 8)
+    vector = F.col("vector") if encode is None else encode(F.col("text"))
+    some = notices.where((F.col("territory_id") != "") & F.col("date").isNotNull() & (F.length(F.trim("text")) >= least_chars))
+    n = some.select("doc_id", "territory_id", "date", vector.alias("vector"), process_number(F.col("text")).alias("_number"), F.floor(F.unix_date("date") / part).alias("_part"))
+    old = n.select("territory_id", "_part", F.col("doc_id").alias("old_id"), F.col("date").alias("_old"), F.col("vector").alias("_v"), F.col("_number").alias("_old_number"))
+    new = n if reference_date is None else n.where(F.col("date") == reference_date)
+    new = new.withColumn("_part", F.explode(F.sequence(F.floor((F.unix_date("date") - days) / part), F.col("_part"))))
+    near = new.join(old, ["territory_id", "_part"]).where((F.col("_old") < F.col("date")) & (F.datediff("date", "_old") <= days))
     near = near.where(F.coalesce(F.col("_number") != F.col("_old_number"), F.lit(True)))
     out = near.withColumn("_s", cosine(F.col("vector"), F.col("_v"))).where(F.col("_s") > threshold)
     return out.select("doc_id", "old_id", "territory_id", rounded(F.col("_s"), 6).alias("similarity"))
 
 
+def gazette_notices(gazettes: DataFrame) -> DataFrame:
+    """Gazettes (territory_id, date, digest, text) as notices: doc_id, territory_id, date, text; files whose names say no date are left out."""
+    units = segments(gazettes.where("date is not null"), ["territory_id", "date", "digest"], "text")
+    return units.select(notice_id(F.col("territory_id"), F.col("date"), F.col("digest"), F.col("unit")).alias("doc_id"), "territory_id", "date", F.col("segment").alias("text"))
+
+
+def gazette_clones(gazettes: DataFrame, encode: Callable[[Column], Column] = hashed_words, **how) -> DataFrame:
+    """Signals of notices that clone older ones, of the latest day in the gazettes: entity_id (the pair's key), score, both notices."""
+    n = gazette_notices(gazettes)
+    last = n.agg(F.max("date")).first()[0]
+    if last is None:
+        return n.limit(0).select(F.lit("").alias("entity_id"), F.lit(0.0).alias("score"), "doc_id", F.col("doc_id").alias("old_id"))
+    found = notice_clones(n, reference_date=F.lit(last), encode=encode, **how)
+    return found.select(pair_key(F.col("doc_id"), F.col("old_id")).alias("entity_id"), rounded(F.col("similarity")).alias("score"), "doc_id", "old_id")
+
+
+def planted_rates(planted: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
+    """planted (a, b) and scored (a, b, similarity) as recall of the planted pairs above the threshold (1 without any) and the share of the
+    other scored pairs above it (0 without any)."""
+    found = scored.where(F.col("similarity") > threshold).select("a", "b", F.lit(True).alias("_hit"))
+    recall = planted.distinct().join(found, ["a", "b"], "left").agg(rounded(F.coalesce(F.avg(F.coalesce("_hit", F.lit(False)).cast("double")), F.lit(1.0))).alias("recall"))
+    others = scored.join(planted, ["a", "b"], "left_anti").agg(rounded(F.coalesce(F.avg((F.col("similarity") > threshold).cast("double")), F.lit(0.0))).alias("false_rate"))
+    return recall.crossJoin(others)
+
+
+def stratified(df: DataFrame, label: str, key: str, each: int, seed: int = 0) -> DataFrame:
+    """``each`` rows of every label (all if it has fewer), chosen by a hash of the key; the same for the same seed."""
+    order = Window.partitionBy(label).orderBy(F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))), 256), key)
+    return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).drop("_n")
+
+
 def text_search(docs: DataFrame, query: list[str], top_k: int = 20) -> DataFrame:
-    """Documents with any of the tokens by the sum of tf * ln(N / df), ties by id."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w.isin(*[q.lower() for q in query]))
+    """Documents with any of the tokens in title (if docs have one) or text, by the sum of tf * ln(N / df), ties by id."""
+    whole = F.concat_ws(" ", "title", "text") if "title" in docs.columns else F.col("text")
+    words = F.filter(F.split(F.lower(whole), r"[^\p{L}\p{N}]+"), lambda w: w.isin(*[q.lower() for q in query]))
     hits = docs.select("doc_id", F.explode(words).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("_n")))).select("word", F.log(F.col("_n") / F.col("df")).alias("_idf"))
     return hits.join(F.broadcast(df), "word").groupBy("doc_id").agg(rounded(F.sum(F.col("tf") * F.col("_idf")), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(top_k)
 
 
-def segments(texts: DataFrame, key: str, text: str, header: str = r"^\s*(EDITAL|AVISO DE LICITACAO|EXTRATO|PROCESSO)", longest: int = 120) -> DataFrame:
-    """A text's units: each begins at a header line; what stands before the first is dropped. Within a row, without a shuffle."""
-    lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.rtrim(x))
-    is_header = lambda x: (F.length(x) <= longest) & F.upper(x).rlike(header)
-    start = F.array().cast("array<array<string>>")
-    units = F.aggregate(lines, start, lambda acc, x: F.when(is_header(x), F.concat(acc, F.array(F.array(x)))).when(F.size(acc) == 0, acc).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.array(x))))))
-    return texts.select(key, F.posexplode(units).alias("unit", "_lines")).select(key, "unit", F.array_join("_lines", "\n").alias("segment"))
+# How the header of a notice begins.
+HEADERS = ["EDITAL", "AVISO DE LICITACAO", "EXTRATO", "PROCESSO"]
+#: What ends a line.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def segments(texts: DataFrame, keys: str | list[str], text: str, headers: list[str] | None = None, longest: int = 120) -> DataFrame:
+    """A text's units: each begins at a header, a line of ``longest`` characters at most that begins like one, whatever its case and marks;
+    what stands before the first is dropped, as are line ends' spaces. Within a row, without a shuffle: keys, unit (from 0), segment."""
+    keys = [keys] if isinstance(keys, str) else keys
+    starts = [" ".join("".join(c for c in unicodedata.normalize("NFKD", h) if not unicodedata.combining(c)).upper().split()) for h in headers or HEADERS]
+
+    def is_header(line: Column) -> Column:
+        found = F.lit(False)
+        for h in starts:
+            found |= line.startswith(h)
+        return (F.length(line) <= longest) & found
+
+    split = texts.select(*keys, F.transform(F.split(F.col(text), LINE_END), lambda x: F.rtrim(x)).alias("_lines"))
+    begins = first_letters({h[0] for h in starts})  # what other lines begin with is cheaper to see than their bare form
+    bare = F.transform("_lines", lambda x: F.when(x.rlike(begins), bare_upper(x)))
+    heads = F.filter(F.transform(bare, lambda x, i: F.when(is_header(x), i + 1)), lambda x: x.isNotNull())
+    upto = lambda i: F.coalesce(F.get("_heads", i + 1), F.size("_lines") + 1)
+    cut = split.withColumn("_heads", heads).select(*keys, F.transform("_heads", lambda h, i: F.trim(F.array_join(F.slice("_lines", h, upto(i) - h), "\n"))).alias("_units"))
+    return cut.select(*keys, F.posexplode("_units").alias("unit", "segment"))
+
+
+def upsert_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Vectors (collection, external_id, embedding) with the new ones in place of those of the same key."""
+    return old.join(new.select("collection", "external_id"), ["collection", "external_id"], "left_anti").unionByName(new)
+
+
+def delete_vectors(old: DataFrame, keys: DataFrame) -> DataFrame:
+    return old.join(keys.select("collection", "external_id"), ["collection", "external_id"], "left_anti")

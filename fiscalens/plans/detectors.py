@@ -37,7 +37,12 @@ QUERIES = {
     "collusion_projection": lambda s, d: D.projected_pairs(D.eligibility(c(s, d), 2)),
     "collusion_pairs": lambda s, d: D.collusion_pairs(D.eligibility(c(s, d), 2)),
     "collusion_ranked": lambda s, d: D.ranked(D.collusion_pairs(D.eligibility(c(s, d), 2))),
+    "collusion_signals": lambda s, d: D.collusion_signals(D.ranked(D.collusion_pairs(D.eligibility(c(s, d), 2)))),
     "collusion_calibration": lambda s, d: D.calibration(c(s, d)),
+    "collusion_candidate": lambda s, d: D.first_candidate(D.calibration(c(s, d)), 8000),
+    "collusion_histogram": lambda s, d: D.wins_histogram(c(s, d), 4),
+    "collusion_increment": lambda s, d: D.daily_increment(c(s, d), 365),
+    "single_bid_rate": lambda s, d: D.single_bid_rate(c(s, d).select("siafi", (F.length("process_number") % 3).alias("participants")), "siafi"),
     "risk_index": lambda s, d: D.risk_index(c(s, d)),
     "municipal_ranking": lambda s, d: D.municipal_ranking(c(s, d)),
 }
@@ -109,6 +114,12 @@ SQL = {
     "collusion_projection": q(f"SELECT 'unblocked' AS kind, CAST(({PROJECT.format(e='el')}) AS BIGINT) AS pairs UNION ALL SELECT 'blocked', CAST(({PROJECT.format(e='bl')}) AS BIGINT)", f"el AS ({ELIG}2)", "bl AS (SELECT * FROM el WHERE supplier IN (SELECT supplier FROM el GROUP BY supplier HAVING count(DISTINCT buyer) >= 2))"),
     "collusion_pairs": q("SELECT s1, s2, buyer_count, CAST(wins_sum AS BIGINT) AS wins_sum, buyers FROM pr", PAIRS),
     "collusion_ranked": q(f"SELECT s1, s2, buyer_count, CAST(wins_sum AS BIGINT) AS wins_sum, buyers, (SELECT {R('least(1.0::DOUBLE, 500.0::DOUBLE / greatest(count(*), 1))')} FROM pr) AS coverage FROM pr ORDER BY buyer_count DESC, wins_sum DESC, s1, s2 LIMIT 500", PAIRS),
+    "collusion_signals": q("SELECT 'supplier_pair' AS entity_type, s1 || '+' || s2 AS entity_id, 'collusion' AS signal_type, 1.0::DOUBLE AS score, buyers, CAST(wins_sum AS BIGINT) AS wins_sum FROM pr ORDER BY buyer_count DESC, wins_sum DESC, s1, s2 LIMIT 500", PAIRS),
+    "collusion_candidate": q(f"SELECT * FROM ({GRID}) WHERE pairs <= 8000 ORDER BY min_wins, min_buyers LIMIT 1", f"el AS ({ELIG}2)"),
+    "collusion_histogram": q("SELECT least(wins, 4) AS wins, count(*) AS pairs FROM (SELECT count(*) AS wins FROM contracts WHERE cnpj IS NOT NULL GROUP BY siafi, cnpj) GROUP BY 1"),
+    "collusion_increment": q(f"SELECT all_pairs, older_pairs, {R('(all_pairs - older_pairs) / 365.0')} AS a_day FROM (SELECT (SELECT CAST(coalesce(sum(n * (n - 1) // 2), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM el WHERE supplier IN (SELECT supplier FROM el GROUP BY supplier HAVING count(*) >= 2) GROUP BY buyer)) AS all_pairs, (SELECT CAST(coalesce(sum(n * (n - 1) // 2), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM eo WHERE supplier IN (SELECT supplier FROM eo GROUP BY supplier HAVING count(*) >= 2) GROUP BY buyer)) AS older_pairs)",
+                             f"el AS ({ELIG}2)", "eo AS (SELECT siafi AS buyer, cnpj AS supplier, count(*) AS wins FROM contracts WHERE cnpj IS NOT NULL AND signature_date <= (SELECT max(signature_date) FROM contracts) - 365 GROUP BY 1, 2 HAVING count(*) >= 2)"),
+    "single_bid_rate": q(f"SELECT siafi, count(*) AS biddings, {R('avg(CASE WHEN length(process_number) % 3 = 1 THEN 1.0 ELSE 0.0 END)')} AS rate FROM contracts GROUP BY siafi"),
     "collusion_calibration": q(GRID, f"el AS ({ELIG}2)"),
     "risk_index": q("SELECT doc, contracts, risk, risk >= 0.7 AS alert FROM ri", RISK),
     "municipal_ranking": q(f"""SELECT city, uf, contracts, hhi, rate, {R("least(hhi * 0.5 + rate * 0.5, 1.0::DOUBLE)")} AS risk FROM (SELECT city, uf, CAST(sum(n) AS BIGINT) AS contracts, {R("sum(pow(s / t, 2))")} AS hhi, {R("CAST(sum(k) AS DOUBLE) / sum(n)")} AS rate FROM (SELECT *, sum(s) OVER (PARTITION BY city, uf) AS t FROM (SELECT city, uf, cnpj, CAST(sum(amount) AS DOUBLE) AS s, count(*) AS n, sum({NC}) AS k FROM contracts GROUP BY 1, 2, 3)) GROUP BY 1, 2) ORDER BY 6 DESC, 1, 2 LIMIT 50"""),

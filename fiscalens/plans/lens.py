@@ -48,7 +48,7 @@ def made_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_orderkey").cast("string").alias("process_number"),
             F.concat(F.lit("Supply of part "), F.col("l_partkey").cast("string")).alias("subject"),
             F.col("l_extendedprice").cast("decimal(38,10)").alias("amount"),
-            F.to_date("o_orderdate").alias("signature_date"), F.to_date("o_orderdate").alias("validity_start"), F.date_add(F.to_date("l_shipdate"), F.when(F.col("l_partkey") % 97 == 0, 400).otherwise(0)).alias("validity_end"),
+            F.to_date("o_orderdate").alias("signature_date"), F.to_date("o_orderdate").alias("validity_start"), F.date_add(F.to_date("l_shipdate"), F.when(F.col("l_partkey") % 97 == 0, 20000).otherwise(0)).alias("validity_end"),
             F.struct(F.col("o_custkey").cast("string").alias("siafi_code"), F.when(F.col("l_linenumber") == 3, F.concat("c_name", F.lit(" (annex)"))).otherwise(F.col("c_name")).alias("name"), F.when(F.col("c_mktsegment") == "BUILDING", "municipal").otherwise("federal").alias("government_level"), F.col("r_name").alias("uf"), F.col("n_name").alias("city")).alias("buyer"),
             F.struct(
                 F.when(named, supplier_cnpj(key)).alias("cnpj"),
@@ -70,7 +70,7 @@ def flat(df: DataFrame) -> DataFrame:
 CONTRACTS = """contracts AS (
   SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, CAST(l_orderkey AS VARCHAR) AS process_number,
     'Supply of part ' || l_partkey AS subject, CAST(l_extendedprice AS DECIMAL(38,10)) AS amount,
-    CAST(o_orderdate AS DATE) AS signature_date, CAST(o_orderdate AS DATE) AS validity_start, CAST(l_shipdate AS DATE) + CASE WHEN l_partkey % 97 = 0 THEN 400 ELSE 0 END AS validity_end,
+    CAST(o_orderdate AS DATE) AS signature_date, CAST(o_orderdate AS DATE) AS validity_start, CAST(l_shipdate AS DATE) + CASE WHEN l_partkey % 97 = 0 THEN 20000 ELSE 0 END AS validity_end,
     CAST(o_custkey AS VARCHAR) AS siafi, CASE WHEN l_linenumber = 3 THEN c_name || ' (annex)' ELSE c_name END AS agency, CASE WHEN c_mktsegment = 'BUILDING' THEN 'municipal' ELSE 'federal' END AS level, r_name AS uf, n_name AS city,
     CASE WHEN l_partkey % 50 <> 0 AND l_suppkey % 10 <> 9 THEN lpad(CAST(l_suppkey AS VARCHAR), 14, '0') END AS cnpj,
     CASE WHEN l_partkey % 50 <> 0 AND l_suppkey % 10 = 9 THEN lpad(CAST(l_suppkey AS VARCHAR), 11, '0') END AS cpf,
@@ -241,10 +241,16 @@ def contract_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").cast("array<double>").alias("vector"))
-    dated = d.select("doc_id", F.col("source").alias("territory_id"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 900).cast("int")).alias("date"), "text")
-    return dated.join(v, F.col("doc_id") == F.col("_v")).drop("_v")
+    """All documents as notices of their source, some with the number of their process."""
+    number = F.concat(F.lit("Processo nº 12"), F.lpad((F.col("doc_id") % 3).cast("string"), 4, "0"), F.lit("/2020 "))
+    text = F.when(F.col("doc_id") % 4 == 0, F.concat(number, "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("territory_id"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 900).cast("int")).alias("date"), text.alias("text"))
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as persons whose names and documents recur."""
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(key.alias("id"), F.concat(F.lit("Person "), (key % 900).cast("string")).alias("name"), F.when(key % 3 == 0, F.lpad((key % 900).cast("string"), 11, "1")).alias("document"), (F.col("c_nationkey") % 4).cast("string").alias("age_range"))
 
 
 def sql(*parts: str, query: str, recursive: bool = False) -> str:

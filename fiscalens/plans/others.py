@@ -7,21 +7,19 @@ from pyspark.sql import functions as F
 from ..functions.rounding import rounded_sql as R
 from ..operators import detectors as D
 from ..operators import graph as G
+from ..operators import normalizers as N
 from ..operators import quality as Q
+from ..operators import reviews as V
 from ..operators import text as T
 from . import lens as L
+from . import raw as W
 from .detectors import DUR, HHI, IQR, RATE, benford
-from .marts import c
+from .marts import AMENDS, amends, c
 
 QUERY_VECTOR = [0.1] * 64
 WORDS = ["licensed", "stupid", "license", "mit"]
 
 
-def people(s, d):
-    t = L.table(s, d, "customer")
-    return t.select(F.col("c_custkey").alias("id"), F.concat(F.lit("Person "), (F.col("c_custkey") % 900).cast("string")).alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.lpad((F.col("c_custkey") % 900).cast("string"), 11, "1")).alias("document"), (F.col("c_nationkey") % 4).cast("string").alias("age_range"))
-
-
 def hidden_sanctions(s, d):
     """Sanctions as a list without full documents has them: persons masked, companies by name alone."""
     return L.sanctions(s, d).select("id", "list_name", "sanctioned_name", F.when(F.col("cpf").isNotNull(), F.concat(F.lit("***"), F.substring("cpf", 4, 6), F.lit("**"))).alias("document"), "start_date", "end_date")
@@ -32,27 +30,153 @@ def reviewed(s, d):
 
 
 roots = lambda s, d: L.table(s, d, "supplier").select(F.col("s_suppkey").alias("root"))
+registry = lambda s, d: G.company_graph(N.companies(W.company_files(s, d)), N.partners(W.partner_files(s, d)))
+
+
+def ftm(s, d):
+    vertices, edges = registry(s, d)
+    return G.ftm_entities(vertices, edges, vertices.where("schema = 'Company'").select(F.col("key").alias("root")))
+
+
+def contract_graph(s, d, which):
+    found = G.contract_graph(c(s, d), N.municipalities(W.places(s, d)).withColumns({"compared_name": F.regexp_replace("compared_name", "^SAO ", ""), "uf": F.lit("AMERICA")}), D.supplier_places(L.establishments(s, d), L.municipalities(s, d)))
+    return found[which]
+
+
+def queue(s, d):
+    """Fraud signals in review: the state goes by the entity's last digit."""
+    last = F.right("entity_id", F.lit(1))
+    status = F.when(last.isin("1", "2"), "confirmed").when(last.isin("3"), "rejected").otherwise("pending")
+    return D.fraud_signals(c(s, d)).select(V.signal_key().alias("key"), "signal_type", "entity_id", "score", status.alias("status"), F.lit("2024-01-01").alias("last_seen"))
+
+
+def registered(s, d):
+    """A queue of suppliers' signals after all signals of another run came in."""
+    q = queue(s, d)
+    return G.register(q.where("entity_id <> '' and signal_type <> 'single_bid'").select("key", "status", "score", "last_seen"), q.where("signal_type <> 'concentration'").select("key", (F.col("score") / 2).alias("score"), F.lit("2024-02-01").alias("seen")))
+
+
+def moved(s, d):
+    """The queue after reviewers asked for changes of every kind."""
+    q = queue(s, d).withColumn("history", F.array().cast("array<string>"))
+    last = F.right("entity_id", F.lit(1))
+    asked = q.select("key", F.when(last.isin("1", "4"), "confirmed").when(last.isin("2", "5"), "published").otherwise("rejected").alias("to"), F.when(last != "7", "me").otherwise(" ").alias("reviewer"), F.when(last != "8", "why").otherwise("").alias("reason"))
+    return G.transition(q.select("key", "status", "history"), asked).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("history")).cast("long").alias("changes"))
+
+
+def subscriptions(s, d):
+    t, key = L.table(s, d, "customer"), F.col("c_custkey")
+    email, place = F.concat(F.lit(" User"), (key % 400).cast("string"), F.lit("@x.org")), F.lpad(F.col("c_nationkey").cast("string"), 7, "0")
+    old = t.where(key % 2 == 0).select(V.subscription_key(email, place).alias("key"), F.lower(F.trim(email)).alias("email"), place.alias("ibge_code"), F.lit("old").alias("token_hash"), F.when(F.col("c_nationkey") % 2 == 0, "confirmed").otherwise("unsubscribed").alias("status")).dropDuplicates(["key"])
+    known = V.subscribe(old, t.select(email.alias("email"), place.alias("ibge_code"), F.concat_ws("-", F.lit("t"), (key % 400).cast("string"), "c_nationkey").alias("token")))
+    confirmed = V.answer(known, t.where(key % 3 == 0).select(F.concat_ws("-", F.lit("t"), (key % 400).cast("string"), "c_nationkey").alias("token")), "confirmed")
+    return V.confirmed_emails(confirmed)
+
+
+def batches(s, d):
+    return L.step_metrics(s, d).select(F.col("pipeline").alias("dataset"), F.col("started_at").alias("at"), F.col("rows").alias("total"), (F.col("rows") % 4).alias("duplicates"), "errors", F.create_map(F.lit("error"), "errors", F.lit("warning"), F.col("rows") % 3).alias("failures"))
+
+
+def gazette_records(s, d):
+    key = F.col("page_id")
+    return L.table(s, d, "pages").select(F.when(key % 5 != 0, F.lpad(key.cast("string"), 7, "0")).otherwise("12x").alias("territory_id"), F.when(key % 7 != 0, F.lit("2024-01-01").cast("date")).alias("date"), "url", F.when(key % 3 == 0, "").otherwise(F.col("url")).alias("txt_url"))
+
+
+def turns(s, d):
+    t = L.table(s, d, "conversations")
+    a = t.select("conv_id", "turn", F.col("text").alias("a"))
+    return T.semantic_gap(a.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b")), ["conv_id", "turn"]), "a", "b").select("conv_id", "turn", "similarity")
+
+
+def people_signals(s, d):
+    queries = V.person_queries(c(s, d))
+    candidates = queries.select("entity_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("_i")).select("entity_id", F.concat(F.lit("Q"), F.col("_i").cast("string")).alias("id"), ((F.col("_i") * 7 + F.right("entity_id", F.lit(2)).cast("int")) % 100 / 100).alias("score"))
+    return V.person_signals(queries, candidates).drop("query")
+
+
+profiled = lambda s, d: Q.profile(D.with_duration(c(s, d)), ["amount", "duration", "modality", "cpf"])
 QUERIES = {
     "vector_search": lambda s, d: T.vector_search(L.table(s, d, "embeddings"), QUERY_VECTOR),
-    "notice_clones": lambda s, d: T.notice_clones(L.notices(s, d), 0.3),
+    "vector_search_in_collection": lambda s, d: T.vector_search(L.table(s, d, "embeddings").withColumn("collection", (F.col("label") % 3).cast("string") if "label" in L.table(s, d, "embeddings").columns else (F.col("vec_id") % 3).cast("string")), QUERY_VECTOR, collection="1"),
+    "vector_upsert": lambda s, d: stored_vectors(s, d),
+    "notice_clones": lambda s, d: T.notice_clones(L.notices(s, d), 0.85, encode=T.hashed_words),
+    "notice_segments": lambda s, d: T.segments(L.table(s, d, "documents").select("doc_id", F.regexp_replace("text", r"\. ", "\n").alias("text")), "doc_id", "text", ["The", "Dè", "La"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.sum(F.length("segment")).alias("chars")),
+    "semantic_gap": turns,
     "text_search": lambda s, d: T.text_search(L.table(s, d, "documents").select("doc_id", "text"), WORDS),
+    "title_search": lambda s, d: T.text_search(L.table(s, d, "documents").select("doc_id", "text", F.col("source").alias("title")), ["license", "stupid"]),
     "sanctioned_names": lambda s, d: T.fuzzy_screening(c(s, d), hidden_sanctions(s, d)),
-    "resolve_people": lambda s, d: T.resolve_people(people(s, d)),
+    "resolve_people": lambda s, d: T.resolve_people(L.people(s, d)),
+    "stratified_people": lambda s, d: T.stratified(L.people(s, d), "age_range", "id", 25, 7).select("id", "age_range"),
+    "person_queries": lambda s, d: V.person_queries(c(s, d)),
+    "person_signals": people_signals,
     "ownership_paths": lambda s, d: G.trace_ownership(L.edges(s, d), roots(s, d)),
     "partners_of_buyers": lambda s, d: G.partners_of_buyers(c(s, d), L.edges(s, d)),
     "graph_neighbours": lambda s, d: G.neighbours(L.edges(s, d)),
+    "company_graph_vertices": lambda s, d: registry(s, d)[0].select("schema", "key", "name", "number"),
+    "company_graph_edges": lambda s, d: registry(s, d)[1],
+    "ftm_entities": ftm,
+    "contract_graph_vertices": lambda s, d: contract_graph(s, d, 0),
+    "contract_graph_edges": lambda s, d: contract_graph(s, d, 1).withColumn("amount", F.col("amount").cast("double")),
     "precision_report": lambda s, d: G.precision_report(reviewed(s, d)),
+    "review_page": lambda s, d: V.list_reviews(queue(s, d), status="pending", min_score=0.1, offset=20, limit=50),
+    "review_count": lambda s, d: V.count_reviews(queue(s, d), status="pending", signal_type="single_bid", min_score=0.3),
+    "review_register": registered,
+    "review_transitions": moved,
+    "confirmed_subscribers": subscriptions,
+    "terms_cohorts": lambda s, d: V.cohorts(amends(s, d), c(s, d), True, ("1", "2", "3-")),
+    "selected_establishments": lambda s, d: V.selected(L.establishments(s, d), c(s, d), "cnpj"),
     "signal_places": lambda s, d: G.signal_places(c(s, d)),
     "alerts": lambda s, d: G.alerts(D.fraud_signals(c(s, d))),
+    "evidence_digest": lambda s, d: V.digest(L.table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("a"), F.col("l_linenumber").cast("string").alias("b"))),
+    "signal_reproduction": lambda s, d: V.reproduced(D.fraud_signals(c(s, d)).withColumn("score", F.when(F.right("entity_id", F.lit(1)) == "5", F.lit(2.0)).otherwise(F.col("score"))), D.fraud_signals(c(s, d))).groupBy("reproduced").agg(F.count(F.lit(1)).alias("signals")),
     "matcher_evaluation": lambda s, d: G.evaluation(L.table(s, d, "labels").select(F.col("quality").cast("double").alias("score"), (F.col("toxic") == 0).alias("truth")), 0.5),
-    "contract_rules": lambda s, d: Q.check_rules(c(s, d), Q.CONTRACT_RULES),
-    "contract_profile": lambda s, d: Q.profile(D.with_duration(c(s, d)), ["amount", "duration"]),
+    "contract_rules": lambda s, d: Q.check_rules(c(s, d), Q.CONTRACT_RULES).withColumn("sample", F.array_join("sample", "|")),
+    "contract_rules_nested": lambda s, d: Q.apply_rules(L.contracts(s, d).withColumnRenamed("supplier", "s"), [Q.Rule("named", ("s_legal_name",), "s_legal_name is not null"), *Q.CONTRACT_RULES[:2]]).select("rule", "records", "violations"),
+    "gazette_rules": lambda s, d: Q.check_rules(gazette_records(s, d), Q.GAZETTE_RULES).drop("sample"),
+    "contract_profile": profiled,
+    "profile_alerts": lambda s, d: Q.profile_alerts(profiled(s, d)),
+    "quality_monitor": lambda s, d: Q.monitor(profiled(s, d), "contracts", least_score=0.95),
+    "period_summary": lambda s, d: Q.period_summary(batches(s, d), F.lit("2024-01-10").cast("timestamp")),
+    "retained_metrics": lambda s, d: Q.retained(L.step_metrics(s, d).select("pipeline", "started_at"), "pipeline", "started_at", 90).groupBy("pipeline").agg(F.count(F.lit(1)).alias("n"), F.min("started_at").alias("oldest")),
     "duplicate_texts": lambda s, d: L.table(s, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1"),
-    "supplier_company_links": lambda s, d: c(s, d).where("length(cnpj) = 14").select(F.substring("cnpj", 1, 8).alias("company"), "cnpj").distinct(),
+    "supplier_company_links": lambda s, d: D.supplier_company(c(s, d).withColumn("cnpj", F.concat(F.substring("cnpj", 7, 8), F.lit("000100"))), N.companies(W.company_files(s, d))),
 }
+
+
+def stored_vectors(s, d):
+    v = L.table(s, d, "embeddings").select((F.col("vec_id") % 3).cast("string").alias("collection"), F.col("vec_id").alias("external_id"), F.element_at("embedding", 1).cast("double").alias("embedding"))
+    after = T.upsert_vectors(v, v.where("external_id % 4 = 0").withColumn("embedding", F.lit(0.0)).unionByName(v.where("external_id < 10").withColumns({"external_id": F.col("external_id") + 1_000_000_000})))
+    return T.delete_vectors(after, v.where("external_id % 5 = 1")).groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("embedding") == 0.0).alias("new"))
+
+
 q = lambda query, *parts, recursive=False: L.sql(L.CONTRACTS, *parts, query=query, recursive=recursive)
-rule = lambda n, r: f"SELECT '{n}' AS rule, count(*) FILTER (WHERE NOT coalesce({r}, false)) AS violations, {R(f'CAST(count(*) FILTER (WHERE NOT coalesce({r}, false)) AS DOUBLE) / count(*)')} AS share FROM contracts"
-prof = lambda x: f"SELECT '{x}' AS column_name, max(s.n) AS n, max(nulls) AS nulls, max(dv) AS distinct_values, max(lo) AS lowest, max(hi) AS highest, max(q1) AS q1, max(q3) AS q3, max(mean) AS mean, count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers FROM (SELECT CAST({x} AS DOUBLE) AS v FROM dd), (SELECT count(*) AS n, count(*) FILTER (WHERE {x} IS NULL) AS nulls, count(DISTINCT CAST({x} AS DOUBLE)) AS dv, min(CAST({x} AS DOUBLE)) AS lo, max(CAST({x} AS DOUBLE)) AS hi, quantile_cont(CAST({x} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({x} AS DOUBLE), 0.75) AS q3, {R(f'CAST(sum(CAST({x} AS DECIMAL(38,10))) AS DOUBLE) / count({x})')} AS mean FROM dd) s"
+rule = lambda n, r, v="amount", kind="error", t="contracts": f"SELECT '{n}' AS rule, '{kind}' AS severity, count(*) AS records, count(*) FILTER (WHERE NOT coalesce({r}, false)) AS violations, {R(f'CAST(count(*) FILTER (WHERE NOT coalesce({r}, false)) AS DOUBLE) / count(*)')} AS share, coalesce((SELECT string_agg(coalesce(v, 'NULL'), '|' ORDER BY v NULLS LAST) FROM (SELECT DISTINCT CAST({v} AS VARCHAR) AS v FROM {t} WHERE NOT coalesce({r}, false) ORDER BY v NULLS LAST LIMIT 5)), '') AS sample FROM {t}"
+PROFILE = """dd AS (SELECT *, date_diff('day', validity_start, validity_end) AS duration FROM contracts)"""
+shares = lambda x: f"count(*) AS n, count(*) FILTER (WHERE {x} IS NULL) AS nulls, {R(f'CAST(count(*) FILTER (WHERE {x} IS NULL) AS DOUBLE) / count(*)')} AS nulls_share, count(DISTINCT {x}) AS distinct_values, {R(f'CAST(count(DISTINCT {x}) AS DOUBLE) / count(*)')} AS distinct_share"
+prof = lambda x: f"SELECT '{x}' AS column_name, s.*, (SELECT count(*) FROM dd WHERE CAST({x} AS DOUBLE) < s.q1 - 1.5 * (s.q3 - s.q1) OR CAST({x} AS DOUBLE) > s.q3 + 1.5 * (s.q3 - s.q1)) AS outliers, CAST(NULL AS VARCHAR) AS mode, CAST(NULL AS BIGINT) AS mode_count FROM (SELECT {shares(x)}, min(CAST({x} AS DOUBLE)) AS lowest, max(CAST({x} AS DOUBLE)) AS highest, {R(f'CAST(sum(CAST({x} AS DECIMAL(38,10))) AS DOUBLE) / count({x})')} AS mean, quantile_cont(CAST({x} AS DOUBLE), 0.5) AS median, {R(f'stddev_samp(CAST({x} AS DOUBLE))')} AS deviation, quantile_cont(CAST({x} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({x} AS DOUBLE), 0.75) AS q3 FROM dd) s"
+words = lambda x: f"SELECT '{x}' AS column_name, s.*, CAST(NULL AS DOUBLE) AS lowest, CAST(NULL AS DOUBLE) AS highest, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS median, CAST(NULL AS DOUBLE) AS deviation, CAST(NULL AS DOUBLE) AS q1, CAST(NULL AS DOUBLE) AS q3, CAST(0 AS BIGINT) AS outliers, m.* FROM (SELECT {shares(x)} FROM dd) s, (SELECT {x} AS mode, count(*) AS mode_count FROM dd WHERE {x} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1) m"
+PF = f"pf AS ({prof('amount')} UNION ALL BY NAME {prof('duration')} UNION ALL BY NAME {words('modality')} UNION ALL BY NAME {words('cpf')})"
+SIG = f"""sig AS (SELECT 'supplier' AS entity_type, doc AS entity_id, 'anomalous_price' AS signal_type, deviation AS score FROM bf UNION ALL SELECT 'supplier', doc, 'single_bid', rate FROM rt WHERE rate > 0 AND contracts >= 3
+  UNION ALL SELECT 'buyer', siafi, 'concentration', hhi FROM hh WHERE contracts >= 3 UNION ALL SELECT * FROM (SELECT 'supplier', doc, 'anomalous_duration', {R("avg(CASE WHEN outlier THEN 1.0 ELSE 0.0 END)")} AS sc FROM oi WHERE doc IS NOT NULL AND duration IS NOT NULL GROUP BY doc HAVING count(*) >= 3) WHERE sc > 0),
+qu AS (SELECT sha256(entity_type || '|' || entity_id || '|' || signal_type) AS key, signal_type, entity_id, score, CASE WHEN right(entity_id, 1) IN ('1', '2') THEN 'confirmed' WHEN right(entity_id, 1) = '3' THEN 'rejected' ELSE 'pending' END AS status, '2024-01-01' AS last_seen FROM sig)"""
+SIGNALS = [benford(), RATE, HHI, DUR, IQR, SIG]
+key8, key14 = "lpad(CAST(s_suppkey AS VARCHAR), 8, '0')", "lpad(CAST(s_suppkey AS VARCHAR), 14, '0')"
+REGISTRY = f"""pt AS ({W.SQL['normalize_partners']}), co AS ({W.SQL['normalize_companies']}),
+ag AS (SELECT cnpj_basico, nome_representante AS nome, substr(sha256(cnpj_basico || '|' || nome_representante || '|REP-17'), 1, 32) AS k FROM pt WHERE nome_representante IS NOT NULL),
+ve AS (SELECT 'Company' AS schema, key, max_by(name, o) AS name, key AS number FROM (SELECT cnpj_basico AS key, razao_social AS name, 0 AS o FROM co UNION ALL SELECT substr(cnpj_cpf_socio, 1, 8), nome, 1 FROM pt WHERE identificador = '1') GROUP BY key UNION ALL SELECT 'Person', partner_id, max(nome), max(cnpj_cpf_socio) FROM pt WHERE identificador = '2' GROUP BY 2 UNION ALL SELECT 'Person', k, nome, NULL FROM ag),
+kd AS (SELECT *, CASE lpad(qualificacao, 2, '0') WHEN '28' THEN ['ownership', 'directorship'] WHEN '49' THEN ['ownership', 'directorship'] WHEN '05' THEN ['directorship'] WHEN '10' THEN ['directorship'] WHEN '08' THEN ['directorship'] ELSE ['ownership'] END AS kinds FROM pt WHERE identificador = '2'),
+ed AS (SELECT 'ownership' AS kind, 'companies_' || substr(cnpj_cpf_socio, 1, 8) || '__companies_' || cnpj_basico AS key, 'companies/' || substr(cnpj_cpf_socio, 1, 8) AS source, 'companies/' || cnpj_basico AS target, qualificacao AS role, data_entrada AS start_date FROM pt WHERE identificador = '1'
+  UNION ALL SELECT unnest(kinds), 'persons_' || partner_id || '__companies_' || cnpj_basico, 'persons/' || partner_id, 'companies/' || cnpj_basico, qualificacao, data_entrada FROM kd UNION ALL SELECT 'directorship', 'persons_' || k || '__companies_' || cnpj_basico, 'persons/' || k, 'companies/' || cnpj_basico, '17', NULL FROM ag)"""
+FTM = """ei AS (SELECT *, replace(replace(source, 'companies/', 'company-'), 'persons/', 'person-') AS si, replace(target, 'companies/', 'company-') AS ti FROM ed),
+vj AS (SELECT CASE schema WHEN 'Company' THEN 'companies/' ELSE 'persons/' END || key AS ref, CASE schema WHEN 'Company' THEN 'company-' ELSE 'person-' END || key AS id, schema, CASE schema WHEN 'Company' THEN '{"name":["' || name || '"],"registrationNumber":["' || number || '"]}' ELSE '{' || coalesce('"idNumber":["' || number || '"],', '') || '"name":["' || name || '"]}' END AS properties FROM ve),
+ej AS (SELECT source, target, kind, kind || '-' || key AS id, upper(kind[1]) || kind[2:] AS schema, CASE kind WHEN 'ownership' THEN '{"asset":["' || ti || '"],"owner":["' || si || '"],"role":["' ELSE '{"director":["' || si || '"],"organization":["' || ti || '"],"role":["' END || role || '"]' || coalesce(',"startDate":["' || CAST(start_date AS VARCHAR) || '"]', '') || '}' AS properties FROM ei),
+nr AS (SELECT v.key AS root, e.source AS ref, e.id, e.schema, e.properties FROM ve v JOIN ej e ON e.target = 'companies/' || v.key WHERE v.schema = 'Company' UNION ALL SELECT v.key, e.target, e.id, e.schema, e.properties FROM ve v JOIN ej e ON e.source = 'companies/' || v.key AND e.kind = 'ownership' WHERE v.schema = 'Company'),
+ar AS (SELECT root, ref FROM nr UNION SELECT key, 'companies/' || key FROM ve WHERE schema = 'Company')"""
+HASHED = """bins AS (SELECT doc_id, source AS territory_id, DATE '2020-01-01' + CAST(doc_id % 900 AS INTEGER) AS date, CASE WHEN doc_id % 4 = 0 THEN doc_id % 3 END AS number, CASE WHEN doc_id % 4 = 0 THEN 'Processo nº 12' || lpad(CAST(doc_id % 3 AS VARCHAR), 4, '0') || '/2020 ' || text ELSE text END AS t FROM documents),
+bn AS (SELECT *, list_transform(string_split(lower(t), ' '), lambda w: CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) % 64) AS b FROM bins WHERE length(trim(t)) >= 200),
+n AS (SELECT doc_id, territory_id, date, number, list_transform(range(64), lambda k: CAST(len(list_filter(b, lambda x: x = k)) AS DOUBLE)) AS v FROM bn)"""
+A_TEXT, B_TEXT = "a.text", "b.text"
+gap = lambda x: f"list_transform(range(64), lambda k: CAST(len(list_filter(list_transform(string_split(lower({x}), ' '), lambda w: CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) % 64), lambda y: y = k)) AS DOUBLE))"
 SQL = {
     "text_search": f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM documents), h AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE word IN ('licensed', 'stupid', 'license', 'mit') GROUP BY 1, 2),
       i AS (SELECT word, ln(CAST((SELECT count(*) FROM documents) AS DOUBLE) / count(*)) AS idf FROM h GROUP BY 1) SELECT doc_id, {R('sum(tf * idf)', 6)} AS score FROM h JOIN i ON h.word = i.word GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 20""",
@@ -62,12 +186,44 @@ SQL = {
     "precision_report": f"SELECT *, {R('CAST(confirmed AS DOUBLE) / nullif(confirmed + rejected, 0)')} AS precision FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'notice_clone' ELSE 'anomalous_price' END AS signal_type, count(*) FILTER (WHERE toxic <> 1 AND quality <> 1) AS pending, count(*) FILTER (WHERE toxic <> 1 AND quality = 1) AS confirmed, count(*) FILTER (WHERE toxic = 1) AS rejected FROM labels GROUP BY 1)",
     "signal_places": q("SELECT doc, city, uf, n FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, city) AS r FROM (SELECT doc, city, uf, count(*) AS n FROM contracts WHERE doc IS NOT NULL GROUP BY 1, 2, 3)) WHERE r = 1"),
     "matcher_evaluation": f"SELECT *, {R('coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 1.0)')} AS precision, {R('coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0)')} AS recall FROM (SELECT count(*) FILTER (WHERE quality >= 0.5 AND toxic = 0) AS tp, count(*) FILTER (WHERE quality >= 0.5 AND toxic <> 0) AS fp, count(*) FILTER (WHERE quality < 0.5 AND toxic = 0) AS fn, count(*) FILTER (WHERE quality < 0.5 AND toxic <> 0) AS tn FROM labels)",
-    "contract_rules": q(" UNION ALL ".join(rule(n, r) for n, r in {"positive_value": "amount > 0", "valid_cnpj": "regexp_matches(cnpj, '^[0-9]{14}$')", "signature_date_present": "signature_date IS NOT NULL", "coherent_validity": "validity_end >= validity_start", "amount_not_extreme": "amount < 90000", "subject_not_empty": "length(subject) > 10"}.items())),
-    "contract_profile": q(f"{prof('amount')} UNION ALL {prof('duration')}", "dd AS (SELECT amount, date_diff('day', validity_start, validity_end) AS duration FROM contracts)"),
+    "contract_rules": q(" UNION ALL ".join(f"SELECT * FROM ({x})" for x in (rule("positive_value", "amount > 0"), rule("valid_cnpj", "regexp_matches(cnpj, '^[0-9]{14}$')", "cnpj"), rule("signature_date_present", "signature_date IS NOT NULL", "signature_date"), rule("coherent_validity", "validity_end >= validity_start", "validity_end"), rule("amount_not_extreme", "amount < 90000", "amount", "warning"), rule("subject_not_empty", "length(subject) > 10", "subject")))),
+    "contract_rules_nested": q("SELECT 'named' AS rule, count(*) AS records, count(*) FILTER (WHERE legal_name IS NULL) AS violations FROM contracts UNION ALL SELECT 'positive_value', count(*), count(*) FILTER (WHERE NOT amount > 0) FROM contracts"),
+    "gazette_rules": " UNION ALL ".join(f"SELECT rule, severity, records, violations, share FROM ({rule(n, r, 'url', k, 'g')})" for n, r, k in (("valid_territory", "page_id % 5 <> 0", "error"), ("date_present", "page_id % 7 <> 0", "error"), ("file_url_present", "length(url) > 0", "error"), ("text_url_present", "page_id % 3 <> 0 AND length(url) > 0", "warning"))).replace("FROM g", "FROM pages"),
+    "contract_profile": q("SELECT * FROM pf", PROFILE, PF),
+    "profile_alerts": q("SELECT column_name, unnest(list_filter([CASE WHEN nulls_share > 0.1 THEN 'nulls' END, CASE WHEN distinct_share = 1 AND n > 100 THEN 'all values differ' END, CASE WHEN outliers > 0.1 * n THEN 'outliers' END], lambda x: x IS NOT NULL)) AS alert FROM pf", PROFILE, PF),
+    "quality_monitor": q(f"SELECT 'contracts' AS dataset, column_name || ':nulls_pct' AS metric, nulls_share AS current_value, 0.1::DOUBLE AS expected_value, 'warning' AS severity FROM pf WHERE nulls_share > 0.1 UNION ALL SELECT 'contracts', 'quality_score', s, 0.95, 'error' FROM (SELECT {R('avg(CASE WHEN nulls_share > 0.5 THEN 0.0 WHEN nulls_share > 0.1 THEN 0.5 ELSE 1.0 END)')} AS s FROM pf) WHERE s < 0.95", PROFILE, PF),
+    "period_summary": L.sql(L.METRICS, query="SELECT pipeline AS dataset, count(*) AS batches, CAST(sum(rows) AS BIGINT) AS total_records, CAST(sum(rows % 4) AS BIGINT) AS duplicates, CAST(sum(errors) AS BIGINT) AS normalization_errors, 'error=' || CAST(sum(errors) AS BIGINT) || ',warning=' || CAST(sum(rows % 3) AS BIGINT) AS failures FROM metrics WHERE started_at >= TIMESTAMP '2024-01-10' GROUP BY 1"),
+    "retained_metrics": L.sql(L.METRICS, query="SELECT pipeline, count(*) AS n, min(started_at) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY pipeline ORDER BY started_at DESC) AS r FROM metrics) WHERE r <= 90 GROUP BY 1"),
     "duplicate_texts": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "supplier_company_links": q("SELECT DISTINCT substr(cnpj, 1, 8) AS company, cnpj FROM contracts WHERE length(cnpj) = 14"),
+    "supplier_company_links": q("SELECT DISTINCT substr(cnpj, 7, 8) || '000100' AS cnpj, substr(cnpj, 7, 8) AS cnpj_basico, 1.0::DOUBLE AS score FROM contracts WHERE cnpj IS NOT NULL AND CAST(cnpj AS BIGINT) % 13 <> 0"),
+    "company_graph_vertices": L.sql(REGISTRY, query="SELECT * FROM ve"),
+    "company_graph_edges": L.sql(REGISTRY, query="SELECT * FROM ed"),
+    "ftm_entities": L.sql(REGISTRY, FTM, query="SELECT DISTINCT root, id, schema, properties FROM (SELECT ar.root, id, schema, properties FROM ar JOIN vj ON vj.ref = ar.ref UNION ALL SELECT root, id, schema, properties FROM nr)"),
+    "contract_graph_edges": q("SELECT cnpj AS supplier, id AS contract, CAST(amount AS DOUBLE) AS amount FROM contracts WHERE cnpj IS NOT NULL"),
+    "contract_graph_vertices": q("""SELECT 'contract' AS kind, id AS key, subject AS name, NULL AS ibge_code, CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude FROM contracts UNION ALL
+      SELECT 'supplier', c.cnpj, min(legal_name), NULL, min(latitude), min(longitude) FROM contracts c JOIN supplier ON s_suppkey = CAST(cnpj AS BIGINT) JOIN municipalities ON s_nationkey = CAST(ibge_code AS BIGINT) WHERE cnpj IS NOT NULL GROUP BY c.cnpj UNION ALL
+      SELECT 'buyer', siafi, b.agency, CASE WHEN b.uf = 'AMERICA' THEN p.ibge_code END, CASE WHEN b.uf = 'AMERICA' THEN p.latitude END, CASE WHEN b.uf = 'AMERICA' THEN p.longitude END FROM (SELECT siafi, max_by({'agency': agency, 'city': city, 'uf': uf}, {'dt': dt, 'id': id}) AS b FROM contracts GROUP BY siafi) t JOIN pl p ON b.city = p.n_name""", L.MUNICIPALITIES, "pl AS (SELECT n_name, " + W.UF_CODES + "[n_nationkey + 1] || lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS ibge_code, CAST(n_nationkey * 1.25 - 20 AS DOUBLE) AS latitude, CAST(n_nationkey * -0.75 - 40 AS DOUBLE) AS longitude FROM nation)"),
+    "review_page": q("SELECT * FROM qu WHERE status = 'pending' AND score >= 0.1 ORDER BY score DESC, last_seen DESC, key LIMIT 50 OFFSET 20", *SIGNALS),
+    "review_count": q("SELECT count(*) AS total FROM qu WHERE status = 'pending' AND signal_type = 'single_bid' AND score >= 0.3", *SIGNALS),
+    "review_register": q("SELECT coalesce(a.key, b.key) AS key, coalesce(a.status, 'pending') AS status, coalesce(b.score / 2, a.score) AS score, CASE WHEN b.key IS NOT NULL THEN '2024-02-01' ELSE a.last_seen END AS last_seen FROM (SELECT * FROM qu WHERE signal_type <> 'single_bid') a FULL JOIN (SELECT * FROM qu WHERE signal_type <> 'concentration') b ON a.key = b.key", *SIGNALS),
+    "review_transitions": q("""SELECT CASE WHEN ok THEN asked ELSE status END AS status, count(*) AS n, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS changes FROM (SELECT *, e <> '7' AND (asked <> 'rejected' OR e <> '8') AND ((status = 'pending' AND asked IN ('confirmed', 'rejected')) OR (status = 'confirmed' AND asked IN ('published', 'rejected')) OR (status = 'rejected' AND asked = 'confirmed')) AS ok
+      FROM (SELECT status, right(entity_id, 1) AS e, CASE WHEN right(entity_id, 1) IN ('1', '4') THEN 'confirmed' WHEN right(entity_id, 1) IN ('2', '5') THEN 'published' ELSE 'rejected' END AS asked FROM qu)) GROUP BY 1""", *SIGNALS),
+    "confirmed_subscribers": """WITH r AS (SELECT DISTINCT c_custkey % 400 AS u, c_nationkey AS k, max(c_custkey % 2 = 0 AND c_nationkey % 2 = 0) OVER (PARTITION BY c_custkey % 400, c_nationkey) AS stays, max(c_custkey % 3 = 0) OVER (PARTITION BY c_custkey % 400, c_nationkey) AS answered FROM customer)
+      SELECT lpad(CAST(k AS VARCHAR), 7, '0') AS ibge_code, string_agg('user' || u || '@x.org', ',' ORDER BY 'user' || u || '@x.org') AS emails FROM r WHERE stays OR answered GROUP BY k""",
+    "terms_cohorts": q("SELECT id, array_to_string(list_sort(list(DISTINCT tag)), '+') AS cohort FROM (SELECT id, 'flagged' AS tag FROM amends WHERE f_value = 1 UNION ALL SELECT id, 'pilot' FROM contracts WHERE siafi IN ('1', '2', '3')) GROUP BY id", L.ITEMS, AMENDS),
+    "selected_establishments": q("SELECT lpad(CAST(s_suppkey AS VARCHAR), 14, '0') AS cnpj, n_name AS city, r_name AS uf, s_suppkey % 4 <> 0 AS is_matriz FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 10 <> 9 AND lpad(CAST(s_suppkey AS VARCHAR), 14, '0') IN (SELECT cnpj FROM contracts)"),
+    "evidence_digest": """WITH h AS (SELECT sha256('{"a":"' || l_orderkey || '","b":"' || l_linenumber || '"}') AS h, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT substr(h, 1, 2) AS p, sum(n) AS n, sha256(string_agg(h || 'x' || n, '' ORDER BY h || 'x' || n)) AS d FROM h GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(p || d, '' ORDER BY p || d)) AS sha256 FROM p""",
+    "signal_reproduction": q("SELECT right(entity_id, 1) <> '5' OR score = 2 AS reproduced, count(*) AS signals FROM sig GROUP BY 1", *SIGNALS),
+    "stratified_people": "SELECT id, age_range FROM (SELECT c_custkey AS id, CAST(c_nationkey % 4 AS VARCHAR) AS age_range, row_number() OVER (PARTITION BY c_nationkey % 4 ORDER BY sha256(c_custkey || '|7'), c_custkey) AS r FROM customer) WHERE r <= 25",
+    "person_queries": q("""SELECT cpf AS entity_id, '{"properties":{"idNumber":["' || cpf || '"],"name":["' || min_by(legal_name, id) || '"],"nationality":["br"]},"schema":"Person"}' AS query FROM contracts WHERE cpf IS NOT NULL GROUP BY cpf"""),
+    "person_signals": q(f"""SELECT 'supplier' AS entity_type, cpf AS entity_id, 'pep_supplier_match' AS signal_type, {R('max(sc)')} AS score, string_agg('Q' || i, ',' ORDER BY sc DESC, i) AS candidates FROM (SELECT cpf, i, (i * 7 + CAST(right(cpf, 2) AS INTEGER)) % 100 / 100.0::DOUBLE AS sc FROM (SELECT DISTINCT cpf FROM contracts WHERE cpf IS NOT NULL), range(5) AS t(i)) WHERE sc >= 0.7 GROUP BY cpf"""),
+    "vector_search_in_collection": f"SELECT vec_id, {R('s', 6)} AS similarity FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(range(64), lambda x: 0.1::DOUBLE)) AS s FROM embeddings WHERE label % 3 = 1) WHERE s > 0 ORDER BY 2 DESC, 1 LIMIT 10",
+    "vector_upsert": "SELECT collection, count(*) AS n, count(*) FILTER (WHERE e = 0) AS new FROM (SELECT CAST(vec_id % 3 AS VARCHAR) AS collection, CASE WHEN vec_id % 4 = 0 THEN 0 ELSE CAST(embedding[1] AS DOUBLE) END AS e FROM embeddings WHERE vec_id % 5 <> 1 UNION ALL SELECT CAST(vec_id % 3 AS VARCHAR), CAST(embedding[1] AS DOUBLE) FROM embeddings WHERE vec_id < 10) GROUP BY 1",
+    "title_search": f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(concat_ws(' ', source, text)), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM documents), h AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE word IN ('license', 'stupid') GROUP BY 1, 2),
+      i AS (SELECT word, ln(CAST((SELECT count(*) FROM documents) AS DOUBLE) / count(*)) AS idf FROM h GROUP BY 1) SELECT doc_id, {R('sum(tf * idf)', 6)} AS score FROM h JOIN i ON h.word = i.word GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 20""",
+    "semantic_gap": f"SELECT a.conv_id, a.turn, {R(f'list_cosine_similarity({gap(A_TEXT)}, {gap(B_TEXT)})')} AS similarity FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
     "alerts": q(f"""SELECT *, CASE WHEN score >= 0.9 THEN 'critical' ELSE 'high' END AS priority FROM (SELECT 'supplier' AS entity_type, doc AS entity_id, 'anomalous_price' AS signal_type, deviation AS score FROM bf UNION ALL SELECT 'supplier', doc, 'single_bid', rate FROM rt WHERE rate > 0 AND contracts >= 3
       UNION ALL SELECT 'buyer', siafi, 'concentration', hhi FROM hh WHERE contracts >= 3 UNION ALL SELECT * FROM (SELECT 'supplier', doc, 'anomalous_duration', {R("avg(CASE WHEN outlier THEN 1.0 ELSE 0.0 END)")} AS sc FROM oi WHERE doc IS NOT NULL AND duration IS NOT NULL GROUP BY doc HAVING count(*) >= 3) WHERE sc > 0) WHERE score >= 0.7 ORDER BY score DESC, signal_type, entity_id LIMIT 50""", benford(), RATE, HHI, DUR, IQR),
     "vector_search": f"SELECT vec_id, {R('s', 6)} AS similarity FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(range(64), lambda x: 0.1::DOUBLE)) AS s FROM embeddings) WHERE s > 0 ORDER BY 2 DESC, 1 LIMIT 10",
-    "notice_clones": f"WITH n AS (SELECT doc_id, source AS territory_id, DATE '2020-01-01' + CAST(doc_id % 900 AS INTEGER) AS date, CAST(embedding AS DOUBLE[]) AS v FROM documents JOIN embeddings ON doc_id = vec_id WHERE length(trim(text)) >= 200), p AS (SELECT a.doc_id, b.doc_id AS old_id, a.territory_id, list_cosine_similarity(a.v, b.v) AS s FROM n a JOIN n b ON a.territory_id = b.territory_id AND b.date < a.date AND date_diff('day', b.date, a.date) <= 365) SELECT doc_id, old_id, territory_id, {R('s', 6)} AS similarity FROM p WHERE s > 0.3",
+    "notice_clones": L.sql(HASHED, f"p AS (SELECT a.doc_id, b.doc_id AS old_id, a.territory_id, list_cosine_similarity(a.v, b.v) AS s FROM n a JOIN n b ON a.territory_id = b.territory_id AND b.date < a.date AND date_diff('day', b.date, a.date) <= 365 AND coalesce(a.number <> b.number, true))", query=f"SELECT doc_id, old_id, territory_id, {R('s', 6)} AS similarity FROM p WHERE s > 0.85"),
 }
