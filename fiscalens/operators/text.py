@@ -258,12 +258,12 @@ def segments(texts: DataFrame, keys: str | list[str], text: str, headers: list[s
             found |= line.startswith(h)
         return (F.length(line) <= longest) & found
 
-    split = texts.select(*keys, F.transform(F.split(F.col(text), LINE_END), lambda x: F.rtrim(x)).alias("_lines"))
+    split = texts.select(*keys, F.transform(F.split(F.col(text), LINE_END), lambda x: F.regexp_replace(x, r"\s+$", "")).alias("_lines"))
     begins = first_letters({h[0] for h in starts})  # what other lines begin with is cheaper to see than their bare form
     bare = F.transform("_lines", lambda x: F.when(x.rlike(begins), bare_upper(x)))
     heads = F.filter(F.transform(bare, lambda x, i: F.when(is_header(x), i + 1)), lambda x: x.isNotNull())
     upto = lambda i: F.coalesce(F.get("_heads", i + 1), F.size("_lines") + 1)
-    cut = split.withColumn("_heads", heads).select(*keys, F.transform("_heads", lambda h, i: F.trim(F.array_join(F.slice("_lines", h, upto(i) - h), "\n"))).alias("_units"))
+    cut = split.withColumn("_heads", heads).select(*keys, F.transform("_heads", lambda h, i: F.regexp_replace(F.array_join(F.slice("_lines", h, upto(i) - h), "\n"), r"^\s+|\s+$", "")).alias("_units"))
     return cut.select(*keys, F.posexplode("_units").alias("unit", "segment"))
 
 

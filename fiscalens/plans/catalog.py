@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detectors, marts, others, raw
+from . import detectors, marts, others, raw, streams
 
 FLAGSHIP = "contracts_daily"
-GROUPS = [marts, detectors, others, raw]
+GROUPS = [marts, detectors, others, raw, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

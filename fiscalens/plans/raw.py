@@ -8,7 +8,7 @@ from ..operators import normalizers as N
 from ..sources import files
 from . import lens as L
 
-k, line = F.col("s_suppkey"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+line = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 text = lambda x: x.cast("string")
 
 
@@ -38,10 +38,12 @@ def transparency(s, d):
 
 
 def company_files(s, d):
+    k = F.col("s_suppkey")
     return L.table(s, d, "supplier").select(F.when(k % 13 == 0, "bad").otherwise(F.format_string("%08d", k)).alias("cnpj_basico"), F.col("s_name").alias("razao_social"), F.lit("2062").alias("natureza_juridica"), F.lit("49").alias("qualificacao_responsavel"), F.when(k % 5 != 0, F.format_string("%d.%03d,50", k, k % 1000)).otherwise("").alias("capital_social"), F.lit("01").alias("porte_empresa"), F.lit(None).cast("string").alias("ente_federativo"))
 
 
 def establishment_files(s, d):
+    k = F.col("s_suppkey")
     columns = {c: F.lit(None).cast("string") for c in files.ESTABLISHMENTS} | {
         "cnpj_basico": F.format_string("%08d", k), "cnpj_ordem": F.when(k % 11 == 0, "1").otherwise("0001"), "cnpj_dv": F.format_string("%02d", k % 100), "identificador_matriz_filial": F.when(k % 4 != 0, "1").otherwise("2"), "data_situacao_cadastral": F.when(k % 3 == 0, "00000000").otherwise(F.format_string("2020%02d15", k % 12 + 1)),
         "data_inicio_atividade": F.lit("19990131"), "cnae_fiscal_principal": F.lit("4120400"), "uf": F.lit("PE"), "municipio": F.format_string("%04d", F.col("s_nationkey")), "correio_eletronico": F.concat(text(k), F.lit("@x"))}
@@ -50,6 +52,7 @@ def establishment_files(s, d):
 
 def partner_files(s, d):
     """Two partners a company: one whose role goes round the codes, and a company that owns it; some have a representative."""
+    k = F.col("s_suppkey")
     t = L.table(s, d, "supplier")
     roles = F.array(*[F.lit(x) for x in ("05", "10", "22", "28", "49", "8", "65")])
     base = {c: F.lit(None).cast("string") for c in files.PARTNERS}
@@ -61,6 +64,7 @@ def partner_files(s, d):
 
 
 def receipt_files(s, d):
+    k = F.col("s_suppkey")
     return L.table(s, d, "supplier").select(
         F.lit(2024).alias("election_year"), F.when(k % 6 != 0, text(k)).alias("SQ_PRESTADOR_CONTAS"), F.when(k % 6 != 0, text(k + 7)).alias("SQ_RECEITA"), F.when(k % 2 == 0, "15/08/2024").otherwise("2024-08-15 10:00:00").alias("DT_RECEITA"), F.format_string("%d.%03d,00", k % 9, k % 1000).alias("VR_RECEITA"),
         F.format_string("%014d", k).alias("NR_CPF_CNPJ_DOADOR"), F.lit("Given name").alias("NM_DOADOR"), F.when(k % 3 == 0, "REGISTRY NAME").otherwise("").alias("NM_DOADOR_RFB"), F.when(k % 5 == 0, F.format_string("%011d", k)).otherwise("123").alias("NR_CPF_CNPJ_DOADOR_ORIGINARIO"), text(F.col("s_nationkey")).alias("SQ_CANDIDATO"), F.lit("PE").alias("SG_UF")).where("SQ_RECEITA is not null")
@@ -72,6 +76,7 @@ def candidate_files(s, d):
 
 
 def sanction_records(s, d):
+    k = F.col("s_suppkey")
     t = L.table(s, d, "supplier")
     basis = F.array(F.struct(F.lit("Lei 1").alias("descricao")), F.struct(F.when(k % 2 == 0, "Lei 2").alias("descricao")))
     return t.select(F.when(k % 8 != 0, k).alias("id"), F.struct(F.when(k % 3 == 0, F.format_string("%03d.111.222-33", k % 1000)).otherwise(F.format_string("%014d", k)).alias("codigoFormatado"), F.col("s_name").alias("nome")).alias("sancionado"), F.struct(F.lit("PE").alias("siglaUf"), F.lit("Court").alias("nome")).alias("orgaoSancionador"),
@@ -79,6 +84,7 @@ def sanction_records(s, d):
 
 
 def expulsion_records(s, d):
+    k = F.col("s_suppkey")
     return L.table(s, d, "supplier").select(k.alias("id"), F.struct(F.lit("").alias("nomePunido"), F.format_string("***.%03d.151-**", k % 1000).alias("cpfPunidoFormatado"), F.lit("P-1").alias("processo")).alias("punicao"), F.struct(F.col("s_name").alias("nome")).alias("pessoa"),
                                             F.struct(F.when(k % 2 == 0, "Sem Informação").otherwise("Ministry").alias("nome")).alias("orgaoLotacao"), F.struct(F.struct(F.lit("RJ").alias("sigla")).alias("uf")).alias("ufLotacaoPessoa"), F.lit("05/03/2019").alias("dataPublicacao"))
 

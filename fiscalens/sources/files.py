@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.normalize import quantity
+from ..functions.storage import written
+
 READERS: dict[str, Callable[..., DataFrame]] = {}
 
 # The columns of the company registry's headerless files, in their order.
@@ -50,10 +55,100 @@ def registry_dump(spark, path, columns: list[str]):
     return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).options(sep=";", encoding="ISO-8859-1", quote='"').csv(path)
 
 
+#: Of a file's name: what its rows are, and the columns of the headerless ones.
+ENTITIES = {"empresas": ("companies", COMPANIES), "estabelecimentos": ("establishments", ESTABLISHMENTS), "socios": ("partners", PARTNERS), "municipios": ("registry_municipalities", MUNICIPALITIES)}
+ELECTION_ENTITIES = {"receitas_candidatos": "campaign_donations", "consulta_cand": "candidacies"}
+
+
+def entity_of(name: str) -> str | None:
+    """What the rows of a dump's file are, by the file's name; None for a file that is none of the known ones."""
+    low = name.rsplit("/", 1)[-1].lower()
+    for prefix, (entity, _) in ENTITIES.items():
+        if low.startswith(prefix):
+            return entity
+    for prefix, entity in ELECTION_ENTITIES.items():
+        if re.search(rf"{prefix}_\d{{4}}", low):
+            return entity
+    return None
+
+
+def file_paths(spark: SparkSession, path: str, glob: str = "*") -> list[str]:
+    """Paths of the files under a folder, without their contents. Dumps are some dozens of files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return sorted(r.path for r in found.select("path").collect())
+
+
+def registry_files(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The dump's files under a folder by entity."""
+    found: dict[str, list[str]] = {}
+    for x in file_paths(spark, path):
+        if (entity := entity_of(x)) is not None:
+            found.setdefault(entity, []).append(x)
+    columns = dict(ENTITIES.values())
+    return {entity: registry_dump(spark, paths, columns[entity]) for entity, paths in found.items() if entity in columns}
+
+
 @reader("election_dump")
 def election_dump(spark, path):
-    """Latin-1 files with a header; the year is that of the file's name."""
-    return spark.read.options(header=True, sep=";", encoding="ISO-8859-1").csv(path).withColumn("election_year", F.regexp_extract(F.input_file_name(), r"(\d{4})", 1).try_cast("int"))
+    """Latin-1 files with a header; the year is that of the file's name. Where a year has a file of the whole country, those of the states
+    are its parts and are left out."""
+    kind = lambda x: re.match(r"(.*_\d{4})_(.+)\.csv$", x.rsplit("/", 1)[-1], re.IGNORECASE)
+    files_ = [(m.group(1).lower(), m.group(2).upper(), x) for x in file_paths(spark, path, "*.csv") if (m := kind(x))]
+    whole = {k for k, part, _ in files_ if part == "BRASIL"}
+    chosen = [x for k, part, x in files_ if part == "BRASIL" or k not in whole]
+    rows = spark.read.options(header=True, sep=";", encoding="ISO-8859-1").csv(chosen)
+    return rows.withColumn("election_year", F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), r"_(\d{4})_", 1).try_cast("int"))
+
+
+@reader("pod_listing")
+def pod_listing(spark, path):
+    """Lines of a listing of pods (namespace, pod, cpu, memory) with their use: pod, cpu_millicores, memory_bytes; other lines are left out."""
+    part = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).select(part.alias("p")).where("size(p) >= 3")
+    at = lambda back: F.element_at("p", -back)
+    return rows.select(at(3).alias("pod"), (quantity(at(2)) * 1000).alias("cpu_millicores"), quantity(at(1)).alias("memory_bytes")).where("cpu_millicores is not null and memory_bytes is not null")
+
+
+CONTRACT_RECORD = (
+    "numeroControlePNCP string, numeroContratoEmpenho string, sequencialCompra string, sequencial string, anoCompra string, anoContrato string, processo string, numeroCompra string, objetoCompra string, objetoContrato string, "
+    "valorInicial string, valorInicialCompra string, valorGlobal string, valorAcumulado string, valorTotalHomologado string, dataAssinatura string, dataPublicacaoPncp string, dataAberturaProposta string, dataEncerramentoProposta string, "
+    "dataVigenciaInicio string, dataVigenciaFim string, numeroRetificacao string, modalidadeId int, modalidadeNome string, situacaoCompraId int, situacaoCompraNome string, niFornecedor string, nomeRazaoSocialFornecedor string, tipoContrato struct<nome:string>, "
+    "orgaoEntidade struct<cnpj:string,razaosocial:string,esferaId:string>, unidadeOrgao struct<codigoUnidade:string,nomeUnidade:string,ufSigla:string,municipioNome:string>, fornecedor struct<cnpj:string,cnpjFormatado:string,cpf:string,cpfFormatado:string,ni:string,razaoSocial:string,nome:string,uf:string,municipio:string>"
+)
+SANCTION_RECORD = (
+    "id long, sancionado struct<codigoFormatado:string,nome:string>, pessoa struct<cnpjFormatado:string,cpfFormatado:string,razaoSocialReceita:string,nome:string>, orgaoSancionador struct<siglaUf:string,nome:string>, "
+    "tipoSancao struct<descricaoPortal:string,descricaoResumida:string>, fundamentacao array<struct<descricao:string>>, numeroProcesso string, dataInicioSancao string, dataFimSancao string, dataPublicacaoSancao string, valorMulta string"
+)
+EXPULSION_RECORD = (
+    "id long, punicao struct<nomePunido:string,cpfPunidoFormatado:string,processo:string>, pessoa struct<nome:string,cpfFormatado:string>, orgaoLotacao struct<nome:string>, ufLotacaoPessoa struct<uf:struct<sigla:string>>, tipoPunicao struct<descricao:string>, "
+    "fundamentacao array<struct<descricao:string>>, dataPublicacao string"
+)
+TERM_RECORD = "numeroControlePNCP string, tipoTermoContratoNome string, qualificacaoAcrescimoSupressao boolean, qualificacaoVigencia boolean, valorAcrescido string, prazoAditadoDias string"
+
+
+def _landed(name: str, schema: str | None) -> None:
+    """A source whose records lie as JSON lines, packed or not, by day or page."""
+    def scan(spark, path, **options):
+        reading = spark.read.options(**({"recursiveFileLookup": "true"} | options))
+        return (reading.schema(schema) if schema else reading).json(path)
+
+    READERS[name] = scan
+
+
+for _name, _schema in {"pncp": CONTRACT_RECORD, "pncp_contract_updates": CONTRACT_RECORD, "pncp_contract_terms": TERM_RECORD, "transparency": None, "purchases": None, "ceis": SANCTION_RECORD, "cnep": SANCTION_RECORD, "ceaf": EXPULSION_RECORD, "pod_usage": "pod string, cpu_millicores double, memory_bytes double"}.items():
+    _landed(_name, _schema)
+
+
+@reader("mock_pncp")
+def mock_pncp(spark, path=None):
+    """One record of the national portal, for trying a pipeline out."""
+    one = '{"numeroControlePNCP": "10572048000128-1-000007/2024", "objetoCompra": "Supply of school meals", "valorTotalHomologado": "150000.50", "dataPublicacaoPncp": "2024-03-05T10:00:00", "modalidadeId": 6, "orgaoEntidade": {"cnpj": "10572048000128", "esferaId": "M"}, "unidadeOrgao": {"codigoUnidade": "2531", "nomeUnidade": "City hall", "ufSigla": "PE", "municipioNome": "Recife"}, "fornecedor": {"cnpj": "12345678000190", "razaoSocial": "Foods Ltda"}}'
+    return spark.createDataFrame([(one,)], "value string").select(F.from_json("value", CONTRACT_RECORD).alias("r")).select("r.*")
+
+
+@reader("mock_transparency")
+def mock_transparency(spark, path=None):
+    return spark.createDataFrame([(1, "Cleaning", "1000,00", "2024-01-10", ("26000", "Ministry"), ("12.345.678/0001-90", "Cleaners SA"))], "id long, objeto string, valorInicial string, dataAssinatura string, unidadeGestora struct<codigo:string,nome:string>, fornecedor struct<cnpjFormatado:string,nome:string>")
 
 
 @reader("gazettes")
@@ -61,7 +156,10 @@ def gazettes(spark, path):
     """Whole texts; territory, date and digest are those of names like 1234567-2020-01-31-0123456789ab.txt."""
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     part = lambda k: F.nullif(F.regexp_extract(name, r"^(\d{7})-(\d{4}-\d{2}-\d{2})-([0-9a-f]{12})\.txt$", k), F.lit(""))
-    return spark.read.option("wholetext", True).text(path).select(part(1).alias("territory_id"), part(2).try_cast("date").alias("date"), part(3).alias("digest"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(part(1).alias("territory_id"), part(2).try_cast("date").alias("date"), part(3).alias("digest"), F.col("value").alias("text"))
+
+
+READERS |= {"federal_revenue": registry_dump, "tse": election_dump, "querido_diario": gazettes}
 
 
 def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
@@ -69,23 +167,120 @@ def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def upsert(spark: SparkSession, df: DataFrame, path: str, out: str, key: str) -> None:
-    """The rows at ``path`` whose key df does not have, and df's, written to ``out``: the old table stays readable until then."""
-    old = spark.read.parquet(path).join(df.select(key), key, "left_anti")
-    old.unionByName(df, allowMissingColumns=True).write.parquet(out)
+def exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
+def upsert(spark: SparkSession, df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """df's rows into the table at ``path``, in place of those of the same key. The table is partitioned by a bucket of the key; only
+    buckets that df touches are read and written again, and they are written aside first, so that a failure before the last step leaves
+    the table as it was. Of several rows of df with one key the largest stays."""
+    rest = [c for c in df.columns if c != key]
+    new = df.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, "_r.*").select(*df.columns).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    if not exists(spark, path):
+        new.write.partitionBy("_bucket").parquet(path)
+        return
+    new = written(new, "upsert-new")
+    old = spark.read.parquet(path).join(F.broadcast(new.select("_bucket").distinct()), "_bucket", "left_semi").join(new.select(key), key, "left_anti")  # buckets at most
+    merged = written(old.unionByName(new, allowMissingColumns=True), "upsert-merged")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+
+
+def append(df: DataFrame, path: str, *keys: str) -> None:
+    """Rows added to a table, by partition if keys are given."""
+    writer = df.write.mode("append")
+    (writer.partitionBy(*keys) if keys else writer).parquet(path)
+
+
+def write_bronze(df: DataFrame, path: str, source: str, dt: str) -> str:
+    """A day's raw records as packed JSON lines; a rerun of the day replaces it."""
+    out = f"{path}/{source}/dt={dt}"
+    df.write.mode("overwrite").option("compression", "gzip").json(out)
+    return out
+
+
+def list_bronze(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """Files of a source: path, dt, bytes."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!._]*").load(f"{path}/{source}")
+    return found.select("path", F.nullif(F.regexp_extract("path", r"/dt=([^/]+)/", 1), F.lit("")).alias("dt"), F.col("length").alias("bytes"))
+
+
+def pending(wanted: DataFrame, path: str, key: str) -> DataFrame:
+    """What of the wanted keys the checkpoint table at ``path`` does not have yet."""
+    spark = wanted.sparkSession
+    return wanted.join(spark.read.parquet(path).select(key), key, "left_anti") if exists(spark, path) else wanted
+
+
+def checkpoint_terms(wanted: DataFrame, fetched: DataFrame, path: str) -> None:
+    """The answers (id, terms) for contracts that have none yet; a contract without terms keeps an empty array, so that it is not asked again."""
+    todo = pending(wanted.select("id").distinct(), path, "id")
+    append(todo.join(fetched.select("id", "terms"), "id", "inner").select("id", F.coalesce("terms", F.lit("[]")).alias("terms")), path)
 
 
 def append_absent(spark: SparkSession, df: DataFrame, path: str, key: str) -> None:
     df.join(spark.read.parquet(path).select(key), key, "left_anti").write.mode("append").parquet(path)
 
 
-PUBLIC = ("contracts_daily", "supplier_stats", "red_flags_by_agency", "red_flags_by_supplier")
+# Marts that may be published, with the reason, and those that may not.
+PUBLIC = {
+    "contracts_by_agency": "aggregate by agency, no personal data", "contracts_daily": "aggregate by day, no personal data", "supplier_stats": "aggregate by supplier, whose number is public at the source",
+    "amendments_by_agency": "aggregate by agency, no personal data", "amendments_by_supplier": "aggregate by supplier, whose number is public at the source", "contract_amendments": "flags of public contracts, without a personal number",
+    "red_flags_by_agency": "aggregate by agency, no personal data", "red_flags_by_supplier": "aggregate by supplier, whose number is public at the source", "political_connections": "persons' numbers are masked in the mart",
+}
+INTERNAL = {"pod_usage_hourly": "telemetry", "platform_cost_daily": "telemetry", "data_quality_daily": "operations", "contract_red_flags": "may hold persons' numbers"}
 
 
-def export(df: DataFrame, name: str, path: str) -> None:
-    """An allowed mart as CSV and as Parquet of strings; any other name raises before a byte is written."""
+def classify(marts: list[str]) -> tuple[list[str], list[str]]:
+    """(those that may be published, those that nobody has classified)."""
+    return [m for m in PUBLIC if m in marts], [m for m in marts if m not in PUBLIC and m not in INTERNAL]
+
+
+def export(df: DataFrame, name: str, path: str, run_date: str) -> DataFrame:
+    """An allowed mart as CSV and as Parquet of strings, and a manifest of the files (mart, run_date, format, file, bytes, sha256, rows,
+    columns, reason) beside them; any other name raises before a byte is written."""
     if name not in PUBLIC:
         raise PermissionError(f"{name} is not public")
-    text = df.select(*[F.col(c).cast("string") for c in df.columns])
-    text.write.option("header", True).csv(f"{path}/{name}.csv")
-    text.write.parquet(f"{path}/{name}.parquet")
+    spark, out = df.sparkSession, f"{path}/{name}/dt={run_date}"
+    text = written(df.select(*[F.col(c).cast("string") for c in df.columns]), "export")
+    text.write.mode("overwrite").option("header", True).csv(f"{out}/csv")
+    text.write.mode("overwrite").parquet(f"{out}/parquet")
+    rows = text.count()
+    files_ = [spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{out}/{kind}").withColumn("format", F.lit(kind)) for kind in ("csv", "parquet")]
+    manifest = files_[0].unionByName(files_[1]).select(F.lit(name).alias("mart"), F.lit(run_date).alias("run_date"), "format", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.lit(rows).cast("long").alias("rows"), F.lit(",".join(df.columns)).alias("columns"), F.lit(PUBLIC[name]).alias("reason"))
+    manifest = written(manifest, "manifest")
+    manifest.write.mode("overwrite").json(f"{out}/manifest")
+    return manifest
+
+
+def serve(df: DataFrame, path: str, *keys: str) -> None:
+    """A mart's copy for serving, sorted by its keys within files, so that a reader skips what it does not ask for; replaced as a whole."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def store_evidence(df: DataFrame, path: str) -> DataFrame:
+    """Contents (type, source, captured_on, extension, content, metadata: a map) under the hash of their bytes: what is there already is not
+    stored again. Gives key, sha256, bytes and metadata of all of df. A content without bytes or type raises."""
+    spark = df.sparkSession
+    bad = df.where("content is null or length(content) = 0 or type is null or source is null or captured_on is null").limit(1).count()
+    if bad:
+        raise ValueError("evidence needs content, type, source and a day")
+    digest = F.sha2("content", 256)
+    key = F.concat_ws("/", F.lit("evidence"), "type", "source", F.date_format("captured_on", "yyyy"), F.date_format("captured_on", "MM"), F.concat(digest, F.lit("."), F.coalesce("extension", F.lit("bin"))))
+    rows = written(df.select(key.alias("key"), digest.alias("sha256"), F.octet_length("content").cast("long").alias("bytes"), "type", "source", "metadata", "content"), "evidence")
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("sha256"))).where("_n = 1").drop("_n")
+    append(pending(first, path, "key"), path, "type")
+    return rows.select("key", "sha256", "bytes", "metadata")
+
+
+def find_evidence(spark: SparkSession, path: str, **metadata: str) -> DataFrame:
+    """Stored evidence whose metadata has these values, without the contents."""
+    found = spark.read.parquet(path).drop("content")
+    for name, value in metadata.items():
+        found = found.where(F.col("metadata")[name] == value)
+    return found
