@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _stored: dict[tuple[str, str, str], str] = {}
@@ -32,10 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that make() gives for a source, written by the first query of a session that asks for it."""
+    """The table that make() gives for a source, written by the first query of a session that asks for it, and again if it is gone."""
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _stored:
-        path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-        make().write.parquet(path)
-        _stored[key] = path
-    return spark.read.parquet(_stored[key])
+    if key in _stored:
+        try:
+            return spark.read.parquet(_stored[key])
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    make().write.parquet(path)
+    _stored[key] = path
+    return spark.read.parquet(path)

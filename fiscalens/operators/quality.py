@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType
 
@@ -162,3 +162,17 @@ def window_of(name: str, today: Column) -> tuple[Column, Column]:
     month = F.trunc(today, "month")
     spans = {"previous_day": (F.date_sub(today, 1), today), "current_month": (month, F.add_months(month, 1)), "previous_month": (F.add_months(month, -1), month), "all": (F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date"))}
     return spans[name]
+
+
+def measured(df: DataFrame, step: str) -> tuple[DataFrame, Observation]:
+    """df, and what is known of the rows once it has been written: rows, and rows that are NULL in every column. No extra pass is made."""
+    seen = Observation(step)
+    empty = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNull() for c in df.columns], F.lit(True))
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(empty).alias("empty_rows")), seen
+
+
+def lineage(spark: SparkSession, steps: list[tuple[str, list[str], str]]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of steps (name, inputs, output): tables and steps as nodes, what reads and writes what as edges."""
+    nodes = {(x, "table") for _, inputs, output in steps for x in [*inputs, output]} | {(name, "step") for name, _, _ in steps}
+    edges = [(x, name, "reads") for name, inputs, _ in steps for x in inputs] + [(name, output, "writes") for name, _, output in steps]
+    return spark.createDataFrame(sorted(nodes), "node string, kind string"), spark.createDataFrame(sorted(edges), "source string, target string, kind string")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import detectors, marts, others, raw, streams
 
-FLAGSHIP = "contracts_daily"
+FLAGSHIP = "run_detection"
 GROUPS = [marts, detectors, others, raw, streams]
 
 

@@ -1,13 +1,18 @@
-"""Streams over the table of events, run to what is there now, and SQL over the same table."""
+"""Streams over the table of events, run to what is there now, a run of all detectors, forests, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rounding import rounded_sql as R
 from ..operators import detectors as D
 from ..operators import forest as X
+from ..operators.run import run_detection
 from ..streaming import events as E
+from . import lens as L
+from .detectors import DUR, GEO, HHI, IQR, PAIRS, POL, RATE, benford
 from .marts import c
+from .others import SIG
 
 latest = lambda s, d: E.finished_table(s, lambda path, state: E.upsert_batches(E.opened(s, d).select("user_id", "ts", "event_id", "event_type"), path, "user_id", "ts", state)).select("user_id", "ts", "event_id", "event_type")
 forest = lambda s, d: X.forest_rates(c(s, d))
@@ -27,12 +32,17 @@ QUERIES = {
     "stream_first_seen": lambda s, d: E.finished(s, E.first_seen(E.opened(s, d).select("event_id", "ts")), "append").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("events")),
     "stream_sights": lambda s, d: local(E.finished(s, E.sights(E.opened(s, d).select("user_id", "ts")), "update").groupBy("user_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("events").alias("events")), "first_seen", "last_seen"),
     "stream_latest": lambda s, d: local(latest(s, d), "ts"),
+    "run_detection": lambda s, d: run_detection(c(s, d), L.sanctions(s, d), L.establishments(s, d), L.municipalities(s, d), L.latest(L.donations(s, d)), L.latest(L.candidacies(s, d)), min_wins=2, least_share=0.0005, first="1993-01-01", last="1996-12-31"),
     "forest_rates": forest,
     "anomalous_price": lambda s, d: X.anomalous_price(D.benford(c(s, d)), forest(s, d)),
     "risk_index_with_forest": lambda s, d: D.risk_index(c(s, d), forest(s, d)),
     "forest_risk": forest_risk,
 }
 SQL = {
+    "run_detection": L.sql(L.CONTRACTS, L.SANCTIONS, L.MUNICIPALITIES, GEO, POL, PAIRS, benford(), RATE, HHI, DUR, IQR, SIG, query=f"""SELECT entity_type, entity_id, signal_type, score FROM sig
+      UNION ALL SELECT DISTINCT 'supplier', c.doc, 'sanctioned_supplier', 1.0::DOUBLE FROM contracts c JOIN sanctions s ON c.doc = s.doc AND signature_date BETWEEN start_date AND coalesce(end_date, DATE '9999-12-31')
+      UNION ALL SELECT 'supplier', cnpj, 'anomalous_geography', {R('least(1.0, km / 1000)')} FROM gg WHERE km > 100 UNION ALL SELECT 'supplier', doc, 'political_connection', score FROM pl
+      UNION ALL SELECT * FROM (SELECT 'supplier_pair', s1 || '+' || s2, 'collusion', 1.0::DOUBLE FROM pr ORDER BY buyer_count DESC, wins_sum DESC, s1, s2 LIMIT 500)"""),
     "stream_hourly": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(28,10))) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS begins FROM events), n AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
       SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS events FROM n GROUP BY user_id, k""",

@@ -211,3 +211,11 @@ def test_exports_have_a_manifest(spark, tmp_path):
     for _ in range(2):
         keys = {r.key for r in files.store_evidence(evidence, f"{tmp_path}/ev").collect()}
     assert len(keys) == 1 and next(iter(keys)).startswith("evidence/report/web/2024/05/") and files.find_evidence(spark, f"{tmp_path}/ev", k="1").count() == 1 and files.find_evidence(spark, f"{tmp_path}/ev", k="2").count() == 0
+
+
+def test_steps_are_measured(spark):
+    df, seen = Q.measured(spark.createDataFrame([(1, None), (None, None)], "a int, b string"), "load")
+    df.collect()
+    assert seen.get == {"rows": 2, "empty_rows": 1}
+    nodes, edges = Q.lineage(spark, [("load", ["raw"], "silver"), ("mart", ["silver"], "gold")])
+    assert nodes.count() == 5 and {(r.source, r.target) for r in edges.collect()} == {("raw", "load"), ("load", "silver"), ("silver", "mart"), ("mart", "gold")}
