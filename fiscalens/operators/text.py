@@ -133,11 +133,18 @@ def fuzzy_screening(c: DataFrame, sanctions: DataFrame, assisted: float = 0.85,
     return hit.groupBy("entity", "list_name").agg(rounded(F.max("_score")).alias("score"), F.countDistinct("sanction").alias("sanctions"), F.countDistinct("id").alias("contracts"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Within [-1, 1]; 0 if either vector is zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norm)))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column, norms: Column | None = None) -> Column:
+    """Within [-1, 1]; 0 if either vector is zero. norms: the product of the vectors' norms, if it is known."""
+    norms = norm(a) * norm(b) if norms is None else norms
+    return F.when(norms == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
 
 
 def vector_search(vectors: DataFrame, query: list[float], top_k: int = 10, collection: str | None = None) -> DataFrame:
@@ -191,12 +198,13 @@ def notice_clones(notices: DataFrame, threshold: float = 0.85, days: int = 365,
     vector = F.col("vector") if encode is None else encode(F.col("text"))
     some = notices.where((F.col("territory_id") != "") & F.col("date").isNotNull() & (F.length(F.trim("text")) >= least_chars))
     n = some.select("doc_id", "territory_id", "date", vector.alias("vector"), process_number(F.col("text")).alias("_number"), F.floor(F.unix_date("date") / part).alias("_part"))
-    old = n.select("territory_id", "_part", F.col("doc_id").alias("old_id"), F.col("date").alias("_old"), F.col("vector").alias("_v"), F.col("_number").alias("_old_number"))
+    n = n.withColumn("_norm", norm(F.col("vector")))
+    old = n.select("territory_id", "_part", F.col("doc_id").alias("old_id"), F.col("date").alias("_old"), F.col("vector").alias("_v"), F.col("_number").alias("_old_number"), F.col("_norm").alias("_old_norm"))
     new = n if reference_date is None else n.where(F.col("date") == reference_date)
     new = new.withColumn("_part", F.explode(F.sequence(F.floor((F.unix_date("date") - days) / part), F.col("_part"))))
     near = new.join(old, ["territory_id", "_part"]).where((F.col("_old") < F.col("date")) & (F.datediff("date", "_old") <= days))
     near = near.where(F.coalesce(F.col("_number") != F.col("_old_number"), F.lit(True)))
-    out = near.withColumn("_s", cosine(F.col("vector"), F.col("_v"))).where(F.col("_s") > threshold)
+    out = near.withColumn("_s", cosine(F.col("vector"), F.col("_v"), F.col("_norm") * F.col("_old_norm"))).where(F.col("_s") > threshold)
     return out.select("doc_id", "old_id", "territory_id", rounded(F.col("_s"), 6).alias("similarity"))
 
 
