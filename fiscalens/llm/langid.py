@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import shielded, written
 from .textkernel import flat, pieces
 
 GRAMS = 1 << 13
@@ -256,11 +256,14 @@ def op8(docs: DataFrame) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language is not known with confidence; columns and values as they are."""
-    named = docs.withColumn("_lang", F.col("lang"))
-    names, table = fit_text_model(named)
-    found = identify(named, names, table, F.col("text"), F.col("_lang").cast("string"), F.col("source").cast("string"), F.lit(None).cast("string"), score_again=True)
-    return found.where("kept").withColumn("lang", F.col("_lang")).select(*docs.columns)
+    """docs without the rows whose language is not known with confidence; columns and values as they are, whatever their names."""
+    def work(docs: DataFrame) -> DataFrame:
+        named = docs.withColumn("_lang", F.col("lang"))
+        names, table = fit_text_model(named)
+        found = identify(named, names, table, F.col("text"), F.col("_lang").cast("string"), F.col("source").cast("string"), F.lit(None).cast("string"), score_again=True)
+        return found.where("kept").withColumn("lang", F.col("_lang")).select(*docs.columns)
+
+    return shielded(docs, work)
 
 
 def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:

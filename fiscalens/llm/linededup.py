@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import shielded, written
 from .textkernel import by_group, flat, mixed, pieces, word_hashes, words
 
 LEADING = 3
@@ -259,5 +259,8 @@ def op10(docs: DataFrame) -> DataFrame:
 
 def without_recurring_lines(docs: DataFrame, **how) -> DataFrame:
     """docs without recurring lines, with the same columns; documents of which no line is left are gone, others keep their rows."""
-    out = drop_recurring_lines(docs, **how).where("n_dropped = 0 or n_dropped < n_lines")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    def work(docs: DataFrame) -> DataFrame:
+        out = drop_recurring_lines(docs, **how).where("n_dropped = 0 or n_dropped < n_lines")
+        return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+    return shielded(docs, work)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .shared import WORD, numbered, running_total, written
+from .shared import WORD, numbered, running_total, shielded, written
 
 
 def targets(sizes: DataFrame, weights: list[float], share: float = 1.5, most_times: float = 2.0) -> DataFrame:
@@ -225,13 +225,16 @@ def mixed_documents(docs: DataFrame, weights: list[float], **how) -> DataFrame:
     A row belongs to the shard that drew the pass's first block; shards lie together, and within a shard rows are in pseudorandom order,
     so that the files that come of it hold the mix.
     """
-    full, pieces = mix(docs, weights, **how)
-    rows = _passes(docs, full, pieces)
-    taken = F.aggregate("_pass.spans", F.lit(0).cast("long"), lambda a, x: a + x["to_word"] - x["from_word"])
-    rows = rows.repartition("_pass.shard").sortWithinPartitions("_pass.shard", F.xxhash64("source", "_pass.slot"), "_pass.pass", "doc_id")
-    rows = rows.withColumn("_spans", F.when(taken < F.col("_size"), F.col("_pass.spans")))
-    columns = [F.coalesce("_cut", "text").alias("text") if c == "text" else F.length(F.coalesce("_cut", "text")).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return rows.withColumn("_cut", F.when(F.col("_spans").isNotNull(), _taken_text("text", F.coalesce("_spans", F.array().cast("array<struct<from_word:bigint,to_word:bigint>>"))))).select(*columns)
+    def work(docs: DataFrame) -> DataFrame:
+        full, pieces = mix(docs, weights, **how)
+        rows = _passes(docs, full, pieces)
+        taken = F.aggregate("_pass.spans", F.lit(0).cast("long"), lambda a, x: a + x["to_word"] - x["from_word"])
+        rows = rows.repartition("_pass.shard").sortWithinPartitions("_pass.shard", F.xxhash64("source", "_pass.slot"), "_pass.pass", "doc_id")
+        rows = rows.withColumn("_spans", F.when(taken < F.col("_size"), F.col("_pass.spans")))
+        columns = [F.coalesce("_cut", "text").alias("text") if c == "text" else F.length(F.coalesce("_cut", "text")).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
+        return rows.withColumn("_cut", F.when(F.col("_spans").isNotNull(), _taken_text("text", F.coalesce("_spans", F.array().cast("array<struct<from_word:bigint,to_word:bigint>>"))))).select(*columns)
+
+    return shielded(docs, work)
 
 
 def mixed_blocks(docs: DataFrame, weights: list[float], **how) -> DataFrame:

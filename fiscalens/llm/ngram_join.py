@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import shielded, written
 from .textkernel import by_group, flat, pieces, shingles, word_hashes, words
 
 BANDS, ROWS, STEP = 25, 5, 25
@@ -228,5 +228,8 @@ def op7(docs: DataFrame) -> DataFrame:
 
 def without_near_copies(docs: DataFrame, **how) -> DataFrame:
     """docs with the first document of each class; rows that repeat its doc_id are that document too, and stay with it."""
-    classes = jaccard_classes(docs, **how).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(classes, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    def work(docs: DataFrame) -> DataFrame:
+        classes = jaccard_classes(docs, **how).where("kept").select(F.col("doc_id").alias("_kept"))
+        return docs.join(classes, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+    return shielded(docs, work)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,3 +82,10 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame], keep: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")) -> DataFrame:
+    """work(docs), which gives docs' columns in their order, with columns other than a document's under names of no meaning meanwhile, so
+    that none can clash with the operator's own."""
+    safe = [c if c in keep else f"extra_{i}" for i, c in enumerate(docs.columns)]
+    return work(docs.toDF(*safe)).toDF(*docs.columns)

@@ -102,7 +102,7 @@ def test_mixing(spark, docs):
         assert r["source_size"] == size[source[r["doc_id"]]] and 0 <= r["taken"] <= 2 * r["size"]
         taken[source[r["doc_id"]]] += r["taken"]
     assert all(abs(taken[s] - target[s]) < 1 for s in order)
-    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["taken"])
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["taken"], r["shards"])
     assert sorted(out, key=key) == sorted(rows(mixing.op3(docs.repartition(3))), key=key)
     mixed = mixing.mixed_documents(docs, [5.0, 2.0, 1.0])
     words = sum(len(WORDS.findall(r["text"])) for r in rows(mixed))
@@ -622,3 +622,29 @@ def test_pipeline_stages(spark, docs):
             out.write.parquet(path)
             out = spark.read.parquet(path)
     assert out.where("not lossless").count() == 0 and out.count() > 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    more = spark.createDataFrame([(i, "der und keit schei " * 9 + f"wort{i}", "de", None, 1) for i in range(6)] + [(3, None, None, None, None), (None, "", None, None, 0)], DOCS)
+    clash = {c: F.lit("x") for c in ("_text", "fp", "line", "_size", "_key", "_pass", "rid", "kept", "confidence", "turn", "shard")}
+    for k, df in enumerate((more.withColumns(clash), more.limit(0))):
+        df.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{k}")
+        assert out.columns == ["doc_id", "ids", "n_ids", "n_bytes", "lossless"] and out.where("not lossless").count() == 0 and (out.count() > 0) == (k == 0)
+
+
+def test_passes_over_a_document_differ(spark):
+    import corpus_pipeline
+
+    twice = spark.createDataFrame([(1, "the nononononono " * 50, "en", "s", 1)] * 2, DOCS)
+    assert len({tuple(r["ids"]) for r in rows(corpus_pipeline.encoding(spark, twice, ""))}) == 2
+
+
+def test_op_queries_leave_other_columns_alone(spark, docs):
+    names = {c: F.lit("x") for c in ("bytes", "fp", "sig", "rid", "size", "_n", "line", "leaf", "tokens", "band", "n_words", "turn", "ids", "n_tokens", "start", "part", "_t", "_d")}
+    for op, tidy in ((tokenfiles.op4, str), (op9, str), (linededup.op10, str), (langid.op8, str)):
+        assert sorted(map(tidy, rows(op(docs)))) == sorted(map(tidy, rows(op(docs.withColumns(names)))))
+    data, df = vectors(spark)
+    assert sorted(map(str, rows(egojoin.op5(df)))) == sorted(map(str, rows(egojoin.op5(df.withColumns({c: F.lit("x") for c in ("raw", "width", "fp", "label", "cell", "interval")})))))
