@@ -25,9 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _stored[key]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder: made once, however many branches read it."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -41,7 +45,7 @@ def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataF
         except AnalysisException as e:
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     make().write.parquet(path)
     _stored[key] = path
     return spark.read.parquet(path)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import new_folder
 from ..operators import normalizers as N
 from ..sources import files
+from ..sources.pages import page_stream, parsed, record_pages
 from . import lens as L
 
 line = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -105,9 +107,37 @@ def flat(df):
     return df.select("id", "process_number", "subject", F.col("amount").cast("double").alias("amount"), "signature_date", "validity_start", "validity_end", *[F.col(f"buyer.{x}").alias(f"buyer_{x}") for x in ("siafi_code", "name", "government_level", "uf", "city")], *[F.col(f"supplier.{x}").alias(f"supplier_{x}") for x in ("cnpj", "cpf", "legal_name", "state")], "modality", "status")
 
 
+def recorded(df, window, per_page=500):
+    """The folder of df's rows as a paged source would have answered."""
+    path = new_folder(df.sparkSession, "pages")
+    record_pages(df, path, window, per_page)
+    return path
+
+
+def pncp_months(s, d):
+    """The portal's records by month of publication."""
+    return recorded(pncp(s, d).withColumns({"modalidadeId": F.col("modalidadeId").cast("int"), "situacaoCompraId": F.col("situacaoCompraId").cast("int"), "_month": F.substring("dataPublicacaoPncp", 1, 7)}), "_month")
+
+
+def transparency_agencies(s, d):
+    return recorded(transparency(s, d).withColumn("_agency", F.coalesce("unidadeGestora.codigo", F.lit("none"))), "_agency", 100)
+
+
+def streamed_pncp(s, d):
+    """The same records by a stream that ends with the months there are up to one of them, and is taken up again for the rest."""
+    path, folder = pncp_months(s, d), new_folder(s, "page-stream")
+    for upto in ({"to": "1995-06"}, {}):
+        page_stream(s, path, **upto).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return parsed(s.read.parquet(f"{folder}/out"), files.CONTRACT_RECORD)
+
+
 money = lambda df, *c: df.withColumns({x: F.col(x).cast("double") for x in c})
 QUERIES = {
     "normalize_pncp": lambda s, d: flat(N.contracts_from_pncp(pncp(s, d), "2024-05-01")),
+    "pncp_pages": lambda s, d: flat(N.contracts_from_pncp(files.read(s, "pncp_pages", pncp_months(s, d)), "2024-05-01")),
+    "pncp_page_stream": lambda s, d: flat(N.contracts_from_pncp(streamed_pncp(s, d), "2024-05-01")),
+    "transparency_pages": lambda s, d: flat(N.contracts_from_transparency(files.read(s, "transparency_pages", transparency_agencies(s, d)), "2024-05-01")),
+    "sanction_pages": lambda s, d: money(N.sanctions(files.read(s, "ceis_pages", recorded(sanction_records(s, d).withColumn("_all", F.lit("all")), "_all", 15)), "ceis"), "fine_amount"),
     "normalize_transparency": lambda s, d: flat(N.contracts_from_transparency(transparency(s, d), "2024-05-01")),
     "normalize_companies": lambda s, d: money(N.companies(company_files(s, d)), "capital_social"),
     "normalize_establishments": lambda s, d: N.establishments(establishment_files(s, d)).select("cnpj", "cnpj_basico", "is_matriz", "data_situacao_cadastral", "data_inicio_atividade", "cnae_principal", "uf", "municipio", "email"),
@@ -145,3 +175,4 @@ SQL = {
     "normalize_municipalities": f"SELECT {UF_CODES}[n_nationkey + 1] || {pad('n_nationkey', 5)} AS ibge_code, 'São ' || n_name AS name, {UF_NAMES}[n_nationkey + 1] AS uf, {pad('n_nationkey', 4)} AS siafi_code, CAST(n_nationkey * 1.25 - 20 AS DOUBLE) AS latitude, CAST(n_nationkey * -0.75 - 40 AS DOUBLE) AS longitude, 'SAO ' || replace(upper(n_name), '_', ' ') AS compared_name FROM nation",
     "municipality_lookup": f"SELECT n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN {UF_CODES}[n_nationkey + 1] || {pad('n_nationkey', 5)} END AS ibge_code, CASE WHEN n_nationkey % 5 <> 0 THEN CAST(n_nationkey * 1.25 - 20 AS DOUBLE) END AS latitude, CASE WHEN n_nationkey % 5 <> 0 THEN CAST(n_nationkey * -0.75 - 40 AS DOUBLE) END AS longitude FROM nation",
 }
+SQL |= {"pncp_pages": SQL["normalize_pncp"], "pncp_page_stream": SQL["normalize_pncp"], "transparency_pages": SQL["normalize_transparency"], "sanction_pages": SQL["normalize_sanctions"]}

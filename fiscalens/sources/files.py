@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import quantity
 from ..functions.storage import written
+from .pages import pages, parsed
 
 READERS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -123,19 +124,36 @@ EXPULSION_RECORD = (
     "id long, punicao struct<nomePunido:string,cpfPunidoFormatado:string,processo:string>, pessoa struct<nome:string,cpfFormatado:string>, orgaoLotacao struct<nome:string>, ufLotacaoPessoa struct<uf:struct<sigla:string>>, tipoPunicao struct<descricao:string>, "
     "fundamentacao array<struct<descricao:string>>, dataPublicacao string"
 )
+_BODY = "codigo:string,codigoSIAFI:string,nome:string,razaoSocial:string"
+_AGENCY = f"struct<{_BODY},descricaoPoder:string,esfera:string,esferaId:string,ufSigla:string,uf:string,municipioNome:string,municipio:string,orgaoVinculado:struct<{_BODY}>,orgaoMaximo:struct<{_BODY}>>"
+_SUPPLIER = "struct<cnpj:string,cnpjFormatado:string,cpf:string,cpfFormatado:string,ni:string,razaoSocial:string,nome:string,uf:string,municipio:string>"
+TRANSPARENCY_RECORD = (
+    "id long, numero string, numeroContrato string, numeroProcesso string, objeto string, objetoContrato string, valorInicial string, valorGlobal string, valorInicialCompra string, valor string, dataAssinatura string, dataPublicacao string, "
+    "dataVigenciaInicio string, dataVigenciaFim string, modalidade string, modalidadeNome string, situacao string, situacaoContrato string, anoContrato string, sequencial string, niFornecedor string, nomeFornecedor string, "
+    f"unidadeGestora {_AGENCY}, unidadeGestoraCompras {_AGENCY}, orgao {_AGENCY}, fornecedor {_SUPPLIER}, contratado {_SUPPLIER}, fornecedores array<{_SUPPLIER}>"
+)
 TERM_RECORD = "numeroControlePNCP string, tipoTermoContratoNome string, qualificacaoAcrescimoSupressao boolean, qualificacaoVigencia boolean, valorAcrescido string, prazoAditadoDias string"
 
 
-def _landed(name: str, schema: str | None) -> None:
-    """A source whose records lie as JSON lines, packed or not, by day or page."""
+def one_supplier(df: DataFrame) -> DataFrame:
+    """The supplier whatever the source calls it; the first where it gives a list."""
+    if "fornecedores" not in df.columns:
+        return df
+    return df.withColumn("fornecedor", F.coalesce("fornecedor", "contratado", F.get("fornecedores", 0))).drop("contratado", "fornecedores")
+
+
+def _landed(name: str, schema: str) -> None:
+    """A source whose records lie as JSON lines, packed or not, by day or page; with _pages behind the name, as a paged source gives them."""
     def scan(spark, path, **options):
-        reading = spark.read.options(**({"recursiveFileLookup": "true"} | options))
-        return (reading.schema(schema) if schema else reading).json(path)
+        return one_supplier(spark.read.options(**({"recursiveFileLookup": "true"} | options)).schema(schema).json(path))
+
+    def paged(spark, path, **options):
+        return one_supplier(parsed(pages(spark, path, **options), schema))
 
-    READERS[name] = scan
+    READERS[name], READERS[f"{name}_pages"] = scan, paged
 
 
-for _name, _schema in {"pncp": CONTRACT_RECORD, "pncp_contract_updates": CONTRACT_RECORD, "pncp_contract_terms": TERM_RECORD, "transparency": None, "purchases": None, "ceis": SANCTION_RECORD, "cnep": SANCTION_RECORD, "ceaf": EXPULSION_RECORD, "pod_usage": "pod string, cpu_millicores double, memory_bytes double"}.items():
+for _name, _schema in {"pncp": CONTRACT_RECORD, "pncp_contract_updates": CONTRACT_RECORD, "pncp_contract_terms": TERM_RECORD, "transparency": TRANSPARENCY_RECORD, "purchases": TRANSPARENCY_RECORD, "ceis": SANCTION_RECORD, "cnep": SANCTION_RECORD, "ceaf": EXPULSION_RECORD, "pod_usage": "pod string, cpu_millicores double, memory_bytes double"}.items():
     _landed(_name, _schema)
 
 
