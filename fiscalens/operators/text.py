@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.normalize import bare_upper, first_letters, sorted_words
 from ..functions.rounding import rounded
+from ..functions.storage import written
+from .cosine_join import dense_pairs, sparse_pairs
+from .encoder import tfidf
 
 
 def normalize_name(x: str | None) -> str:
@@ -166,10 +172,22 @@ def pair_key(a: Column, b: Column) -> Column:
 
 
 def hashed_words(text: Column, dims: int = 64) -> Column:
-    """A text as counts of its words by a hash, for use where no better encoder is at hand."""
-    bins = F.transform(F.split(F.lower(text), " "), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"), F.lit(dims)))
-    counted = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.size(F.filter(own, lambda x: x == b)).cast("double"))
-    return F.element_at(F.transform(F.array(bins), counted), 1)  # words are hashed once, before they are counted
+    """A text as counts of its words by a hash: an encoder that needs no fitting, for tests and comparisons. NULL for NULL."""
+    @F.pandas_udf("array<double>")
+    def counts(texts: pd.Series) -> pd.Series:
+        bins: dict[str, int] = {}
+
+        def one(t: str | None) -> np.ndarray | None:
+            if t is None:
+                return None
+            for w in (words := t.lower().split(" ")):
+                if w not in bins:
+                    bins[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % dims  # noqa: S324
+            return np.bincount([bins[w] for w in words], minlength=dims).astype(float)
+
+        return texts.map(one)
+
+    return counts(text)
 
 
 def semantic_gap(pairs: DataFrame, a: str, b: str, encode: Callable[[Column], Column] = hashed_words) -> DataFrame:
@@ -187,25 +205,70 @@ def process_number(text: Column) -> Column:
     return F.coalesce(first(r"(?U)\d{4,6}\s*\.\s*\d{6,8}\s*/\s*\d{4}\s*-\s*\d{2}", 0), first(r"(?iU)processo\s*n[º°oa.]*\s*[:\-]?\s*(\d[\d./\-]{3,}\d)", 1))
 
 
+def _valid_notices(notices: DataFrame, least_chars: int) -> DataFrame:
+    return notices.where((F.col("territory_id") != "") & F.col("date").isNotNull() & (F.length(F.trim("text")) >= least_chars))
+
+
 def notice_clones(notices: DataFrame, threshold: float = 0.85, days: int = 365, least_chars: int = 200, reference_date: Column | None = None, encode: Callable[[Column], Column] | None = None) -> DataFrame:
     """Pairs of notices (doc_id, territory_id, date, text, and vector unless ``encode`` makes it of the text) of one territory, the other
     strictly older by ``days`` at most, with a similarity above the threshold; with ``reference_date`` the newer one is of that day.
 
     Notices of the same process number are editions of one notice, and no pair. Notices meet by territory and part of the window: a newer
-    one is dealt to the parts that it looks back on, so that no task compares a territory as a whole.
+    one is dealt to the parts that it looks back on, and parts of any size fall into cells, so that no task compares a territory as a whole.
     """
     part = max(1, days // 8)
     vector = F.col("vector") if encode is None else encode(F.col("text"))
-    some = notices.where((F.col("territory_id") != "") & F.col("date").isNotNull() & (F.length(F.trim("text")) >= least_chars))
-    n = some.select("doc_id", "territory_id", "date", vector.alias("vector"), process_number(F.col("text")).alias("_number"), F.floor(F.unix_date("date") / part).alias("_part"))
-    n = n.withColumn("_norm", norm(F.col("vector")))
-    old = n.select("territory_id", "_part", F.col("doc_id").alias("old_id"), F.col("date").alias("_old"), F.col("vector").alias("_v"), F.col("_number").alias("_old_number"), F.col("_norm").alias("_old_norm"))
-    new = n if reference_date is None else n.where(F.col("date") == reference_date)
-    new = new.withColumn("_part", F.explode(F.sequence(F.floor((F.unix_date("date") - days) / part), F.col("_part"))))
-    near = new.join(old, ["territory_id", "_part"]).where((F.col("_old") < F.col("date")) & (F.datediff("date", "_old") <= days))
-    near = near.where(F.coalesce(F.col("_number") != F.col("_old_number"), F.lit(True)))
-    out = near.withColumn("_s", cosine(F.col("vector"), F.col("_v"), F.col("_norm") * F.col("_old_norm"))).where(F.col("_s") > threshold)
-    return out.select("doc_id", "old_id", "territory_id", rounded(F.col("_s"), 6).alias("similarity"))
+    n = _valid_notices(notices, least_chars).select(F.col("doc_id").alias("id"), "territory_id", F.unix_date("date").alias("_day"), vector.cast("array<double>").alias("vector"), process_number(F.col("text")).alias("_number"), F.floor(F.unix_date("date") / part).alias("_part"))
+    n = written(n, "notices")
+    new = n if reference_date is None else n.where(F.col("_day") == F.unix_date(reference_date))
+    new = new.withColumn("_part", F.explode(F.sequence(F.floor((F.col("_day") - days) / part), F.col("_part"))))
+
+    def allowed(a: pa.Table, b: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        of = lambda t, c, k: t.column(c).combine_chunks().take(pa.array(k))
+        gap = of(a, "_day", i).to_numpy().astype(np.int64) - of(b, "_day", j).to_numpy().astype(np.int64)
+        same = np.array([x is not None and x == y for x, y in zip(of(a, "_number", i).to_pylist(), of(b, "_number", j).to_pylist(), strict=True)], bool)
+        return (gap > 0) & (gap <= days) & ~same
+
+    pairs = dense_pairs(new, n, ["territory_id", "_part"], dict(n.dtypes)["id"], allowed, threshold)
+    return pairs.join(n.select(F.col("id").alias("a"), "territory_id"), "a").select(F.col("a").alias("doc_id"), F.col("b").alias("old_id"), "territory_id", rounded(F.col("similarity"), 6).alias("similarity"))
+
+
+def _older(days: int, reference_date: Column | None) -> Column:
+    gap = F.col("a__day") - F.col("_day")
+    now = F.lit(True) if reference_date is None else F.col("a__day") == F.unix_date(reference_date)
+    return (gap > 0) & (gap <= days) & F.coalesce(F.col("a__number") != F.col("_number"), F.lit(True)) & now
+
+
+def notice_vectors(notices: DataFrame, least_chars: int = 200) -> DataFrame:
+    """Valid notices as sparse tf-idf vectors: id, territory_id, _day, _number, terms. ids must be of their own."""
+    some = _valid_notices(notices, least_chars)
+    rows = some.select(F.col("doc_id").alias("id"), "territory_id", F.unix_date("date").alias("_day"), process_number(F.col("text")).alias("_number"))
+    return written(rows.join(tfidf(some, "doc_id", "text").withColumnRenamed("doc_id", "id"), "id"), "notice-vectors")
+
+
+def sparse_clones(notices: DataFrame, threshold: float = 0.85, days: int = 365, least_chars: int = 200, reference_date: Column | None = None) -> DataFrame:
+    """notice_clones by the words that notices share, weighted by tf-idf, through an inverted index of their rarest words: no pair is lost,
+    and a notice is compared with those alone that may reach the threshold."""
+    v = notice_vectors(notices, least_chars)
+    pairs = sparse_pairs(v, threshold, ["territory_id"], _older(days, reference_date))
+    return pairs.join(v.select(F.col("id").alias("a"), "territory_id"), "a").select(F.col("a").alias("doc_id"), F.col("b").alias("old_id"), "territory_id", rounded(F.col("similarity"), 6).alias("similarity"))
+
+
+def window_pairs(notices: DataFrame, days: int = 365, least_chars: int = 200) -> DataFrame:
+    """By territory: notices, and pairs of them within the window, counted from the notices of each day."""
+    daily = _valid_notices(notices, least_chars).groupBy("territory_id", F.unix_date("date").alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    back = Window.partitionBy("territory_id").orderBy("_day").rangeBetween(-days, -1)
+    return daily.withColumn("_old", F.coalesce(F.sum("_n").over(back), F.lit(0))).groupBy("territory_id").agg(F.sum("_n").alias("notices"), F.sum(F.col("_n") * F.col("_old")).alias("pairs"))
+
+
+def clone_rates(found: DataFrame, planted: DataFrame, windows: DataFrame) -> DataFrame:
+    """Of clones found (doc_id, old_id) and planted (a, b): how many were planted, their recall (1 without any), and the share of the other
+    pairs of the windows (as of window_pairs) that were found (0 without any)."""
+    own = found.select(F.col("doc_id").alias("a"), F.col("old_id").alias("b"), F.lit(1).alias("_hit"))
+    known = planted.distinct().join(own, ["a", "b"], "left").agg(F.count(F.lit(1)).alias("planted"), F.count("_hit").alias("_hits"))
+    both = known.join(own.agg(F.count(F.lit(1)).alias("_found"))).join(windows.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("window_pairs")))  # rows of one
+    rate = lambda x, n, none: rounded(F.coalesce(x / F.nullif(n, F.lit(0)), F.lit(none)), 6)
+    return both.select("planted", "window_pairs", rate(F.col("_hits"), F.col("planted"), 1.0).alias("recall"), rate(F.col("_found") - F.col("_hits"), F.col("window_pairs") - F.col("planted"), 0.0).alias("false_rate"))
 
 
 def gazette_notices(gazettes: DataFrame) -> DataFrame:

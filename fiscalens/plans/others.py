@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import rounded_sql as R
 from ..operators import detectors as D
+from ..operators import encoder
 from ..operators import graph as G
 from ..operators import normalizers as N
 from ..operators import quality as Q
 from ..operators import reviews as V
 from ..operators import text as T
+from ..operators.cosine_join import candidates
 from . import lens as L
 from . import raw as W
 from .detectors import DUR, HHI, IQR, RATE, benford
@@ -82,6 +84,37 @@ def gazette_records(s, d):
     return L.table(s, d, "pages").select(F.when(key % 5 != 0, F.lpad(key.cast("string"), 7, "0")).otherwise("12x").alias("territory_id"), F.when(key % 7 != 0, F.lit("2024-01-01").cast("date")).alias("date"), "url", F.when(key % 3 == 0, "").otherwise(F.col("url")).alias("txt_url"))
 
 
+def changed(s, d):
+    """Notices, and of some long ones a clone a month later in which every twelfth word is another."""
+    n = L.notices(s, d).withColumn("date", F.date_sub("date", 400))
+    words = F.transform(F.split("text", " "), lambda w, i: F.when(i % 12 == 5, F.concat(F.lit("changed"), (i % 7).cast("string"))).otherwise(w))
+    clones = n.where("doc_id % 10 = 3 and length(text) > 800").select((F.col("doc_id") + 1_000_000_000_000).alias("doc_id"), "territory_id", F.date_add("date", 30).alias("date"), F.array_join(words, " ").alias("text"))
+    return n.unionByName(clones), clones.select(F.col("doc_id").alias("a"), (F.col("doc_id") - 1_000_000_000_000).alias("b"))
+
+
+def lsa_clone_rates(s, d):
+    """Of the clones planted in the notices, how many the fitted encoder finds above the threshold, and the share of other pairs of the
+    window that it takes for clones."""
+    n, planted = changed(s, d)
+    found = T.notice_clones(n, encode=encoder.encode_with(s, encoder.fit(n)))
+    return T.clone_rates(found, planted, T.window_pairs(n))
+
+
+def sparse_clone_rates(s, d):
+    n, planted = changed(s, d)
+    return T.clone_rates(T.sparse_clones(n), planted, T.window_pairs(n))
+
+
+def clone_comparisons(s, d):
+    """By territory the pairs of the window beside those that the index leaves to be compared, and those found."""
+    v = T.notice_vectors(L.notices(s, d))
+    kept = candidates(v, 0.85, ["territory_id"], T._older(365, None))
+    of = v.select(F.col("id").alias("a"), "territory_id")
+    compared = kept.join(of, "a").groupBy("territory_id").agg(F.count(F.lit(1)).alias("compared"))
+    found = T.sparse_clones(L.notices(s, d)).groupBy("territory_id").agg(F.count(F.lit(1)).alias("found"))
+    return T.window_pairs(L.notices(s, d)).join(compared, "territory_id", "left").join(found, "territory_id", "left").na.fill(0, ["compared", "found"])
+
+
 def turns(s, d):
     t = L.table(s, d, "conversations")
     a = t.select("conv_id", "turn", F.col("text").alias("a"))
@@ -100,6 +133,11 @@ QUERIES = {
     "vector_search_in_collection": lambda s, d: T.vector_search(L.table(s, d, "embeddings").withColumn("collection", (F.col("label") % 3).cast("string") if "label" in L.table(s, d, "embeddings").columns else (F.col("vec_id") % 3).cast("string")), QUERY_VECTOR, collection="1"),
     "vector_upsert": lambda s, d: stored_vectors(s, d),
     "notice_clones": lambda s, d: T.notice_clones(L.notices(s, d), 0.85, encode=T.hashed_words),
+    "sparse_notice_clones": lambda s, d: T.sparse_clones(L.notices(s, d)),
+    "sparse_clone_rates": sparse_clone_rates,
+    "lsa_clone_rates": lsa_clone_rates,
+    "clone_comparisons": clone_comparisons,
+    "window_pairs": lambda s, d: T.window_pairs(L.notices(s, d)),
     "notice_segments": lambda s, d: T.segments(L.table(s, d, "documents").select("doc_id", F.regexp_replace("text", r"\. ", "\n").alias("text")), "doc_id", "text", ["The", "Dè", "La"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.sum(F.length("segment")).alias("chars")),
     "semantic_gap": turns,
     "text_search": lambda s, d: T.text_search(L.table(s, d, "documents").select("doc_id", "text"), WORDS),
@@ -226,4 +264,9 @@ SQL = {
       UNION ALL SELECT 'buyer', siafi, 'concentration', hhi FROM hh WHERE contracts >= 3 UNION ALL SELECT * FROM (SELECT 'supplier', doc, 'anomalous_duration', {R("avg(CASE WHEN outlier THEN 1.0 ELSE 0.0 END)")} AS sc FROM oi WHERE doc IS NOT NULL AND duration IS NOT NULL GROUP BY doc HAVING count(*) >= 3) WHERE sc > 0) WHERE score >= 0.7 ORDER BY score DESC, signal_type, entity_id LIMIT 50""", benford(), RATE, HHI, DUR, IQR),
     "vector_search": f"SELECT vec_id, {R('s', 6)} AS similarity FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(range(64), lambda x: 0.1::DOUBLE)) AS s FROM embeddings) WHERE s > 0 ORDER BY 2 DESC, 1 LIMIT 10",
     "notice_clones": L.sql(HASHED, f"p AS (SELECT a.doc_id, b.doc_id AS old_id, a.territory_id, list_cosine_similarity(a.v, b.v) AS s FROM n a JOIN n b ON a.territory_id = b.territory_id AND b.date < a.date AND date_diff('day', b.date, a.date) <= 365 AND coalesce(a.number <> b.number, true))", query=f"SELECT doc_id, old_id, territory_id, {R('s', 6)} AS similarity FROM p WHERE s > 0.85"),
+    "sparse_notice_clones": L.sql(HASHED, """tw AS (SELECT doc_id, unnest(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}]+')) AS word FROM bins WHERE length(trim(t)) >= 200), tf AS (SELECT doc_id, word, count(*) AS tf FROM tw WHERE word <> '' GROUP BY 1, 2),
+      wt AS (SELECT doc_id, word, (1 + ln(tf)) * (1 + ln((1.0::DOUBLE + (SELECT count(*) FROM bn)) / (1 + count(*) OVER (PARTITION BY word)))) AS w FROM tf), un AS (SELECT doc_id, word, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM wt),
+      ok AS (SELECT a.doc_id, b.doc_id AS old_id, a.territory_id FROM n a JOIN n b ON a.territory_id = b.territory_id AND b.date < a.date AND date_diff('day', b.date, a.date) <= 365 AND coalesce(a.number <> b.number, true))""",
+      query=f"SELECT ok.doc_id, ok.old_id, ok.territory_id, {R('least(s, 1.0::DOUBLE)', 6)} AS similarity FROM (SELECT x.doc_id AS i, y.doc_id AS j, sum(x.w * y.w) AS s FROM un x JOIN un y ON x.word = y.word AND x.doc_id <> y.doc_id GROUP BY 1, 2 HAVING sum(x.w * y.w) > 0.85) JOIN ok ON ok.doc_id = i AND ok.old_id = j"),
+    "window_pairs": L.sql(HASHED, query="SELECT territory_id, count(DISTINCT doc_id) AS notices, CAST(coalesce(sum(k), 0) AS BIGINT) AS pairs FROM (SELECT a.territory_id, a.doc_id, count(b.doc_id) AS k FROM bn a LEFT JOIN bn b ON a.territory_id = b.territory_id AND b.date < a.date AND date_diff('day', b.date, a.date) <= 365 GROUP BY 1, 2) GROUP BY 1"),
 }
