@@ -19,6 +19,7 @@ from ..functions.rounding import rounded
 from ..functions.storage import written
 from .cosine_join import dense_pairs, sparse_pairs
 from .encoder import tfidf
+from .name_join import near_names
 
 
 def normalize_name(x: str | None) -> str:
@@ -76,42 +77,6 @@ def resolve_people(people: DataFrame, threshold: float = 0.85) -> DataFrame:
     return pairs.join(names, ["a__name", "_name"]).withColumn("score", score).where(F.col("score") >= threshold).select(F.col("a_id").alias("id_a"), F.col("id").alias("id_b"), "score")
 
 
-def _slack(length: int, threshold: float) -> int:
-    """Characters that names of a ratio of ``threshold`` may not share, at most, if one of them has this length."""
-    return int(2 * (1 - threshold) / threshold * length + 1e-9)
-
-
-def _parts(length: int, threshold: float) -> list[tuple[int, int]]:
-    n = _slack(length, threshold) + 1
-    return [(length * i // n, length * (i + 1) // n) for i in range(n)]
-
-
-def name_segments(name: str, threshold: float) -> set[str]:
-    """Keys of a name cut into one part more than characters may differ: one part at least stands in any name near enough."""
-    return {f"{len(name)}|{i}|{name[x:y]}" for i, (x, y) in enumerate(_parts(len(name), threshold))}
-
-
-def name_windows(name: str, threshold: float) -> set[str]:
-    """Keys of the places in a name where a part of a near name can stand."""
-    n, ratio = len(name), threshold / (2 - threshold)
-    out = set()
-    for other in range(max(1, int(n * ratio)), int(n / ratio) + 2):
-        k = _slack(other, threshold)
-        for i, (x, y) in enumerate(_parts(other, threshold)):
-            out |= {f"{other}|{i}|{name[z : z + y - x]}" for z in range(max(0, x - k), min(n - (y - x), x + k) + 1)}
-    return out
-
-
-def near_names(a: DataFrame, b: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """Pairs (a, b) of normalized names, each once, whose similarity reaches the threshold; none is lost, and unlike ones hardly ever meet."""
-    def keyed(df: DataFrame, keys, name: str) -> DataFrame:
-        make = F.pandas_udf(lambda x: x.map(lambda v: sorted(keys(v, threshold))), "array<string>")
-        return df.select(F.col(df.columns[0]).alias(name)).where(F.col(name) != "").distinct().select(name, F.explode(make(name)).alias("_key"))
-
-    pairs = keyed(a, name_segments, "a").join(keyed(b, name_windows, "b"), "_key").select("a", "b").distinct()
-    return pairs.withColumn("similarity", name_similarity("a", "b")).where(F.col("similarity") >= threshold)
-
-
 def fuzzy_screening(c: DataFrame, sanctions: DataFrame, assisted: float = 0.85, name_only: float = 0.95) -> DataFrame:
     """Suppliers whose name, and masked document if there is one, is a sanctioned one's while a contract was signed: by entity and list
     the best score, sanctions and contracts.
@@ -122,9 +87,16 @@ def fuzzy_screening(c: DataFrame, sanctions: DataFrame, assisted: float = 0.85,
     """
     digits = F.regexp_replace(F.coalesce("document", F.lit("")), r"\D", "")
     s = sanctions.select(F.col("id").alias("sanction"), "list_name", "start_date", "end_date", normalized("sanctioned_name").alias("a"), F.nullif(digits, F.lit("")).alias("_digits"), F.contains(F.coalesce("document", F.lit("")), F.lit("*")).alias("_masked"))
-    signed = c.select("id", "doc", "signature_date", "legal_name").distinct().withColumn("b", normalized("legal_name")).withColumn("entity", F.coalesce("doc", F.nullif(F.col("b"), F.lit("")))).where("entity is not null")
-    t = signed.select("entity", "doc", "b").distinct()
-    by_name = s.join(near_names(s.select("a"), t.select("b"), name_only), "a").join(t, "b").where("_digits is null or doc is null").select("sanction", "entity", F.col("similarity").alias("_score"))
+    s = written(s, "sanctioned")
+    variants = written(c.select("doc", "legal_name").distinct(), "supplier-names")
+    names = written(variants.select("legal_name").where("legal_name is not null").distinct().withColumn("b", normalized("legal_name")), "names")  # each name once
+    t = variants.join(names, "legal_name", "left").select(F.coalesce("doc", F.nullif("b", F.lit(""))).alias("entity"), "doc", F.coalesce("b", F.lit("")).alias("b")).where("entity is not null").distinct()
+    t = written(t, "suppliers")
+    # full names of the list meet suppliers without a document, those without a document meet all
+    bare = near_names(s.where("_digits is null").select("a"), t.select("b"), name_only)
+    other = near_names(s.where("_digits is not null").select("a"), t.where("doc is null").select("b"), name_only)
+    near = written(bare.unionByName(other).distinct(), "near-names")
+    by_name = s.join(near, "a").join(t, "b").where("_digits is null or doc is null").select("sanction", "entity", F.col("similarity").alias("_score"))
     least = (assisted - 0.4) / 0.6  # a name less similar cannot reach ``assisted``
     hidden = s.where("_masked and _digits is not null")
     known = t.where("doc <> ''").withColumn("_n", F.length("doc"))
@@ -132,10 +104,14 @@ def fuzzy_screening(c: DataFrame, sanctions: DataFrame, assisted: float = 0.85,
     known = known.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).join(F.broadcast(lengths), "_k")
     pieces = known.select("entity", "doc", "b", F.explode(F.transform(F.sequence(F.lit(1), F.col("_n") - F.col("_k") + 1), lambda i: F.substr("doc", i, F.col("_k")))).alias("_digits")).distinct()
     met = hidden.join(pieces, "_digits").where(2 * F.least(F.length("a"), F.length("b")) >= least * (F.length("a") + F.length("b")) - 1e-9)
+    met = written(met.select("sanction", "entity", "a", "b"), "masked-documents")
     scores = met.select("a", "b").distinct().withColumn("_ratio", name_similarity("a", "b"))
     by_document = met.join(scores, ["a", "b"]).select("sanction", "entity", (0.6 * F.col("_ratio") + 0.4).alias("_score")).where(F.col("_score") >= assisted)
     found = by_name.unionByName(by_document).groupBy("sanction", "entity").agg(F.max("_score").alias("_score")).join(s.select("sanction", "list_name", "start_date", "end_date"), "sanction")
-    hit = signed.select("id", "entity", "signature_date").join(found, "entity").where(F.col("signature_date").between(F.col("start_date"), F.coalesce("end_date", F.lit("9999-12-31").cast("date"))))
+    found = written(found, "screened")
+    signed = c.select("id", "doc", "signature_date", "legal_name")
+    hit = signed.where("doc is not null").withColumn("entity", F.col("doc")).unionByName(signed.where("doc is null").join(names, "legal_name").withColumn("entity", F.col("b")).drop("b"))
+    hit = hit.select("id", "entity", "signature_date").join(found, "entity").where(F.col("signature_date").between(F.col("start_date"), F.coalesce("end_date", F.lit("9999-12-31").cast("date"))))
     return hit.groupBy("entity", "list_name").agg(rounded(F.max("_score")).alias("score"), F.countDistinct("sanction").alias("sanctions"), F.countDistinct("id").alias("contracts"))
 
 

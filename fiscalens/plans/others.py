@@ -143,6 +143,7 @@ QUERIES = {
     "text_search": lambda s, d: T.text_search(L.table(s, d, "documents").select("doc_id", "text"), WORDS),
     "title_search": lambda s, d: T.text_search(L.table(s, d, "documents").select("doc_id", "text", F.col("source").alias("title")), ["license", "stupid"]),
     "sanctioned_names": lambda s, d: T.fuzzy_screening(c(s, d), hidden_sanctions(s, d)),
+    "screened_names": lambda s, d: T.fuzzy_screening(c(s, d), hidden_sanctions(s, d).withColumn("document", F.lit(None).cast("string"))),
     "resolve_people": lambda s, d: T.resolve_people(L.people(s, d)),
     "stratified_people": lambda s, d: T.stratified(L.people(s, d), "age_range", "id", 25, 7).select("id", "age_range"),
     "person_queries": lambda s, d: V.person_queries(c(s, d)),
@@ -269,4 +270,9 @@ SQL = {
       ok AS (SELECT a.doc_id, b.doc_id AS old_id, a.territory_id FROM n a JOIN n b ON a.territory_id = b.territory_id AND b.date < a.date AND date_diff('day', b.date, a.date) <= 365 AND coalesce(a.number <> b.number, true))""",
       query=f"SELECT ok.doc_id, ok.old_id, ok.territory_id, {R('least(s, 1.0::DOUBLE)', 6)} AS similarity FROM (SELECT x.doc_id AS i, y.doc_id AS j, sum(x.w * y.w) AS s FROM un x JOIN un y ON x.word = y.word AND x.doc_id <> y.doc_id GROUP BY 1, 2 HAVING sum(x.w * y.w) > 0.85) JOIN ok ON ok.doc_id = i AND ok.old_id = j"),
     "window_pairs": L.sql(HASHED, query="SELECT territory_id, count(DISTINCT doc_id) AS notices, CAST(coalesce(sum(k), 0) AS BIGINT) AS pairs FROM (SELECT a.territory_id, a.doc_id, count(b.doc_id) AS k FROM bn a LEFT JOIN bn b ON a.territory_id = b.territory_id AND b.date < a.date AND date_diff('day', b.date, a.date) <= 365 GROUP BY 1, 2) GROUP BY 1"),
+    "screened_names": q(f"""SELECT entity, list_name, {R('max(sc)')} AS score, count(DISTINCT sanction) AS sanctions, count(DISTINCT id) AS contracts FROM (
+      SELECT c.id, c.doc AS entity, s.list_name, s.id AS sanction, 2.0::DOUBLE * (9 + least(length(x), length(y))) / (18 + length(x) + length(y)) AS sc FROM (SELECT *, substr(legal_name, 10) AS y FROM contracts WHERE doc IS NOT NULL) c
+      JOIN (SELECT *, substr(sanctioned_name, 10) AS x FROM sanctions) s ON signature_date BETWEEN start_date AND coalesce(end_date, DATE '9999-12-31') AND abs(length(x) - length(y)) <= 1
+        AND (x = y OR list_contains(list_transform(range(length(x)), lambda i: substr(x, 1, i) || substr(x, i + 2)), y) OR list_contains(list_transform(range(length(y)), lambda i: substr(y, 1, i) || substr(y, i + 2)), x))
+      ) WHERE sc >= 0.95 GROUP BY 1, 2""", L.SANCTIONS),
 }

@@ -137,3 +137,21 @@ def test_rates(spark):
     windows = spark.createDataFrame([("x", 4, 8), ("y", 2, 4)], "territory_id string, notices long, pairs long")
     assert tuple(T.clone_rates(found, planted, windows).first()) == (2, 12, 0.5, 0.1)
     assert tuple(T.clone_rates(found.limit(0), planted.limit(0), windows.limit(0)).first()) == (0, 0, 1.0, 0.0)
+
+
+def test_names_meet_in_cells_and_long_names_count_right(spark, monkeypatch):
+    import difflib
+
+    from fiscalens.operators import name_join as X
+
+    rng = random.Random(6)
+    names = sorted({"".join(rng.choice("AB C") for _ in range(rng.choice([1, 7, 8, 30, 31]))).strip() or "A" for _ in range(120)} | {"A" * n for n in (127, 128, 129, 260, 300, 301)} | {"AB " * 90})
+    df = spark.createDataFrame([(n,) for n in [*names, names[0], "", None]], "name string")
+    want = {(x, y) for x in names for y in names if difflib.SequenceMatcher(None, x, y).ratio() >= 0.9}
+    for cells in ((2048, 4096, 256), (5, 3, 2)):
+        for name, n in zip(("CELL_A", "CELL_B", "AT_ONCE"), cells, strict=True):
+            monkeypatch.setattr(X, name, n)
+        found = [(r.a, r.b) for r in X.near_names(df, df, 0.9).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    i, j = X.survivors(names, names, 0.9)
+    assert want <= {(names[x], names[y]) for x, y in zip(i, j, strict=True)} and len(i) < len(names) ** 2 / 2
