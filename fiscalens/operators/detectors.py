@@ -80,13 +80,37 @@ def duration_share(c: DataFrame, minimum: int = 4) -> DataFrame:
     return d.join(own, "doc").groupBy("doc").agg(F.first("n").alias("n"), rounded(F.avg(hit.cast("double"))).alias("share"))
 
 
-def fraud_signals(c: DataFrame) -> DataFrame:
-    """The four statistical signals: anomalous_price, single_bid (rate above 0, 3 contracts), concentration (3 contracts), anomalous_duration."""
-    price = signals(benford(c).where("deviation is not null"), "supplier", "anomalous_price", "doc", "deviation")
-    bids = signals(non_competitive_rate(c).where("rate > 0 and contracts >= 3"), "supplier", "single_bid", "doc", "rate")
-    focus = signals(hhi(c).where("contracts >= 3 and siafi is not null"), "buyer", "concentration", "siafi", "hhi")
+def details(**inputs: Column | str | int | float) -> Column:
+    """What a score comes of, and the thresholds that it passed, as JSON with sorted names; fractions at four decimals."""
+    def plain(x: Column | str | int | float) -> Column:
+        return x if isinstance(x, Column) else F.lit(x)
+
+    return F.to_json(F.struct(*[plain(x).alias(name) for name, x in sorted(inputs.items())]))
+
+
+def fraction(x: str) -> Column:
+    return F.col(x).cast("decimal(18,4)")
+
+
+def with_details(df: DataFrame, entity_type: str, signal_type: str, entity: str, score: str, found: Column) -> DataFrame:
+    return df.select(F.lit(entity_type).alias("entity_type"), F.col(entity).cast("string").alias("entity_id"), F.lit(signal_type).alias("signal_type"), F.col(score).cast("double").alias("score"), found.alias("details"))
+
+
+def statistical_signals(c: DataFrame, minimum: int = 3) -> DataFrame:
+    """The four statistical signals with their details: anomalous_price, single_bid (rate above 0), concentration, anomalous_duration; the
+    last three from ``minimum`` contracts."""
+    least = {"min_contracts": minimum}
+    price = with_details(benford(c).where("deviation is not null"), "supplier", "anomalous_price", "doc", "deviation", details(benford_deviation=fraction("deviation"), contracts=F.col("n"), p_value=fraction("p_value"), min_contracts=10))
+    bids = with_details(non_competitive_rate(c).where((F.col("rate") > 0) & (F.col("contracts") >= minimum)), "supplier", "single_bid", "doc", "rate", details(contracts=F.col("contracts"), rate=fraction("rate"), **least))
+    focus = with_details(hhi(c).where((F.col("contracts") >= minimum) & F.col("siafi").isNotNull()), "buyer", "concentration", "siafi", "hhi", details(contracts=F.col("contracts"), hhi=fraction("hhi"), suppliers=F.col("suppliers"), **least))
     spans = duration_outliers(c).where("doc is not null and duration is not null").groupBy("doc").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(F.col("outlier").cast("double"))).alias("score"))
-    return price.unionByName(bids).unionByName(focus).unionByName(signals(spans.where("n >= 3 and score > 0"), "supplier", "anomalous_duration", "doc"))
+    spans = with_details(spans.where((F.col("n") >= minimum) & (F.col("score") > 0)), "supplier", "anomalous_duration", "doc", "score", details(contracts=F.col("n"), method="iqr", outlier_share=fraction("score"), **least))
+    return price.unionByName(bids).unionByName(focus).unionByName(spans)
+
+
+def fraud_signals(c: DataFrame) -> DataFrame:
+    """The four statistical signals without details."""
+    return statistical_signals(c).drop("details")
 
 
 def by_document(sanctions: DataFrame) -> DataFrame:

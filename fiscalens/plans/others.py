@@ -216,6 +216,15 @@ bn AS (SELECT *, list_transform(string_split(lower(t), ' '), lambda w: CAST('0x'
 n AS (SELECT doc_id, territory_id, date, number, list_transform(range(64), lambda k: CAST(len(list_filter(b, lambda x: x = k)) AS DOUBLE)) AS v FROM bn)"""
 A_TEXT, B_TEXT = "a.text", "b.text"
 gap = lambda x: f"list_transform(range(64), lambda k: CAST(len(list_filter(list_transform(string_split(lower({x}), ' '), lambda w: CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) % 64), lambda y: y = k)) AS DOUBLE))"
+NOTICES = L.sql(HASHED, """tw AS (SELECT doc_id, unnest(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}]+')) AS word FROM bins WHERE length(trim(t)) >= 200), tf AS (SELECT doc_id, word, count(*) AS tf FROM tw WHERE word <> '' GROUP BY 1, 2),
+      wt AS (SELECT doc_id, word, (1 + ln(tf)) * (1 + ln((1.0::DOUBLE + (SELECT count(*) FROM bn)) / (1 + count(*) OVER (PARTITION BY word)))) AS w FROM tf), un AS (SELECT doc_id, word, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM wt),
+      ok AS (SELECT a.doc_id, b.doc_id AS old_id, a.territory_id FROM n a JOIN n b ON a.territory_id = b.territory_id AND b.date < a.date AND date_diff('day', b.date, a.date) <= 365 AND coalesce(a.number <> b.number, true))""",
+    query=f"SELECT ok.doc_id, ok.old_id, ok.territory_id, {R('least(s, 1.0::DOUBLE)', 6)} AS similarity FROM (SELECT x.doc_id AS i, y.doc_id AS j, sum(x.w * y.w) AS s FROM un x JOIN un y ON x.word = y.word AND x.doc_id <> y.doc_id GROUP BY 1, 2 HAVING sum(x.w * y.w) > 0.85) JOIN ok ON ok.doc_id = i AND ok.old_id = j")
+SCREENED = f"""SELECT entity, list_name, {R('max(sc)')} AS score, count(DISTINCT sanction) AS sanctions, count(DISTINCT id) AS contracts FROM (
+      SELECT c.id, c.doc AS entity, s.list_name, s.id AS sanction, 2.0::DOUBLE * (9 + least(length(x), length(y))) / (18 + length(x) + length(y)) AS sc FROM (SELECT *, substr(legal_name, 10) AS y FROM contracts WHERE doc IS NOT NULL) c
+      JOIN (SELECT *, substr(sanctioned_name, 10) AS x FROM sanctions) s ON signature_date BETWEEN start_date AND coalesce(end_date, DATE '9999-12-31') AND abs(length(x) - length(y)) <= 1
+        AND (x = y OR list_contains(list_transform(range(length(x)), lambda i: substr(x, 1, i) || substr(x, i + 2)), y) OR list_contains(list_transform(range(length(y)), lambda i: substr(y, 1, i) || substr(y, i + 2)), x))
+      ) WHERE sc >= 0.95 GROUP BY 1, 2"""
 SQL = {
     "text_search": f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM documents), h AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE word IN ('licensed', 'stupid', 'license', 'mit') GROUP BY 1, 2),
       i AS (SELECT word, ln(CAST((SELECT count(*) FROM documents) AS DOUBLE) / count(*)) AS idf FROM h GROUP BY 1) SELECT doc_id, {R('sum(tf * idf)', 6)} AS score FROM h JOIN i ON h.word = i.word GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 20""",
@@ -265,14 +274,7 @@ SQL = {
       UNION ALL SELECT 'buyer', siafi, 'concentration', hhi FROM hh WHERE contracts >= 3 UNION ALL SELECT * FROM (SELECT 'supplier', doc, 'anomalous_duration', {R("avg(CASE WHEN outlier THEN 1.0 ELSE 0.0 END)")} AS sc FROM oi WHERE doc IS NOT NULL AND duration IS NOT NULL GROUP BY doc HAVING count(*) >= 3) WHERE sc > 0) WHERE score >= 0.7 ORDER BY score DESC, signal_type, entity_id LIMIT 50""", benford(), RATE, HHI, DUR, IQR),
     "vector_search": f"SELECT vec_id, {R('s', 6)} AS similarity FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(range(64), lambda x: 0.1::DOUBLE)) AS s FROM embeddings) WHERE s > 0 ORDER BY 2 DESC, 1 LIMIT 10",
     "notice_clones": L.sql(HASHED, f"p AS (SELECT a.doc_id, b.doc_id AS old_id, a.territory_id, list_cosine_similarity(a.v, b.v) AS s FROM n a JOIN n b ON a.territory_id = b.territory_id AND b.date < a.date AND date_diff('day', b.date, a.date) <= 365 AND coalesce(a.number <> b.number, true))", query=f"SELECT doc_id, old_id, territory_id, {R('s', 6)} AS similarity FROM p WHERE s > 0.85"),
-    "sparse_notice_clones": L.sql(HASHED, """tw AS (SELECT doc_id, unnest(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}]+')) AS word FROM bins WHERE length(trim(t)) >= 200), tf AS (SELECT doc_id, word, count(*) AS tf FROM tw WHERE word <> '' GROUP BY 1, 2),
-      wt AS (SELECT doc_id, word, (1 + ln(tf)) * (1 + ln((1.0::DOUBLE + (SELECT count(*) FROM bn)) / (1 + count(*) OVER (PARTITION BY word)))) AS w FROM tf), un AS (SELECT doc_id, word, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM wt),
-      ok AS (SELECT a.doc_id, b.doc_id AS old_id, a.territory_id FROM n a JOIN n b ON a.territory_id = b.territory_id AND b.date < a.date AND date_diff('day', b.date, a.date) <= 365 AND coalesce(a.number <> b.number, true))""",
-      query=f"SELECT ok.doc_id, ok.old_id, ok.territory_id, {R('least(s, 1.0::DOUBLE)', 6)} AS similarity FROM (SELECT x.doc_id AS i, y.doc_id AS j, sum(x.w * y.w) AS s FROM un x JOIN un y ON x.word = y.word AND x.doc_id <> y.doc_id GROUP BY 1, 2 HAVING sum(x.w * y.w) > 0.85) JOIN ok ON ok.doc_id = i AND ok.old_id = j"),
+    "sparse_notice_clones": NOTICES,
     "window_pairs": L.sql(HASHED, query="SELECT territory_id, count(DISTINCT doc_id) AS notices, CAST(coalesce(sum(k), 0) AS BIGINT) AS pairs FROM (SELECT a.territory_id, a.doc_id, count(b.doc_id) AS k FROM bn a LEFT JOIN bn b ON a.territory_id = b.territory_id AND b.date < a.date AND date_diff('day', b.date, a.date) <= 365 GROUP BY 1, 2) GROUP BY 1"),
-    "screened_names": q(f"""SELECT entity, list_name, {R('max(sc)')} AS score, count(DISTINCT sanction) AS sanctions, count(DISTINCT id) AS contracts FROM (
-      SELECT c.id, c.doc AS entity, s.list_name, s.id AS sanction, 2.0::DOUBLE * (9 + least(length(x), length(y))) / (18 + length(x) + length(y)) AS sc FROM (SELECT *, substr(legal_name, 10) AS y FROM contracts WHERE doc IS NOT NULL) c
-      JOIN (SELECT *, substr(sanctioned_name, 10) AS x FROM sanctions) s ON signature_date BETWEEN start_date AND coalesce(end_date, DATE '9999-12-31') AND abs(length(x) - length(y)) <= 1
-        AND (x = y OR list_contains(list_transform(range(length(x)), lambda i: substr(x, 1, i) || substr(x, i + 2)), y) OR list_contains(list_transform(range(length(y)), lambda i: substr(y, 1, i) || substr(y, i + 2)), x))
-      ) WHERE sc >= 0.95 GROUP BY 1, 2""", L.SANCTIONS),
+    "screened_names": q(SCREENED, L.SANCTIONS),
 }
