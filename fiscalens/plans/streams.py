@@ -18,6 +18,16 @@ latest = lambda s, d: E.finished_table(s, lambda path, state: E.upsert_batches(E
 forest = lambda s, d: X.forest_rates(c(s, d))
 
 
+def planted_outliers(s, d):
+    """Of every supplier the first contract is made huge and endless; how many suppliers there are with a forest, and how many of these
+    contracts it isolates."""
+    t = c(s, d).where("doc is not null")
+    first = t.groupBy("doc").agg(F.min("id").alias("_first"))
+    t = t.join(first, "doc").withColumn("_own", F.col("id") == F.col("_first"))
+    t = t.withColumn("amount", F.when(F.col("_own"), F.lit(10**12).cast("decimal(38,10)")).otherwise(F.col("amount"))).withColumn("validity_end", F.when(F.col("_own"), F.date_add("validity_start", 90_000)).otherwise(F.col("validity_end")))
+    return X.isolated(t, trees=50).join(first, "doc").where("id = _first").agg(F.count(F.lit(1)).alias("suppliers"), F.count_if("isolated").alias("found"))
+
+
 def forest_risk(s, d):
     """Contracts' risk by a forest trained on which of them were urgent."""
     x = c(s, d).select("id", (F.col("modality") == "dispensa").cast("double").alias("label"), (F.col("amount") > 50000).cast("double").alias("large"), F.col("cpf").isNotNull().cast("double").alias("person"), (F.datediff("validity_end", "validity_start") < 30).cast("double").alias("short"))
@@ -61,6 +71,7 @@ QUERIES = {
     "run_detection": lambda s, d: detection(s, d).signals.withColumn("details", F.when(F.col("signal_type") != "political_connection", F.col("details"))),  # the mart political_connections reads those of the links
     "detection_status": lambda s, d: detection(s, d, most_pairs=10).status,
     "forest_rates": forest,
+    "planted_outliers": planted_outliers,
     "anomalous_price": lambda s, d: X.anomalous_price(D.benford(c(s, d)), forest(s, d)),
     "risk_index_with_forest": lambda s, d: D.risk_index(c(s, d), forest(s, d)),
     "forest_risk": forest_risk,
@@ -68,6 +79,7 @@ QUERIES = {
 SQL = {
     "run_detection": L.sql(*RUN, query="SELECT * FROM al"),
     "detection_status": L.sql(*RUN, query="SELECT t.d AS detector, CASE WHEN t.d = 'collusion' AND pairs > 10 THEN 'skipped: ' || pairs || ' projected pairs are more than 10' ELSE 'ran' END AS state, CASE WHEN t.d = 'collusion' AND pairs > 10 THEN 0 ELSE coalesce(n, 0) END AS signals, CASE WHEN t.d = 'collusion' THEN pairs END AS projected_pairs FROM unnest(['anomalous_price', 'single_bid', 'concentration', 'anomalous_duration', 'sanctioned_supplier', 'sanctioned_name_match', 'anomalous_geography', 'political_connection', 'notice_clone', 'collusion']) AS t(d), pj LEFT JOIN (SELECT signal_type, count(*) AS n FROM al GROUP BY 1) u ON u.signal_type = t.d"),
+    "planted_outliers": L.sql(L.CONTRACTS, query="SELECT count(*) AS suppliers, count(*) AS found FROM (SELECT doc FROM contracts WHERE doc IS NOT NULL GROUP BY doc HAVING count(*) >= 15)"),
     "stream_hourly": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(28,10))) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS begins FROM events), n AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
       SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS events FROM n GROUP BY user_id, k""",

@@ -170,6 +170,21 @@ def test_a_forest_isolates_what_lies_apart(spark):
         X.risk_of(labelled, None, ["f"])
 
 
+def test_trees_of_a_large_supplier_draw_from_all_its_contracts(spark, monkeypatch):
+    day = DAY(2020, 1, 1)
+    rng = random.Random(4)
+    data = [(f"{i:04}", "a", float(rng.randint(900, 1100)), day, day + datetime.timedelta(rng.randint(25, 35))) for i in range(1500)] + [("9999", "a", 1e9, day, day + datetime.timedelta(9000))]
+    df = spark.createDataFrame(data, "id string, doc string, amount double, validity_start date, validity_end date").repartition(3)
+    whole = {r.id: r for r in X.isolated(df, trees=40).collect()}
+    monkeypatch.setattr(X, "WHOLE", 1000)
+    monkeypatch.setattr(X, "TASK_ROWS", 400)
+    drawn = {r.id: r for r in X.isolated(df, trees=40).collect()}
+    assert drawn.keys() == whole.keys() and drawn["9999"].isolated and max(drawn, key=lambda k: drawn[k].score) == "9999"
+    assert sum(r.isolated for r in drawn.values()) <= 150 and np.corrcoef([whole[k].score for k in whole], [drawn[k].score for k in whole])[0, 1] > 0.8
+    again = {r.id: r.score for r in X.isolated(df.repartition(5), trees=40).collect()}
+    assert again == {k: r.score for k, r in drawn.items()}
+
+
 def test_dumps_and_listings(spark, tmp_path):
     assert [files.entity_of(x) for x in ("Empresas0.csv", "/a/Socios1.zip", "consulta_cand_2024.zip", "receitas_candidatos_2024_PE.csv", "readme.txt")] == ["companies", "partners", "candidacies", "campaign_donations", None]
     for part in ("BRASIL", "PE"):
