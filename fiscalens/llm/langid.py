@@ -64,22 +64,35 @@ def _added(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"label": pdf["label"].iloc[:1], "counts": [total.tobytes()]})
 
 
-def fit_text_model(labelled: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", sample_rows: int = 20_000, tasks: int = 8, least_rows: int = 1000) -> tuple[list[str], np.ndarray]:
+def label_report(labelled: DataFrame, label: str = "lang", most_languages: int = 1000) -> DataFrame:
+    """A row for each language tag among the labels: tag (folded), name (its most frequent spelling, the first by bytes of equals), rows, place (from 0,
+    by rows, then tag; null beyond ``most_languages``). Only the first ``most_languages`` rows are sorted; the rest are counted alone."""
+    spelled = F.trim(F.col(label).cast("string"))
+    counts = labelled.where(_tag(spelled).isNotNull()).groupBy(_tag(spelled).alias("tag"), spelled.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    tags = counts.groupBy("tag").agg(F.sum("n").alias("rows"), F.min(F.struct((-F.col("n")).alias("_n"), "name"))["name"].alias("name"))
+    tags = written(tags, "language-labels")
+    first = [r.tag for r in tags.orderBy(F.desc("rows"), "tag").limit(most_languages).collect()]
+    places = tags.sparkSession.createDataFrame(list(zip(first, range(len(first)), strict=True)), "tag string, place int")
+    return tags.join(F.broadcast(places), "tag", "left")
+
+
+def fit_text_model(labelled: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", sample_rows: int = 20_000, tasks: int = 8, least_rows: int = 1000, most_languages: int = 1000) -> tuple[list[str], np.ndarray]:
     """Languages in order of name, and log probabilities of their three-byte runs (languages by runs).
 
-    Every label of any row is a language. The model is fitted on a sample of about ``sample_rows`` labelled rows, dealt evenly over the
-    labels but ``least_rows`` for each at least, chosen by a hash of key and text; a label of fewer rows has all of them, and texts are
-    taken whole. The tasks' counts are summed by label; one row of counts a language, the model itself, reaches the driver. Without
+    Labels that differ in case, outer spaces, or hyphen and underscore are one language, named as it is spelled most. The
+    ``most_languages`` labels of most rows are languages, which bounds the model to as many times 64 KB; what else a dirty column holds is no
+    language, and label_report tells how many rows that is. The model is fitted on a sample of about ``sample_rows`` labelled rows, dealt evenly over
+    the languages but ``least_rows`` for each at least, chosen by a hash of key and text; a label of fewer rows has all of them, and texts
+    are taken whole. The tasks' counts are summed by label; one row of counts a language, the model itself, reaches the driver. Without
     labelled rows there are no languages.
     """
-    some = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("_label"), F.col(text).alias("_text"), F.col(key).alias("_key"))
-    rows = {r["_label"]: r["count"] for r in some.groupBy("_label").count().collect()}
-    if not rows:
+    some = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(_tag(F.col(label)).alias("_tag"), F.trim(F.col(label).cast("string")).alias("_spelled"), F.col(text).alias("_text"), F.col(key).alias("_key"))
+    known = label_report(some, "_spelled", most_languages).where("place is not null").select("tag", "name", "rows").collect()
+    if not known:
         return [], np.zeros((0, GRAMS), np.float32)
-    most, whole = max(least_rows, sample_rows // len(rows)), 1 << 40
-    large = [x for k, n in sorted(rows.items()) if n > most for x in (F.lit(k), F.lit(max(1, whole * most // n)))]
-    below = F.coalesce(F.create_map(*large)[F.col("_label")], F.lit(whole)) if large else F.lit(whole)
-    chosen = some.where(F.pmod(F.xxhash64("_key", "_text"), F.lit(whole)) < below).select("_label", "_text")
+    most, whole = max(least_rows, sample_rows // len(known)), 1 << 40
+    shares = labelled.sparkSession.createDataFrame([(r.tag, r.name, whole if r.rows <= most else max(1, whole * most // r.rows)) for r in known], "_tag string, _label string, _below long")
+    chosen = some.join(F.broadcast(shares), "_tag").where(F.pmod(F.xxhash64("_key", "_text"), F.lit(whole)) < F.col("_below")).select("_label", "_text")  # most_languages rows at most
     counts: dict[str, np.ndarray] = {}
     summed = chosen.repartition(tasks).mapInArrow(_counted, "label string, counts binary").groupBy("label").applyInPandas(_added, "label string, counts binary")
     for r in summed.collect():
@@ -165,32 +178,72 @@ def _tag(of: Column) -> Column:
 
 def _told(names: list[str], declared: Column) -> Column:
     """The number of the declared language: of the whole tag, or else of its primary subtag; null for any other."""
-    tag, known = _tag(declared), _constant([x.strip().replace("_", "-").lower() for x in names], "string")
-    place = lambda x: F.nullif(F.array_position(known, x), F.lit(0).cast("long"))
-    return (F.coalesce(place(tag), place(F.substring_index(tag, "-", 1))) - 1).cast("int")
-
-
-def _constant(values: list, kind: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
-
-
-def _shares(decided: DataFrame, key: str, names: list[str], base: list[float], strength: float, parent: DataFrame | None = None) -> DataFrame:
-    """For each value of key the logs of the languages' shares of its texts, drawn towards its suffix's shares (``parent``) or else
-    ``base`` as by ``strength`` texts."""
-    counts = [F.sum(F.when(F.col("_best") == i, 1).otherwise(0)).alias(f"_n{i}") for i in range(len(names))]
-    found = decided.where(F.col(key).isNotNull()).groupBy(key).agg(*counts, F.min("_suffix").alias("_of"))
-    towards = F.lit(base)
-    if parent is not None:
-        found = found.join(parent, F.col("_of") == F.col("_k_suffix"), "left")
-        towards = F.coalesce(F.transform("_log_suffix", F.exp), towards)
-    total = sum((F.col(f"_n{i}") for i in range(len(names))), F.lit(0))
-    logs = F.array(*[F.log((F.col(f"_n{i}") + F.lit(strength) * towards[i]) / (total + F.lit(strength))) for i in range(len(names))])
-    return found.select(F.col(key).alias(f"_k{key}"), logs.alias(f"_log{key}"))
+    place = {x.strip().replace("_", "-").lower(): i for i, x in reversed(list(enumerate(names)))}
+
+    @F.arrow_udf("int")
+    def number(tags: pa.Array) -> pa.Array:
+        seen = tags.dictionary_encode()
+        known = [place.get(t, place.get(t.partition("-")[0])) if t else None for t in seen.dictionary.to_pylist()]
+        return pa.array(known, pa.int32()).take(seen.indices)
+
+    return number(_tag(declared))
+
+
+def _shares(decided: DataFrame, key: str) -> DataFrame:
+    """For each value of key how many of its texts are of which language, as far as there are any, and the least suffix of its rows."""
+    counts = decided.where(F.col(key).isNotNull()).groupBy(key, "_best").agg(F.count(F.lit(1)).alias("n"), F.min("_suffix").alias("_of"))
+    return counts.groupBy(key).agg(F.collect_list(F.struct(F.col("_best").alias("at"), "n")).alias("counts"), F.min("_of").alias("_of"))
+
+
+def _dense(lists: pa.Array, width: int) -> np.ndarray:
+    """Lists of (at, n) as rows of counts; a null is a row of zeros."""
+    out = np.zeros((len(lists), width))
+    flat_ = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), [len(x) if x.is_valid else 0 for x in lists])
+    np.add.at(out, (row, flat_.field("at").to_numpy()), flat_.field("n").to_numpy())
+    return out
+
+
+def _decide(base: np.ndarray, trust: float, least: np.ndarray, variance: np.ndarray, host_strength: float, suffix_strength: float):
+    """A function of scores, declared language, and counts of host, host's suffix and own suffix that gives the number of the likeliest
+    language, its posterior probability, and whether the text is in its band; all null without scores."""
+    width = len(base)
+    told_log = np.log(np.array([trust, max((1 - trust) / max(1, width - 1), 1e-6)]))
+
+    def drawn(counts: np.ndarray, towards: np.ndarray, strength: float) -> np.ndarray:
+        return np.log((counts + strength * towards) / (counts.sum(1, keepdims=True) + strength))
+
+    @F.arrow_udf("struct<at:int,confidence:double,inside:boolean>")
+    def decide(ll: pa.Array, mean: pa.Array, n: pa.Array, declared: pa.Array, host: pa.Array, above: pa.Array, suffix: pa.Array) -> pa.Array:
+        some = np.array(ll.is_valid())
+        rows = np.flatnonzero(some)
+        take = lambda x: x.take(pa.array(rows))
+        post = np.array(take(ll).flatten().to_numpy(zero_copy_only=False)).reshape(-1, width)
+        means = np.array(take(mean).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, width)
+        runs = take(n).to_numpy(zero_copy_only=False).astype(float)
+        told = take(declared).fill_null(-1).to_numpy(zero_copy_only=False)
+        evidence = np.where(told[:, None] == np.arange(width), told_log[0], told_log[1])
+        evidence[told < 0] = 0
+        of_suffix = drawn(_dense(take(suffix), width), base, suffix_strength)
+        of_above = np.exp(drawn(_dense(take(above), width), base, suffix_strength))
+        of_host = drawn(_dense(take(host), width), of_above, host_strength)
+        post = post + evidence + np.where(np.array(take(host).is_valid())[:, None], of_host, of_suffix)
+        at = post.argmax(1) if len(rows) else np.zeros(0, int)
+        confidence = 1 / np.exp(post - post.max(1, keepdims=True)).sum(1) if len(rows) else np.zeros(0)
+        kind = np.minimum(np.floor(np.log2(np.maximum(runs, 1))), CLASSES - 1).astype(int)
+        pick = np.arange(len(rows))
+        inside = (runs == 0) | (means[pick, at] >= least[at, kind] - 3 * np.sqrt(variance[at] / np.maximum(runs, 1)))
+        back = np.full(len(ll), -1)
+        back[rows] = pick
+        where = pa.array(back, mask=~some)
+        return pa.StructArray.from_arrays([pa.array(at, pa.int32()).take(where), pa.array(confidence, pa.float64()).take(where), pa.array(inside, pa.bool_()).take(where)], ["at", "confidence", "inside"])
+
+    return decide
 
 
 def identify(
     docs: DataFrame, names: list[str], table: np.ndarray, text: Column, declared: Column, host: Column, suffix: Column,
-    least_confidence: float = 0.6, host_strength: float = 20.0, suffix_strength: float = 100.0, broadcast_rows: int = 20_000, score_again: bool = False,
+    least_confidence: float = 0.6, host_strength: float = 20.0, suffix_strength: float = 100.0, broadcast_counts: int = 200_000, score_again: bool = False,
     bands: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> DataFrame:
     """docs with lang, confidence (its posterior probability) and kept.
@@ -200,7 +253,8 @@ def identify(
     table's shares. Shares come from grouped aggregation over all rows. What is null is no evidence. kept: the text has letters, it is
     no less likely in its language than that language's texts are (``bands``, by default those of docs' own rows), and the posterior
     reaches ``least_confidence``; of languages with equal posteriors the first by name is taken. A text without letters (null and empty ones too), or less likely, has lang null, confidence 0. Tables of
-    shares are broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond. The scores are written once with the columns of
+    shares are broadcast up to ``broadcast_counts`` counts and joined by a shuffle beyond. Languages are places in arrays: the plan does not
+    grow with them. The scores are written once with the columns of
     docs, or, with ``score_again``, without them and made again for the result, where the columns hold long texts. Existing columns of the result's names are replaced.
     """
     if not names:
@@ -212,34 +266,26 @@ def identify(
     seen = written(seen.withColumn("_best", F.array_position("_s.ll", F.array_max("_s.ll")).cast("int") - 1), "language-scores")
     scored = docs.select(*columns, *evidence) if score_again else seen
     decided = seen.where("_s.ll is not null").select("_declared", "_host", "_suffix", "_best")
-    row = decided.agg(*[F.sum(F.when(F.col("_best") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(len(names))], F.count("_declared").alias("told"), F.sum(F.when(F.col("_declared") == F.col("_best"), 1).otherwise(0)).alias("agreed")).first()
-    totals = np.array([row[f"n{i}"] or 0 for i in range(len(names))], float) + 1
-    base = (totals / totals.sum()).tolist()
+    decided = written(decided, "language-decided")
+    totals = np.ones(len(names))
+    for r in decided.groupBy("_best").count().collect():  # a row a language
+        totals[r["_best"]] += r["count"]
+    base = totals / totals.sum()
+    told, agreed = decided.agg(F.count("_declared"), F.count_if(F.col("_declared") == F.col("_best"))).first()
     least, variance = bands or _bands(seen.select("_s", "_best", F.col("_declared").alias("_told")), names, table)
-    trust = min(0.99, ((row["agreed"] or 0) + 1) / (row["told"] + 2))
-    other = (1 - trust) / max(1, len(names) - 1)
+    trust = min(0.99, (agreed + 1) / (told + 2))
 
+    by_suffix = written(_shares(decided, "_suffix").select(F.col("_suffix").alias("_k_suffix"), F.col("counts").alias("_of_suffix")), "language-suffix")
+    by_host = _shares(decided, "_host").join(by_suffix, F.col("_of") == F.col("_k_suffix"), "left")
+    by_host = written(by_host.select(F.col("_host").alias("_k_host"), F.col("counts").alias("_of_host"), F.col("_of_suffix").alias("_above")), "language-host")
     out = scored
-    by_suffix = written(_shares(decided, "_suffix", names, base, suffix_strength), "language_suffix")
-    by_host = written(_shares(decided, "_host", names, base, host_strength, by_suffix), "language_host")
-    for key, shares in (("_host", by_host), ("_suffix", by_suffix)):
-        few = shares.count() <= broadcast_rows
+    for key, shares, held in (("_host", by_host, ("_of_host", "_above")), ("_suffix", by_suffix, ("_of_suffix",))):
+        few = (shares.agg(F.sum(sum((F.coalesce(F.size(c), F.lit(0)) for c in held), F.lit(1)))).first()[0] or 0) <= broadcast_counts
         out = out.join(F.broadcast(shares) if few else shares, F.col(key) == F.col(f"_k{key}"), "left").drop(f"_k{key}")
-    flat_prior = F.array(*[F.lit(float(np.log(b))) for b in base])
-    by_suffix = F.coalesce("_log_suffix", flat_prior)
-    parts = []
-    for i in range(len(names)):
-        told = F.when(F.col("_declared").isNull(), F.lit(0.0)).when(F.col("_declared") == i, F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log(max(other, 1e-6)))))
-        prior = F.coalesce(F.col("_log_host")[i], by_suffix[i])
-        parts.append(F.col("_s.ll")[i] + told + prior)
-    out = out.withColumn("_post", F.array(*parts)).withColumn("_top", F.array_max("_post"))
-    confidence = F.lit(1.0) / F.aggregate("_post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
-    top = F.array_position("_post", F.col("_top")).cast("int") - 1
-    lowest = F.lit(least.ravel().tolist())[F.col("_at") * CLASSES + _length_class()] - 3 * F.sqrt(F.lit(variance.tolist())[F.col("_at")] / F.col("_s.n"))
-    inside = F.when(F.col("_s.n") > 0, F.col("_s.mean")[F.col("_at")] >= lowest).otherwise(F.lit(True))
-    out = out.withColumn("_at", top).withColumn("_some", F.col("_s.ll").isNotNull() & inside)
-    return out.withColumn("lang", F.when(F.col("_some"), _constant(names, "string")[F.col("_at")])).withColumn("confidence", F.when(F.col("_some"), confidence).otherwise(F.lit(0.0))).withColumn(
-        "kept", F.col("_some") & (F.col("confidence") >= least_confidence)).select(*columns, "lang", "confidence", "kept")
+    decide = _decide(base, trust, least, variance, host_strength, suffix_strength)
+    out = out.withColumn("_d", decide("_s.ll", "_s.mean", "_s.n", "_declared", "_of_host", "_above", "_of_suffix"))
+    some = F.coalesce("_d.inside", F.lit(False))
+    return out.select(*columns, F.when(some, F.get(F.lit(names), F.col("_d.at"))).alias("lang"), F.when(some, F.col("_d.confidence")).otherwise(F.lit(0.0)).alias("confidence"), (some & (F.col("_d.confidence") >= least_confidence)).alias("kept"))
 
 
 def documents_by_language(docs: DataFrame, keep: list[str]) -> DataFrame:

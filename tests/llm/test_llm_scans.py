@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fiscalens.llm import ballkmeans, licences, periodic
+from fiscalens.llm import ballkmeans, langid, licences, periodic
 from fiscalens.llm.queries import oracle_sql
 
 DOCS = "doc_id long, text string"
@@ -256,3 +256,69 @@ def test_phrases_by_the_automaton_are_those_of_a_plain_search():
         places = [(i, len(p.split()), x, "base" if p in licences.BASE else "notice") for p, x in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
         outer = [s for s in places if s[3] == "base" or not any(t != s and t[0] <= s[0] and s[0] + s[1] <= t[0] + t[1] and t[1] > s[1] for t in places)]
         assert n == len(words) and sorted(spans) == sorted(outer)
+
+
+LABELLED = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_spellings_of_a_label_are_one_language(spark):
+    texts = {"en": "the thing and with", "pt": "que a casa da gente", "de": "der und schei keit"}
+    spelled = {"en": ["EN", "en", " en "], "pt": ["pt-BR", "pt_br", "PT-br", "pt-BR"], "de": ["de"]}
+    data = [(i, texts[k], spelled[k][i % len(spelled[k])], "h", 1) for k in texts for i in range(60)]
+    df = spark.createDataFrame(data, LABELLED)
+    names, _ = langid.fit_text_model(df)
+    assert names == ["de", "en", "pt-BR"]
+    report = {r.tag: (r.name, r.rows, r.place) for r in langid.label_report(df).collect()}
+    assert report == {"de": ("de", 60, 0), "en": ("en", 60, 1), "pt-br": ("pt-BR", 60, 2)}
+    out = rows(langid.op8(df))
+    assert {r["lang"] for r in out} == {"de", "en", "pt-BR"} and all(r["kept"] for r in out)
+
+
+def test_thousands_of_labels_plan_in_seconds(spark):
+    import time
+
+    data = [(i, "the thing and with", "en", "h", 1) for i in range(300)] + [(1000 + i, "dirty value", f"x{i:04}", "h", 1) for i in range(5000)]
+    df = spark.createDataFrame(data, LABELLED).repartition(4)
+    names, table = langid.fit_text_model(df, most_languages=50)
+    assert "en" in names and len(names) == 50
+    report = langid.label_report(df, most_languages=50)
+    assert report.where("place is null").agg(F.sum("rows")).first()[0] == 5000 - 49
+    many = [*names, *(f"y{i:04}" for i in range(4950))]
+    wide = np.concatenate([table, np.full((4950, langid.GRAMS), -20, np.float32)])
+    one = df.where("doc_id < 5").select("doc_id", "text")
+    none = F.lit(None).cast("string")
+    bands = (np.full((5000, langid.CLASSES), -100.0), np.ones(5000))
+    began = time.time()
+    out = langid.identify(one, many, wide, F.col("text"), none, none, none, bands=bands)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 2_000_000
+    found = rows(out)
+    assert time.time() - began < 60 and {r["lang"] for r in found} == {"en"}
+
+
+def test_bands_by_hand(spark):
+    rng = random.Random(12)
+    stems = {"en": ["the", "and", "thing"], "de": ["der", "und", "keit"]}
+    data = [(i, " ".join(rng.choice(stems[k]) for _ in range(rng.choice([2, 9, 40]))), k, "h", 1) for i in range(300) for k in [rng.choice(["en", "de"])]] + [(900, "", "en", "h", 1), (901, None, "de", "h", 1)]
+    df = spark.createDataFrame(data, LABELLED)
+    names, table = langid.fit_text_model(df)
+    least, variance = langid.text_bands(df, names, table)
+    wordy = lambda b: b in b"abcdefghijklmnopqrstuvwxyz \n" or b >= 0x80
+    groups = {}
+    for _, text, lang, *_ in data:
+        raw = (text or "").encode()
+        h, _ = langid.grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        keep = np.array([all(wordy(b) for b in raw[i : i + 3]) for i in range(len(raw) - 2)], bool)
+        if not keep.any() or int(table[:, h].sum(1).argmax()) != names.index(lang):
+            continue
+        k = names.index(lang)
+        groups.setdefault((k, int(np.log2(keep.sum()))), []).append(float(np.float32(table[k][h][keep].astype(float).mean())))
+    for k in range(2):
+        own = [x for (q, _), v in groups.items() if q == k for x in v]
+        for c in range(langid.CLASSES):
+            v = sorted(groups.get((k, c), []))
+            v = v if len(v) >= langid.CLASS_ROWS else sorted(own)
+            low, mid = (v[math.ceil(p * len(v)) - 1] for p in (0.05, 0.5))
+            assert least[k, c] == pytest.approx(mid - min(max(3 * (mid - low), langid.LEAST_WIDTH), langid.MOST_WIDTH), abs=1e-5)
+    p = np.exp(table.astype(float))
+    p /= p.sum(1, keepdims=True)
+    assert np.allclose(variance, (p * table**2).sum(1) - (p * table).sum(1) ** 2)
