@@ -201,7 +201,8 @@ def _mend(spark: SparkSession, path: str, piece: DataFrame, broken: DataFrame, s
     """Payloads of the records that the magic line cuts: file, offset, _mended_bytes, _mended_digest.
 
     Their files are read again and each piece is found by its byte offset, however the second reading splits the files. Up to
-    ``broadcast_rows`` sought pieces are broadcast, so that of the text only what matches moves; beyond, the join shuffles.
+    ``broadcast_rows`` sought pieces are broadcast, so that of the text only what matches moves; beyond, the join shuffles, after the
+    pieces' offsets are known.
     """
     broken = written(broken, "warc-cut")
     span = broken.select("file", F.col("offset").alias("_owner"), "next", F.explode(F.sequence(F.floor(F.col("offset") / step), F.floor((F.col("next") - 1) / step))).alias("_mb"))
@@ -209,7 +210,9 @@ def _mend(spark: SparkSession, path: str, piece: DataFrame, broken: DataFrame, s
     parts = written(parts.select("file", "offset", "_owner"), "warc-cut-pieces")
     few = parts.count() <= broadcast_rows
     sought = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    raw = segments(spark, path).select("file", "part", "size", "value").join(sought(broken.select("file").distinct()), "file", "left_semi")
+    raw = segments(spark, path).select("file", "part", "size", "value")
+    if few:  # many files are not sorted out here: sizes are summed in reading order, which a shuffle would not keep
+        raw = raw.join(F.broadcast(broken.select("file").distinct()), "file", "left_semi")
     totals = raw.groupBy("file", "part").agg(F.sum("size").alias("_all"))
     before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     bases = written(totals.select("file", "part", (F.sum("_all").over(before) - F.col("_all") - len(MAGIC)).alias("_base")), "warc-cut-bases")

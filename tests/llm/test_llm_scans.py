@@ -322,3 +322,35 @@ def test_bands_by_hand(spark):
     p = np.exp(table.astype(float))
     p /= p.sum(1, keepdims=True)
     assert np.allclose(variance, (p * table**2).sum(1) - (p * table).sum(1) ** 2)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_cut_payloads_are_found_in_many_byte_ranges(spark, monkeypatch, few):
+    import functools
+
+    from fiscalens.llm import warc
+    from fiscalens.llm.shared import new_folder
+
+    rng = random.Random(2)
+    pages = []
+    for i in range(60):
+        body = "".join(rng.choice("abc<>\n") for _ in range(rng.randint(100, 3000)))
+        for _ in range(rng.randrange(4)):  # magic lines inside payloads
+            at = rng.randrange(len(body))
+            body = body[:at] + warc.MAGIC + body[at:] + "é" * rng.randrange(3)
+        pages.append((i, f"http://h/{i}", body))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    monkeypatch.setattr(warc, "_mend", functools.partial(warc._mend, broadcast_rows=few))
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    if not few:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        path = new_folder(spark, "warc-test")
+        warc.write_archives(warc.to_records(warc.mark_revisits(df, "page_id", "html"), "page_id", "url", "html"), path)
+        found = {r.record_id: (r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, path).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = {f"<urn:page:{i}>": (len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for i, _, t in pages}
+    assert found == want
