@@ -189,56 +189,17 @@ def _told(names: list[str], declared: Column) -> Column:
     return number(_tag(declared))
 
 
-def _shares(decided: DataFrame, key: str) -> DataFrame:
-    """For each value of key how many of its texts are of which language, as far as there are any, and the least suffix of its rows."""
+def _shares(decided: DataFrame, key: str, base: list[float], strength: float, parent: DataFrame | None = None) -> DataFrame:
+    """For each value of key the logs of the languages' shares of its texts, drawn towards its suffix's shares (``parent``) or else
+    ``base`` as by ``strength`` texts."""
     counts = decided.where(F.col(key).isNotNull()).groupBy(key, "_best").agg(F.count(F.lit(1)).alias("n"), F.min("_suffix").alias("_of"))
-    return counts.groupBy(key).agg(F.collect_list(F.struct(F.col("_best").alias("at"), "n")).alias("counts"), F.min("_of").alias("_of"))
-
-
-def _dense(lists: pa.Array, width: int) -> np.ndarray:
-    """Lists of (at, n) as rows of counts; a null is a row of zeros."""
-    out = np.zeros((len(lists), width))
-    flat_ = lists.flatten()
-    row = np.repeat(np.arange(len(lists)), [len(x) if x.is_valid else 0 for x in lists])
-    np.add.at(out, (row, flat_.field("at").to_numpy()), flat_.field("n").to_numpy())
-    return out
-
-
-def _decide(base: np.ndarray, trust: float, least: np.ndarray, variance: np.ndarray, host_strength: float, suffix_strength: float):
-    """A function of scores, declared language, and counts of host, host's suffix and own suffix that gives the number of the likeliest
-    language, its posterior probability, and whether the text is in its band; all null without scores."""
-    width = len(base)
-    told_log = np.log(np.array([trust, max((1 - trust) / max(1, width - 1), 1e-6)]))
-
-    def drawn(counts: np.ndarray, towards: np.ndarray, strength: float) -> np.ndarray:
-        return np.log((counts + strength * towards) / (counts.sum(1, keepdims=True) + strength))
-
-    @F.arrow_udf("struct<at:int,confidence:double,inside:boolean>")
-    def decide(ll: pa.Array, mean: pa.Array, n: pa.Array, declared: pa.Array, host: pa.Array, above: pa.Array, suffix: pa.Array) -> pa.Array:
-        some = np.array(ll.is_valid())
-        rows = np.flatnonzero(some)
-        take = lambda x: x.take(pa.array(rows))
-        post = np.array(take(ll).flatten().to_numpy(zero_copy_only=False)).reshape(-1, width)
-        means = np.array(take(mean).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, width)
-        runs = take(n).to_numpy(zero_copy_only=False).astype(float)
-        told = take(declared).fill_null(-1).to_numpy(zero_copy_only=False)
-        evidence = np.where(told[:, None] == np.arange(width), told_log[0], told_log[1])
-        evidence[told < 0] = 0
-        of_suffix = drawn(_dense(take(suffix), width), base, suffix_strength)
-        of_above = np.exp(drawn(_dense(take(above), width), base, suffix_strength))
-        of_host = drawn(_dense(take(host), width), of_above, host_strength)
-        post = post + evidence + np.where(np.array(take(host).is_valid())[:, None], of_host, of_suffix)
-        at = post.argmax(1) if len(rows) else np.zeros(0, int)
-        confidence = 1 / np.exp(post - post.max(1, keepdims=True)).sum(1) if len(rows) else np.zeros(0)
-        kind = np.minimum(np.floor(np.log2(np.maximum(runs, 1))), CLASSES - 1).astype(int)
-        pick = np.arange(len(rows))
-        inside = (runs == 0) | (means[pick, at] >= least[at, kind] - 3 * np.sqrt(variance[at] / np.maximum(runs, 1)))
-        back = np.full(len(ll), -1)
-        back[rows] = pick
-        where = pa.array(back, mask=~some)
-        return pa.StructArray.from_arrays([pa.array(at, pa.int32()).take(where), pa.array(confidence, pa.float64()).take(where), pa.array(inside, pa.bool_()).take(where)], ["at", "confidence", "inside"])
-
-    return decide
+    found = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_best", "n"))).alias("_m"), F.sum("n").alias("_all"), F.min("_of").alias("_of"))
+    above = F.lit(None).cast("array<double>")
+    if parent is not None:
+        found, above = found.join(parent, F.col("_of") == F.col("_k_suffix"), "left"), F.col("_log_suffix")
+    towards = lambda b, i: F.coalesce(F.exp(F.get(above, i)), b)
+    logs = F.transform(F.lit(base), lambda b, i: F.log((F.coalesce(F.try_element_at("_m", i), F.lit(0)) + F.lit(strength) * towards(b, i)) / (F.col("_all") + F.lit(strength))))
+    return found.select(F.col(key).alias(f"_k{key}"), logs.alias(f"_log{key}"))
 
 
 def identify(
@@ -275,17 +236,25 @@ def identify(
     least, variance = bands or _bands(seen.select("_s", "_best", F.col("_declared").alias("_told")), names, table)
     trust = min(0.99, (agreed + 1) / (told + 2))
 
-    by_suffix = written(_shares(decided, "_suffix").select(F.col("_suffix").alias("_k_suffix"), F.col("counts").alias("_of_suffix")), "language-suffix")
-    by_host = _shares(decided, "_host").join(by_suffix, F.col("_of") == F.col("_k_suffix"), "left")
-    by_host = written(by_host.select(F.col("_host").alias("_k_host"), F.col("counts").alias("_of_host"), F.col("_of_suffix").alias("_above")), "language-host")
+    by_suffix = written(_shares(decided, "_suffix", base.tolist(), suffix_strength), "language-suffix")
+    by_host = written(_shares(decided, "_host", base.tolist(), host_strength, by_suffix), "language-host")
     out = scored
-    for key, shares, held in (("_host", by_host, ("_of_host", "_above")), ("_suffix", by_suffix, ("_of_suffix",))):
-        few = (shares.agg(F.sum(sum((F.coalesce(F.size(c), F.lit(0)) for c in held), F.lit(1)))).first()[0] or 0) <= broadcast_counts
+    for key, shares in (("_host", by_host), ("_suffix", by_suffix)):
+        few = shares.count() * len(names) <= broadcast_counts
         out = out.join(F.broadcast(shares) if few else shares, F.col(key) == F.col(f"_k{key}"), "left").drop(f"_k{key}")
-    decide = _decide(base, trust, least, variance, host_strength, suffix_strength)
-    out = out.withColumn("_d", decide("_s.ll", "_s.mean", "_s.n", "_declared", "_of_host", "_above", "_of_suffix"))
-    some = F.coalesce("_d.inside", F.lit(False))
-    return out.select(*columns, F.when(some, F.get(F.lit(names), F.col("_d.at"))).alias("lang"), F.when(some, F.col("_d.confidence")).otherwise(F.lit(0.0)).alias("confidence"), (some & (F.col("_d.confidence") >= least_confidence)).alias("kept"))
+    right, wrong = float(np.log(trust)), float(np.log(max((1 - trust) / max(1, len(names) - 1), 1e-6)))
+    told_ = lambda i: F.when(F.col("_declared").isNull(), F.lit(0.0)).when(F.col("_declared") == i, F.lit(right)).otherwise(F.lit(wrong))
+    prior = F.coalesce("_log_host", "_log_suffix", F.lit(np.log(base).tolist()))
+    out = out.withColumn("_prior", prior).withColumn("_post", F.transform("_s.ll", lambda x, i: x + told_(i) + F.get("_prior", i))).withColumn("_top", F.array_max("_post"))
+    confidence = F.lit(1.0) / F.aggregate("_post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
+    out = out.withColumn("_at", (F.array_position("_post", F.col("_top")) - 1).cast("int")).withColumn("_class", F.coalesce(_length_class(), F.lit(0)))
+    # a row for each language and length class: the language's name and what the class's texts reach at least
+    edges = pd.DataFrame({"_at": np.repeat(np.arange(len(names)), CLASSES), "_class": np.tile(np.arange(CLASSES), len(names)), "_name": np.repeat(np.array(names, object), CLASSES), "_least": least.ravel(), "_variance": np.repeat(variance, CLASSES)})
+    edges = docs.sparkSession.createDataFrame(edges, "_at int, _class int, _name string, _least double, _variance double")
+    out = out.join(F.broadcast(edges), ["_at", "_class"], "left")  # most_languages times CLASSES rows at most
+    inside = (F.col("_s.n") <= 0) | (F.get("_s.mean", F.col("_at")) >= F.col("_least") - 3 * F.sqrt(F.col("_variance") / F.col("_s.n")))
+    some = F.coalesce(inside, F.lit(False)) & F.col("_at").isNotNull()
+    return out.select(*columns, F.when(some, F.col("_name")).alias("lang"), F.when(some, confidence).otherwise(F.lit(0.0)).alias("confidence"), (some & (confidence >= least_confidence)).alias("kept"))
 
 
 def documents_by_language(docs: DataFrame, keep: list[str]) -> DataFrame:
