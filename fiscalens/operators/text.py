@@ -22,16 +22,8 @@ from .encoder import tfidf
 from .name_join import near_names
 
 
-def normalize_name(x: str | None) -> str:
-    """Compatibility form without marks, upper case, only A-Z, 0-9 and spaces, tokens sorted."""
-    if not x:
-        return ""
-    bare = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).upper()
-    return " ".join(sorted("".join(c if c.isascii() and (c.isalnum()) else " " for c in bare).split()))
-
-
 def normalized(name: str) -> Column:
-    """normalize_name of a column, for the Latin blocks."""
+    """A name as it is compared: plain words, sorted."""
     return sorted_words(F.col(name))
 
 
@@ -124,9 +116,11 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column, norms: Column | None = None) -> Column:
-    """Within [-1, 1]; 0 if either vector is zero. norms: the product of the vectors' norms, if it is known."""
+    """Within [-1, 1]; 0 if either vector is zero, NULL if either is, or if their lengths differ. norms: the product of the vectors' norms, if it is
+    known."""
     norms = norm(a) * norm(b) if norms is None else norms
-    return F.when(norms == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
+    ratio = dot(a, b) / norms
+    return F.when(norms == 0, F.lit(0.0)).when(ratio.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))  # greatest and least pass over nulls
 
 
 def vector_search(vectors: DataFrame, query: list[float], top_k: int = 10, collection: str | None = None) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from ..functions.rounding import rounded
 from ..functions.rounding import rounded_sql as R
 from ..operators import detectors as D
 from ..operators import encoder
@@ -12,6 +15,7 @@ from ..operators import normalizers as N
 from ..operators import quality as Q
 from ..operators import reviews as V
 from ..operators import text as T
+from ..operators import vector_index
 from ..operators.cosine_join import candidates
 from . import lens as L
 from . import raw as W
@@ -131,6 +135,8 @@ profiled = lambda s, d: Q.profile(D.with_duration(c(s, d)), ["amount", "duration
 QUERIES = {
     "vector_search": lambda s, d: T.vector_search(L.table(s, d, "embeddings"), QUERY_VECTOR),
     "vector_search_in_collection": lambda s, d: T.vector_search(L.table(s, d, "embeddings").withColumn("collection", (F.col("label") % 3).cast("string") if "label" in L.table(s, d, "embeddings").columns else (F.col("vec_id") % 3).cast("string")), QUERY_VECTOR, collection="1"),
+    "indexed_vector_search": lambda s, d: vector_index.search(s, vector_index.build(L.table(s, d, "embeddings")), QUERY_VECTOR).rows,
+    "nearest_of_first_vectors": lambda s, d: nearest_of_first_vectors(s, d),
     "vector_upsert": lambda s, d: stored_vectors(s, d),
     "notice_clones": lambda s, d: T.notice_clones(L.notices(s, d), 0.85, encode=T.hashed_words),
     "sparse_notice_clones": lambda s, d: T.sparse_clones(L.notices(s, d)),
@@ -182,10 +188,21 @@ QUERIES = {
 }
 
 
+def nearest_of_first_vectors(s, d):
+    """The nearest vectors of three stored ones, all by one index."""
+    t = L.table(s, d, "embeddings")
+    path = vector_index.build(t)
+    queries = t.orderBy("vec_id").limit(3).collect()
+    return reduce(lambda a, b: a.unionByName(b), [vector_index.search(s, path, list(r.embedding), 5).rows.withColumn("query_id", F.lit(r.vec_id)) for r in queries])
+
+
 def stored_vectors(s, d):
-    v = L.table(s, d, "embeddings").select((F.col("vec_id") % 3).cast("string").alias("collection"), F.col("vec_id").alias("external_id"), F.element_at("embedding", 1).cast("double").alias("embedding"))
-    after = T.upsert_vectors(v, v.where("external_id % 4 = 0").withColumn("embedding", F.lit(0.0)).unionByName(v.where("external_id < 10").withColumns({"external_id": F.col("external_id") + 1_000_000_000})))
-    return T.delete_vectors(after, v.where("external_id % 5 = 1")).groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("embedding") == 0.0).alias("new"))
+    """Whole vectors stored, some replaced by their opposite, some added, some deleted; by collection how many there are, and what they add up to."""
+    v = L.table(s, d, "embeddings").select((F.col("vec_id") % 3).cast("string").alias("collection"), F.col("vec_id").alias("external_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    opposite = v.where("external_id % 4 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    after = T.upsert_vectors(v, opposite.unionByName(v.where("external_id < 10").withColumn("external_id", F.col("external_id") + 1_000_000_000)))
+    left = T.delete_vectors(after, v.where("external_id % 5 = 1")).select("collection", F.posexplode("embedding").alias("place", "x"))
+    return left.groupBy("collection", "place").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum(F.col("x").cast("decimal(38,12)"))).alias("total"))
 
 
 q = lambda query, *parts, recursive=False: L.sql(L.CONTRACTS, *parts, query=query, recursive=recursive)
@@ -266,7 +283,7 @@ SQL = {
     "person_queries": q("""SELECT cpf AS entity_id, '{"properties":{"idNumber":["' || cpf || '"],"name":["' || min_by(legal_name, id) || '"],"nationality":["br"]},"schema":"Person"}' AS query FROM contracts WHERE cpf IS NOT NULL GROUP BY cpf"""),
     "person_signals": q(f"""SELECT 'supplier' AS entity_type, cpf AS entity_id, 'pep_supplier_match' AS signal_type, {R('max(sc)')} AS score, string_agg('Q' || i, ',' ORDER BY sc DESC, i) AS candidates FROM (SELECT cpf, i, (i * 7 + CAST(right(cpf, 2) AS INTEGER)) % 100 / 100.0::DOUBLE AS sc FROM (SELECT DISTINCT cpf FROM contracts WHERE cpf IS NOT NULL), range(5) AS t(i)) WHERE sc >= 0.7 GROUP BY cpf"""),
     "vector_search_in_collection": f"SELECT vec_id, {R('s', 6)} AS similarity FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(range(64), lambda x: 0.1::DOUBLE)) AS s FROM embeddings WHERE label % 3 = 1) WHERE s > 0 ORDER BY 2 DESC, 1 LIMIT 10",
-    "vector_upsert": "SELECT collection, count(*) AS n, count(*) FILTER (WHERE e = 0) AS new FROM (SELECT CAST(vec_id % 3 AS VARCHAR) AS collection, CASE WHEN vec_id % 4 = 0 THEN 0 ELSE CAST(embedding[1] AS DOUBLE) END AS e FROM embeddings WHERE vec_id % 5 <> 1 UNION ALL SELECT CAST(vec_id % 3 AS VARCHAR), CAST(embedding[1] AS DOUBLE) FROM embeddings WHERE vec_id < 10) GROUP BY 1",
+    "vector_upsert": f"SELECT collection, CAST(place AS INTEGER) AS place, count(*) AS n, {R('sum(CAST(x AS DECIMAL(38,12)))')} AS total FROM (SELECT collection, unnest(range(len(e))) AS place, unnest(e) AS x FROM (SELECT CAST(vec_id % 3 AS VARCHAR) AS collection, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN vec_id % 4 = 0 THEN -x ELSE x END) AS e FROM embeddings WHERE vec_id % 5 <> 1 UNION ALL SELECT CAST(vec_id % 3 AS VARCHAR), CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id < 10)) GROUP BY 1, 2",
     "title_search": f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(concat_ws(' ', source, text)), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM documents), h AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE word IN ('license', 'stupid') GROUP BY 1, 2),
       i AS (SELECT word, ln(CAST((SELECT count(*) FROM documents) AS DOUBLE) / count(*)) AS idf FROM h GROUP BY 1) SELECT doc_id, {R('sum(tf * idf)', 6)} AS score FROM h JOIN i ON h.word = i.word GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 20""",
     "semantic_gap": f"SELECT a.conv_id, a.turn, {R(f'list_cosine_similarity({gap(A_TEXT)}, {gap(B_TEXT)})')} AS similarity FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
@@ -277,4 +294,6 @@ SQL = {
     "sparse_notice_clones": NOTICES,
     "window_pairs": L.sql(HASHED, query="SELECT territory_id, count(DISTINCT doc_id) AS notices, CAST(coalesce(sum(k), 0) AS BIGINT) AS pairs FROM (SELECT a.territory_id, a.doc_id, count(b.doc_id) AS k FROM bn a LEFT JOIN bn b ON a.territory_id = b.territory_id AND b.date < a.date AND date_diff('day', b.date, a.date) <= 365 GROUP BY 1, 2) GROUP BY 1"),
     "screened_names": q(SCREENED, L.SANCTIONS),
+    "nearest_of_first_vectors": f"SELECT query_id, vec_id, similarity FROM (SELECT query_id, vec_id, {R('s', 6)} AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY {R('s', 6)} DESC, vec_id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 3) q) WHERE s > 0) WHERE r <= 5",
 }
+SQL["indexed_vector_search"] = SQL["vector_search"]

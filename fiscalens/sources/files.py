@@ -245,13 +245,13 @@ def append_absent(spark: SparkSession, df: DataFrame, path: str, key: str) -> No
     df.join(spark.read.parquet(path).select(key), key, "left_anti").write.mode("append").parquet(path)
 
 
-# Marts that may be published, with the reason, and those that may not.
+# The names of the marts that may be published and of those that may not; why is what each holds here.
 PUBLIC = {
-    "contracts_by_agency": "aggregate by agency, no personal data", "contracts_daily": "aggregate by day, no personal data", "supplier_stats": "aggregate by supplier, whose number is public at the source",
-    "amendments_by_agency": "aggregate by agency, no personal data", "amendments_by_supplier": "aggregate by supplier, whose number is public at the source", "contract_amendments": "flags of public contracts, without a personal number",
-    "red_flags_by_agency": "aggregate by agency, no personal data", "red_flags_by_supplier": "aggregate by supplier, whose number is public at the source", "political_connections": "persons' numbers are masked in the mart",
+    "contracts_by_agency": "a row an agency: counts and sums of its contracts", "contracts_daily": "a row a day: counts and sums of all contracts", "supplier_stats": "a row a supplier, under the number that the portals print",
+    "amendments_by_agency": "a row an agency: how many of its contracts were raised or prolonged", "amendments_by_supplier": "a row a supplier: how many of its contracts were raised or prolonged", "contract_amendments": "a row a contract: first and last values and terms, nobody named",
+    "red_flags_by_agency": "a row an agency: shares of flagged contracts", "red_flags_by_supplier": "a row a supplier: shares of flagged contracts", "political_connections": "a row a donor and candidate, a person's number with its ends hidden",
 }
-INTERNAL = {"pod_usage_hourly": "telemetry", "platform_cost_daily": "telemetry", "data_quality_daily": "operations", "contract_red_flags": "may hold persons' numbers"}
+INTERNAL = {"pod_usage_hourly": "how busy our machines were", "platform_cost_daily": "what our machines cost", "data_quality_daily": "how complete each day's load was", "contract_red_flags": "single contracts, of persons too"}
 
 
 def classify(marts: list[str]) -> tuple[list[str], list[str]]:

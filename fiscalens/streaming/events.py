@@ -75,12 +75,12 @@ def finished(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     name = f"stream-{id(stream)}"
     folder = f"{shared_dir(spark)}/streams/{pd.Timestamp.now().value}-{name}"
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+    def put(batch: DataFrame, number: int) -> None:  # a batch that is tried again replaces what it wrote
+        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
 
 
 def finished_table(spark: SparkSession, start: Callable[[str, str], object]) -> DataFrame:

@@ -155,3 +155,23 @@ def test_names_meet_in_cells_and_long_names_count_right(spark, monkeypatch):
         assert len(found) == len(set(found)) and set(found) == want
     i, j = X.survivors(names, names, 0.9)
     assert want <= {(names[x], names[y]) for x, y in zip(i, j, strict=True)} and len(i) < len(names) ** 2 / 2
+
+
+def test_the_index_gives_what_a_scan_gives(spark):
+    from fiscalens.operators import vector_index as V
+
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(12, 16))
+    x = centers[rng.integers(0, 12, 900)] + rng.normal(scale=0.05, size=(900, 16))
+    x[10:14] = x[9]  # ties
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(2000, [0.0] * 16), (2001, None), (2002, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    path = V.build(df, cells=40)
+    for query, most in ((x[9].tolist(), 20), (x[500].tolist(), 20), ([0.1] * 16, 40), ((-x[9]).tolist(), 40)):
+        for k in (1, 7, 60):
+            found = V.search(spark, path, query, k, step=2)
+            assert [tuple(r) for r in found.rows.collect()] == [tuple(r) for r in T.vector_search(df, query, k).collect()]
+            assert found.cells <= 40 and found.read <= most
+    assert V.search(spark, path, x[500].tolist(), 5, step=2).read <= 12
+    empty = V.build(df.limit(0), cells=4)
+    assert V.search(spark, empty, x[0].tolist()).rows.count() == 0
