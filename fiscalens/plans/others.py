@@ -15,6 +15,7 @@ from ..operators import normalizers as N
 from ..operators import quality as Q
 from ..operators import reviews as V
 from ..operators import text as T
+from ..operators import text_index
 from ..operators import vector_index
 from ..operators.cosine_join import candidates
 from . import lens as L
@@ -26,6 +27,15 @@ QUERY_VECTOR = [0.1] * 64
 WORDS = ["licensed", "stupid", "license", "mit"]
 
 
+def updated_index(s, d):
+    """The best documents of an index after every seventh document went and sources took the place of every fifth's text."""
+    docs = L.table(s, d, "documents").select("doc_id", "text")
+    path = text_index.build(docs)
+    text_index.delete(path, docs.where("doc_id % 7 = 0"))
+    text_index.add(path, L.table(s, d, "documents").where("doc_id % 5 = 0").select("doc_id", F.concat(F.lit("license of "), F.coalesce("source", F.lit(""))).alias("text")))
+    return text_index.search(s, path, WORDS).rows
+
+
 def hidden_sanctions(s, d):
     """Sanctions as a list without full documents has them: persons masked, companies by name alone."""
     return L.sanctions(s, d).select("id", "list_name", "sanctioned_name", F.when(F.col("cpf").isNotNull(), F.concat(F.lit("***"), F.substring("cpf", 4, 6), F.lit("**"))).alias("document"), "start_date", "end_date")
@@ -147,6 +157,8 @@ QUERIES = {
     "notice_segments": lambda s, d: T.segments(L.table(s, d, "documents").select("doc_id", F.regexp_replace("text", r"\. ", "\n").alias("text")), "doc_id", "text", ["The", "Dè", "La"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.sum(F.length("segment")).alias("chars")),
     "semantic_gap": turns,
     "text_search": lambda s, d: T.text_search(L.table(s, d, "documents").select("doc_id", "text"), WORDS),
+    "indexed_text_search": lambda s, d: text_index.search(s, text_index.build(L.table(s, d, "documents").select("doc_id", "text")), WORDS).rows,
+    "indexed_text_updates": lambda s, d: updated_index(s, d),
     "title_search": lambda s, d: T.text_search(L.table(s, d, "documents").select("doc_id", "text", F.col("source").alias("title")), ["license", "stupid"]),
     "sanctioned_names": lambda s, d: T.fuzzy_screening(c(s, d), hidden_sanctions(s, d)),
     "screened_names": lambda s, d: T.fuzzy_screening(c(s, d), hidden_sanctions(s, d).withColumn("document", F.lit(None).cast("string"))),
@@ -297,3 +309,5 @@ SQL = {
     "nearest_of_first_vectors": f"SELECT query_id, vec_id, similarity FROM (SELECT query_id, vec_id, {R('s', 6)} AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY {R('s', 6)} DESC, vec_id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 3) q) WHERE s > 0) WHERE r <= 5",
 }
 SQL["indexed_vector_search"] = SQL["vector_search"]
+SQL["indexed_text_search"] = SQL["text_search"]
+SQL["indexed_text_updates"] = SQL["text_search"].replace("FROM documents)", "FROM d)").replace("WITH w AS", "WITH d AS (SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0 UNION ALL SELECT doc_id, 'license of ' || coalesce(source, '') FROM documents WHERE doc_id % 5 = 0), w AS", 1)
