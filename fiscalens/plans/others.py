@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import rounded
 from ..functions.rounding import rounded_sql as R
+from ..functions.storage import new_folder, written
 from ..operators import detectors as D
 from ..operators import encoder
 from ..operators import graph as G
 from ..operators import normalizers as N
+from ..operators import packages as P
 from ..operators import quality as Q
 from ..operators import reviews as V
 from ..operators import text as T
@@ -20,7 +22,7 @@ from ..operators import vector_index
 from ..operators.cosine_join import candidates
 from . import lens as L
 from . import raw as W
-from .detectors import DUR, HHI, IQR, RATE, benford
+from .detectors import DUR, HHI, IQR, PAIRS, RATE, benford
 from .marts import AMENDS, amends, c
 
 QUERY_VECTOR = [0.1] * 64
@@ -36,6 +38,36 @@ def updated_index(s, d):
     return text_index.search(s, path, WORDS).rows
 
 
+def line_keys(s, d):
+    return L.table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("a"), F.col("l_linenumber").cast("string").alias("b"), F.col("l_returnflag").alias("c"))
+
+
+def proved_lines(s, d):
+    """Every line, and every line under another number, with its proof against the lines' tree: how many of each are verified."""
+    rows = line_keys(s, d)
+    nodes = written(P.tree(rows, 3), "lines-tree")
+    claims = rows.unionByName(rows.withColumn("b", F.concat(F.lit("0"), "b")))
+    return P.verified(P.proofs(nodes, claims, 3), P.root_of(nodes)).groupBy(F.col("b").startswith("0").alias("forged"), "verified").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def changed_lines(s, d):
+    """What the trees of two states find: third lines got another flag, and those of orders that 97 divides went."""
+    then = line_keys(s, d)
+    now = then.where("CAST(a AS LONG) % 97 <> 0").withColumn("c", F.when(F.col("b") == "3", F.lit("X")).otherwise(F.col("c")))
+    a, b = (written(P.tree(x, 3), "lines-tree") for x in (then, now))
+    return P.changed_rows(then.unionByName(now), P.changes(a, b, 3)).drop("path")
+
+
+def rederived(s, d):
+    """A package of a run's signals, derived once more from what it holds; the scores of entities that end in 5 were tampered with before."""
+    snapshot = D.eligibility(c(s, d), 2)
+    both = D.fraud_signals(c(s, d)).select("entity_type", "entity_id", "signal_type", "score").unionByName(D.collusion_signals(D.ranked(D.collusion_pairs(snapshot))).select("entity_type", "entity_id", "signal_type", "score"))
+    false = both.withColumn("score", F.when(F.right("entity_id", F.lit(1)) == "5", F.lit(2.0)).otherwise(F.col("score")))
+    path = new_folder(s, "packages")
+    package = P.pack(path, c(s, d), false, snapshot)
+    return P.rederived(s, path, package).groupBy("reproduced").agg(F.count(F.lit(1)).alias("signals")).crossJoin(P.checked(s, path, package).agg(F.bool_and("intact").alias("intact")))
+
+
 def hidden_sanctions(s, d):
     """Sanctions as a list without full documents has them: persons masked, companies by name alone."""
     return L.sanctions(s, d).select("id", "list_name", "sanctioned_name", F.when(F.col("cpf").isNotNull(), F.concat(F.lit("***"), F.substring("cpf", 4, 6), F.lit("**"))).alias("document"), "start_date", "end_date")
@@ -184,6 +216,10 @@ QUERIES = {
     "selected_establishments": lambda s, d: V.selected(L.establishments(s, d), c(s, d), "cnpj"),
     "signal_places": lambda s, d: G.signal_places(c(s, d)),
     "alerts": lambda s, d: G.alerts(D.fraud_signals(c(s, d))),
+    "evidence_tree": lambda s, d: P.tree(line_keys(s, d), 2).select("prefix", "n", "digest"),
+    "evidence_proofs": lambda s, d: proved_lines(s, d),
+    "evidence_changes": lambda s, d: changed_lines(s, d),
+    "evidence_rederived": lambda s, d: rederived(s, d),
     "evidence_digest": lambda s, d: V.digest(L.table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("a"), F.col("l_linenumber").cast("string").alias("b"))),
     "signal_reproduction": lambda s, d: V.reproduced(D.fraud_signals(c(s, d)).withColumn("score", F.when(F.right("entity_id", F.lit(1)) == "5", F.lit(2.0)).otherwise(F.col("score"))), D.fraud_signals(c(s, d))).groupBy("reproduced").agg(F.count(F.lit(1)).alias("signals")),
     "matcher_evaluation": lambda s, d: G.evaluation(L.table(s, d, "labels").select(F.col("quality").cast("double").alias("score"), (F.col("toxic") == 0).alias("truth")), 0.5),
@@ -311,3 +347,13 @@ SQL = {
 SQL["indexed_vector_search"] = SQL["vector_search"]
 SQL["indexed_text_search"] = SQL["text_search"]
 SQL["indexed_text_updates"] = SQL["text_search"].replace("FROM documents)", "FROM d)").replace("WITH w AS", "WITH d AS (SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0 UNION ALL SELECT doc_id, 'license of ' || coalesce(source, '') FROM documents WHERE doc_id % 5 = 0), w AS", 1)
+LINE = "SELECT CAST(l_orderkey AS VARCHAR) AS a, CAST(l_linenumber AS VARCHAR) AS b, l_returnflag AS c FROM lineitem"
+HASHED = """l AS (SELECT sha256('{"a":"' || a || '","b":"' || b || '","c":"' || c || '"}') AS h, count(*) AS n FROM (""" + LINE + """) GROUP BY 1),
+t2 AS (SELECT substr(h, 1, 2) AS prefix, sum(n) AS n, sha256('rows:' || string_agg(h || 'x' || n, ',' ORDER BY h || 'x' || n)) AS digest FROM l GROUP BY 1),
+t1 AS (SELECT substr(prefix, 1, 1) AS prefix, sum(n) AS n, sha256('nodes:' || string_agg(substr(prefix, 2, 1) || digest, ',' ORDER BY substr(prefix, 2, 1))) AS digest FROM t2 GROUP BY 1),
+t0 AS (SELECT '' AS prefix, sum(n) AS n, sha256('nodes:' || string_agg(prefix || digest, ',' ORDER BY prefix)) AS digest FROM t1)"""
+SQL["evidence_tree"] = f"WITH {HASHED} SELECT prefix, CAST(n AS BIGINT) AS n, digest FROM (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2)"
+SQL["evidence_proofs"] = "SELECT forged, NOT forged AS verified, count(*) AS lines FROM lineitem, (VALUES (true), (false)) AS v(forged) GROUP BY 1, 2"
+SQL["evidence_changes"] = f"""WITH x AS ({LINE}), y AS (SELECT a, b, CASE WHEN b = '3' THEN 'X' ELSE c END AS c FROM x WHERE CAST(a AS BIGINT) % 97 <> 0),
+z AS (SELECT a, b, c, 1 AS archived, 0 AS found FROM x UNION ALL SELECT a, b, c, 0, 1 FROM y) SELECT a, b, c, CAST(sum(archived) AS BIGINT) AS archived, CAST(sum(found) AS BIGINT) AS found FROM z GROUP BY 1, 2, 3 HAVING sum(archived) <> sum(found)"""
+SQL["evidence_rederived"] = q("SELECT right(entity_id, 1) <> '5' OR score = 2 AS reproduced, count(*) AS signals, true AS intact FROM (SELECT entity_id, score FROM sig UNION ALL (SELECT s1 || '+' || s2, 1.0 FROM pr ORDER BY buyer_count DESC, wins_sum DESC, s1, s2 LIMIT 500)) GROUP BY 1", *SIGNALS, PAIRS)
