@@ -20,6 +20,7 @@ from ..operators import text as T
 from ..operators import text_index
 from ..operators import vector_index
 from ..operators.cosine_join import candidates
+from ..sources import files
 from . import lens as L
 from . import raw as W
 from .detectors import DUR, HHI, IQR, PAIRS, RATE, benford
@@ -38,6 +39,15 @@ def updated_index(s, d):
     return text_index.search(s, path, WORDS).rows
 
 
+def upserted_orders(s, d):
+    """Customers' orders, those that are filled and then the others by upserts: the table's row of each customer, and that of the first version."""
+    rows = L.table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    path = new_folder(s, "upserted")
+    for some in (rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus <> 'F'")):
+        files.upsert(s, some, path, "o_custkey")
+    return files.current(s, path).join(files.current(s, path, 0).select("o_custkey", F.col("o_orderkey").alias("first_version")), "o_custkey", "left")
+
+
 def line_keys(s, d):
     return L.table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("a"), F.col("l_linenumber").cast("string").alias("b"), F.col("l_returnflag").alias("c"))
 
@@ -216,6 +226,7 @@ QUERIES = {
     "selected_establishments": lambda s, d: V.selected(L.establishments(s, d), c(s, d), "cnpj"),
     "signal_places": lambda s, d: G.signal_places(c(s, d)),
     "alerts": lambda s, d: G.alerts(D.fraud_signals(c(s, d))),
+    "upserted_orders": lambda s, d: upserted_orders(s, d),
     "evidence_tree": lambda s, d: P.tree(line_keys(s, d), 2).select("prefix", "n", "digest"),
     "evidence_proofs": lambda s, d: proved_lines(s, d),
     "evidence_changes": lambda s, d: changed_lines(s, d),
@@ -357,3 +368,5 @@ SQL["evidence_proofs"] = "SELECT forged, NOT forged AS verified, count(*) AS lin
 SQL["evidence_changes"] = f"""WITH x AS ({LINE}), y AS (SELECT a, b, CASE WHEN b = '3' THEN 'X' ELSE c END AS c FROM x WHERE CAST(a AS BIGINT) % 97 <> 0),
 z AS (SELECT a, b, c, 1 AS archived, 0 AS found FROM x UNION ALL SELECT a, b, c, 0, 1 FROM y) SELECT a, b, c, CAST(sum(archived) AS BIGINT) AS archived, CAST(sum(found) AS BIGINT) AS found FROM z GROUP BY 1, 2, 3 HAVING sum(archived) <> sum(found)"""
 SQL["evidence_rederived"] = q("SELECT right(entity_id, 1) <> '5' OR score = 2 AS reproduced, count(*) AS signals, true AS intact FROM (SELECT entity_id, score FROM sig UNION ALL (SELECT s1 || '+' || s2, 1.0 FROM pr ORDER BY buyer_count DESC, wins_sum DESC, s1, s2 LIMIT 500)) GROUP BY 1", *SIGNALS, PAIRS)
+SQL["upserted_orders"] = """WITH v AS (SELECT o_custkey, o_orderstatus = 'F' AS early, max({'k': o_orderkey, 's': o_orderstatus}) AS r FROM orders GROUP BY 1, 2)
+SELECT o_custkey, coalesce(b.r, a.r).k AS o_orderkey, coalesce(b.r, a.r).s AS o_orderstatus, a.r.k AS first_version FROM (SELECT * FROM v WHERE early) a FULL JOIN (SELECT * FROM v WHERE NOT early) b USING (o_custkey)"""

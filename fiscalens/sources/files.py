@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
+from json import dumps, loads
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.normalize import quantity
 from ..functions.storage import written
@@ -195,19 +198,79 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def upsert(spark: SparkSession, df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """df's rows into the table at ``path``, in place of those of the same key. The table is partitioned by a bucket of the key; only
-    buckets that df touches are read and written again, and they are written aside first, so that a failure before the last step leaves
-    the table as it was. Of several rows of df with one key the largest stays."""
+def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.schema("number long, version string, _bucket int, buckets int, schema string").parquet(f"{path}/commits") if exists(spark, f"{path}/commits") else None
+
+
+def current(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The table that upserts made at ``path``, as of the last commit, or as of an earlier one's number. A DataFrame once read stays as it
+    was, whatever is committed after it."""
+    commits = _commits(spark, path)
+    if commits is None:
+        raise FileNotFoundError(f"no table at {path}")
+    if number is not None:
+        commits = commits.where(F.col("number") <= number)
+    latest = commits.groupBy("_bucket").agg(F.max_by("version", "number").alias("version")).collect()  # a row a bucket
+    schema = commits.agg(F.max_by("schema", "number")).first()[0]
+    if schema is None:
+        raise ValueError(f"no commit up to {number}")
+    by_version: dict[str, list[int]] = {}
+    for r in latest:
+        by_version.setdefault(r.version, []).append(r["_bucket"])
+    rows = spark.read.schema(StructType.fromJson(loads(schema)).add("version", "string").add("_bucket", "integer")).parquet(f"{path}/data")
+    chosen = F.lit(False)
+    for version, buckets in sorted(by_version.items()):
+        chosen |= (F.col("version") == version) & F.col("_bucket").isin(sorted(buckets))
+    return rows.where(chosen).drop("version", "_bucket")
+
+
+def upsert(spark: SparkSession, df: DataFrame, path: str, key: str, buckets: int = 64) -> int:
+    """df's rows into the table at ``path``, in place of those of the same key; ``current`` reads it. Gives the number of the commit.
+
+    Buckets of the key that df touches are written anew, beside the old ones, in a folder of this version; then one small file commits it.
+    A failure at any step, the last one too, leaves the table as it was, and readers see either version whole. One writer at a time. The
+    number of buckets is that of the first commit. Of several rows of df with one key the largest stays; NULL is a key like others; columns
+    that df lacks are NULL in its rows, and new ones are added. Old versions stay, for readers that have them open, until ``vacuum``.
+    """
+    commits, old, number = _commits(spark, path), None, 0
+    if commits is not None:
+        known = commits.agg(F.max("number").alias("number"), F.max("buckets").alias("buckets")).first()
+        number, buckets, old = known.number + 1, known.buckets, current(spark, path)
+    in_bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     rest = [c for c in df.columns if c != key]
-    new = df.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, "_r.*").select(*df.columns).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    if not exists(spark, path):
-        new.write.partitionBy("_bucket").parquet(path)
-        return
-    new = written(new, "upsert-new")
-    old = spark.read.parquet(path).join(F.broadcast(new.select("_bucket").distinct()), "_bucket", "left_semi").join(new.select(key), key, "left_anti")  # buckets at most
-    merged = written(old.unionByName(new, allowMissingColumns=True), "upsert-merged")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+    new = df.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, "_r.*") if rest else df.distinct()
+    new = written(new.select(*df.columns).withColumn("_bucket", in_bucket), "upsert-new")
+    touched = sorted(r["_bucket"] for r in new.select("_bucket").distinct().collect())  # buckets at most
+    merged = new
+    if old is not None:
+        same = F.col(f"_old.{key}").eqNullSafe(F.col(f"_new.{key}"))
+        kept = old.withColumn("_bucket", in_bucket).where(F.col("_bucket").isin(touched)).alias("_old").join(new.select(key).alias("_new"), same, "left_anti")
+        merged = kept.unionByName(new, allowMissingColumns=True)
+    version = f"{number:010d}-{uuid.uuid4().hex}"
+    schema = dumps(merged.drop("_bucket").schema.jsonValue())
+    merged.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version", "_bucket").parquet(f"{path}/data")
+    rows = [(number, version, b, buckets, schema) for b in touched] or [(number, version, 0, buckets, schema)] * (old is None)
+    if rows:
+        spark.createDataFrame(rows, "number long, version string, _bucket int, buckets int, schema string").coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return number if rows else number - 1
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """A table's commits: number, touched (buckets written)."""
+    return _commits(spark, path).groupBy("number").agg(F.count(F.lit(1)).alias("touched"))
+
+
+def vacuum(spark: SparkSession, path: str, to: str) -> None:
+    """The table as it stands as a new one at ``to``, of one version; the old folder can go when nobody reads it."""
+    commits = _commits(spark, path)
+    buckets = commits.agg(F.max("buckets")).first()[0]
+    rows = current(spark, path)
+    keyless = commits.groupBy("_bucket").agg(F.max_by("version", "number").alias("version"))
+    data = spark.read.schema(rows.schema.add("version", "string").add("_bucket", "integer")).parquet(f"{path}/data").join(F.broadcast(keyless), ["version", "_bucket"], "left_semi")
+    version = f"{0:010d}-{uuid.uuid4().hex}"
+    data.drop("version").withColumn("version", F.lit(version)).write.mode("append").partitionBy("version", "_bucket").parquet(f"{to}/data")
+    schema = dumps(rows.schema.jsonValue())
+    keyless.select(F.lit(0).cast("long").alias("number"), F.lit(version).alias("version"), "_bucket", F.lit(buckets).alias("buckets"), F.lit(schema).alias("schema")).coalesce(1).write.mode("append").parquet(f"{to}/commits")
 
 
 def append(df: DataFrame, path: str, *keys: str) -> None:

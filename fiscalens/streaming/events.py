@@ -84,7 +84,7 @@ def finished(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
 
 
 def finished_table(spark: SparkSession, start: Callable[[str, str], object]) -> DataFrame:
-    """The table that a stream's writer (of path and checkpoint folder) leaves."""
+    """The table that a stream's writer (of path and checkpoint folder) leaves by upserts."""
     folder = f"{shared_dir(spark)}/streams/{pd.Timestamp.now().value}-table"
     start(f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return files.current(spark, f"{folder}/out")

@@ -203,8 +203,7 @@ def test_tables_are_replaced_in_place(spark, tmp_path):
     path = f"{tmp_path}/t"
     for rows in ([(1, "x"), (2, "y")], [(2, "z"), (3, "w"), (3, "v")], [(2, "z"), (3, "w")]):
         files.upsert(spark, spark.createDataFrame(rows, "id int, v string"), path, "id", buckets=4)
-        spark.catalog.refreshByPath(path)
-    assert {(r.id, r.v) for r in spark.read.parquet(path).collect()} == {(1, "x"), (2, "z"), (3, "w")}
+    assert {(r.id, r.v) for r in files.current(spark, path).collect()} == {(1, "x"), (2, "z"), (3, "w")}
     done, wanted = f"{tmp_path}/terms", spark.createDataFrame([("a",), ("b",)], "id string")
     files.checkpoint_terms(wanted, spark.createDataFrame([("a", None)], "id string, terms string"), done)
     assert [tuple(r) for r in spark.read.parquet(done).collect()] == [("a", "[]")] and [r.id for r in files.pending(wanted, done, "id").collect()] == ["b"]
