@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -34,14 +35,30 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    """A row a document: doc_id, words (word, tf), length."""
-    whole = F.concat_ws(" ", "title", "text") if "title" in docs.columns else F.col("text")
-    words = F.filter(F.split(F.lower(whole), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = docs.where("doc_id is not null").select("doc_id", F.explode_outer(F.coalesce(words, F.array().cast("array<string>"))).alias("word"))
-    counted = rows.groupBy("doc_id", "word").agg(F.count("word").alias("tf"))
-    some = F.when(F.col("word").isNotNull(), F.struct("word", "tf"))
-    return counted.groupBy("doc_id").agg(F.collect_list(some).alias("words"), F.sum("tf").alias("length"))
+def _blocked(df: DataFrame, size: Column, block: int) -> tuple[DataFrame, int, int]:
+    """df with the block of each doc_id, by size and hash, and the numbers of rows and blocks. Like sizes lie together, so that large counts
+    meet in few blocks; a block has about ``block`` rows."""
+    kind = F.floor(F.log2(size + 1)).cast("long")
+    counts = {r.kind: r.n for r in df.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 64 kinds at most
+    if not counts:
+        return df.withColumn("block", F.lit(0).cast("long")), 0, 0
+    many = {k: max(1, math.ceil(n / block)) for k, n in counts.items()}
+    of_kind = F.create_map(*[F.lit(x).cast("long") for pair in many.items() for x in pair])
+    return df.withColumn("block", kind * F.lit(1 << 40) + F.pmod(F.xxhash64("doc_id"), of_kind[kind])), sum(counts.values()), sum(many.values())
+
+
+def _words(docs: DataFrame, block: int) -> tuple[DataFrame, int, int]:
+    """A row a document: doc_id, words (word, tf), block; and the numbers of documents and blocks. Texts move once, to their block; words are
+    counted and gathered there."""
+    whole = F.concat_ws(" ", "title", "text") if "title" in docs.columns else F.coalesce("text", F.lit(""))
+    texts = docs.where("doc_id is not null").select("doc_id", whole.alias("_whole"))
+    n = texts.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if n.rows != n.ids:
+        texts = texts.groupBy("doc_id").agg(F.array_join(F.collect_list("_whole"), " ").alias("_whole"))
+    placed, many, blocks = _blocked(texts, F.octet_length("_whole"), block)
+    words = F.filter(F.split(F.lower(F.col("_whole")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    counted = placed.repartition("block").select("block", "doc_id", F.explode_outer(words).alias("word")).groupBy("block", "doc_id", "word").agg(F.count("word").alias("tf"))
+    return counted.groupBy("block", "doc_id").agg(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "tf"))).alias("words")).select("doc_id", "words", "block"), many, blocks
 
 
 def _kind(spark: SparkSession, path: str) -> str:
@@ -83,31 +100,33 @@ def _live(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("seg") < F.col("_seg")), "left_anti")
 
 
-def _commit(spark: SparkSession, path: str, new: DataFrame | None, gone: DataFrame, block: int) -> None:
-    """A segment: new documents (doc_id, words, length) and those that go (doc_id, words). It counts once its row in ``done`` is written."""
+def _commit(spark: SparkSession, path: str, new: tuple[DataFrame, int, int] | None, gone: DataFrame | None) -> None:
+    """A segment: new documents as of _words and those that go (doc_id, words). It counts once its row in ``done`` is written."""
     seg = f"{segments(spark, path).count():08d}-{uuid.uuid4().hex}"
-    gone = written(gone.select("doc_id", "words"), "index-gone")
     named = lambda df: df.withColumn("seg", F.lit(seg))
-    named(gone.select("doc_id")).write.mode("append").partitionBy("seg").parquet(f"{path}/gone")
-    of_words = lambda df, sign: df.select(F.explode("words.word").alias("word")).groupBy("word").agg((F.lit(sign) * F.count(F.lit(1))).alias("df"))
-    n, blocks, change = -gone.count(), 0, of_words(gone, -1)
+    changes, n, blocks = [], 0, 0
+    if gone is not None:
+        gone = written(gone.select("doc_id", "words"), "index-gone")
+        n -= gone.count()
+        named(gone.select("doc_id")).write.mode("append").partitionBy("seg").parquet(f"{path}/gone")
+        changes.append(gone.select(F.explode("words.word").alias("word"), F.lit(-1).cast("long").alias("df")))
     if new is not None:
-        added = written(new, "index-new")
-        many = added.count()
-        n, blocks = n + many, max(1, math.ceil(many / block))
-        # parts of like lengths, so that large counts meet in few blocks; within a part a block is taken by a hash of the id
-        parts = min(blocks, 1024)
-        each = math.ceil(blocks / parts)
-        placed = added.repartitionByRange(parts, F.desc("length"), F.xxhash64("doc_id")).withColumn("block", F.spark_partition_id().cast("long") * each + F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(each)))
-        named(placed.select("doc_id", "words", "block")).write.mode("append").partitionBy("seg").parquet(f"{path}/docs")
-        docs = spark.read.schema(named(placed.select("doc_id", "words", "block")).schema).parquet(f"{path}/docs").where(F.col("seg") == seg)
-        one = docs.select("doc_id", "block", F.inline("words"))
-        lists = one.groupBy("word", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("docs"))
-        lists = named(lists).withColumn("bucket", _bucket(F.col("word")))
-        lists.repartitionByRange("bucket", "word", "block").sortWithinPartitions("bucket", "word", "block").write.mode("append").partitionBy("seg", "bucket").parquet(f"{path}/postings")
-        change = change.unionByName(of_words(docs, 1))
-    summed = named(change.groupBy("word").agg(F.sum("df").alias("df")).where("df <> 0")).withColumn("bucket", _bucket(F.col("word")))
-    summed.repartitionByRange("bucket", "word").sortWithinPartitions("bucket", "word").write.mode("append").partitionBy("seg", "bucket").parquet(f"{path}/words")
+        rows, many, blocks = new
+        n += many
+        named(rows).write.mode("append").partitionBy("seg").parquet(f"{path}/docs")
+        docs = spark.read.schema(named(rows).schema).parquet(f"{path}/docs").where(F.col("seg") == seg)
+        # buckets of words fall into slices, so that a frequent word's lists are not one task's
+        slice_ = F.pmod(F.xxhash64("block", F.lit(7)), F.lit(1 + many // 2_000_000)).cast("int")
+        one = docs.select("doc_id", "block", F.inline("words")).select("word", "block", "doc_id", "tf", _bucket(F.col("word")).alias("bucket"), slice_.alias("_slice"))
+        by = ["bucket", "_slice", "word", "block"]
+        lists = one.repartition("bucket", "_slice").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("docs"))
+        lists = named(lists.sortWithinPartitions("bucket", "word", "block").drop("_slice"))
+        lists.select("word", "block", "n", "max_tf", "docs", "seg", "bucket").write.mode("append").partitionBy("seg", "bucket").parquet(f"{path}/postings")
+        stored = spark.read.schema("word string, n long, seg string").parquet(f"{path}/postings").where(F.col("seg") == seg)
+        changes.append(stored.select("word", F.col("n").alias("df")))
+    summed = reduce(DataFrame.unionByName, changes).groupBy("word").agg(F.sum("df").alias("df")).where("df <> 0")
+    summed = named(summed).withColumn("bucket", _bucket(F.col("word")))
+    summed.repartition("bucket").sortWithinPartitions("bucket", "word").write.mode("append").partitionBy("seg", "bucket").parquet(f"{path}/words")
     spark.createDataFrame([(seg, n, blocks)], "seg string, n long, blocks long").coalesce(1).write.mode("append").parquet(f"{path}/done")
 
 
@@ -121,22 +140,20 @@ def build(docs: DataFrame, path: str | None = None, block: int = 1024) -> str:
     path = path or new_folder(docs.sparkSession, "text-index")
     docs.select("doc_id").limit(0).write.parquet(f"{path}/kind")
     _opened(docs.sparkSession, path)
-    new = _words(docs)
-    _commit(docs.sparkSession, path, new, new.limit(0), block)
+    _commit(docs.sparkSession, path, _words(docs, block), None)
     return path
 
 
 def add(path: str, docs: DataFrame, block: int = 1024) -> None:
     """Documents into the index, in place of those of the same doc_id. One writer at a time; a failed one leaves the index as it was."""
     spark = docs.sparkSession
-    new = written(_words(docs), "index-added")
-    _commit(spark, path, new, _live(spark, path).join(new.select("doc_id"), "doc_id", "left_semi"), block)
+    _commit(spark, path, _words(docs, block), _live(spark, path).join(docs.select("doc_id"), "doc_id", "left_semi"))
 
 
 def delete(path: str, keys: DataFrame) -> None:
     """Documents (doc_id) out of the index; unknown ones change nothing. Their own words are read, no lists."""
     spark = keys.sparkSession
-    _commit(spark, path, None, _live(spark, path).join(keys.select("doc_id"), "doc_id", "left_semi"), 1)
+    _commit(spark, path, None, _live(spark, path).join(keys.select("doc_id"), "doc_id", "left_semi"))
 
 
 def merged(spark: SparkSession, path: str, to: str | None = None, block: int = 1024) -> str:
@@ -144,8 +161,8 @@ def merged(spark: SparkSession, path: str, to: str | None = None, block: int = 1
     to = to or new_folder(spark, "text-index")
     spark.read.parquet(f"{path}/kind").write.parquet(f"{to}/kind")
     _opened(spark, to)
-    live = _live(spark, path).select("doc_id", "words", F.coalesce(F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + w["tf"]), F.lit(0)).alias("length"))
-    _commit(spark, to, live, live.limit(0), block)
+    live = _live(spark, path).select("doc_id", "words")
+    _commit(spark, to, _blocked(live, F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + w["tf"]), block), None)
     return to
 
 
