@@ -16,6 +16,7 @@ from ..operators import normalizers as N
 from ..operators import packages as P
 from ..operators import quality as Q
 from ..operators import reviews as V
+from ..operators import selective
 from ..operators import text as T
 from ..operators import text_index
 from ..operators import vector_index
@@ -48,6 +49,14 @@ def upserted_orders(s, d):
     return files.current(s, path).join(files.current(s, path, 0).select("o_custkey", F.col("o_orderkey").alias("first_version")), "o_custkey", "left")
 
 
+def lines_of_parts(s, d):
+    """All lines of the parts of one size, from a table of the lines that is laid out by part."""
+    path = new_folder(s, "lines-by-part")
+    selective.lay_out(L.table(s, d, "lineitem"), path, "l_partkey")
+    keys = L.table(s, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("l_partkey"))
+    return selective.rows_of(s, path, keys, "l_partkey").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+
+
 def line_keys(s, d):
     return L.table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("a"), F.col("l_linenumber").cast("string").alias("b"), F.col("l_returnflag").alias("c"))
 
@@ -226,6 +235,7 @@ QUERIES = {
     "selected_establishments": lambda s, d: V.selected(L.establishments(s, d), c(s, d), "cnpj"),
     "signal_places": lambda s, d: G.signal_places(c(s, d)),
     "alerts": lambda s, d: G.alerts(D.fraud_signals(c(s, d))),
+    "lines_of_parts": lambda s, d: lines_of_parts(s, d),
     "upserted_orders": lambda s, d: upserted_orders(s, d),
     "evidence_tree": lambda s, d: P.tree(line_keys(s, d), 2).select("prefix", "n", "digest"),
     "evidence_proofs": lambda s, d: proved_lines(s, d),
@@ -370,3 +380,4 @@ z AS (SELECT a, b, c, 1 AS archived, 0 AS found FROM x UNION ALL SELECT a, b, c,
 SQL["evidence_rederived"] = q("SELECT right(entity_id, 1) <> '5' OR score = 2 AS reproduced, count(*) AS signals, true AS intact FROM (SELECT entity_id, score FROM sig UNION ALL (SELECT s1 || '+' || s2, 1.0 FROM pr ORDER BY buyer_count DESC, wins_sum DESC, s1, s2 LIMIT 500)) GROUP BY 1", *SIGNALS, PAIRS)
 SQL["upserted_orders"] = """WITH v AS (SELECT o_custkey, o_orderstatus = 'F' AS early, max({'k': o_orderkey, 's': o_orderstatus}) AS r FROM orders GROUP BY 1, 2)
 SELECT o_custkey, coalesce(b.r, a.r).k AS o_orderkey, coalesce(b.r, a.r).s AS o_orderstatus, a.r.k AS first_version FROM (SELECT * FROM v WHERE early) a FULL JOIN (SELECT * FROM v WHERE NOT early) b USING (o_custkey)"""
+SQL["lines_of_parts"] = "SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, l_returnflag FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7)"
