@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -33,10 +34,21 @@ def bare_upper(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(F.translate(x, _LETTERS, _BARE)), r"\s+", " "))
 
 
+#: What ``\\s`` is in Spark's expressions.
+SPACES = " \t\n\x0b\f\r"
+_TO_BARE = str.maketrans(_LETTERS[:len(_BARE)], _BARE, _LETTERS[len(_BARE):])
+
+
+def bare(x: str) -> str:
+    """bare_upper of a Python text."""
+    return re.sub(f"[{SPACES}]+", " ", x.translate(_TO_BARE).upper()).strip(" ")
+
+
 def first_letters(bare: set[str]) -> str:
     """A pattern of texts whose bare_upper begins with one of these characters."""
     found = sorted(bare | {x.lower() for x in bare} | {c for c, b in zip(_LETTERS, _BARE, strict=False) if b.upper() in bare})
-    return r"^[\s\u0300-\u036f]*[" + "".join(f"\\u{ord(c):04x}" for c in found) + "]"
+    blank = "".join(f"\\u{ord(c):04x}" for c, b in zip(_LETTERS, _BARE, strict=False) if b == " ")
+    return rf"^[\s{blank}\u0300-\u036f]*[" + "".join(f"\\u{ord(c):04x}" for c in found) + "]"
 
 
 def sorted_words(x: Column) -> Column:

@@ -16,9 +16,9 @@ from ..operators import normalizers as N
 from ..operators import packages as P
 from ..operators import quality as Q
 from ..operators import reviews as V
-from ..operators import selective
+from ..operators import selective, sketches
 from ..operators import text as T
-from ..operators import text_index
+from ..operators import text_index, text_tables
 from ..operators import vector_index
 from ..operators.cosine_join import candidates
 from ..sources import files
@@ -57,6 +57,22 @@ def lines_of_parts(s, d):
     return selective.rows_of(s, path, keys, "l_partkey").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
 
 
+def segment_totals(s, d):
+    """Units of the documents by the table function, called from SQL: how many a document has, and their characters."""
+    text_tables.register(s)
+    texts = L.table(s, d, "documents").select("doc_id", F.regexp_replace("text", r"\. ", "\n").alias("text"))
+    return s.sql("SELECT doc_id, count(*) AS units, sum(length(segment)) AS chars FROM {texts}, LATERAL notice_segments(text, array('The', 'Dè', 'La')) GROUP BY doc_id", texts=texts)
+
+
+def yearly_quality(s, d):
+    """Contracts by year from the sketches of their months, which came in two loads that both have the months of 1995."""
+    rows, path = D.with_duration(c(s, d)).select("dt", "amount", "duration", "cpf"), new_folder(s, "quality-sketches")
+    for some in (rows.where("dt < '1996-01-01'"), rows.where("dt >= '1995-01-01' OR dt IS NULL")):
+        sketches.store(sketches.sketch(some, ["amount", "duration", "cpf"], F.date_format("dt", "yyyy-MM")), path)
+    found = sketches.profiles(sketches.merged(sketches.stored(s, path), {"year": F.substring("batch", 1, 4)}))
+    return found.drop("distinct_values", "distinct_share", "mode", "mode_count", "outliers")
+
+
 def line_keys(s, d):
     return L.table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("a"), F.col("l_linenumber").cast("string").alias("b"), F.col("l_returnflag").alias("c"))
 
@@ -206,6 +222,7 @@ QUERIES = {
     "clone_comparisons": clone_comparisons,
     "window_pairs": lambda s, d: T.window_pairs(L.notices(s, d)),
     "notice_segments": lambda s, d: T.segments(L.table(s, d, "documents").select("doc_id", F.regexp_replace("text", r"\. ", "\n").alias("text")), "doc_id", "text", ["The", "Dè", "La"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.sum(F.length("segment")).alias("chars")),
+    "lateral_segments": segment_totals,
     "semantic_gap": turns,
     "text_search": lambda s, d: T.text_search(L.table(s, d, "documents").select("doc_id", "text"), WORDS),
     "indexed_text_search": lambda s, d: text_index.search(s, text_index.build(L.table(s, d, "documents").select("doc_id", "text")), WORDS).rows,
@@ -236,6 +253,7 @@ QUERIES = {
     "signal_places": lambda s, d: G.signal_places(c(s, d)),
     "alerts": lambda s, d: G.alerts(D.fraud_signals(c(s, d))),
     "lines_of_parts": lambda s, d: lines_of_parts(s, d),
+    "yearly_quality": lambda s, d: yearly_quality(s, d),
     "upserted_orders": lambda s, d: upserted_orders(s, d),
     "evidence_tree": lambda s, d: P.tree(line_keys(s, d), 2).select("prefix", "n", "digest"),
     "evidence_proofs": lambda s, d: proved_lines(s, d),
@@ -381,3 +399,18 @@ SQL["evidence_rederived"] = q("SELECT right(entity_id, 1) <> '5' OR score = 2 AS
 SQL["upserted_orders"] = """WITH v AS (SELECT o_custkey, o_orderstatus = 'F' AS early, max({'k': o_orderkey, 's': o_orderstatus}) AS r FROM orders GROUP BY 1, 2)
 SELECT o_custkey, coalesce(b.r, a.r).k AS o_orderkey, coalesce(b.r, a.r).s AS o_orderstatus, a.r.k AS first_version FROM (SELECT * FROM v WHERE early) a FULL JOIN (SELECT * FROM v WHERE NOT early) b USING (o_custkey)"""
 SQL["lines_of_parts"] = "SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, l_returnflag FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7)"
+LOG = "ln(1.01::DOUBLE / 0.99::DOUBLE)"
+RANGE = f"CASE WHEN x = 0 THEN 0 ELSE sign(x) * (ceil(ln(abs(x)) / {LOG}) + ceil(746 / {LOG})) END"
+VALUE = f"CASE WHEN g = 0 THEN 0 ELSE sign(g) * exp((abs(g) - ceil(746 / {LOG})) * {LOG}) * (2 / (1.01::DOUBLE / 0.99::DOUBLE + 1)) END"
+SQL["yearly_quality"] = q(f"""SELECT k.year, k.column_name, k.n, k.nulls, {R('CAST(nulls AS DOUBLE) / k.n')} AS nulls_share, lowest, highest, {R('mean')} AS mean, {R('deviation')} AS deviation, {R('q1')} AS q1, {R('median')} AS median, {R('q3')} AS q3
+FROM (SELECT year, column_name, count(*) AS n, count(*) FILTER (WHERE t IS NULL) AS nulls, min(x) AS lowest, max(x) AS highest, avg(x) AS mean, stddev_samp(x) AS deviation FROM cells GROUP BY 1, 2) k
+LEFT JOIN (SELECT year, column_name, """ + ", ".join(f"greatest(any_value(lo), least(any_value(hi), min(v) FILTER (WHERE upto > floor({p} * (m - 1))))) AS {name}" for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))) + """
+  FROM ranked WHERE v IS NOT NULL GROUP BY 1, 2) r USING (year, column_name)""", PROFILE, """cells AS (SELECT coalesce(substr(CAST(dt AS VARCHAR), 1, 4), '') AS year, u.c AS column_name, u.t, u.x FROM (SELECT dt, unnest([
+  {'c': 'amount', 't': CAST(amount AS VARCHAR), 'x': CAST(amount AS DOUBLE)}, {'c': 'duration', 't': CAST(duration AS VARCHAR), 'x': CAST(duration AS DOUBLE)}, {'c': 'cpf', 't': cpf, 'x': CAST(NULL AS DOUBLE)}]) AS u FROM dd))""",
+  f"ranges AS (SELECT year, column_name, {RANGE} AS g, count(*) AS n, min(x) AS lo, max(x) AS hi FROM cells WHERE x IS NOT NULL GROUP BY 1, 2, 3)",
+  f"ranked AS (SELECT year, column_name, {VALUE} AS v, min(lo) OVER (PARTITION BY year, column_name) AS lo, max(hi) OVER (PARTITION BY year, column_name) AS hi, sum(n) OVER (PARTITION BY year, column_name) AS m, sum(n) OVER (PARTITION BY year, column_name ORDER BY g) AS upto FROM ranges)")
+SQL["notice_segments"] = SQL["lateral_segments"] = r"""WITH lines AS (SELECT doc_id, u.i, regexp_replace(u.x, '[ \t\n\x0b\f\r]+$', '') AS line FROM (SELECT doc_id, unnest(list_transform(regexp_split_to_array(replace(text, '. ', chr(10)), '\r\n|[\n\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]'), lambda x, i: {'x': x, 'i': i})) AS u FROM documents)),
+bare AS (SELECT *, trim(regexp_replace(upper(replace(strip_accents(line), 'ß', 'ss')), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS b FROM lines),
+units AS (SELECT doc_id, line, i, sum(CASE WHEN length(b) <= 120 AND (starts_with(b, 'THE') OR starts_with(b, 'DE') OR starts_with(b, 'LA')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS unit FROM bare),
+segments AS (SELECT doc_id, unit, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g') AS segment FROM units WHERE unit > 0 GROUP BY 1, 2)
+SELECT doc_id, count(*) AS units, CAST(sum(length(segment)) AS BIGINT) AS chars FROM segments GROUP BY 1"""
