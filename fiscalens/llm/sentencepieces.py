@@ -255,7 +255,7 @@ class Pieces:
         left_over = np.array([s for s in symbols if s >= 0], np.int64)
         return self._out(left_over, np.array([len(left_over)]))[0].tolist()
 
-    def _encode(self, words: list[bytes], variants: np.ndarray) -> list[list[int]]:
+    def _encode(self, words: list[bytes], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out: list = [None] * len(words)
         short = [k for k, w in enumerate(words) if len(w) <= LONG]
         for k, w in enumerate(words):
@@ -266,7 +266,7 @@ class Pieces:
             ids, sizes = self._together([words[k] for k in own], variants[own])
             for k, one in zip(own, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
                 out[k] = one
-        return out
+        return np.concatenate([np.asarray(x, np.int32) for x in out]), np.fromiter(map(len, out), np.int64, len(out))
 
     def _together(self, words: list[bytes], variants: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of many short words, joined, and how many each word has: in each round, every word merges or skips its best candidate.

@@ -152,6 +152,46 @@ def test_range_coder_round_trip(n, block):
         assert (rangecoder.decode(words, sizes, n, block, width) == x).all()
 
 
+def test_range_coder_of_many_ids_and_blocks():
+    rng = np.random.default_rng(3)
+    for n, block, width in ((150_000, 4096, 31), (70_000, 300, 17)):
+        x = rng.integers(0, 1 << width, n).astype(np.int32)
+        words, sizes = rangecoder.encode(x, block, width)
+        assert (rangecoder.decode(words, sizes, n, block, width) == x).all()
+
+
+def test_range_coder_nears_the_entropy_of_ids_without_order():
+    p = 1 / np.arange(1, 2001)
+    p /= p.sum()
+    x = np.random.default_rng(4).choice(2000, 40_000, p=p).astype(np.int32) * 25
+    words, _ = rangecoder.encode(x, 2048, 16)
+    assert 16 * len(words) / len(x) < 1.12 * -(p * np.log2(p)).sum()
+
+
+def test_new_chunks_go_to_the_tokenizer_together():
+    import public_tokenizers
+    import pyarrow as pa
+
+    texts = ["".join(f"{(' ', '  ', chr(10) + ' ', ' ' + chr(0xA0), ' <', '<|endoftext|> ')[k % 60 if k % 60 < 6 else 0]}w{k * j}" for k in range(300)) for j in range(1, 8)] + ["", None, " ", "x", "  y ", "é à\t z"]
+    tokenizer, sent = tokenfiles._Tokenizer(public_tokenizers.path("byte_bpe_50k.json"), False), []
+    batch = tokenizer.batch
+    tokenizer.batch = lambda found, **options: sent.extend(found) or batch(found, **options)
+    ids, sizes = tokenizer.ids(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in tokenizer.model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert len(sent) < 40
+
+
+def test_most_of_many_chunks_stay_known():
+    from fiscalens.llm import chunks
+
+    asked = []
+    known = chunks.Chunks(lambda found, _: asked.append(len(found)) or (np.zeros(len(found), np.int32), np.ones(len(found), np.int64)))
+    data = np.frombuffer(b"".join(b" %07d" % k for k in range(700_000)), np.uint8)
+    for _ in range(2):
+        known.ids(data, np.array([0, len(data)]), np.arange(0, len(data), 8))
+    assert asked[0] == 700_000 and asked[1] < 350_000
+
+
 def test_segments_notice_damage():
     image = tokenfiles.pack(np.array([1, 2]), np.zeros(2, bool), np.array([3, 2]), np.arange(5, dtype=np.int32), 2)
     assert tokenfiles.unpack(image)[3].tolist() == [0, 1, 2, 3, 4]
