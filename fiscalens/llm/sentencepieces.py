@@ -152,6 +152,7 @@ class Pieces:
         self.score = np.array([model.get_score(i) for i in range(n)])
         self.byte = {bytes([int(names[i][3:5], 16)]): i for i in range(n) if model.is_byte(i)}
         self.normal = {x: i for i, x in enumerate(names) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+        self.rank = np.unique(-self.score, return_inverse=True)[1].astype(np.int64) << 32  # by piece: its place in the order of scores
         if len(self.byte) < 256:
             raise ValueError("a model without byte fallback is not lossless")
         if any(SPACE in x.lstrip(SPACE) for x in self.normal):
@@ -293,16 +294,19 @@ class Pieces:
         while len(symbol):
             some = np.flatnonzero(made >= 0)
             active = np.zeros(len(words), bool)
-            active[word[some]] = True
-            if (rest := ~active[word]).any():  # words that are ready leave
-                done.append((word[rest], place[rest], symbol[rest]))
-                on = ~rest
-                word, symbol, place, stop, made = word[on], symbol[on], place[on], stop[on], made[on]
+            active[word.take(some)] = True
+            on = active.take(word)
+            if not on.all():  # words that are ready leave
+                rest = np.flatnonzero(~on)
+                done.append((word.take(rest), place.take(rest), symbol.take(rest)))
+                on = np.flatnonzero(on)
+                word, symbol, place, stop, made = word.take(on), symbol.take(on), place.take(on), stop.take(on), made.take(on)
                 some = np.flatnonzero(made >= 0)
             if not len(some):
                 break
-            order = some[np.lexsort((some, -self.score[made[some]], word[some]))]
-            best = order[np.concatenate([[True], word[order[1:]] != word[order[:-1]]])]
+            owner = word.take(some)  # rising, so that the candidates of a word stand together
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            best = np.minimum.reduceat(self.rank.take(made.take(some)) + some, first) & 0xFFFFFFFF
             own, spans = word[best], _spans(place[best], stop[best], stop[best + 1])
             keep = plain[own] | (mixed(key[own] ^ spans) >= self.dropout)
             if trace is not None:
@@ -312,11 +316,10 @@ class Pieces:
             symbol[best], stop[best] = made[best], stop[best + 1]
             on = np.ones(len(symbol), bool)
             on[best + 1] = False
-            new = np.cumsum(on) - 1
-            again = new[best]
-            word, symbol, place, stop, made = word[on], symbol[on], place[on], stop[on], made[on]
-            before = again[again > 0] - 1
-            offer(np.unique(np.concatenate([again, before])))
+            on = np.flatnonzero(on)
+            again = best - np.arange(len(best))  # best is rising: as many symbols before it are gone
+            word, symbol, place, stop, made = word.take(on), symbol.take(on), place.take(on), stop.take(on), made.take(on)
+            offer(np.concatenate([again, again[again > 0] - 1]))  # a place that comes twice gets the same
         if done:
             w, p, s = (np.concatenate([d[i] for d in done]) for i in range(3))
             order = np.lexsort((p, w))

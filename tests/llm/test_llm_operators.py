@@ -267,6 +267,16 @@ def test_sentence_pieces(spark, docs):
     assert sentencepieces.op2(empty(spark)).count() == 0
 
 
+def test_rounds_find_the_best_candidates_without_sorting(monkeypatch):
+    model = sentencepieces.Pieces(sentencepieces.default_model(), 0.1, 7)
+    words = [f" {w}{k}" for k in range(200) for w in ("international", "aaaaaaaaaa", "x", "Straße", "unconstitutional")]
+    sorted_rows, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorted_rows.append(len(keys[0])) or lexsort(keys))
+    ids, sizes = model._together([w.encode() for w in words], np.arange(len(words)))
+    assert sum(sorted_rows) <= sum(map(len, words))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [model.by_heap(w.encode(), k) for k, w in enumerate(words)]
+
+
 def test_merge_agenda_by_heap_equals_rounds():
     model = sentencepieces.Pieces(sentencepieces.default_model(), 0.3, 5)
     words = [b" thering", b"  x", "éàüß".encode(), b" nonononononon", "日本語".encode(), b" a"] * 4
