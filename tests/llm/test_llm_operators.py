@@ -168,6 +168,44 @@ def test_range_coder_nears_the_entropy_of_ids_without_order():
     assert 16 * len(words) / len(x) < 1.12 * -(p * np.log2(p)).sum()
 
 
+def test_range_coder_predicts_what_follows_over_all_blocks():
+    rng = np.random.default_rng(8)
+    n, distinct = 100_000, 900
+    after, jump, free = rng.permutation(distinct), rng.random(n) < 0.1, rng.integers(0, distinct, n)
+    x = np.zeros(n, np.int32)
+    for i in range(1, n):
+        x[i] = free[i] if jump[i] else after[x[i - 1]]
+    words, sizes = rangecoder.encode(x, 256, 16)
+    assert (rangecoder.decode(words, sizes, n, 256, 16) == x).all()
+    assert 16 * len(words) / n < 2.2  # 1.5 bits of entropy and the ends of blocks; no block is long enough to learn this
+
+
+def test_words_are_chunks_without_what_stands_behind():
+    import public_tokenizers
+    import pyarrow as pa
+
+    behind = [".", ",", "!?", ".\nThe", ";\n\nA", "-b", "'s", "\u00e9,", "\u00d7,", "\u00a0.", "<|endoftext|>", "<|", "|>", ",\u3000x", ".\n", "\n x", "9."]
+    texts = ["".join(f" w{chr(97 + k % 26)}{chr(97 + k // 26)}{b}" for k in range(400)) for b in behind] + ["a.", ".", "\n", "a\nb", "\na", "b\n", "", None, ",a\n", "\n,a", "x \ny"]
+    tokenizer, sent = tokenfiles._Tokenizer(public_tokenizers.path("byte_bpe_50k.json"), False), []
+    joined = tokenizer.joined
+    tokenizer.joined = lambda found: sent.extend(found) or joined(found)
+    ids, sizes = tokenizer.ids(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in tokenizer.model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert sum(x.startswith(b" w") for x in sent) == 400 * 10  # words alone, and with each of the nine before which none may be cut off
+
+
+def test_chunks_of_one_slot_stay_known_beside_each_other(monkeypatch):
+    from fiscalens.llm import chunks
+
+    monkeypatch.setattr(chunks, "word_hashes", lambda data, start, end: data[start].astype(np.uint64) << np.uint64(1))  # all on slot 0
+    asked = []
+    known = chunks.Chunks(lambda found, _: asked.extend(found) or (np.array([x[0] for x in found], np.int32), np.ones(len(found), np.int64)))
+    for text in (b"a", b"b", b"ab", b"c", b"bc", b"cb", b"a"):
+        data = np.frombuffer(text, np.uint8)
+        assert known.ids(data, np.array([0, len(data)]), np.arange(len(data)))[0].tolist() == list(text)
+    assert asked == [b"a", b"b", b"c", b"a"]
+
+
 def test_new_chunks_go_to_the_tokenizer_together():
     import public_tokenizers
     import pyarrow as pa
