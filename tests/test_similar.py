@@ -87,6 +87,19 @@ def test_dense_clones_are_all_pairs(spark, monkeypatch, cell):
     assert {(r.doc_id, r.old_id) for r in T.notice_clones(df, encode=T.hashed_words, reference_date=F.lit(last)).collect()} == {(a, b) for a, b in want if rows[a][2] == last}
 
 
+def test_counts_whose_cosine_is_the_threshold_are_not_above_it(spark):
+    a, b = [0.0, 3.0, 4.0], [1.0, 4.0, 8.0]  # of norms 5 and 9
+    scaled = lambda x, k: [k * y for y in x]
+    dot = lambda x, y: sum(i * j for i, j in zip(x, y, strict=True))
+    of = lambda sign: spark.createDataFrame([(i, "g", scaled(a if sign else b, float(i))) for i in range(1, 60)], "id long, g string, vector array<double>")
+    every = lambda x, y, i, j: np.ones(len(i), bool)
+    exact = dot(a, b) / 45
+    assert J.dense_pairs(of(True), of(False), ["g"], "long", every, exact).count() == 0
+    assert J.dense_pairs(of(True), of(False), ["g"], "long", every, np.nextafter(exact, 0)).count() == 59 * 59
+    tiny = spark.createDataFrame([(1, "g", [1e-170, 0.0]), (2, "g", [0.0, 0.0])], "id long, g string, vector array<double>")
+    assert [tuple(r) for r in J.dense_pairs(tiny, tiny, ["g"], "long", every, 0.5).collect()] == [(1, 1, 1.0)]
+
+
 def test_sparse_clones_are_all_pairs_and_windows_are_counted(spark):
     rows = notices(random.Random(8))
     df = spark.createDataFrame(rows, "doc_id long, territory_id string, date date, text string")
