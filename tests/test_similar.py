@@ -112,6 +112,34 @@ def test_sparse_clones_are_all_pairs_and_windows_are_counted(spark):
     assert T.sparse_clones(df.limit(0)).count() == 0
 
 
+def test_an_entry_of_the_index_is_bounded_and_vectors_pack(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", *[f"r{i // 2}x{k}"] * 40]) for k in range(300)) for i in range(40)] + [" ".join(f"only{k} only{k}" for k in range(50)), "\t", None, " ".join(["a"] * 700 + ["b"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("g", F.lit(1))
+    sizes = []
+
+    def kept(df, name):
+        out = written(df, name)
+        if name == "prefix-index":
+            sizes.append(out.agg(F.max(F.size("_before")), F.count("id")).first())
+        return out
+
+    written = J.written
+    monkeypatch.setattr(J, "written", kept)
+    words = E.document_frequencies(docs, "text")
+    v = E.weighted(docs, "id", "text", words).cache()
+    pairs = {(r.a, r.b) for r in J.candidates(v, 0.85, ["g"]).collect()}
+    assert sizes[0][0] <= 2 and sizes[0][1] < 40 * 200 and {(i, i + 1) for i in range(0, 40, 2)} <= pairs
+    flat = lambda df: {(r.id, x.f): (x.df, round(x.w, 12)) for r in df.collect() for x in r.terms}
+    joined = E.weighted(docs, "id", "text", words._replace(sent=None))
+    assert flat(v) == flat(joined) and [x.df for x in v.first().terms] == sorted(x.df for x in v.first().terms)
+    all_pairs = spark.createDataFrame([(i, j) for i in range(43) for j in range(i)], "a long, b long")
+    dots = lambda df, how: {(r.a, r.b): round(r.similarity, 12) for r in J.scored(all_pairs, df, 0.01, unpack=how).collect()}
+    assert dots(E.packed(docs, "id", "text", words), E.unpacked(words)) == dots(joined, None) != {}
+    monkeypatch.setattr(E, "SENT", 0)
+    assert E.document_frequencies(docs, "text").sent is None
+
+
 def test_fitted_axes_are_those_of_the_whole_matrix(spark):
     rng = random.Random(3)
     topics = [[f"t{k}w{i}" for i in range(30)] for k in range(6)]
