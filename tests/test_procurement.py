@@ -172,6 +172,30 @@ def test_a_forest_isolates_what_lies_apart(spark):
         X.risk_of(labelled, None, ["f"])
 
 
+def test_all_trees_at_once_are_each_by_itself_and_a_supplier_moves_once(spark):
+    rng, trees = np.random.default_rng(2), 7
+    x = np.column_stack([rng.integers(0, 9, 60), rng.integers(0, 5, 60), np.zeros(60)]).astype(float)
+    limit, mean = 6, lambda n: float(X._mean_depth(np.array([n]))[0])
+
+    def depth(row, tree, level=0, place=0, of=x):
+        wide = of.max(0) > of.min(0) if len(of) else np.zeros(3, bool)
+        if level == limit or not wide.any():
+            return level + mean(len(of))
+        chances, where = X._draws(trees, 3, limit, 5)[level]
+        node = (tree << level) + place
+        k = int(np.argmax(wide * chances[:, node]))
+        cut = of[:, k].min() + where[node] * (of[:, k].max() - of[:, k].min())
+        right = bool(row[k] >= cut)
+        return depth(row, tree, level + 1, 2 * place + right, of[(of[:, k] >= cut) == right])
+
+    new = np.vstack([x[:9], [[40.0, -3.0, 1.0]]])
+    want = [2 ** (-np.mean([depth(r, t) for t in range(trees)]) / mean(60)) for r in new]
+    assert np.allclose(X.isolation_scores(x, new, trees, 5), want)
+    day = DAY(2020, 1, 1)
+    df = spark.createDataFrame([(str(i), "a", float(i % 7), day, day) for i in range(20)], "id string, doc string, amount double, validity_start date, validity_end date")
+    assert "CoGroups" not in X.isolated(df, trees=3)._jdf.queryExecution().toString()
+
+
 def test_trees_of_a_large_supplier_draw_from_all_its_contracts(spark, monkeypatch):
     day = DAY(2020, 1, 1)
     rng = random.Random(4)
