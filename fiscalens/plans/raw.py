@@ -127,8 +127,8 @@ def streamed_pncp(s, d):
     """The same records by a stream that ends with the months there are up to one of them, and is taken up again for the rest."""
     path, folder = pncp_months(s, d), new_folder(s, "page-stream")
     for upto in ({"to": "1995-06"}, {}):
-        page_stream(s, path, **upto).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return parsed(s.read.parquet(f"{folder}/out"), files.CONTRACT_RECORD)
+        parsed(page_stream(s, path, **upto), files.CONTRACT_RECORD).writeStream.format("parquet").option("compression", "zstd").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{folder}/out")
 
 
 money = lambda df, *c: df.withColumns({x: F.col(x).cast("double") for x in c})

@@ -17,20 +17,26 @@ import json
 import time
 import urllib.error
 import urllib.request
+import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from ..functions.storage import written
-
 SCHEMA = "window string, page int, item int, record string"
 #: Where a page's records stand, if it is not a list itself, and what tells how many pages are left.
 RECORDS, LEFT = ("data", "resultado", "items", "gazettes"), "paginasRestantes"
+#: How a recorded page's file may end: plain first, as a page that is recorded by hand stands before one that record_pages() packed. And how
+#: much that one is packed.
+ENDINGS, PACKED, LEVEL = (".json", ".json.zst"), ".json.zst", 6
+#: Files that are moved at once.
+MOVERS = 16
 #: Answers after which a request is made again.
 AGAIN = {408, 425, 429, 500, 502, 503, 504}
 
@@ -48,11 +54,13 @@ def fetch(path: str, window: str, page: int, retries: int = 5, wait: float = 1.0
     waits; any other failure raises, so that Spark runs the task again and no page is taken for an empty one."""
     if not is_http(path):
         fs, root = folder(path)
-        try:
-            with fs.open_input_stream(f"{root}/{window}/{page}.json") as f:
-                return f.read()
-        except FileNotFoundError:
-            return None
+        for ending in ENDINGS:
+            try:
+                with fs.open_input_stream(f"{root}/{window}/{page}{ending}") as f:  # unpacked as its ending says
+                    return f.read()
+            except FileNotFoundError:
+                pass
+        return None
     for attempt in range(retries + 1):
         try:
             with urllib.request.urlopen(urllib.request.Request(path.format(window=window, page=page), headers=headers or {}), timeout=60) as answer:  # noqa: S310
@@ -137,7 +145,7 @@ class _Pages:
     def there(self, window: str, page: int) -> bool:
         if not is_http(self.path):
             fs, root = folder(self.path)
-            if fs.get_file_info(f"{root}/{window}/{page}.json").type != pafs.FileType.File:
+            if not any(x.type == pafs.FileType.File for x in fs.get_file_info([f"{root}/{window}/{page}{ending}" for ending in ENDINGS])):
                 return False
         return bool(records_of(fetch(self.path, window, page, self.retries, self.wait, self.headers))[0])
 
@@ -217,43 +225,60 @@ class PageStreamReader(_Pages, DataSourceStreamReader):
 
 
 class _Written(WriterCommitMessage):
-    pass
+    """The pages that a task has written: their windows and where they lie until they have numbers."""
+
+    def __init__(self, pages: list[tuple[str, str]]):
+        self.pages = pages
 
 
 class PageWriter(DataSourceArrowWriter):
-    """Records pages: rows of one page must be in one task, one behind the other. A page is moved in place as a whole, so that a task that
-    runs again writes the same pages again."""
+    """Records pages of ``per_page`` records at most: rows of one window must stand one behind the other in a task. Each task makes pages of
+    its own, packed, aside; when all have ended, those of the tasks that count are numbered through by window and moved in place as a
+    whole, so that no row moves for the numbers."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, options: dict[str, str]):
+        self.path, self.per_page, self.first = options["path"], int(options.get("per_page", 500)), int(options.get("first_page", 1))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = folder(self.path)
+        codec, own = pa.Codec("zstd", compression_level=LEVEL), uuid.uuid4().hex
+        pages: list[tuple[str, str]] = []
         held: list[str] = []
-        at: tuple[str, int] | None = None
+        at: str | None = None
 
         def put() -> None:
-            if at is not None:
-                fs.create_dir(f"{root}/{at[0]}", recursive=True)
-                aside = f"{root}/{at[0]}/_{at[1]}-{time.time_ns()}"
-                with fs.open_output_stream(aside) as f:
-                    f.write(f'{{"data":[{",".join(held)}]}}'.encode())
-                fs.move(aside, f"{root}/{at[0]}/{at[1]}.json")
+            if held:
+                fs.create_dir(f"{root}/{at}", recursive=True)
+                pages.append((at, f"{root}/{at}/_{own}-{len(pages)}"))
+                with fs.open_output_stream(pages[-1][1]) as f:
+                    f.write(codec.compress(f'{{"data":[{",".join(held)}]}}'.encode(), asbytes=True))
+                held.clear()
 
         for batch in iterator:
-            for window, page, record in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("window", "page", "record")), strict=True):
-                if (window, page) != at:
+            for window, record in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("window", "record")), strict=True):
+                if window != at or len(held) == self.per_page:
                     put()
-                    at, held = (window, page), []
+                    at = window
                 held.append(record)
         put()
-        return _Written()
+        return _Written(pages)
 
     def commit(self, messages: list) -> None:
-        pass
+        fs, root = folder(self.path)
+        number: Counter[str] = Counter()
+        moves = []
+        for message in messages:
+            for window, aside in message.pages:
+                moves.append((aside, f"{root}/{window}/{self.first + number[window]}{PACKED}"))
+                number[window] += 1
+        with ThreadPoolExecutor(MOVERS) as pool:
+            list(pool.map(lambda x: fs.move(*x), moves))
 
     def abort(self, messages: list) -> None:
-        pass
+        fs, _ = folder(self.path)
+        for message in messages:
+            for _, aside in message.pages if message else []:
+                fs.delete_file(aside)
 
 
 class PageSource(DataSource):
@@ -271,7 +296,7 @@ class PageSource(DataSource):
         return PageStreamReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> PageWriter:
-        return PageWriter(self.options["path"])
+        return PageWriter(self.options)
 
 
 def pages(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -292,17 +317,10 @@ def parsed(rows: DataFrame, schema: str) -> DataFrame:
 def record_pages(df: DataFrame, path: str, window: str, per_page: int = 500, first_page: int = 1) -> None:
     """df's rows, without ``window``, as recorded pages of ``per_page`` records at most by the values of ``window``.
 
-    Rows are dealt by ranges, so that a large window is many tasks' work; each task's part of a window makes pages of its own, numbered
-    through from the parts' counts.
+    Rows stay in their tasks, of which each makes pages of its own; pages are packed and numbered through by window, so that the work has
+    no exchange beyond what df has itself.
     """
     record = F.to_json(F.struct(*[c for c in df.columns if c != window]))
-    rows = df.select(F.col(window).cast("string").alias("window"), record.alias("record")).withColumn("_h", F.xxhash64("record"))
-    dealt = rows.repartitionByRange("window", "_h").sortWithinPartitions("window", "_h").select("window", "record", F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_at"))
-    dealt = written(dealt, "page-rows")
-    part = dealt.groupBy("window", "_task").agg(F.ceil(F.count(F.lit(1)) / per_page).alias("_pages"), F.min("_at").alias("_from"))
-    before = Window.partitionBy("window").orderBy("_task").rowsBetween(Window.unboundedPreceding, 0)
-    part = part.withColumn("_base", F.sum("_pages").over(before) - F.col("_pages")).drop("_pages")
-    at = F.col("_at") - F.col("_from")
-    placed = dealt.join(part, ["window", "_task"]).select("window", (F.col("_base") + F.floor(at / per_page) + first_page).cast("int").alias("page"), (at % per_page).cast("int").alias("item"), "record")
+    rows = df.select(F.col(window).cast("string").alias("window"), record.alias("record")).sortWithinPartitions("window")
     df.sparkSession.dataSource.register(PageSource)
-    placed.repartition("window", "page").sortWithinPartitions("window", "page", "item").write.format("pages").mode("append").option("path", path).save()
+    rows.write.format("pages").mode("append").option("path", path).option("per_page", per_page).option("first_page", first_page).save()

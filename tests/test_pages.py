@@ -2,12 +2,14 @@
 
 import http.server
 import json
+import os
 import threading
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from fiscalens.functions.storage import shared_dir
 from fiscalens.sources import files
 from fiscalens.sources.pages import fetch, page_stream, pages, record_pages, records_of
 
@@ -78,6 +80,20 @@ def test_recorded_pages_come_back(spark, tmp_path):
     assert all(r.last == r.n and r.item < 64 for r in by)
 
 
+def test_recorded_pages_are_packed_and_rows_stay_in_their_tasks(spark, tmp_path):
+    df = spark.range(3000, numPartitions=3).select(F.concat(F.lit("w"), (F.col("id") % 2).cast("string")).alias("w"), "id", F.lit("the same long text in every record " * 8).alias("t"))
+    folders = lambda: {p for p in os.listdir(f"{shared_dir(spark)}/tables")} if os.path.isdir(f"{shared_dir(spark)}/tables") else set()
+    before = folders()
+    record_pages(df, str(tmp_path), "w", per_page=200, first_page=5)
+    assert folders() == before  # nothing was written besides the pages
+    found = sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and not p.name.startswith("."))
+    assert found == sorted(f"w{w}/{k}.json.zst" for w in (0, 1) for k in range(5, 14)) and sum(p.stat().st_size for p in tmp_path.rglob("*.zst")) < 3000 * 30
+    back = pages(spark, str(tmp_path), first_page=5).select("window", F.from_json("record", "id long, t string").alias("r")).select("window", "r.*")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    put(tmp_path, "w0", 14, [{"id": 7}])  # one that is not packed
+    assert pages(spark, str(tmp_path), first_page=5).count() == 3001
+
+
 @pytest.fixture
 def server():
     asked = Counter()
